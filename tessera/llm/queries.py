@@ -10,7 +10,11 @@ from .bpe import bpe_round_trip
 from .common import table
 from .decontam import contamination_digest
 from .neardup import near_duplicates
+from .pii import pii_digest
+from .quality import quality_digest
+from .secret_scan import secret_digest
 from .token_files import token_file_digest
+from .toxicity import toxicity_digest
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +25,30 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_byte_bpe, op3_token_files, op5_decontamination, op10_near_duplicates]
+    made = [op1_byte_bpe, op3_token_files, op4_toxicity, op5_decontamination, op6_quality_rules, op7_personal_data, op9_secrets, op10_near_duplicates]
     return {f.__name__: f for f in made}
