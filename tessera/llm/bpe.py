@@ -18,10 +18,13 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import documents
 
@@ -110,6 +113,7 @@ class ByteBPE:
         self._model = sentencepiece.SentencePieceProcessor(model_proto=serialize_model(ranks))
         self._rank = [-1, *sorted(ranks.values())]
         self._bytes = {str(rank): token for token, rank in ranks.items()}
+        self._packed = {str(rank): rank.to_bytes(4, "little") for rank in ranks.values()}
         self._pretokens = regex.compile(pattern).findall
         self._known = {token: str(rank) for token, rank in ranks.items()}
 
@@ -132,6 +136,10 @@ class ByteBPE:
         """The decimal ids of a whole text, joined by one space."""
         return " ".join(map(self._encoded.__getitem__, self._pretokens(text))) if text else ""
 
+    def pack(self, ids: str) -> np.ndarray:
+        """The ids of an encoded text as numbers."""
+        return np.frombuffer(b"".join(map(self._packed.__getitem__, ids.split())), "<i4")
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.encode_text(text).split()]
 
@@ -174,6 +182,39 @@ def bpe_decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
+def bpe_encode_rows(docs: DataFrame, keep: list[str], ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The columns ``keep`` of docs, then n_tokens, ids, ids_sha256 and decoded_sha256.
+
+    Raises where the decoded bytes are not the text's.
+    """
+    path, cut = ranks_path or default_rank_path(), pattern or default_pattern()
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = ByteBPE(read_ranks(path), cut)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                packed, ids_digest, text_digest = [], [], []
+                for text in part.column(len(keep)).to_pylist():
+                    ids = coder.encode_text(text)
+                    decoded = coder.decode_text(ids)
+                    if decoded != (text or "").encode():
+                        raise ValueError("a text did not survive encoding and decoding")
+                    packed.append(coder.pack(ids))
+                    ids_digest.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_digest.append(hashlib.sha256(decoded).hexdigest())
+                sizes = [len(p) for p in packed]
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids_column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(packed)))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(keep)], pa.array(sizes, pa.int64()), ids_column, pa.array(ids_digest), pa.array(text_digest)], names=[*keep, "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+                )
+
+    kept = StructType([*rows.select(*keep).schema.fields, *StructType.fromDDL("n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string").fields])
+    return rows.mapInArrow(run, kept)
+
+
 def bpe_token_counts(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and n_tokens."""
 

@@ -42,13 +42,19 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, under fixed names.
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Only the id and the text, under fixed names; with ``carry`` the whole row as one struct too.
 
     Operators start from this projection, so that columns which happen to be
     named like one of an operator's own columns cannot clash with them.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row)
+
+
+def carried(df: DataFrame) -> list[str]:
+    """The carried row, if there is one: to name in a projection."""
+    return ["row"] if "row" in df.columns else []
 
 
 def held_out(id_column: Column, folds: int = 5) -> Column:

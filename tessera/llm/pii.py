@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import carried, documents
 
 #: Code points before and after a span in which context words count.
 CONTEXT = 40
@@ -105,9 +105,14 @@ def running_sums(steps: str) -> Column:
     )
 
 
-def pii_spans(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """doc_id, text and ``spans``: (kind, start, end, score), by kind as listed, then start."""
-    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def pii_spans(docs: DataFrame, min_score: float = MIN_SCORE, carry: bool = False) -> DataFrame:
+    """doc_id, text and ``spans``: (kind, start, end, score), by kind as listed, then start.
+
+    With ``carry`` the whole row comes along as ``row``.
+    """
+    rows = documents(docs, carry=carry)
+    more = carried(rows)
+    rows = rows.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
     none = F.expr("cast(array() AS array<string>)")
     text = F.col("text")
     rows = rows.select("*", *(F.when(k.gate(text), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"m_{k.name}") for k in KINDS))
@@ -127,8 +132,8 @@ def pii_spans(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         found = F.filter(F.zip_with(f"m_{k.name}", f"e_{k.name}", span), lambda s: s["valid"] & (F.lit(k.base) | (s["score"] >= min_score)))
         return F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
 
-    rows = rows.select("doc_id", "text", *(F.when(F.size(f"m_{k.name}") > 0, kept(k)).otherwise(F.expr("cast(array() AS array<struct<kind:string,start:int,end:int,score:double>>)")).alias(f"k_{k.name}") for k in KINDS))
-    return rows.select("doc_id", "text", F.flatten(F.array(*(F.col(f"k_{k.name}") for k in KINDS))).alias("spans"))
+    rows = rows.select("doc_id", *more, "text", *(F.when(F.size(f"m_{k.name}") > 0, kept(k)).otherwise(F.expr("cast(array() AS array<struct<kind:string,start:int,end:int,score:double>>)")).alias(f"k_{k.name}") for k in KINDS))
+    return rows.select("doc_id", *more, "text", F.flatten(F.array(*(F.col(f"k_{k.name}") for k in KINDS))).alias("spans"))
 
 
 def redact(found: DataFrame) -> DataFrame:
@@ -142,12 +147,13 @@ def redact(found: DataFrame) -> DataFrame:
         "(a, s) -> if(s.start < a.hi, named_struct('lo', a.lo, 'hi', greatest(a.hi, s.end), 'kind', a.kind, 'out', a.out), "
         "named_struct('lo', s.start, 'hi', s.end, 'kind', s.kind, 'out', if(a.hi < 0, a.out, concat(a.out, array(named_struct('lo', a.lo, 'hi', a.hi, 'kind', a.kind))))))"
     )
-    merged = found.select("doc_id", "text", ordered.alias("ordered")).select(
-        "doc_id", "text", F.when(F.size("ordered") > 0, F.expr(f"aggregate(ordered, {start}, {step}, a -> concat(a.out, array(named_struct('lo', a.lo, 'hi', a.hi, 'kind', a.kind))))")).alias("cuts")
+    more = carried(found)
+    merged = found.select("doc_id", *more, "text", ordered.alias("ordered")).select(
+        "doc_id", *more, "text", F.when(F.size("ordered") > 0, F.expr(f"aggregate(ordered, {start}, {step}, a -> concat(a.out, array(named_struct('lo', a.lo, 'hi', a.hi, 'kind', a.kind))))")).alias("cuts")
     )
     piece = "concat(substring(text, if(i = 0, 0, get(cuts, i - 1).hi) + 1, c.lo - if(i = 0, 0, get(cuts, i - 1).hi)), '<', upper(c.kind), '>')"
     clean = F.expr(f"if(cuts IS NULL, text, concat(array_join(transform(cuts, (c, i) -> {piece}), ''), substring(text, element_at(cuts, -1).hi + 1)))")
-    return merged.select("doc_id", clean.alias("text"))
+    return merged.select("doc_id", *more, clean.alias("text"))
 
 
 def _joined(spans: Column) -> Column:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import carried, documents
 
 #: Fixed by the contract: the separators of words, the symbol characters, the base rules' bounds.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -77,13 +77,16 @@ def _repeat_words(windows: str, repeated: str) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
 
 
-def measurements(docs: DataFrame) -> DataFrame:
-    """doc_id and every measurement that the rules use."""
-    cut = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cut = cut.select("doc_id", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda line: line.rlike(NOT_SPACE)).alias("lines"))
+def measurements(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and every measurement that the rules use; with ``carry`` also the row as ``row``."""
+    cut = documents(docs, carry=carry)
+    more = carried(cut)
+    cut = cut.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
+    cut = cut.select("doc_id", *more, "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda line: line.rlike(NOT_SPACE)).alias("lines"))
     long = lambda c, name: c.cast("long").alias(name)
     counted = cut.select(
         "doc_id",
+        *more,
         long(F.size("words"), "n_words"),
         long(F.length(F.array_join("words", "")), "word_chars"),
         long(F.length(F.regexp_replace("text", NOT_SYMBOL, "")), "n_symbols"),
@@ -99,16 +102,19 @@ def measurements(docs: DataFrame) -> DataFrame:
     ordered = windowed.withColumn("ordered", F.when(F.col("distinct") < F.size("windows"), F.sort_array("windows")))
     found = ordered.withColumn("repeated", F.expr("array_distinct(filter(ordered, (h, k) -> h = get(ordered, k + 1)))")).drop("ordered", "distinct")
     n = F.when(F.size("repeated") > 0, _repeat_words("windows", "repeated")).otherwise(F.lit(0))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", long(n, "n_repeat_words"))
+    # A later filter on a measurement must not be pushed below this projection:
+    # it would be rewritten in terms of the text, with every step many times over.
+    n = n + F.monotonically_increasing_id() * 0
+    return found.select("doc_id", *more, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", long(n, "n_repeat_words"))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and ``failed``, a bit for each rule."""
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, the measurements and ``failed``, a bit for each rule; with ``carry`` also the row."""
     bits = [F.when(F.expr(rule.fails), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long") for rule in RULES]
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return measurements(docs).withColumn("failed", failed)
+    return measurements(docs, carry).withColumn("failed", failed)
 
 
 def apply_policy(entries: DataFrame, version: str = DEFAULT_POLICY) -> DataFrame:
