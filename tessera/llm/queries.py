@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .common import table
 from .decontam import contamination_digest
+from .licenses import license_digest
 from .neardup import near_duplicates
 from .pii import pii_digest
 from .quality import quality_digest
 from .secret_scan import secret_digest
+from .token_counts import token_count_rollup
 from .token_files import token_file_digest
 from .toxicity import toxicity_digest
 
@@ -21,6 +23,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count_rollup(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -50,5 +60,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_byte_bpe, op3_token_files, op4_toxicity, op5_decontamination, op6_quality_rules, op7_personal_data, op9_secrets, op10_near_duplicates]
+    made = [
+        op1_byte_bpe, op2_token_counts, op3_token_files, op4_toxicity, op5_decontamination, op6_quality_rules,
+        op7_personal_data, op8_licenses, op9_secrets, op10_near_duplicates,
+    ]
     return {f.__name__: f for f in made}
