@@ -51,22 +51,32 @@ def english_tokens(text: Column) -> Column:
     return F.filter(raw_tokens(text), lambda t: ~t.isin(STOPWORDS))
 
 
+def _ends(token: Column, endings: str) -> Column:
+    return reduce(lambda a, b: a | b, (token.endswith(e) for e in endings.split()))
+
+
 def _undouble(stem: Column) -> Column:
-    return F.when(stem.rlike("([bcdfghjklmnpqrstvwxyz0-9])\\1$") & (F.length(stem) > 2), F.regexp_replace(stem, ".$", "")).otherwise(stem)
+    last = F.right(stem, F.lit(1))
+    twice = (F.length(stem) > 2) & (last == F.substring(stem, -2, 1)) & ~last.isin(*"aeiou")
+    return F.when(twice, _cut(stem, 1)).otherwise(stem)
+
+
+def _cut(token: Column, n: int) -> Column:
+    return F.left(token, F.length(token) - n)
 
 
 def stem(token: Column) -> Column:
     """The light stem of a token; the token itself where no rule holds."""
-    cut = lambda n: F.regexp_replace(token, ".{%d}$" % n, "")
+    cut = lambda n: _cut(token, n)
     rules = [
         (token.isin(PROTECTED), token),
         *((token == form, F.lit(base)) for form, base in IRREGULAR.items()),
-        ((F.length(token) <= 3) | token.rlike("^[0-9]+$"), token),
+        ((F.length(token) <= 3) | (F.translate(token, "0123456789", "") == ""), token),
         (token.endswith("ies") & (F.length(token) > 4), F.concat(cut(3), F.lit("y"))),
         (token.endswith("ing") & (F.length(token) > 5), _undouble(cut(3))),
         (token.endswith("ied") & (F.length(token) > 4), F.concat(cut(3), F.lit("y"))),
         (token.endswith("ed") & (F.length(token) > 4), _undouble(cut(2))),
-        (token.rlike("(sses|xes|zes|ches|shes)$") & (F.length(token) > 4), cut(2)),
+        (_ends(token, "sses xes zes ches shes") & (F.length(token) > 4), cut(2)),
         (token.endswith("s"), cut(1)),
     ]
     first, *rest = rules
@@ -75,7 +85,8 @@ def stem(token: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Every token, followed by its stem where that differs; a sentinel for none."""
-    both = F.flatten(F.transform(english_tokens(text), lambda t: F.when(stem(t) == t, F.array(t)).otherwise(F.array(t, stem(t)))))
+    forms = F.transform(english_tokens(text), lambda t: F.struct(t.alias("t"), stem(t).alias("s")))
+    both = F.flatten(F.transform(forms, lambda f: F.when(f["s"] == f["t"], F.array(f["t"])).otherwise(F.array(f["t"], f["s"]))))
     return F.when(F.size(both) > 0, both).otherwise(F.array(F.lit(EMPTY_TOKEN)))
 
 

@@ -83,7 +83,7 @@ def trimmed(messages: DataFrame, limit: int = 7) -> DataFrame:
 def latest_dialogue(messages: DataFrame, n: int) -> DataFrame:
     """the last n messages that are not blank."""
     rows = messages.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
-    return rows.withColumn("back", F.row_number().over(W.partitionBy("session").orderBy(F.desc("seq")))).filter(F.col("back") <= n)
+    return rows.withColumn("back", F.row_number().over(W.partitionBy("session").orderBy(F.desc("seq"))).cast("long")).filter(F.col("back") <= n)
 
 
 def expired(expires_at: Column, now: Column) -> Column:
@@ -105,7 +105,7 @@ def runtime_memories(items: DataFrame, k: int = 5) -> DataFrame:
     """Each user's active, confident and relevant items, by score times confidence."""
     kept = items.filter((F.col("status") == "active") & (F.col("confidence") >= MIN_CONFIDENCE) & (F.col("score") >= MIN_RELEVANCE) & (F.trim(F.coalesce("content", F.lit(""))) != ""))
     order = W.partitionBy("user_id").orderBy(F.desc(F.col("score") * F.col("confidence")), F.asc("memory_id"))
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
 def applied_actions(actions: DataFrame) -> DataFrame:

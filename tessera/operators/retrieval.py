@@ -22,7 +22,7 @@ BROADCAST_ROWS = 100_000
 
 def ranked(hits: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """1-based positions in each query's list."""
-    return hits.withColumn(name, F.row_number().over(W.partitionBy(*(by or ["query_id"])).orderBy(*order)))
+    return hits.withColumn(name, F.row_number().over(W.partitionBy(*(by or ["query_id"])).orderBy(*order)).cast("long"))
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -13,11 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import chunking as C
 from tessera.operators import evaluate as E
 from tessera.operators import hierarchy as H
 from tessera.operators import memory as M
 from tessera.operators import ops as O
 from tessera.operators import retrieval as R
+from tessera.operators import understand as U
+from tessera.plans.retrieve import retrieve
 from tessera.sources.files import quarantine_split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +222,50 @@ def j14_profile_scores(spark, sf):
     return E.profile_scores(asked, E.document_profiles(docs))
 
 
+@query
+def x13_intents(spark, sf):
+    docs = _t(spark, sf, "documents")
+    return docs.groupBy(U.intent(F.col("text")).alias("intent"), U.routed(F.col("text")).alias("routed")).agg(F.count("*").alias("n"))
+
+
+@query
+def r14_retrieve(spark, sf):
+    """Chunks are documents under one support chunk a source, questions are benchmark items."""
+    docs = _t(spark, sf, "documents")
+    chunks = docs.select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.concat(F.lit("s-"), "source").alias("parent_id"), F.lit("primary").alias("tier"), "text")
+    heads = docs.groupBy("source").agg(F.count("*").alias("n")).select(F.concat(F.lit("s-"), "source").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("support").alias("tier"), F.concat(F.lit("documents of "), "source").alias("text"))
+    return retrieve(chunks.unionByName(heads), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+# --- chunking ---------------------------------------------------------------
+
+
+def _text_rows(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "text")
+
+
+@query
+def h01_runbook_chunks(spark, sf):
+    return C.chunked(_text_rows(spark, sf), C.runbook_rows)
+
+
+@query
+def h02_header_chunks(spark, sf):
+    return C.chunked(_text_rows(spark, sf), C.header_rows)
+
+
+@query
+def h04_window_chunks(spark, sf):
+    return C.chunked(_text_rows(spark, sf), C.window_rows)
+
+
+@query
+def h07_integrated(spark, sf):
+    chunks = C.chunked(_text_rows(spark, sf), C.window_rows)
+    rows = chunks.select(F.col("doc_id").alias("doc"), F.col("chunk_index").alias("pos"), "chunk_id", F.lit(None).cast("string").alias("parent_id"), F.lit("primary").alias("tier"), "text")
+    return C.integrated(rows)
+
+
 # --- hierarchy: region, nation, customer and supplier as a forest -----------
 
 
@@ -421,7 +468,7 @@ def f11_latest(spark, sf):
 @query
 def k11_sequence(spark, sf):
     each = W.partitionBy("session").orderBy("seq")
-    return _messages(spark, sf).select("session", "seq", F.row_number().over(each).alias("message_seq"))
+    return _messages(spark, sf).select("session", "seq", F.row_number().over(each).cast("long").alias("message_seq"))
 
 
 @query

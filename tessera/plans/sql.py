@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import IRREGULAR, PROTECTED, STOPWORDS
+from tessera.operators.understand import INTENT_WORDS
 
 
 def _list(words) -> str:
@@ -184,5 +185,18 @@ _SQL = {
 }
 
 
+def _marked(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + ")"
+
+
+_INTENT = "CASE " + " ".join(f"WHEN {_marked(words)} THEN '{name}'" for name, words in INTENT_WORDS.items()) + " ELSE 'general' END"
+_SQL["x13_intents"] = rf"""
+WITH t AS (SELECT coalesce(text, '') AS text, {_INTENT} AS intent FROM documents)
+SELECT intent, CASE WHEN regexp_matches(text, '[A-Za-z][A-Za-z0-9]*_[0-9]+_[0-9]+') OR {_marked(INTENT_WORDS["image_trace"])} THEN TRUE
+ WHEN regexp_matches(lower(text), '\b[a-z]{{2,}}[0-9]{{2,}}\b') THEN TRUE WHEN contains(lower(text), 'manual') THEN TRUE
+ WHEN regexp_matches(lower(text), '^\s*(hi|hello|thanks|thank you|bye)\b') THEN FALSE ELSE intent <> 'general' END AS routed, count(*) AS n FROM t GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
