@@ -281,7 +281,7 @@ def _tree(spark, sf):
 def _customer_hits(spark, sf):
     """Orders as queries by year: customers ranked by what they spent."""
     orders = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    spent = orders.groupBy(F.year("o_orderdate").alias("query_id"), "c_custkey", "c_nationkey").agg(F.round(F.sum("o_totalprice"), 2).alias("score"))
+    spent = orders.groupBy(F.year("o_orderdate").cast("long").alias("query_id"), "c_custkey", "c_nationkey").agg(F.round(F.sum("o_totalprice"), 2).alias("score"))
     rows = spent.select("query_id", F.concat(F.lit("c"), "c_custkey").alias("chunk_id"), F.concat(F.lit("n"), "c_nationkey").alias("parent_id"), F.lit("primary").alias("tier"), "score")
     return R.ranked(rows, [F.desc("score"), F.asc("chunk_id")]).filter("rank <= 20")
 
@@ -508,7 +508,7 @@ def a10_hit_rates(spark, sf):
 
 @query
 def a15_length_stats(spark, sf):
-    return E.length_statistics(_t(spark, sf, "documents"), F.length("text"), ["lang"])
+    return E.length_statistics(_t(spark, sf, "documents"), F.length("text").cast("long"), ["lang"])
 
 
 @query

@@ -37,6 +37,7 @@ def recalled(chunks: DataFrame, queries: DataFrame, vector_hits: DataFrame | Non
     hits = R.bm25_hits(open_chunks, queries, "chunk_id", "text", "query_id", "text", fetch).withColumn("channel", F.lit("bm25"))
     if vector_hits is not None:
         hits = hits.unionByName(vector_hits.select("query_id", "chunk_id", "score", "rank", F.lit("vector").alias("channel")))
+    hits = hits.persist()  # a few rows a query, read by three branches below
     best = hits.groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("n"))
     state = analyzed(queries).join(best, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     weak = state.filter(R.scan_needed(F.col("best"), F.col("best"), F.size("terms"), F.col("intent"), F.col("n"))).select("query_id")
