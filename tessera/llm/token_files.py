@@ -13,7 +13,7 @@ shared store: through the file system where that is mounted, else by Arrow's
 file system of the path's scheme.
 
 Tokenising: a word's ids depend on the word alone, so each distinct word goes
-through the tokenizer once per task while the cache has room.  Texts with
+through the tokenizer once per worker while the cache has room.  Texts with
 characters outside a range whose word boundaries need no Unicode tables go
 through the tokenizer whole.
 
@@ -28,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,14 @@ from .common import documents, materialize, scratch
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: The end id of the contract.
 END_ID = 2
-#: Words whose ids a task keeps at once.
-CACHE = 300_000
+#: Words whose ids a worker keeps, over its tasks.
+CACHE = 600_000
 
 #: Characters whose class, case and normal form need no table: no white space but ASCII's.
 _UNSAFE = re.compile("[^\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
+_RUNS = f"[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+"
+_WORDS, _WORDS_WITH_ENDINGS = re.compile(_RUNS), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{_RUNS}")
 
 
 def default_tokenizer_path() -> str:
@@ -74,7 +76,7 @@ class WordTokenizer:
 
     def _learn(self, new: list[str]) -> None:
         """Words joined by spaces are the same words; a word ends at an end-of-word id."""
-        ids = np.array(self._tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.int64)
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self._last[ids]) + 1
         if len(ends) == len(new):
             flat = ids.astype(self.dtype).tobytes()
@@ -86,7 +88,7 @@ class WordTokenizer:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text, without an end id."""
         cut: list[list[str] | bytes] = []
-        new: dict[str, None] = {}
+        new: set[str] = set()
         known = self._words
         if len(known) > CACHE:
             known.clear()
@@ -96,15 +98,21 @@ class WordTokenizer:
             elif _UNSAFE.search(text) or any(s in text for s in self._special):
                 cut.append(self._whole(text))
             else:
-                found = _WORDS.findall(text.lower())
+                found = (_WORDS_WITH_ENDINGS if "'" in text else _WORDS).findall(text.lower())
                 cut.append(found)
-                new.update(dict.fromkeys(w for w in set(found) if w not in known))
+                new |= set(found).difference(known)
         todo = list(new)
         for i in range(0, len(todo), 5_000):
             self._learn(todo[i : i + 5_000])
         return [c if isinstance(c, bytes) else b"".join(map(known.__getitem__, c)) for c in cut]
 
 
+@lru_cache(maxsize=2)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this process, kept for the worker's next tasks."""
+    return WordTokenizer(path)
+
+
 class Store:
     """Files of a folder in the shared store."""
 
@@ -154,7 +162,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         from pyspark import TaskContext
 
         name = f"shard-{TaskContext.get().partitionId():06d}"
-        coder, store = WordTokenizer(path), Store(folder)
+        coder, store = worker_tokenizer(path), Store(folder)
         end = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
         packed, sizes, ids = [], [], []
         for batch in batches:
