@@ -60,9 +60,3 @@ def carried(df: DataFrame) -> list[str]:
 def held_out(id_column: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text leaves remainder 0; a null id is held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % F.lit(folds) == 0, F.lit(True))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows out by key in as many partitions as the session shuffles to."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
