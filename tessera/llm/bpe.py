@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,11 @@ class ByteBPE:
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.encode_text(text).split()]
 
+    def count(self, text: str | None) -> int:
+        """The number of ids of a whole text."""
+        ids = self.encode_text(text)
+        return ids.count(" ") + 1 if ids else 0
+
     def decode_text(self, ids: str) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids.split()))
 
@@ -150,6 +156,12 @@ class ByteBPE:
         return b"".join([self._bytes[str(i)] for i in ids])
 
 
+@lru_cache(maxsize=2)
+def worker_coder(path: str, pattern: str) -> ByteBPE:
+    """The coder of this process, kept with its cache for the worker's next tasks."""
+    return ByteBPE(read_ranks(path), pattern)
+
+
 def _over(docs: DataFrame, ranks_path: str | None, pattern: str | None, row: Callable[[ByteBPE, str | None], tuple], kinds: list[pa.DataType], schema: str) -> DataFrame:
     path, cut = ranks_path or default_rank_path(), pattern or default_pattern()
     names = [part.split()[0] for part in schema.split(", ")]
@@ -215,14 +227,18 @@ def bpe_encode_rows(docs: DataFrame, keep: list[str], ranks_path: str | None = N
     return rows.mapInArrow(run, kept)
 
 
-def bpe_token_counts(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and n_tokens."""
+def bpe_token_counts(docs: DataFrame, keep: list[str] | None = None, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The columns ``keep`` of docs, by default doc_id, and n_tokens."""
+    path, cut, names = ranks_path or default_rank_path(), pattern or default_pattern(), keep or ["doc_id"]
+    rows = docs.select(*names, F.col("text").cast("string").alias("text"))
 
-    def row(coder: ByteBPE, text: str | None) -> tuple:
-        ids = coder.encode_text(text)
-        return ((ids.count(" ") + 1) if ids else 0,)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = worker_coder(path, cut)
+        for batch in batches:
+            counts = [coder.count(t) for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64())], names=[*names, "n_tokens"])
 
-    return _over(docs, ranks_path, pattern, row, [pa.int64()], "doc_id long, n_tokens long")
+    return rows.mapInArrow(run, StructType([*rows.select(*names).schema.fields, *StructType.fromDDL("n_tokens long").fields]))
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

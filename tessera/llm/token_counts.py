@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_encode_rows
+from .bpe import bpe_token_counts
 from .common import materialize, scratch
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -98,7 +98,7 @@ class TokenCountStore:
 
 def bpe_changes(docs: DataFrame, version: str = VERSION) -> DataFrame:
     """The changes that insert documents, or revise them, with their byte-level BPE counts."""
-    return bpe_encode_rows(docs, ["doc_id", "source", "lang"]).select("doc_id", F.lit(version).alias("tokenizer"), "source", "lang", "n_tokens", F.lit(False).alias("deleted"))
+    return bpe_token_counts(docs, ["doc_id", "source", "lang"]).select("doc_id", F.lit(version).alias("tokenizer"), "source", "lang", "n_tokens", F.lit(False).alias("deleted"))
 
 
 def token_count_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
