@@ -4,12 +4,16 @@ For each labelled format a probabilistic automaton is inferred: labelled
 credentials build a prefix tree with counts, and states are merged from the
 root outwards while their outgoing and ending frequencies agree within a
 Hoeffding bound, so the fixed head of a format stays a chain and its random
-body becomes a loop.  All candidates, the runs of token characters in a text,
-are scored by the log likelihood a character under the best format against
-that under an automaton inferred in the same way from ordinary tokens.
+body becomes a loop.  Candidates, runs of token characters in a text, are scored
+by the log likelihood a character under the best format against that under an
+automaton inferred in the same way from ordinary tokens.  A run that no
+format spells as a whole is searched for credentials inside it: the automata start
+at each fixed head of a format, and after each separator for formats without
+one, all starts in one pass.
 
 Spans of the base patterns always stay; a candidate is added where its format
-likelihood is high enough and it overlaps no base span.
+likelihood is high enough and it overlaps no base span.  What a base span leaves
+of a run is scored too.
 
 The labelled credentials are made by rule from the public shapes of formats;
 none is a real one.  Other labelled lists are a parameter.
@@ -22,8 +26,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +48,12 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 
 #: Confidence of the merge test, and the log likelihood a character over ordinary tokens from which a candidate counts.
 ALPHA, MIN_GAIN = 0.05, 0.5
-#: Characters at the start of a token that keep their identity; later ones count by class.
+#: The most characters of a format's fixed head that keep their identity; all others count by class.
 HEAD = 6
+#: The shortest run that is scored.
+LEAST = 16
+#: Characters after which an embedded credential without a fixed head may start, before which one may end, and that end no credential.
+STARTS, ENDS, TRIM = "=/._-+", "=/.", ".-_/+"
 #: Labelled examples of each format.
 EXAMPLES = 60
 CACHE = 100_000
@@ -91,21 +101,14 @@ def ordinary_tokens(seed: int = 11, examples: int = 400) -> list[str]:
     return [shapes[i % len(shapes)]() for i in range(examples)]
 
 
-def symbols(token: str) -> Iterator[tuple[str, float]]:
+#: A character's class and its log probability inside the class; other characters stand for themselves.
+_CLASS = {c: (s, -math.log(len(group))) for s, group in (("9", _DIGIT), ("h", "abcdef"), ("l", _LOWER[6:]), ("U", _UPPER)) for c in group}
+
+
+def symbols(token: str, head: int = 0) -> Iterator[tuple[str, float]]:
     """The symbols of a token and each one's log probability inside its class."""
     for i, c in enumerate(token):
-        if i < HEAD and not c.isdigit():
-            yield c, 0.0
-        elif c.isdigit():
-            yield "9", -math.log(10)
-        elif c in "abcdef":
-            yield "h", -math.log(6)
-        elif c.islower():
-            yield "l", -math.log(20)
-        elif c.isupper():
-            yield "U", -math.log(26)
-        else:
-            yield c, 0.0
+        yield (c, 0.0) if i < head else _CLASS.get(c, (c, 0.0))
 
 
 class Automaton:
@@ -116,10 +119,11 @@ class Automaton:
         self.count: list[dict[str, int]] = [{}]
         self.ends, self.visits = [0], [0]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.head = os.path.commonprefix(tokens)[:HEAD]
         for token in tokens:
             state = 0
             self.visits[0] += 1
-            for s, _ in symbols(token):
+            for s, _ in symbols(token, len(self.head)):
                 self.count[state][s] = self.count[state].get(s, 0) + 1
                 state = self.next[state].setdefault(s, len(self.next))
                 if state == len(self.next):
@@ -180,18 +184,33 @@ class Automaton:
                     red.append(child)
             at = 0 if moved else at + 1
         self.states = len(red)
+        self._steps: dict[tuple[int | None, str], tuple[float, int | None]] = {}
+
+    def step(self, state: int | None, s: str) -> tuple[float, int | None]:
+        """The log likelihood of a symbol and the next state; an unseen step has a small share of a state's mass."""
+        if (state, s) not in self._steps:
+            n, seen, after = (0, 0, None) if state is None else (self.count[state].get(s, 0), self.visits[state], self.next[state].get(s))
+            self._steps[state, s] = math.log((n + 0.01) / (seen + 1)), after
+        return self._steps[state, s]
 
     def score(self, token: str) -> float:
-        """The log likelihood a character; an unseen step has a small share of a state's mass."""
+        """The log likelihood a character."""
         state: int | None = 0
         total = 0.0
-        for s, inner in symbols(token):
-            seen = self.visits[state] if state is not None else 0
-            n = self.count[state].get(s, 0) if state is not None else 0
-            total += inner + math.log((n + 0.01) / (seen + 1))
-            state = self.next[state].get(s) if state is not None else None
+        for s, inner in symbols(token, len(self.head)):
+            gain, state = self.step(state, s)
+            total += inner + gain
         return total / max(1, len(token))
 
+    def spells(self, token: str) -> bool:
+        """Whether every step of the token was seen."""
+        state: int | None = 0
+        for s, _ in symbols(token, len(self.head)):
+            state = self.next[state].get(s)
+            if state is None:
+                return False
+        return True
+
 
 class Grammars:
     """An automaton a format, and one of ordinary tokens."""
@@ -214,6 +233,77 @@ class Grammars:
             self._seen[token] = best[1] if best[0] - self.ordinary.score(token) >= MIN_GAIN else None
         return self._seen[token]
 
+    def _starts(self, a: Automaton, run: str) -> list[int]:
+        if a.head:
+            return [m.start() for m in re.finditer(f"(?={re.escape(a.head)})", run)] if a.head in run else []
+        return [i for i in range(len(run) - a.shortest + 1) if (i == 0 or run[i - 1] in STARTS) and run[i] not in TRIM]
+
+    def _inside(self, a: Automaton, run: str) -> list[tuple[float, int, int]]:
+        """(gain, start, end) of the credentials of one format in a run.
+
+        All starts go forward together.  Starts in equal states gain alike from
+        there on, so of those that are long enough only the best goes on.
+        """
+        starts = self._starts(a, run)
+        if not starts or len(run) - starts[0] < a.shortest:
+            return []
+        out, held, at, i = [], {}, 0, starts[0]
+        live: list[list] = []  # start, state, ordinary state, gain, best gain at an end, that end
+        while i < len(run) and (live or at < len(starts)):
+            if not live:
+                i = max(i, starts[at])
+            if at < len(starts) and starts[at] == i:
+                live.append([i, 0, 0, 0.0, -1.0, 0])
+                at += 1
+            c, stay, held = run[i], [], {}
+            s, inner = _CLASS.get(c, (c, 0.0))
+            ends = c not in TRIM and (i + 1 == len(run) or run[i + 1] in ENDS)
+            for w in live:
+                fixed = i - w[0] < len(a.head)
+                plus, state = a.step(w[1], c if fixed else s)
+                if state is None:
+                    last = i
+                    while last > w[0] and run[last - 1] in TRIM:
+                        last -= 1
+                    # A dead state ends a credential too, unless a letter or digit goes on.
+                    if not c.isalnum() and last == i and last - w[0] >= a.shortest and w[3] > w[4]:
+                        w[4:] = w[3], last
+                    out.append(w)
+                    continue
+                minus, after = self.ordinary.step(w[2], s)
+                # Inside a run, ordinary tokens follow one another with any separator between them.
+                w[2] = 0 if after is None and c in STARTS else after
+                if w[2] == 0 and after is None:
+                    minus = max(minus, -math.log(len(STARTS)))
+                w[1], w[3] = state, w[3] + plus + (0.0 if fixed else inner) - minus - inner - MIN_GAIN
+                if i + 1 - w[0] >= a.shortest:
+                    if ends and w[3] > w[4]:
+                        w[4:] = w[3], i + 1
+                    other = held.get((w[1], w[2]))
+                    if other is not None and other[3] >= w[3]:
+                        out.append(w)
+                        continue
+                    if other is not None:
+                        stay.remove(other)
+                        out.append(other)
+                    held[w[1], w[2]] = w
+                stay.append(w)
+            live = stay
+            i += 1
+        return [(w[4], w[0], w[5]) for w in out + live if w[4] >= 0]
+
+    def embedded(self, run: str) -> list[tuple[str, int, int]]:
+        """(format, start, end) of credentials inside a run, the one that stands out most first, none overlapping."""
+        if len(run) < LEAST:
+            return []
+        found = sorted((-gain, start, -end, name) for name, a in self.formats.items() for gain, start, end in self._inside(a, run))
+        taken: list[tuple[int, int, str]] = []
+        for _, start, end, name in found:
+            at = bisect_left(taken, (start,))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= -end):
+                taken.insert(at, (start, -end, name))
+        return [(name, start, end) for start, end, name in taken]
+
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed."""
         if not text:
@@ -232,13 +322,26 @@ class Grammars:
         for a, b in runs:
             while at < len(base) and base[at][2] <= a:
                 at += 1
-            if any(s < b and a < e for _, s, e in base[at : at + 4]):
-                continue
-            end = b
-            while end > a and text[end - 1] in ".-_/+":
-                end -= 1
-            if kind := self.format_of(text[a:end]):
-                taken.append((kind, a, end))
+            free, place = [], a
+            for _, s, e in sorted(base[at:], key=lambda s: s[1]) if at < len(base) else ():
+                if s >= b:
+                    break
+                free.append((place, s))
+                place = max(place, e)
+            for start, stop in [*free, (place, b)]:
+                end = stop
+                while end > start and text[end - 1] in TRIM:
+                    end -= 1
+                if end - start < LEAST:
+                    continue
+                token = text[start:end]
+                kind = self.format_of(token)
+                whole = [(kind, 0, len(token))] if kind else []
+                inside = whole if kind and self.formats[kind].spells(token) else self.embedded(token)
+                # A part is no substitute for a run that begins with a format's head.
+                if kind and self.formats[kind].head and kind not in {k for k, *_ in inside}:
+                    inside = whole
+                taken += [(k, start + x, start + y) for k, x, y in inside or whole]
         return sorted(found + taken, key=lambda s: (s[1], self.order[s[0]]))
 
 
