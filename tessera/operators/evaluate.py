@@ -52,21 +52,60 @@ def document_profiles(chunks: DataFrame, terms: int = 256) -> DataFrame:
     """A5: per document the shortest name, its most frequent terms and its chunk count.
 
     Terms have two characters or more and are no stop words nor page labels
-    (F17).  Counts are over the whole table.
+    (F17).  Counts are over the whole table.  Where chunks have pic_ids, an
+    array, the profile has their prefixes.
     """
     words = chunks.select("doc", F.explode(X.english_tokens(F.col("text"))).alias("term")).filter((F.length("term") >= 2) & ~F.col("term").rlike("^(manual|page)[0-9]+$"))
     counts = words.groupBy("doc", "term").agg(F.count("*").alias("n"))
     top = ranked(counts, [F.desc("n"), F.asc("term")], ["doc"]).filter(F.col("rank") <= terms)
     listed = top.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("terms"))
     basics = chunks.groupBy("doc").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("name"), F.count("*").alias("chunks"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    return basics.join(listed, "doc", "left")
-
-
-def profile_scores(queries: DataFrame, profiles: DataFrame, first: int = 32) -> DataFrame:
-    """Queries scored against document profiles by the terms that they share, capped; 0.18 or more.
+    out = basics.join(listed, "doc", "left")
+    if "pic_ids" not in chunks.columns:
+        return out
+    pic = X.normalize_text(F.col("pic"))
+    prefix = F.when(pic.rlike("_[0-9]+$"), F.regexp_replace(pic, "_[0-9]+$", "_")).otherwise(F.concat(F.substring_index(pic, "_", 1), F.lit("_")))
+    prefixes = chunks.select("doc", F.explode("pic_ids").alias("pic")).filter(F.col("pic").contains("_")).groupBy("doc").agg(F.array_sort(F.collect_set(prefix)).alias("pic_prefixes"))
+    return out.join(prefixes, "doc", "left")
+
+
+def profile_scores(queries: DataFrame, profiles: DataFrame, terms: int = 256, first: int = 32) -> DataFrame:
+    """Queries scored against document profiles by picture prefix, name, id and terms; 0.18 or more.
+
+    A picture id that starts with one of the profile's prefixes gives 1, the
+    document's name in the query 0.85, its id 0.75.  Profile terms contained in
+    the query give 0.12 (four characters or more) or 0.08, 0.45 at most; query
+    terms give 0.1 where equal to a profile term and else 0.06 where one of the
+    first 32 contains them or is contained, 0.3 at most.
+
+    Containment has no key, so each query meets each profile, one row a
+    document of up to 256 terms; profiles, the small side, are broadcast up to
+    the bound.  Only pairs that reach the least score leave the join.
+    """
+    from tessera.operators.retrieval import bounded_broadcast
 
-    Profile terms and query terms meet in an equi-join, so no query is compared
-    with every document.
+    norm = lambda c: X.normalize_text(F.coalesce(c.cast("string"), F.lit("")))
+    asked = queries.select("query_id", norm(F.col("text")).alias("query"), F.transform(X.query_terms(F.col("text")), norm).alias("asked"), norm(X.picture_id(F.col("text"))).alias("pic"))
+    none = F.expr("cast(array() AS array<string>)")
+    listed = F.filter(F.transform(F.coalesce("terms", none), norm), lambda t: t != "")
+    prefixes = F.coalesce("pic_prefixes", none) if "pic_prefixes" in profiles.columns else none
+    held = profiles.select("doc", norm(F.col("name")).alias("name"), norm(F.col("doc")).alias("key"), listed.alias("terms"), prefixes.alias("prefixes"))
+    query = F.col("query")
+    inside = F.aggregate(F.slice("terms", 1, terms), F.lit(0.0), lambda a, t: a + F.when(query.contains(t), F.when(F.length(t) >= 4, 0.12).otherwise(0.08)).otherwise(0.0))
+    partial = lambda q: F.exists(F.slice("terms", 1, first), lambda t: (F.length(q) >= 2) & (F.length(t) >= 2) & (t.contains(q) | q.contains(t)))
+    shared = F.aggregate("asked", F.lit(0.0), lambda a, q: a + F.when(F.array_contains("terms", q), 0.1).when(partial(q), 0.06).otherwise(0.0))
+    score = F.when((F.col("pic") != "") & F.exists("prefixes", lambda p: F.col("pic").startswith(p)), 1.0).otherwise(0.0)
+    for field, points in (("name", 0.85), ("key", 0.75)):
+        score = score + F.when((F.col(field) != "") & query.contains(F.col(field)), points).otherwise(0.0)
+    score = F.round(F.least(F.lit(1.0), score + F.least(F.lit(0.45), inside) + F.least(F.lit(0.3), shared)), 4)
+    return asked.crossJoin(bounded_broadcast(held)).select("query_id", "doc", score.alias("score")).filter("score >= 0.18")
+
+
+def shared_term_scores(queries: DataFrame, profiles: DataFrame, first: int = 32) -> DataFrame:
+    """The part of J14 that an equi-join can give: whole terms shared with the first 32, capped; 0.18 or more.
+
+    No name, id, picture, substring or later term counts; ``profile_scores`` has
+    the whole rule.
     """
     asked = queries.select("query_id", F.explode(X.query_terms(F.col("text"))).alias("term"))
     held = profiles.select("doc", F.explode(F.slice("terms", 1, first)).alias("term"))

@@ -217,6 +217,14 @@ def a05_profiles(spark, sf):
 
 @query
 def j14_profile_scores(spark, sf):
+    """Shared whole terms only, as the SQL of this query has it; j14_whole_profile_scores is the whole rule."""
+    docs = _t(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("source").alias("name"), F.col("lang").alias("kind"), "text")
+    asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return E.shared_term_scores(asked, E.document_profiles(docs))
+
+
+@query
+def j14_whole_profile_scores(spark, sf):
     docs = _t(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("source").alias("name"), F.col("lang").alias("kind"), "text")
     asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return E.profile_scores(asked, E.document_profiles(docs))
