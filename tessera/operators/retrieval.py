@@ -6,9 +6,18 @@ an explicit last key, so ranks do not depend on how Spark dealt rows out.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions import text as X
 
@@ -168,11 +177,99 @@ def simple_lexical(terms: Column, haystack: Column, score: Column, cap: int = 20
     return F.lit(1.0) / (1 + F.greatest(score, F.lit(0.0))) + points
 
 
+#: Questions of one pass of the scan over the documents, documents scored at once, words whose terms
+#: a task remembers, and the length beyond which a word is searched for each term instead of by its parts.
+SCAN_BLOCK, SCAN_ROWS, SCAN_WORDS, LONG_WORD = 2_000, 500, 200_000, 64
+
+
+class ContainedTerms:
+    """The points of questions whose terms a text contains."""
+
+    def __init__(self, asked: list[tuple[list[str], str]]) -> None:
+        self.n = len(asked)
+        self.terms: dict[str, list[int]] = {}
+        self.plain: dict[str, list[int]] = {}
+        for i, (terms, text) in enumerate(asked):
+            for t in terms:
+                self.terms.setdefault(t, []).append(i)
+            if not terms and text:
+                self.plain.setdefault(text, []).append(i)
+        self.sizes = sorted({len(t) for t in self.terms})
+        self._seen: dict[str, tuple[str, ...]] = {}
+
+    def within(self, word: str) -> tuple[str, ...]:
+        """The terms that a run of letters and digits contains."""
+        if (found := self._seen.get(word)) is None:
+            if len(self._seen) >= SCAN_WORDS:
+                self._seen.clear()
+            if len(word) > LONG_WORD:
+                found = tuple(t for t in self.terms if t in word)
+            else:
+                found = tuple({word[i : i + n] for n in self.sizes for i in range(len(word) - n + 1)} & self.terms.keys())
+            self._seen[word] = found
+        return found
+
+    def scores(self, low: str | None) -> np.ndarray:
+        """The points of each question for a lower-cased text; 0 where it contains no term."""
+        out = np.zeros(self.n)
+        if not low:
+            return out
+        held = set().union(*map(self.within, set(re.findall("[a-z0-9]+", low))))
+        for where, found in ((self.terms, held), (self.plain, [t for t in self.plain if t in low])):
+            if found:
+                at = [where[t] for t in found]
+                out += np.bincount(list(chain.from_iterable(at)), np.repeat([max(4.0, min(len(t), 20.0)) for t in found], list(map(len, at))), self.n)
+        return out
+
+
 def scan_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int = 10) -> DataFrame:
-    """Lexical scan; documents that hold a query term, by the points of their terms.
+    """R4 with X18: documents whose lower-cased text contains a query term, by the points of their terms.
 
-    Terms go through an equi-join on tokens, so no query meets every document.
+    A term is a run of letters and digits, so a text contains it where one of
+    the text's words does.  A question without terms is searched for as it
+    stands.  A scanned row has no score of its own, so 1 / (1 + score) is 1.
+    Each document is read once for each block of questions, and a task hands on
+    its best k of each question.  Rows that share an id count by the best.
     """
+    terms = X.query_terms(F.col(query_text))
+    whole = F.lower(F.regexp_replace(F.coalesce(F.col(query_text), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    asked = queries.select(F.col(query_id).alias("query_id"), terms.alias("terms"), whole.alias("whole")).distinct()
+    texts = docs.select(F.col(doc_id).alias("chunk_id"), F.lower(F.col(doc_text)).alias("low"))
+    types = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("chunk_id", texts.schema["chunk_id"].dataType), StructField("score", DoubleType())])
+
+    def block_hits(block: list) -> DataFrame:
+        ids, words = [r[0] for r in block], [(list(r[1]), r[2]) for r in block]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = ContainedTerms(words)
+            best: list[dict] = [{} for _ in ids]
+            for batch in (b.slice(i, SCAN_ROWS) for b in batches for i in range(0, b.num_rows, SCAN_ROWS)):
+                chunks = batch.column(0).to_pylist()
+                points = np.array([held.scores(t) for t in batch.column(1).to_pylist()]).reshape(len(chunks), len(ids))
+                for q in range(len(ids)):
+                    column, mine = points[:, q], best[q]
+                    least = min(mine.values()) if len(mine) >= k else 0.0
+                    for row in np.flatnonzero((column > 0) & (column >= least)):
+                        mine[chunks[row]] = max(mine.get(chunks[row], 0.0), float(column[row]))
+                    if len(mine) > k:
+                        best[q] = dict(sorted(mine.items(), key=lambda m: (-m[1], m[0] is not None, m[0]))[:k])
+            rows = [(ids[q], c, v + 1.0) for q, mine in enumerate(best) for c, v in mine.items()]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, types.fields, strict=True)], names=types.names)
+
+        return texts.mapInArrow(run, types)
+
+    rest, parts = asked.toLocalIterator(), []
+    while block := list(islice(rest, SCAN_BLOCK)):
+        parts.append(block_hits(block))
+    found = reduce(DataFrame.unionAll, parts) if parts else block_hits([])
+    hits = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
+
+
+def token_scan_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int = 10) -> DataFrame:
+    """The part of R4 that the registered SQL has: documents that hold a query term as a whole token."""
     held = docs.select(F.col(doc_id).alias("chunk_id"), F.explode(F.array_distinct(X.english_tokens(F.col(doc_text)))).alias("term"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.query_terms(F.col(query_text))).alias("term"))
     points = F.greatest(F.lit(4), F.least(F.length("term"), F.lit(20))).cast("double")

@@ -118,7 +118,8 @@ def _bm25(spark, sf, k=10):
 
 
 def _scan(spark, sf, k=10):
-    return R.scan_hits(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", k)
+    """Whole tokens only, as the SQL of the queries has it; r04_whole_scan has containment."""
+    return R.token_scan_hits(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", k)
 
 
 @query
@@ -154,6 +155,11 @@ def r04_scan(spark, sf):
     return _scan(spark, sf)
 
 
+@query
+def r04_whole_scan(spark, sf):
+    return R.scan_hits(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def _channels(spark, sf):
     return _bm25(spark, sf).withColumn("channel", F.lit("bm25")).unionByName(_scan(spark, sf).withColumn("channel", F.lit("scan")))
 

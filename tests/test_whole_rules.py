@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import evaluate as E
+from tessera.operators import retrieval as R
 
 
 def brute_profile(query, asked, pic, doc, name, terms, prefixes):
@@ -50,3 +51,26 @@ def test_profile_scores_on_the_tables(spark, sf):
     assert got == {k: v for k, v in want.items() if v >= 0.18}
     part = {(r.query_id, r.doc) for r in E.shared_term_scores(asked, profiles).collect()}
     assert part < got.keys()
+
+
+def brute_scan(docs, asked, k):
+    """X18 over every document, the best k of those that hold a term."""
+    out = set()
+    for q, text, terms in asked:
+        terms = terms or ([text.strip().lower()] if (text or "").strip() else [])
+        scores = {d: sum(max(4.0, min(len(t), 20.0)) for t in terms if t in (x or "").lower()) for d, x in docs}
+        best = sorted((-s - 1.0, d) for d, s in scores.items() if s)[:k]
+        out |= {(q, d, -s, i + 1) for i, (s, d) in enumerate(best)}
+    return out
+
+
+def test_scan_contains(spark, sf):
+    long = "q" * 70 + "needle" + "z" * 70
+    docs = spark.createDataFrame([(1, "Chainsaws-and oil"), (2, "saw"), (3, "the other"), (4, None), (5, ""), (6, f"x {long}"), (7, "What is it? 电锯 here"), (8, "saw saws SAWS")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "saw"), (2, "he"), (3, "needle saws"), (4, " What is it "), (5, "电锯"), (6, None), (7, long[:100]), (8, "absentword")], "item_id long, text string")
+    for d, q, k in ((docs, asked, 10), (spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), 10)):
+        rows = [(r.item_id, r.text, r.terms) for r in q.select("item_id", "text", X.query_terms(F.col("text")).alias("terms")).collect()]
+        want = brute_scan([(r.doc_id, r.text) for r in d.collect()], rows, k)
+        got = {(r.query_id, r.chunk_id, r.score, r.rank) for r in R.scan_hits(d, q, "doc_id", "text", "item_id", "text", k).collect()}
+        assert got == want
+        assert {(r.query_id, r.chunk_id, r.score, r.rank) for r in R.token_scan_hits(d, q, "doc_id", "text", "item_id", "text", k).collect()} != want
