@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions import text as X
 from tessera.operators.retrieval import ranked
@@ -113,30 +123,123 @@ def shared_term_scores(queries: DataFrame, profiles: DataFrame, first: int = 32)
     return asked.join(held, "term").groupBy("query_id", "doc").agg(F.least(F.lit(1.0), score).alias("score")).filter("score >= 0.18")
 
 
-def tfidf_hits(docs: DataFrame, queries: DataFrame, k: int = 5, low: int = 2, high: int = 4, max_features: int = 50_000) -> DataFrame:
-    """Character n-grams inside words, sublinear tf, smooth idf, cosine; positive scores, the best k.
+#: Questions of one pass over the documents, and words or n-grams that a task holds at once.
+TFIDF_BLOCK, TFIDF_HELD = 256, 400_000
 
-    ``docs`` has (id, text), ``queries`` (query_id, text).
-    """
-    from pyspark.sql import Window as W
 
-    from tessera.operators.retrieval import bounded_broadcast
+class Grams:
+    """Character n-grams of the words of lower-cased texts, as numbers in an index."""
+
+    def __init__(self, low: int, high: int, index: dict[str, int] | None = None) -> None:
+        self.low, self.high, self.fixed = low, high, index is not None
+        self.index: dict[str, int] = index if index is not None else {}
+        self._words: dict[str, np.ndarray] = {}
+
+    def _of(self, word: str) -> np.ndarray:
+        if (ids := self._words.get(word)) is None:
+            if len(self._words) >= TFIDF_HELD:
+                self._words.clear()
+            w = f" {word} "
+            grams = [w[i : i + n] for n in range(self.low, self.high + 1) for i in range(len(w) - n + 1)]
+            found = (self.index.get(g, -1) for g in grams) if self.fixed else (self.index.setdefault(g, len(self.index)) for g in grams)
+            ids = np.fromiter(found, np.int64, len(grams))
+            self._words[word] = ids = ids[ids >= 0]
+        return ids
 
-    def grams(rows: DataFrame, key: str) -> DataFrame:
-        words = rows.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\S+"), F.lit(0))).alias("w")).select(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-        cuts = F.flatten(F.array(*(F.expr(f"CASE WHEN length(w) >= {n} THEN transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n})) ELSE cast(array() AS array<string>) END") for n in range(low, high + 1))))
-        return words.select(key, F.explode(cuts).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    def forget(self) -> None:
+        self.index, self._words = {}, {}
 
-    held = grams(docs, "id")
-    n_docs = docs.agg(F.count("*").alias("n"))
-    df = held.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    features = df.orderBy(F.desc("total"), F.asc("gram")).limit(max_features)
-    idf = features.crossJoin(F.broadcast(n_docs)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    def counts(self, low: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of a text and how often each occurs."""
+        parts = [self._of(w) for w in re.findall(r"\S+", low or "", re.ASCII)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        every = np.bincount(np.concatenate(parts))
+        held = np.flatnonzero(every)
+        return held, every[held]
 
-    def weights(rows: DataFrame, key: str) -> DataFrame:
-        w = rows.join(idf, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-        return w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).select(key, "gram", (F.col("w") / F.col("norm")).alias("w"))
+    def vector(self, low: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of a text and their weights, of length one."""
+        held, tf = self.counts(low)
+        w = (1 + np.log(tf)) * idf[held]
+        return held, w / (np.sqrt(w @ w) or 1.0)
 
-    left = weights(grams(queries, "query_id"), "query_id").withColumnRenamed("w", "qw")
-    hits = weights(held, "id").join(bounded_broadcast(left), "gram").groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-    return ranked(hits.filter("score > 0"), [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
+
+def tfidf_hits(docs: DataFrame, queries: DataFrame, k: int = 5, low: int = 2, high: int = 4, max_features: int = 50_000) -> DataFrame:
+    """Character n-grams inside words, sublinear tf, smooth idf, cosine; positive scores, the best k.
+
+    ``docs`` has (id, text), ``queries`` (query_id, text).  One pass over the
+    documents counts n-grams, of which the ``max_features`` most frequent are
+    kept; one more for each block of questions scores every document, and a
+    task hands on its best k of each question.  Each row of ``docs`` is a
+    document; rows that share an id count by the best.
+    """
+    texts = docs.select("id", F.lower("text").alias("low"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, df, total = Grams(low, high), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names, n = list(grams.index), len(grams.index)
+            for i in range(0, n, 50_000):
+                j = min(n, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.string()), pa.array(df[i:j]), pa.array(total[i:j])], names=["gram", "df", "total"])
+
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                held, tf = grams.counts(text)
+                if len(grams.index) > len(df):
+                    df, total = (np.concatenate([x, np.zeros(2 * len(grams.index) - len(x), np.int64)]) for x in (df, total))
+                df[held] += 1
+                total[held] += tf
+                if len(grams.index) >= TFIDF_HELD:
+                    yield from out()
+                    grams.forget()
+                    df[:], total[:] = 0, 0
+        yield from out()
+
+    counted = texts.mapInArrow(count, "gram string, df long, total long").groupBy("gram").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    features = counted.orderBy(F.desc("total"), F.asc("gram")).limit(max_features).collect()
+    n_docs = docs.count()
+    names, idf = [r.gram for r in features], np.array([math.log((1 + n_docs) / (1 + r.df)) + 1 for r in features])
+    asked = queries.select("query_id", F.lower("text").alias("low"))
+    types = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("chunk_id", texts.schema["id"].dataType), StructField("score", DoubleType())])
+
+    def block_hits(block: list) -> DataFrame:
+        ids, questions = [r[0] for r in block], [r[1] for r in block]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams = Grams(low, high, {g: i for i, g in enumerate(names)})
+            vectors = [grams.vector(t, idf) for t in questions]
+            used = np.unique(np.concatenate([held for held, _ in vectors])) if vectors else np.zeros(0, np.int64)
+            place = np.full(len(names) + 1, -1)
+            place[used] = np.arange(len(used))
+            weights = np.zeros((len(used), len(ids)))
+            for q, (held, w) in enumerate(vectors):
+                weights[place[held], q] = w
+            best: list[dict] = [{} for _ in ids]
+            floor = np.zeros(len(ids))
+            for batch in batches:
+                for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held, w = grams.vector(text, idf)
+                    at = place[held]
+                    scores = np.round(w[at >= 0] @ weights[at[at >= 0]], 6)
+                    for q in np.flatnonzero((scores > 0) & (scores >= floor)):
+                        mine = best[q]
+                        mine[chunk] = max(mine.get(chunk, 0.0), float(scores[q]))
+                        if len(mine) > 4 * k:
+                            best[q] = mine = dict(sorted(mine.items(), key=lambda m: (-m[1], m[0] is not None, m[0]))[:k])
+                            floor[q] = min(mine.values())
+            rows = [(ids[q], c, v) for q, mine in enumerate(best) for c, v in mine.items()]
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, types.fields, strict=True)], names=types.names)
+
+        return texts.mapInArrow(run, types)
+
+    rest, parts = asked.toLocalIterator(), []
+    while block := list(islice(rest, TFIDF_BLOCK)):
+        parts.append(block_hits(block))
+    found = reduce(DataFrame.unionAll, parts) if parts else block_hits([])
+    hits = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)

@@ -532,9 +532,8 @@ def a15_length_buckets(spark, sf):
 
 @query
 def t10_tfidf(spark, sf):
-    items = _t(spark, sf, "benchmark")
-    asked = items.select(F.col("item_id").alias("query_id"), "text")
-    return E.tfidf_hits(items.select(F.col("item_id").alias("id"), "text"), asked)
+    asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return E.tfidf_hits(_t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), asked)
 
 
 @query

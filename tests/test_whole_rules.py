@@ -1,12 +1,15 @@
 """Rules that registered SQL has only in part, against brute force."""
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import evaluate as E
 from tessera.operators import retrieval as R
+from tessera.plans.queries import queries
 
 
 def brute_profile(query, asked, pic, doc, name, terms, prefixes):
@@ -74,3 +77,48 @@ def test_scan_contains(spark, sf):
         got = {(r.query_id, r.chunk_id, r.score, r.rank) for r in R.scan_hits(d, q, "doc_id", "text", "item_id", "text", k).collect()}
         assert got == want
         assert {(r.query_id, r.chunk_id, r.score, r.rank) for r in R.token_scan_hits(d, q, "doc_id", "text", "item_id", "text", k).collect()} != want
+
+
+def brute_tfidf(docs, asked, k, features):
+    """TF-IDF over every document: (query, document) to score, the best k."""
+
+    def grams(text):
+        words = [f" {w} " for w in re.findall(r"\S+", (text or "").lower(), re.ASCII)]
+        return Counter(w[i : i + n] for w in words for n in (2, 3, 4) for i in range(len(w) - n + 1))
+
+    held = [(d, grams(t)) for d, t in docs]
+    df, total = Counter(g for _, c in held for g in c), Counter()
+    for _, c in held:
+        total.update(c)
+    idf = {g: math.log((1 + len(docs)) / (1 + df[g])) + 1 for g in sorted(total, key=lambda g: (-total[g], g.encode()))[:features]}
+
+    def vector(c):
+        w = {g: (1 + math.log(n)) * idf[g] for g, n in c.items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {g: x / norm for g, x in w.items()}
+
+    vectors, out = [(d, vector(c)) for d, c in held], {}
+    for q, text in asked:
+        v = vector(grams(text))
+        scores = sorted((-round(sum(w * v[g] for g, w in x.items() if g in v), 6), d) for d, x in vectors)
+        out |= {(q, i + 1): -s for i, (s, _) in enumerate(scores[:k]) if s < 0}
+    return out
+
+
+def test_tfidf_indexes_documents(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = queries()["t10_tfidf"](spark, sf).collect()
+    want = brute_tfidf([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()], 5, 50_000)
+    assert {(r.query_id, r.rank) for r in got} == want.keys()
+    assert all(abs(r.score - want[r.query_id, r.rank]) < 2e-6 for r in got)
+    assert max(r.chunk_id for r in got) >= items.count()
+
+
+def test_tfidf_keeps_the_most_frequent_features(spark):
+    texts = [(1, "Ab abc x"), (2, None), (3, "  "), (4, "abcd zz zz zz"), (5, "é abc\u00a0d")]
+    asked = [(1, "abc zz"), (2, None), (3, "é")]
+    d, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    for features in (4, 50_000):
+        got = {(r.query_id, r.rank): r.score for r in E.tfidf_hits(d, q, max_features=features).collect()}
+        want = brute_tfidf(texts, asked, 5, features)
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in got)
