@@ -83,13 +83,27 @@ def _parts_at_most_255(match: Column) -> Column:
 
 _DIGIT = lambda t: t.rlike("[0-9]")
 
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A number of its country's length that no letter or digit follows; else any run of groups."""
+    exact = "|".join(f"(?:{n.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(size - 4) // 4}}}" + (f" ?[A-Z0-9]{{{size % 4}}}" if size % 4 else "") for size, n in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{exact})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}+(?: ?[A-Z0-9]{{1,3}})?+(?![A-Za-z0-9]))"
+
+
 #: The base kinds, in the order of the contract, then the further kinds.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), lambda m: F.lit(True), True, 0.9, r"(?i)e-?mail|contact|write"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]"), _parts_at_most_255, True, 0.7, r"(?i)\bip\b|address|host|server", r"(?i)version|release"),
     Kind("card", r"[0-9](?:[ -]?[0-9]){15,}+", lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), lambda m: _digit_count(m, 16, 19) & luhn(m), True, 0.8, r"(?i)card|visa|credit|pay", r"(?i)order|serial|isbn"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), lambda m: _digit_count(m, 8, 15), True, 0.8, r"(?i)phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), mod97, False, 0.75, r"(?i)iban|account|bank|konto"),
+    Kind("iban", _iban_pattern(), lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), mod97, False, 0.75, r"(?i)iban|account|bank|konto"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: ~m.rlike("^(?:000|666|9..)|^....00|0000$"), False, 0.5, r"(?i)ssn|social|security|insurance"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)

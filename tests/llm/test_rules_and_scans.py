@@ -91,6 +91,14 @@ def test_checksums_context_and_redaction(spark):
     assert clean[2] == "\n".join(["<IP>"] * 500)
 
 
+def test_account_numbers_end_at_their_length(spark):
+    numbers = ["AT61 1904 3002 3457 3201", "ES9121000418450200051332", "SE45 5000 0000 0583 9825 7466", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    rows = [(i, f"IBAN {n}{tail}") for i, (n, tail) in enumerate((n, t) for n in numbers for t in (" BIC", " EUR", " BANK", " BANK1234", ".", ""))]
+    found = pii.pii_spans(spark.createDataFrame([*rows, (99, "IBAN AT61 1904 3002 3457 3202 BIC")], "doc_id long, text string"))
+    got = {r.doc_id: [(s["kind"], r.text[s["start"] : s["end"]]) for s in r.spans if s["kind"] == "iban"] for r in found.collect()}
+    assert got == {i: [("iban", numbers[i // 6])] for i, _ in rows} | {99: []}
+
+
 def brute_secrets(x):
     x = x or ""
     f = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x, re.I | re.A) if len(m[2]) >= 8]
