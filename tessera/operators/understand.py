@@ -37,6 +37,23 @@ INTENT_WORDS = {
     "overview": ["overview", "introduction", "what is", "feature"],
     "component": ["part", "component", "button", "panel", "specification"],
 }
+#: Critical groups: words that a question has all of, one of, and none of, and the group's terms.
+CRITICAL = (
+    (["冷机"], [], [], ["冷机"]),
+    (["热机"], [], [], ["热机"]),
+    (["加油"], [], [], ["加油", "加注", "油箱"]),
+    (["燃油", "混合"], [], [], ["燃油混合", "混合方法", "1:50", "汽油", "机油"]),
+    (["混合"], [], ["燃油"], ["混合", "1:50"]),
+    ([], ["防护装备", "个人防护"], [], ["个人防护装备", "防护装备", "听力防护", "眼部防护", "面罩", "工作靴"]),
+    ([], ["宽松", "衣物"], [], ["宽松", "衣物", "围巾", "项链", "长发"]),
+    ([], ["警示", "标识", "标签"], [], ["警示标识", "警示标签", "警告标识", "标识", "标签"]),
+    ([], ["吹管", "吹风管"], [], ["吹风管", "吹管", "喷口"]),
+    ([], ["空气滤清器", "滤清器"], [], ["空气滤清器", "滤清器"]),
+    ([], ["ocr", "缺失", "识别"], [], ["ocr", "缺失", "识别", "源数据"]),
+)
+SUMMARY_TYPES = ["procedure_overview", "product_overview", "section_summary"]
+#: Words of a question that asks for safety.
+SAFETY_WORDS = ["安全", "警告", "警示", "注意", "小心", "危险", "禁止", "防护", "防护装备", "个人防护装备", "佩戴", "宽松衣物", "围巾", "项链", "标识", "标签", "电源", "触电", "雷雨"]
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -87,24 +104,74 @@ def legacy_base(score: Column) -> Column:
     return 10 / (1 + F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)))
 
 
-def relevance(row_terms: Column, title: Column, section: Column, index_text: Column, text: Column, score: Column, name: Column, kind: Column, tier: Column, prefer_support: Column) -> Column:
-    """The lexical relevance of a chunk: base, term points by field, intent and tier adjustments."""
-    norm = lambda c: X.normalize_text(F.coalesce(c, F.lit("")))
-    fields = [(norm(title), 28.0), (norm(section), 24.0), (norm(index_text), 14.0), (norm(text), 8.0)]
-
-    def points(total: Column, term: Column) -> Column:
-        for hay, weight in fields:
-            total = total + F.when(hay.contains(term), weight).otherwise(0.0)
-        return total
-
-    by_term = F.aggregate(row_terms, F.lit(0.0), points)
-    none = F.when(F.exists(row_terms, lambda t: fields[0][0].contains(t) | fields[1][0].contains(t) | fields[2][0].contains(t) | fields[3][0].contains(t)), 0.0).otherwise(-28.0)
-    of = family(kind)
-    target = F.when(name.isin("component", "procedure", "legal", "safety", "troubleshooting"), F.when(of == name, 18.0).otherwise(-12.0)).otherwise(0.0)
-    special = F.when((name == "procedure") & (of == "safety"), -30.0).when((name == "safety") & of.isin("troubleshooting", "component"), -12.0).when((name == "troubleshooting") & (of == "safety"), -18.0)
-    special = special.when((name == "troubleshooting") & (of == "troubleshooting"), 28.0).when((name == "overview") & ((kind == "product_overview") | (tier == "support")), 20.0).otherwise(0.0)
+def critical_groups(query: Column) -> Column:
+    """The groups of terms of which a fitting chunk has one; Chinese questions only."""
+    low = X.normalize_text(F.coalesce(query, F.lit("")))
+    empty = F.expr("cast(array() AS array<array<string>>)")
+    groups = empty
+    for every, some, none, terms in CRITICAL:
+        asked = F.lit(True)
+        for w in every:
+            asked = asked & low.contains(w)
+        for w in none:
+            asked = asked & ~low.contains(w)
+        if some:
+            asked = asked & _any(low, some)
+        groups = F.concat(groups, F.when(asked, F.array(X.strings(terms))).otherwise(empty))
+    return F.when(X.detect_language(low) == "en", empty).otherwise(groups)
+
+
+def relevance(
+    row_terms: Column, title: Column, section: Column, index_text: Column, text: Column, score: Column, name: Column, kind: Column, tier: Column, prefer_support: Column,
+    query: Column | None = None, pic_ids: Column | None = None, flags: Column | None = None, note: Column | None = None, families: Column | None = None,
+) -> Column:
+    """The lexical relevance of a chunk: base, picture id, term and group points by field, intent and tier adjustments.
+
+    ``pic_ids``, ``flags`` and ``families`` are arrays; a chunk without given
+    families has that of its type.
+    """
+    none = F.expr("cast(array() AS array<string>)")
+    array = lambda c: none if c is None else F.coalesce(c, none)
+    norm = lambda c: X.normalize_text(F.coalesce(F.lit("") if c is None else c, F.lit("")))
+    own = F.when(family(kind).isNull(), none).otherwise(F.array(family(kind)))
+    of, kind, tier, row_terms = F.coalesce(own if families is None else families, own), F.coalesce(kind, F.lit("")), F.coalesce(tier, F.lit("")), F.coalesce(row_terms, none)
+    asked = norm(query)
+    h_title, h_section, h_index, h_text, h_pics, h_note = norm(title), norm(section), norm(index_text), norm(text), norm(F.array_join(array(pic_ids), " ")), norm(note)
+    fields = [(h_title, 28.0), (h_section, 24.0), (h_index, 14.0), (h_text, 8.0), (h_pics, 14.0), (h_note, 8.0)]
+    heading = F.concat(h_title, h_section)
+    every = F.concat(heading, h_index, h_text, h_pics, h_note)
+    when = lambda condition, points: F.when(condition, float(points)).otherwise(0.0)
+    has = lambda *names: F.arrays_overlap(of, X.strings(list(names)))
+    marked = lambda words, points: sum((when(h_title.contains(w) | h_index.contains(w), points) for w in words), F.lit(0.0))
+
+    pic = norm(X.picture_id(F.lit("") if query is None else query))
+    by_pic = F.when(pic != "", when(h_pics.contains(pic), 120) + when(h_title.contains(pic) | h_index.contains(pic) | h_text.contains(pic), 80)).otherwise(0.0)
+    term_points = lambda term: sum((when(hay.contains(term), weight) for hay, weight in fields), F.lit(0.0))
+    by_term = F.aggregate(F.filter(F.transform(row_terms, norm), lambda t: t != ""), F.lit(0.0), lambda total, term: total + term_points(term))
+    unmet = when((F.size(row_terms) > 0) & ~F.exists(row_terms, lambda t: every.contains(norm(t))), -28)
+    inside = lambda hay: lambda t: hay.contains(t)
+    group = lambda g: F.when(F.exists(g, inside(heading)), 55.0).when(F.exists(g, inside(h_index)) | F.exists(g, inside(h_text)), 30.0).otherwise(-60.0)
+    by_group = F.lit(0.0) if query is None else F.aggregate(critical_groups(query), F.lit(0.0), lambda total, g: total + group(g))
+
+    family_of = F.when(name == "image_trace", "auxiliary").when(name == "ocr_audit", "ocr").when(name.isin(*(INTENT_SCORES.keys() - {"image_trace", "ocr_audit"})), name)
+    plain = name.isin("component", "procedure", "legal", "safety", "troubleshooting")
+    target = F.when(family_of.isNull(), 0.0).when(F.array_contains(of, family_of), 18.0).when(plain, -12.0).otherwise(0.0)
+    low_kind = F.lower(kind)
+    clause = kind == "legal_clause"
+    special = (
+        F.when(name == "procedure", when(_any(low_kind, ["step", "task", "install", "start", "fueling", "mix", "maintenance", "cleaning"]), 16) + marked(["安装", "设置", "使用", "步骤", "切换", "更换", "拆卸", "调节"], 8) + when(has("safety"), -30))
+        .when(name == "component", marked(["部件", "接口", "指示灯", "位置", "按键", "按钮", "追踪灯", "状态", "红色", "白色", "蓝色"], 6) + when(has("safety", "troubleshooting"), -14))
+        .when(name == "legal", when(clause, 35) + marked(["保修", "条款", "声明", "政策", "责任", "法规"], 8) + when(~clause & ~F.concat(heading, h_index, h_text).contains("保修"), -30))
+        .when(name == "safety", when(_any(low_kind, ["safety", "warning", "caution", "ppe", "label"]), 18) + when(has("safety"), 24) + when(has("troubleshooting", "component"), -12))
+        .when(name == "troubleshooting", when(has("troubleshooting"), 28) + when(has("safety"), -18))
+        .when(name == "image_trace", when(tier == "auxiliary", 12) + when(kind == "metadata_image_path", 18) + when(F.size(array(pic_ids)) > 0, 8))
+        .when(name == "ocr_audit", when(F.size(array(flags)) > 0, 60) + when(F.coalesce(F.lit("") if note is None else note, F.lit("")) != "", 24) + when(h_title.contains("ocr"), 36))
+        .when(name == "overview", when(kind.isin(*SUMMARY_TYPES) | (tier == "support"), 20))
+        .when(name == "general", when(has("safety") & ~_any(asked, SAFETY_WORDS), -18))
+        .otherwise(0.0)
+    )
     by_tier = F.when((tier == "support") & prefer_support, 10.0).when((tier == "primary") & ~prefer_support, 4.0).otherwise(0.0)
-    return F.round(legacy_base(score) + F.when(F.size(row_terms) > 0, by_term + none).otherwise(0.0) + target + special + by_tier, 6)
+    return F.round(legacy_base(score) + by_pic + unmet + by_term + by_group + target + special + by_tier, 6)
 
 
 def routed(text: Column) -> Column:

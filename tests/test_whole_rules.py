@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import evaluate as E
 from tessera.operators import retrieval as R
+from tessera.operators import understand as U
 from tessera.plans.queries import queries
 
 
@@ -122,3 +123,31 @@ def test_tfidf_keeps_the_most_frequent_features(spark):
         got = {(r.query_id, r.rank): r.score for r in E.tfidf_hits(d, q, max_features=features).collect()}
         want = brute_tfidf(texts, asked, 5, features)
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in got)
+
+
+def test_critical_groups(spark):
+    rows = [(1, "热机 加油"), (2, "燃油怎么混合"), (3, "混合比例"), (4, "how to ocr"), (5, None), (6, "标签缺失")]
+    got = {r.i: r.g for r in spark.createDataFrame(rows, "i long, q string").select("i", U.critical_groups(F.col("q")).alias("g")).collect()}
+    assert [g[0] for g in got[1]] == ["热机", "加油"] and [g[0] for g in got[2]] == ["燃油混合"] and [g[0] for g in got[3]] == ["混合"]
+    assert got[4] == got[5] == [] and [g[0] for g in got[6]] == ["警示标识", "ocr"]
+
+
+def test_relevance_has_every_rule(spark):
+    # query, terms, title, section, index, text, name, kind, tier, support, pics, flags, note; by hand from survey B2, base 10.
+    cases = [
+        ("see AB_1_2", ["AB_1_2"], "", "", "", "ab_1_2", "image_trace", "metadata_image_path", "auxiliary", False, ["AB_1_2"], [], None, 10 + 120 + 80 + 8 + 14 + 18 + 12 + 18 + 8),
+        ("热机", ["热机"], "热机", "", "", "", "general", "", "primary", False, [], [], None, 10 + 28 + 55 + 4),
+        ("热机", ["热机"], "", "", "热机", "", "general", "", "primary", True, [], [], None, 10 + 14 + 30),
+        ("热机", ["热机"], "", "", "", "x", "general", "", "support", True, [], [], None, 10 - 28 - 60 + 10),
+        ("q", ["zz"], "Legal", "", "", "保修", "legal", "legal_clause", "", False, [], [], None, 10 - 28 - 12 + 35),
+        ("q", ["zz"], "Legal", "", "", "", "legal", "legal_statement", "", False, [], [], None, 10 - 28 + 18 - 30),
+        ("q", [], "Scan (OCR)", "", "", "", "ocr_audit", "", "", False, [], ["bad"], "zz", 10 + 60 + 24 + 36),
+        ("q", ["zz"], "更换 安装", "", "", "", "procedure", "assembly_steps", "", False, [], [], "zz", 10 + 8 + 18 + 16 + 16),
+        ("q", [], "按钮", "", "", "", "component", "safety_warning", "", False, [], [], None, 10 - 12 + 6 - 14),
+        ("q", [], "", "", "", "", "safety", "safety_warning", "", False, [], [], None, 10 + 18 + 18 + 24),
+        ("q", [], "", "", "", "", "general", "safety_warning", "", False, [], [], None, 10 - 18),
+        (None, None, None, None, None, None, None, None, None, False, None, None, None, 10),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, q string, t array<string>, a string, b string, c string, d string, n string, k string, r string, s boolean, p array<string>, f array<string>, o string, want int")
+    score = U.relevance(*(F.col(x) for x in "tabcd"), F.lit(0.0), *(F.col(x) for x in "nkrs"), query=F.col("q"), pic_ids=F.col("p"), flags=F.col("f"), note=F.col("o"))
+    assert {r.i: r.got for r in rows.select("i", score.alias("got")).collect()} == {i: c[-1] for i, c in enumerate(cases)}
