@@ -15,21 +15,29 @@ Plan
    the others.  The count of edges is at most the count of bucket entries.
 4. Full sets are computed again for documents on an edge and every edge is
    confirmed on them; components come from large-star / small-star rounds.
-5. A bucket whose members lie in one component is done.  For the others a
-   bounds decide first, none of which can lose a link: the ratio of sizes; a
-   shingle that only one open document has is in no intersection; and an
-   intersection is at most the cells that both bitmaps have, plus what either
-   set has beyond one element a cell.  Pairs of different components which all
-   bounds leave possible are confirmed in the same way.  So every link among
-   documents that share a bucket is found, or implied.
+5. A bucket whose members, but for its hub, lie in one component is done.  The
+   members of the others go on as differences from a middle: the elements that
+   more than half of the texts around one component hold.  For differences P
+   and Q of sets A and B the symmetric difference of A and B has
+   |P| + |Q| - 2 |P and Q| elements, so a link asks for so many common elements
+   of P and Q that, where any are needed, both must have one among the first of
+   their elements, rarest first (prefix filter).  Elements that one difference
+   alone has are in no intersection and stand in no list; pairs whose sizes
+   exclude the overlap they need are not formed; the others are confirmed on
+   full sets.  Where no common element is needed, the member nearest to the
+   middle is linked with all such members, and one more star finds them.  So
+   every link among documents that share a bucket is found, or implied, and
+   the pairs formed follow the lists of rare differences, not the square of a
+   bucket.
 
 With ``rows`` = 6 and ``bands`` = 50, two documents of similarity 0.8 share no
 bucket with probability (1 - 0.8**6)**50 = 2.6e-7.
 
 Defined results: a null or empty text has an empty set, ``n_shingles`` 0, its
 own doc_id as component and ``kept`` true; a row whose doc_id is null is linked
-with nothing, has a null component and is kept; repeated rows get equal results
-and rows that share a doc_id count as one document.
+with nothing, has a null component and is kept; repeated rows get equal results.
+Rows that share a doc_id count as one document: if their texts differ, it is
+linked with whatever any of its texts is linked with.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, scratch
@@ -50,8 +58,8 @@ from .components import connected_components
 SHINGLE, THRESHOLD_PERCENT = 2, 80
 #: 50 bands of 6 of the 300 bins.
 ROWS, BANDS = 6, 50
-#: Cells of the bitmap that bounds an intersection from above; a power of 2.
-BITS = 1024
+#: Members of one list of a difference element that a key of the join holds; longer lists are dealt to more keys.
+LIST_PART = 4_000
 #: Words whose hashes a task keeps at once.
 WORD_CACHE = 400_000
 
@@ -160,24 +168,17 @@ def sketches(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = B
     return documents(docs).mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>")
 
 
-def bitmap(values: np.ndarray) -> np.ndarray:
-    """Which of ``BITS`` cells the set falls in, by the low bits of its hashes."""
-    cells = np.zeros(BITS, np.uint8)
-    cells[(values & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(cells, bitorder="little").view("<u8")
-
-
 def full_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, its whole sorted set and its bitmap; docs has the columns doc_id and text."""
+    """doc_id, the digest of its set and its whole sorted set; docs has the columns doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(text, hashes, k) for text in batch.column(1).to_pylist()]
-            columns = [batch.column(0), _list_column(sets), _list_column([bitmap(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "bits"])
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, _list_column(sets)], names=["doc_id", "fp", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,15 +187,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
-    return pairs.select("a", "b").join(right, "b").join(left, "a").filter(100 * both >= percent * union).select("a", "b")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").filter(100 * both >= percent * union).select("a", "b").distinct()
+
+
+def differences(members: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Each member as its difference from the middle of its group.
+
+    ``members`` has grp, node, fp, component and shingles.  The result has for
+    each of them the sizes that the bounds use and ``common``, the elements of
+    the difference that another member has too, rarest first.
+    """
+    held = members.select("grp", F.explode("shingles").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("c"))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("m"))
+    middles = held.join(sizes, "grp").filter("2 * c > m").groupBy("grp").agg(F.collect_list("e").alias("middle"))
+    middles = materialize(middles, f"{folder}/middles")
+    empty = F.expr("cast(array() AS array<bigint>)")
+    middle = F.coalesce("middle", empty)
+    apart = members.join(middles, "grp", "left").select(
+        "grp", "node", "fp", "component", F.size("shingles").alias("n"), F.concat(F.array_except("shingles", middle), F.array_except(middle, F.col("shingles"))).alias("diff")
+    )
+    apart = materialize(apart, f"{folder}/apart")
+    entries = apart.select("grp", "node", "fp", F.explode("diff").alias("e"))
+    shared = entries.groupBy("grp", "e").agg(F.count("*").alias("c")).filter("c > 1")
+    common = entries.join(shared, ["grp", "e"]).groupBy("grp", "node", "fp").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("common"))
+    # A link of x and y asks for bound_x + bound_y <= 2 * (100 + percent) * (common elements of their differences).
+    out = apart.join(common, ["grp", "node", "fp"], "left").withColumn("common", F.coalesce("common", F.expr("cast(array() AS array<struct<c:bigint,e:bigint>>)")))
+    return out.select("grp", "node", "component", "n", F.size("common").alias("size"), ((100 + percent) * F.size("diff") - (100 - percent) * F.col("n")).alias("bound"), "common")
+
+
+def open_pairs(members: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Pairs (a, b) of members of a group, in different components, that may still be linked.
+
+    A group is named after one component, so one of a pair is outside of it.
+    """
+    twice, outside = 2 * (100 + percent), F.col("component") != F.col("grp")
+    apart = materialize(differences(members, percent, folder), f"{folder}/differences")
+    reach = (F.lit(twice) * F.col("size") - F.col("bound")).alias("reach")  # the largest bound a partner may have
+    edges = apart.groupBy("grp").agg(F.min(F.when(outside, F.col("bound"))).alias("least_out"), F.min("bound").alias("least"), F.max(reach).alias("most"), F.min(F.struct("bound", "node", "component")).alias("near"))
+    known = apart.join(edges, "grp").withColumn("reach", reach)
+    # Links that need no common element: with the member nearest to the middle.
+    near = known.filter((F.col("near.bound") + F.col("bound") <= 0) & (F.col("near.component") != F.col("component"))).select(F.col("near.node").alias("x"), F.col("node").alias("y"))
+
+    def prefix(least: Column) -> Column:
+        """Elements of which a partner has one if it has all that the least bound asks for."""
+        needed = F.greatest(F.lit(1), F.ceil((F.col("bound") + least) / twice))
+        return F.slice("common", 1, F.greatest(F.lit(0), F.col("size") - needed + 1).cast("int"))
+
+    def side(rows: DataFrame, least: str, x: str) -> DataFrame:
+        listed = rows.select("grp", "node", "component", "n", "bound", "reach", F.explode(prefix(F.col(least))).alias("p"))
+        return listed.select("grp", F.col("p.e").alias("e"), F.col("p.c").alias("c"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "bound", "reach")))
+
+    viable = known.filter(F.col("reach") >= F.col("least"))
+    parts = F.ceil(F.col("c") / LIST_PART).cast("int")
+    left = side(viable.filter(outside & (F.col("bound") <= F.col("most"))), "least", "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("c")
+    right = side(viable.filter(F.col("reach") >= F.col("least_out")), "least_out", "b").withColumn("part", F.pmod(F.hash("node_b"), parts)).drop("c")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = left.join(right, ["grp", "e", "part"]).filter((F.col("component_a") != F.col("component_b")) & fits & (F.col("bound_a") <= F.col("reach_b")) & (F.col("bound_b") <= F.col("reach_a")))
+    both = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")).unionAll(near)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, k: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     spark = docs.sparkSession
     folder = scratch(spark, "neardup")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    fits = 100 * small >= percent * large  # no similarity is above the ratio of the sizes
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")  # no similarity is above the ratio of the sizes
 
     made = materialize(sketches(docs, k, rows, bands), f"{folder}/sketches")
     classes = (
@@ -205,10 +262,9 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, k: int =
     classes = materialize(classes, f"{folder}/classes")
 
     # Stars: a bucket's least node with each of its others.
-    n_shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = classes.select(F.explode("bands").alias("key"), "node", "n").repartition(n_shuffle, "key")
-    hubs = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last"))
-    hubs = hubs.filter(F.col("hub.node") < F.col("last")).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"))
+    entries = classes.select(F.explode("bands").alias("key"), "node", "n", "fp")
+    hubs = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members"))
+    hubs = hubs.filter("members > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"))
     buckets = materialize(entries.join(hubs, "key"), f"{folder}/buckets")
     stars = (
         buckets.filter(F.col("hub") != F.col("node"))
@@ -220,39 +276,24 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, k: int =
     stars = materialize(stars, f"{folder}/stars")
 
     # Sets of the documents in shared buckets, from their texts once more.
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    texts = documents(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(full_sets(texts, k), f"{folder}/sets")
-
-    links = materialize(confirmed(stars, sets, percent), f"{folder}/links")
+    wanted = buckets.select(F.col("node").alias("doc_id"), "fp").distinct()
+    texts = documents(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = materialize(full_sets(texts, k).join(wanted, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]), f"{folder}/sets")
+
+    # A document of several texts holds their classes together.
+    texts_of = made.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "fp")
+    several = texts_of.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi").select("doc_id")
+    own = texts_of.join(several, "doc_id", "left_semi").distinct().join(classes.select("fp", "node"), "fp").filter("node != doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = materialize(confirmed(stars, sets, percent).unionAll(own), f"{folder}/links")
     labels = connected_components(links, f"{folder}/components")
 
-    # Buckets that stars leave open, and what can still link there.
-    placed = buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    # Buckets that stars leave open: two components besides the hub, whose own pairs are all decided.
+    placed = buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").filter("node != hub").select("key", "node", "fp", F.coalesce("component", "node").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
-    parts = parts.filter("parts > 1").select("key", F.col("most.component").alias("largest"))
-    placed = materialize(placed.join(parts, "key"), f"{folder}/open")
-    nodes = placed.select(F.col("node").alias("doc_id"), "n").distinct()
-    open_sets = sets.join(nodes, "doc_id")
-    alone = open_sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
-    alone = alone.filter("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    cells = range(BITS // 64)
-    used = sum((F.bit_count(F.get("bits", F.lit(i))) for i in cells), F.lit(0))
-    bounds = open_sets.join(alone, "doc_id", "left").select(
-        F.col("doc_id").alias("node"), *(F.get("bits", F.lit(i)).alias(f"cells{i}") for i in cells), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), (F.col("n") - used).alias("extra")
-    )
-    shared = materialize(bounds.join(placed, "node").filter(100 * F.col("common") >= percent * F.col("n")), f"{folder}/shared")
-    held = ["node", "n", "common", "extra", "component", "largest", *(f"cells{i}" for i in cells)]
-    # The largest component of a bucket stands on one side only.
-    sides = [shared.filter("component != largest"), shared]
-    sides = [side.select("key", *(F.col(c).alias(f"{c}_{x}") for c in held)) for x, side in zip("ab", sides, strict=True)]
-    both = sum((F.bit_count(F.col(f"cells{i}_a").bitwiseAND(F.col(f"cells{i}_b"))) for i in cells), F.lit(0))
-    # J >= p means an intersection of at least p / (1 + p) of both sizes together.
-    possible = lambda most: (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    once = (F.col("node_a") < F.col("node_b")) | (F.col("component_b") == F.col("largest_b"))
-    open_pair = once & (F.col("component_a") != F.col("component_b")) & fits & possible(F.least("common_a", "common_b")) & possible(both + F.least("extra_a", "extra_b"))
-    rest = sides[0].join(sides[1], "key").filter(open_pair).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
+    parts = parts.filter("parts > 1").select("key", F.col("most.component").alias("grp"))
+    members = placed.join(parts, "key").select("grp", "node", "fp", "component").distinct()
+    members = materialize(members.join(sets.withColumnRenamed("doc_id", "node"), ["node", "fp"]), f"{folder}/members")
+    rest = materialize(open_pairs(members, percent, f"{folder}/open").join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
     more = materialize(confirmed(rest, sets, percent), f"{folder}/more")
     merged = more.join(labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b", "left")
     merged = merged.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a != b").distinct()

@@ -37,10 +37,17 @@ def test_the_run_equals_brute_force(spark, sf):
 
 
 def test_stages_take_odd_rows(spark, sf, odd):
-    rows = odd.selectExpr("doc_id", "text", "score AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars", "n_words", "score AS failed")
+    rows = odd.selectExpr("doc_id", "text", "score AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars", "n_words", "score AS failed", "score AS document_key", "score AS key", "n_words AS hit_key", "score AS row", "score AS kept")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, rows, sf)
         if name != "byte_bpe":
             assert out.columns == rows.columns
-            assert stage(spark, rows.filter("false"), sf).count() == 0
+        assert stage(spark, rows.filter("false"), sf).count() == 0
         assert out.filter("doc_id IS NULL").count() == (0 if name == "quality_rules" else 1)
+
+
+def test_one_row_stays_of_rows_that_share_an_id(spark, sf):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, b, "x"), (1, a, "y"), (1, a, "x"), (2, b, "z"), (3, None, "n"), (3, None, "n"), (None, a, "q")], "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_duplicate_removal(spark, rows, sf).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a, "x"), (3, None, "n"), (None, a, "q")], key=str)

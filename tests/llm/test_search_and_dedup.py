@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -109,6 +109,39 @@ def test_components_of_near_copies_equal_brute_force(spark):
     assert sorted(tuple(r) for r in neardup.near_duplicates(docs).collect()) == brute_components(rows)
 
 
+def family(members=700, length=60, seed=5):
+    """One text with up to 14 of its words replaced, often by the same few words: many members just under and over the bound."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 5000, length)
+    for n in range(members):
+        copy = base.copy()
+        at = rng.choice(length, rng.integers(0, 15), replace=False)
+        copy[at] = 9000 + at * 3 + rng.integers(0, 3, len(at)) if n % 3 else rng.integers(10_000, 90_000, len(at))
+        yield n, " ".join(f"w{x}" for x in copy)
+
+
+def test_a_large_family_forms_few_pairs(spark, monkeypatch):
+    rows, counts, write = list(family()), {}, neardup.materialize
+
+    def counted(df, path):
+        out = write(df, path)
+        counts[path.rpartition("/")[2]] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
+    assert sum(c > 1 for c in Counter(r[2] for r in got).values()) and sum(r[3] for r in got) > 20
+    assert 0 < counts["rest"] <= counts["buckets"] and counts["stars"] <= counts["buckets"]
+
+
+def test_texts_of_one_document_count_together(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, a + " x"), (5, "other words here")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)} and len(got) == 6
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect()}
     want = set(brute_components(dict((r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None).items()))
