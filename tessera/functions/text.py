@@ -6,7 +6,9 @@ patterns is Unicode-aware, as the compared engines' default is.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ STOPWORDS = (
 PROTECTED = "change check close no not open run set start stop turn use".split()
 IRREGULAR = {"children": "child", "feet": "foot", "men": "man", "teeth": "tooth", "women": "woman"}
 EMPTY_TOKEN = "__empty__"
+_STOP, _TOKEN = frozenset(STOPWORDS), re.compile("[a-z0-9]+")
 MAX_TERMS = 16
 
 
@@ -83,6 +86,52 @@ def stem(token: Column) -> Column:
     return reduce(lambda acc, rule: acc.when(*rule), rest, F.when(*first)).otherwise(token)
 
 
+class TokenForms:
+    """X5 for code that has a text at hand: index tokens, with the forms of a word remembered."""
+
+    KEPT = 300_000
+
+    def __init__(self) -> None:
+        self._forms: dict[str, tuple[str, ...]] = {}
+
+    def forms(self, word: str) -> tuple[str, ...]:
+        """The word, and its stem where that differs; nothing for a stop word."""
+        if (found := self._forms.get(word)) is None:
+            if len(self._forms) >= self.KEPT:
+                self._forms.clear()
+            base = stem_word(word)
+            found = self._forms[word] = () if word in _STOP else (word,) if base == word else (word, base)
+        return found
+
+    def index_tokens(self, text: str | None) -> list[str]:
+        out = list(chain.from_iterable(map(self.forms, _TOKEN.findall((text or "").lower()))))
+        return out or [EMPTY_TOKEN]
+
+
+def stem_word(word: str) -> str:
+    """``stem`` of a word that is no column."""
+    n = len(word)
+    if word in PROTECTED or word in IRREGULAR:
+        return IRREGULAR.get(word, word)
+    if n <= 3 or not word.strip("0123456789"):
+        return word
+    if n > 4 and word.endswith("ies"):
+        return word[:-3] + "y"
+    if n > 5 and word.endswith("ing"):
+        return _single(word[:-3])
+    if n > 4 and word.endswith("ied"):
+        return word[:-3] + "y"
+    if n > 4 and word.endswith("ed"):
+        return _single(word[:-2])
+    if n > 4 and word.endswith(("sses", "xes", "zes", "ches", "shes")):
+        return word[:-2]
+    return word[:-1] if word.endswith("s") else word
+
+
+def _single(stem: str) -> str:
+    return stem[:-1] if len(stem) > 2 and stem[-1] == stem[-2] and stem[-1] not in "aeiou" else stem
+
+
 def index_tokens(text: Column) -> Column:
     """Every token, followed by its stem where that differs; a sentinel for none."""
     forms = F.transform(english_tokens(text), lambda t: F.struct(t.alias("t"), stem(t).alias("s")))

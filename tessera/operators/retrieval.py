@@ -7,6 +7,7 @@ an explicit last key, so ranks do not depend on how Spark dealt rows out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, islice
@@ -25,6 +26,8 @@ from tessera.functions import text as X
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Fixed weights of the channels.
 WEIGHTS = {"vector": 0.6, "bm25": 0.4, "scan": 0.2}
+#: Documents that a task turns into postings at once.
+INDEX_ROWS = 200
 #: A query side of at most this many rows is broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -39,39 +42,60 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and its index tokens as one array."""
-    return docs.select(F.col(id_col).alias("id"), X.index_tokens(F.col(text_col)).alias("tokens"))
+def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf, length, first) of every index token; ids are unique.
 
-
-def postings(tokenized: DataFrame) -> DataFrame:
-    """(term, id, tf, length)."""
-    return tokenized.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    A document is counted where it is read, so no token is shuffled; ``first``
+    is 1 in one row of each document, which lets a sum over rows count them.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    fields = [("term", "string"), ("tf", "long"), ("length", "long"), ("first", "long")]
+    types = StructType([StructField("id", source.schema["id"].dataType)])
+    for name, kind in fields:
+        types = types.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = X.TokenForms()
+        for batch in (b.slice(i, INDEX_ROWS) for b in batches for i in range(0, b.num_rows, INDEX_ROWS)):
+            counts = [Counter(forms.index_tokens(t)) for t in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+            starts = np.cumsum(sizes) - sizes
+            first = np.zeros(int(sizes.sum()), np.int64)
+            first[starts] = 1
+            columns = [
+                batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), sizes))),
+                pa.array(list(chain.from_iterable(counts)), pa.string()),
+                pa.array(np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, len(first))),
+                pa.array(np.repeat([c.total() for c in counts], sizes), pa.int64()),
+                pa.array(first),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=types.names)
+
+    return source.mapInArrow(run, types)
 
 
 def term_statistics(posted: DataFrame) -> DataFrame:
-    """Term, df and idf; negative idfs are replaced by a share of the mean."""
-    n_docs = posted.agg(F.countDistinct("id").alias("n"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n_docs)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    """Term, df, idf and avgdl; negative idfs are replaced by a share of the mean."""
+    terms = posted.groupBy("term").agg(F.count("id").alias("df"), F.sum("tf").alias("cf"), F.sum("first").alias("firsts"))
+    whole = terms.agg(F.sum("firsts").alias("n"), (F.sum("cf") / F.sum("firsts")).alias("avgdl"))
+    raw = terms.crossJoin(F.broadcast(whole)).select("term", "df", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
 def bm25_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int = 10) -> DataFrame:
     """query_id, chunk_id, score and rank of the best documents, positive scores only.
 
     A query token counts as often as the query has it.  Statistics are those of
-    the whole collection; only postings of terms that some query asks for are
-    joined, and partial sums by (query, document) are combined before the rank.
+    the whole collection.  Two passes read the documents: one sums up terms
+    before anything is shuffled, one scores the postings of terms that some
+    query asks for; these weights are broadcast if Spark finds them small.
     """
-    tokenized = tokens(docs, doc_id, doc_text)
-    posted = postings(tokenized)
+    posted = postings(docs, doc_id, doc_text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.index_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    average = tokenized.agg(F.avg(F.size("tokens")).alias("avgdl"))
-    weighted = bounded_broadcast(asked).join(term_statistics(posted), "term")
+    weights = asked.join(term_statistics(posted), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = posted.join(weighted, "term").crossJoin(F.broadcast(average)).groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = posted.join(weights, "term").groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored.filter("score > 0"), [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 
@@ -273,7 +297,7 @@ def token_scan_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text:
     held = docs.select(F.col(doc_id).alias("chunk_id"), F.explode(F.array_distinct(X.english_tokens(F.col(doc_text)))).alias("term"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.query_terms(F.col(query_text))).alias("term"))
     points = F.greatest(F.lit(4), F.least(F.length("term"), F.lit(20))).cast("double")
-    hits = held.join(bounded_broadcast(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(points).alias("score"))
+    hits = held.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(points).alias("score"))
     return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 

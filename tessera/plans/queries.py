@@ -130,7 +130,7 @@ def t01_bm25(spark, sf):
 @query
 def a06_term_statistics(spark, sf):
     docs = _t(spark, sf, "documents")
-    stats = R.term_statistics(R.postings(R.tokens(docs, "doc_id", "text")))
+    stats = R.term_statistics(R.postings(docs, "doc_id", "text"))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
