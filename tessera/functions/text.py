@@ -170,22 +170,96 @@ def utf8_truncate(text: Column, limit: int, suffix: str = "...") -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(head, "�+$", ""), F.lit(suffix)))
 
 
+# How a picture's description is marked, and what separates lines.
+DESCRIPTION = r"\{\{(?:此图片描述为|图片描述|image description)[:：]\s*(.*?)\}\}"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    return reduce(lambda acc, s: F.regexp_replace(acc, *s), steps, text)
+
+
 def markdown_to_index_text(text: Column) -> Column:
-    """Markdown as plain words for an index."""
+    """Markdown as plain words for an index; lines stay, images go, descriptions of pictures stay."""
     steps = [
-        (r"(?i)<pic:[^>]*>", " "),
+        (rf"(?is)<PIC:[^>]+>(?:\s*{DESCRIPTION})?", " $1 "),
+        (rf"(?is){DESCRIPTION}", " $1 "),
         (r"(?s)```.*?```", " "),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"!\[[^\]]*\]\([^)]+\)", " "),
+        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
         (r"`([^`]*)`", "$1"),
-        (r"(?m)^[ \t]*\|?[ \t:|-]*-{3,}[ \t:|-]*$", " "),
-        (r"(?m)^[ \t]{0,3}#{1,6}[ \t]*", ""),
-        (r"(?m)^[ \t]*[-*+][ \t]+", ""),
-        (r"(?m)^[ \t]*[0-9]+[.)][ \t]+", ""),
+        (r"(?md)^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$", " "),
+        (r"(?md)^\s{0,3}#{1,6}\s*", ""),
+        (r"(?md)^\s*[-*+·]\s*", ""),
+        (r"(?md)^\s*[0-9]+[.)]\s+", ""),
         (r"\|", " "),
-        (r"\s+", " "),
+        (r"[ \t\r\f\x0B]+", " "),
+        (r" *\n *", "\n"),
+        (r"\n{3,}", "\n\n"),
     ]
-    return F.trim(reduce(lambda acc, s: F.regexp_replace(acc, *s), steps, F.coalesce(text, F.lit(""))))
+    return strip(_replaced(F.coalesce(text, F.lit("")), steps))
+
+
+def markdown_to_answer(text: Column) -> Column:
+    """Markdown as plain text for an answer; a table row becomes its cells behind their headings.
+
+    Dividers, headings, quotes, links, bold and italic lose their marks; images
+    and ordinary punctuation stay.
+    """
+    steps = [
+        (r"(?md)^[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})[ \t]*\n?", ""),
+        (r"(?md)^[ \t]{0,3}#{1,6}[ \t]+", ""),
+        (r"(?md)^[ \t]{0,3}>[ \t]?", ""),
+        (r"(?<!!)\[([^\]]+)\]\([^)]+\)", "$1"),
+        (r"\*\*(?=\S)(.+?)(?<=\S)\*\*|__(?=\S)(.+?)(?<=\S)__", "$1$2"),
+        (r"(?<!\*)\*(?=\S)(.+?)(?<=\S)\*(?!\*)", "$1"),
+        (r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n"),
+    ]
+    return strip(_replaced(_plain_tables(F.coalesce(text, F.lit(""))), steps))
+
+
+def _plain_tables(text: Column) -> Column:
+    """Lines, with each Markdown table as one line a row.
+
+    A line walks over three states: no table, at the line of dashes, and inside.
+    """
+    bare = lambda line: strip(line)
+    cells = lambda line: F.when(line.contains("|"), F.transform(F.split(F.regexp_replace(bare(line), r"^\|+|\|+\z", ""), r"\|"), bare)).otherwise(F.expr("cast(array() AS array<string>)"))
+    lines = F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END)
+    rows = F.transform(lines, lambda x: F.struct(x.alias("line"), cells(x).alias("cells")))
+    looked = F.transform(rows, lambda r, i: F.struct(r["line"].alias("line"), r["cells"].alias("cells"), _opens_table(r["cells"], F.get(rows, i + 1)["cells"]).alias("opens")))
+    start = F.struct(F.expr("cast(array() AS array<string>)").alias("out"), F.expr("cast(array() AS array<string>)").alias("heads"), F.lit(0).alias("state"), F.lit(0).alias("made"))
+
+    def pairs(heads: Column, cells_: Column) -> Column:
+        both = F.zip_with(heads, cells_, lambda h, v: F.when((h != "") & (v != ""), F.concat(h, F.lit("："), v)))
+        return F.array_join(F.filter(both, lambda p: p.isNotNull()), "；")
+
+    def state(out: Column, heads: Column, at: Column | int, made: Column | int) -> Column:
+        at, made = (F.lit(x) if isinstance(x, int) else x for x in (at, made))
+        return F.struct(out.alias("out"), heads.alias("heads"), at.cast("int").alias("state"), made.cast("int").alias("made"))
+
+    def closed(acc: Column) -> Column:
+        return F.when((acc["state"] == 2) & (acc["made"] == 0), F.array_append(acc["out"], F.array_join(acc["heads"], "；"))).otherwise(acc["out"])
+
+    def step(acc: Column, row: Column) -> Column:
+        inside = (acc["state"] == 2) & (F.size(row["cells"]) > 0)
+        said = pairs(acc["heads"], row["cells"])
+        within = state(F.when(said != "", F.array_append(acc["out"], said)).otherwise(acc["out"]), acc["heads"], 2, acc["made"] + F.when(said != "", 1).otherwise(0))
+        opened = state(closed(acc), row["cells"], 1, 0)
+        other = state(F.array_append(closed(acc), row["line"]), F.expr("cast(array() AS array<string>)"), 0, 0)
+        return F.when(acc["state"] == 1, state(acc["out"], acc["heads"], 2, 0)).when(inside, within).when(row["opens"], opened).otherwise(other)
+
+    return F.array_join(F.aggregate(looked, start, step, closed), "\n")
+
+
+def _opens_table(heads: Column, dashes: Column) -> Column:
+    """Whether a line's cells stand above a line of dashes of as many cells."""
+    return F.coalesce((F.size(heads) > 0) & (F.size(dashes) == F.size(heads)) & F.forall(dashes, lambda c: c.rlike(r"^:?-{3,}:?\z")), F.lit(False))
 
 
 def image_ids(text: Column) -> Column:
@@ -201,24 +275,44 @@ def image_placeholders(text: Column, mark: str = "<PIC>") -> Column:
     return F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", mark)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text, each with its end mark."""
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+def sentences(text: Column, pattern: str = r"[^.!?\n]+[.!?](?=\s|\z)") -> Column:
+    """The sentences of a text; an end mark counts before white space or the end."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), strip)
+
+
+def lines_of(text: Column) -> Column:
+    """Lines without white space at their ends, blank ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip), lambda line: line != "")
 
 
 def head_sentences(text: Column, n: int = 2) -> Column:
-    return F.array_join(F.slice(sentences(text), 1, n), " ")
+    """The first sentences, or the first lines of a text without one."""
+    s = sentences(text)
+    return F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, n), " ")).otherwise(F.array_join(F.slice(lines_of(text), 1, n), "\n"))
+
+
+def _last(items: Column, n: int) -> Column:
+    return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n)
 
 
 def tail_sentences(text: Column, n: int = 2) -> Column:
+    """The last sentences, or the last lines of a text without one."""
     s = sentences(text)
-    return F.array_join(F.slice(s, F.greatest(F.size(s) - n + 1, F.lit(1)), n), " ")
+    return F.when(F.size(s) > 0, F.array_join(_last(s, n), " ")).otherwise(F.array_join(_last(lines_of(text), n), "\n"))
 
 
 def dedupe_lines(text: Column) -> Column:
-    """Lines with folded blanks, each kept once, blank ones dropped."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
-    return F.array_join(F.array_distinct(F.filter(lines, lambda line: line != "")), "\n")
+    """Each line once, by its words with folded blanks; single blank lines stay between others.
+
+    Equal lines meet by sorting (key, place); a blank line has a key of its own.
+    """
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip)
+    keyed = F.transform(lines, lambda line, i: F.struct(F.when(line == "", F.format_string("\n%d", i)).otherwise(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).alias("key"), i.alias("i"), line.alias("line")))
+    once = lambda o: F.filter(o, lambda x, k: ~x["key"].eqNullSafe(F.get(o, k - 1)["key"]))
+    firsts = F.flatten(F.transform(F.array(F.array_sort(keyed)), once))
+    placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"))))
+    kept = lambda o: F.filter(o, lambda x, k: (x["line"] != "") | (F.coalesce(F.get(o, k - 1)["line"], F.lit("")) != ""))
+    return F.regexp_replace(F.array_join(F.transform(F.flatten(F.transform(F.array(placed), kept)), lambda x: x["line"]), "\n"), r"\n+\z", "")
 
 
 def chunk_key(chunk_id: Column, limit: int = 100) -> Column:
@@ -228,8 +322,8 @@ def chunk_key(chunk_id: Column, limit: int = 100) -> Column:
 
 
 def picture_id(text: Column) -> Column:
-    """The first picture id of the form A_b_c."""
-    return F.regexp_extract(F.coalesce(text, F.lit("")), r"([A-Za-z][A-Za-z0-9]*_[0-9]+_[0-9]+)", 1)
+    """The first picture id: a name and parts joined by underscores."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+)", 1)
 
 
 def flexible_timestamp(text: Column) -> Column:
@@ -252,6 +346,45 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first > 0, F.slice(a, 1, (first - 1).cast("int"))).otherwise(F.slice(a, 1, F.least(F.size(a), F.size(b))))
 
 
+def to_bool(value: Column, default: bool = False) -> Column:
+    """A setting as a boolean; what is neither yes nor no is the default."""
+    low = F.lower(strip(value.cast("string")))
+    return F.when(low.isin("1", "true", "yes", "y", "on"), True).when(low.isin("0", "false", "no", "n", "off", ""), False).otherwise(default)
+
+
+def to_int(value: Column, default: int = 0) -> Column:
+    """A setting as an integer, or the default."""
+    text = strip(value.cast("string"))
+    return F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+$"), text).try_cast("long"), F.lit(default).cast("long"))
+
+
+def to_float(value: Column, default: float = 0.0) -> Column:
+    """A setting as a number, or the default."""
+    return F.coalesce(strip(value.cast("string")).try_cast("double"), F.lit(float(default)))
+
+
+def guessed_title(text: Column, name: Column, index: Column) -> Column:
+    """The first heading of a text, else a numbered name."""
+    headings = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip), lambda line: line.startswith("#"))
+    heading = strip(F.regexp_replace(F.get(headings, F.lit(0)), "^#+", ""))
+    return F.coalesce(F.nullif(heading, F.lit("")), F.concat(name, F.format_string(" baseline chunk %04d", index)))
+
+
+def titled_index_text(title: Column, text: Column) -> Column:
+    """A title over the text on one line, without picture marks."""
+    return F.concat(title, F.lit("\n"), strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"<PIC:[^>]+>", ""), r"(?U)\s+", " ")))
+
+
+def placed_index_text(path: Column, title: Column, text: Column) -> Column:
+    """Section path, title and body as plain lines, each said once; a title that opens the body is not repeated."""
+    section = markdown_to_index_text(F.array_join(F.filter(F.coalesce(path, F.expr("cast(array() AS array<string>)")), lambda p: p != ""), " > "))
+    head, body = markdown_to_index_text(title), markdown_to_index_text(text)
+    first = F.coalesce(F.get(lines_of(body), F.lit(0)), F.lit(""))
+    opens = (body != "") & (head != "") & ((first == head) | body.startswith(head))
+    again = F.when((head != "") & (head != section) & ~opens, head)
+    return dedupe_lines(F.concat_ws("\n", F.coalesce(F.nullif(section, F.lit("")), F.nullif(head, F.lit(""))), again, F.nullif(body, F.lit(""))))
+
+
 def token_estimate(text: Column) -> Column:
     """4 tokens a message and one for each three bytes begun."""
     return (F.lit(4) + F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 3)).cast("long")

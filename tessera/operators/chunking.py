@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,13 +21,14 @@ SPLIT_CHARS, SPLIT_OVERLAP, MERGE_BELOW = 1600, 100, 300
 BASELINE_CHARS = 800
 SEPARATORS = ("\n\n", "\n", " ", "")
 
+_RUNBOOK_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 _HEADING, _FENCE = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$"), re.compile(r"^\s*(```|~~~)")
 
 CHUNK = "doc_id string, chunk_index int, chunk_id string, title string, section_path array<string>, first_line int, last_line int, text string"
 
 
 def sections(text: str, levels: int = 6) -> Iterator[tuple[list[str], int, int, str]]:
-    """H1, H2: (heading path, first line, last line, body) of each section with a body.
+    """H2: (heading path, first line, last line, body) of each section with a body.
 
     A heading inside a fence is text.  Lines count from 1.
     """
@@ -115,16 +117,64 @@ def line_windows(text: str, size: int = BASELINE_CHARS, overlap: int = SPLIT_OVE
     return [w for w in out if w[2].strip()]
 
 
-def runbook_rows(doc_id: str, text: str) -> Iterator[tuple]:
-    """H1: sections in pieces of at most 1400 characters, their heading path in front of each."""
+def runbook_sections(text: str) -> tuple[str | None, list[tuple[list[str], int, int, str]]]:
+    """H1: the last heading of the first level, and (heading path, first line, last line, text) of sections with a body.
+
+    A section's text begins with its heading line; a line of three backticks or
+    tildes opens or closes a fence, and no heading is read inside.
+    """
+    title, stack, found, held, start, fenced = None, [], [], [], 1, False
+    lines = text.splitlines()
+    for number, line in enumerate([*lines, None], 1):
+        if line is not None and line.strip().startswith(("```", "~~~")):
+            fenced = not fenced
+        heading = None if line is None or fenced else _RUNBOOK_HEADING.match(line)
+        if heading or line is None:
+            if any(x.strip() and not _RUNBOOK_HEADING.match(x) for x in held):
+                found.append(([t for t in stack if t], start, number - 1, "\n".join(held).strip()))
+            held, start = [], number
+        if heading:
+            depth, name = len(heading[1]), heading[2].strip()
+            title = name if depth == 1 else title
+            stack = [*stack[: depth - 1], *[""] * (depth - 1 - len(stack)), name]
+        if line is not None:
+            held.append(line)
+    return title, found
+
+
+def packed_paragraphs(text: str, size: int) -> list[str]:
+    """H1: paragraphs joined while they fit; a longer one is cut every ``size`` characters and stands alone."""
+    if len(text) <= size:
+        return [text]
+    out, held = [], ""
+    for part in (p.strip() for p in re.split(r"\n\s*\n", text)):
+        if not part:
+            continue
+        if held and (len(part) > size or len(held) + 2 + len(part) > size):
+            out.append(held)
+            held = ""
+        if len(part) > size:
+            out += [part[i : i + size] for i in range(0, len(part), size)]
+        else:
+            held = f"{held}\n\n{part}" if held else part
+    return [*out, held] if held else out
+
+
+def runbook_rows(doc_id: str, text: str, chars: int = RUNBOOK_CHARS) -> Iterator[tuple]:
+    """H1: sections in pieces of at most 1400 characters, document and section named in front of each.
+
+    ``doc_id`` is the source file: its stem is the document's title where no
+    heading of the first level is, and its digest stands in the ids.
+    """
     digest = hashlib.sha1(doc_id.encode()).hexdigest()[:10]
+    title, found = runbook_sections(text)
+    title = PurePosixPath(doc_id).stem if title is None else title
     n = 0
-    for path, first, last, body in sections(text):
-        prefix = " > ".join(path)
-        room = max(RUNBOOK_CHARS - len(prefix) - 2, RUNBOOK_BODY)
-        for piece in split_recursively(body, room, 0):
+    for path, first, last, body in found:
+        prefix = f"文档：{title}\n章节：{' > '.join(path) or title}\n\n"
+        for piece in packed_paragraphs(body, max(RUNBOOK_BODY, chars - len(prefix))):
             n += 1
-            yield n - 1, f"aiops_{digest}_{n:04d}", path[-1] if path else "", path, first, last, f"{prefix}\n\n{piece}" if prefix else piece
+            yield n - 1, f"aiops_{digest}_{n:04d}", path[-1] if path else title, path, first, last, (prefix + piece).strip()
 
 
 def header_rows(doc_id: str, text: str, levels: int = 2, size: int = SPLIT_CHARS, overlap: int = SPLIT_OVERLAP) -> Iterator[tuple]:

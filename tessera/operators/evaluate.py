@@ -16,10 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions import text as X
-from tessera.operators.retrieval import ranked
+from tessera.operators.retrieval import in_blocks, ranked
 
-#: Upper bounds of the length buckets.
-BUCKETS = (100, 300, 500, 800, 1500)
+# Upper bounds of the length buckets.
+BUCKETS = (50, 100, 200, 500, 1000)
 
 
 def recall_at(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -41,10 +41,12 @@ def hit_rates(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("at1", "at3", "anywhere")))
 
 
-def length_statistics(rows: DataFrame, length: Column, by: list[str]) -> DataFrame:
-    """Count, least, greatest, mean, median and sample deviation of a length."""
-    return rows.select(*by, length.alias("length")).groupBy(*by).agg(
-        F.count("length").alias("n"), F.min("length").alias("least"), F.max("length").alias("greatest"), F.round(F.avg("length"), 1).alias("mean"), F.round(F.median("length"), 1).alias("median"), F.round(F.stddev_samp("length"), 1).alias("deviation")
+def length_statistics(rows: DataFrame, length: Column, by: list[str], pictures: Column | None = None) -> DataFrame:
+    """Count, least, greatest, mean, median and sample deviation (0 for one) of a length, and rows with pictures."""
+    shown = F.lit(False) if pictures is None else F.coalesce(pictures, F.lit(False))
+    return rows.select(*by, length.alias("length"), shown.cast("long").alias("shown")).groupBy(*by).agg(
+        F.sum("shown").alias("with_pics"),
+        F.count("length").alias("n"), F.min("length").alias("least"), F.max("length").alias("greatest"), F.round(F.avg("length"), 1).alias("mean"), F.round(F.median("length"), 1).alias("median"), F.coalesce(F.round(F.stddev_samp("length"), 1), F.lit(0.0)).alias("deviation")
     )
 
 
@@ -52,7 +54,7 @@ def length_bucket(length: Column) -> Column:
     """The name of the bucket of a length."""
     out, low = None, 0
     for high in BUCKETS:
-        name = f"{low}-{high - 1}"
+        name = f"{low}-{high - 1}" if low else f"<{high}"
         out = F.when(length < high, name) if out is None else out.when(length < high, name)
         low = high
     return out.otherwise(f"{low}+")
@@ -89,11 +91,9 @@ def profile_scores(queries: DataFrame, profiles: DataFrame, terms: int = 256, fi
     first 32 contains them or is contained, 0.3 at most.
 
     Containment has no key, so each query meets each profile, one row a
-    document of up to 256 terms; profiles, the small side, are broadcast up to
-    the bound.  Only pairs that reach the least score leave the join.
+    document of up to 256 terms; queries, a stated set, go to the profiles in
+    blocks of bounded size.  Only pairs that reach the least score go on.
     """
-    from tessera.operators.retrieval import bounded_broadcast
-
     norm = lambda c: X.normalize_text(F.coalesce(c.cast("string"), F.lit("")))
     asked = queries.select("query_id", norm(F.col("text")).alias("query"), F.transform(X.query_terms(F.col("text")), norm).alias("asked"), norm(X.picture_id(F.col("text"))).alias("pic"))
     none = F.expr("cast(array() AS array<string>)")
@@ -108,7 +108,76 @@ def profile_scores(queries: DataFrame, profiles: DataFrame, terms: int = 256, fi
     for field, points in (("name", 0.85), ("key", 0.75)):
         score = score + F.when((F.col(field) != "") & query.contains(F.col(field)), points).otherwise(0.0)
     score = F.round(F.least(F.lit(1.0), score + F.least(F.lit(0.45), inside) + F.least(F.lit(0.3), shared)), 4)
-    return asked.crossJoin(bounded_broadcast(held)).select("query_id", "doc", score.alias("score")).filter("score >= 0.18")
+    return reduce(DataFrame.unionAll, (held.crossJoin(F.broadcast(block)).select("query_id", "doc", score.alias("score")).filter("score >= 0.18") for block in in_blocks(asked)))
+
+
+def summary_scores(queries: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Queries scored against document summaries; 0.18 or more, 0.92 at most.
+
+    A query term contained in name, title, summary and terms together, without
+    white space, gives 0.16 (four characters or more) or 0.1, the whole query
+    0.4.  ``summaries`` has doc, doc_name, title, summary and the array terms;
+    ``matched`` holds the terms found.  Queries go to the summaries in blocks.
+    """
+    blank, none = F.lit(""), F.expr("cast(array() AS array<string>)")
+    said = F.concat_ws(" ", *(F.coalesce(F.col(c), blank) for c in ("doc_name", "title", "summary")), F.array_join(F.coalesce("terms", none), " "))
+    held = summaries.select("doc", X.normalize_text(said).alias("hay")).filter("trim(doc) <> '' AND hay <> ''")
+    asked = queries.select("query_id", X.normalize_text(F.coalesce("text", blank)).alias("query"), F.filter(F.transform(X.query_terms(F.col("text")), X.normalize_text), lambda t: t != "").alias("asked"))
+    matched = F.filter("asked", lambda t: F.col("hay").contains(t))
+    points = F.aggregate("matched", F.lit(0.0), lambda a, t: a + F.when(F.length(t) >= 4, 0.16).otherwise(0.1))
+    whole = F.when((F.col("query") != "") & F.col("hay").contains(F.col("query")), 0.4).otherwise(0.0)
+    score = F.round(F.least(F.lit(0.92), points + whole), 4)
+    parts = (held.crossJoin(F.broadcast(block)).withColumn("matched", matched).select("query_id", "doc", score.alias("score"), "matched") for block in in_blocks(asked))
+    return reduce(DataFrame.unionAll, (p.filter("score >= 0.18") for p in parts))
+
+
+def profile_summaries(profiles: DataFrame, first: int = 32) -> DataFrame:
+    """Document profiles as summaries, where no summary index is given."""
+    none = F.expr("cast(array() AS array<string>)")
+    terms = F.coalesce("terms", none)
+    said = F.array_join(F.concat(F.slice(terms, 1, first), F.coalesce("kinds", none)), " ")
+    return profiles.select("doc", F.col("name").alias("doc_name"), F.col("name").alias("title"), said.alias("summary"), terms.alias("terms"))
+
+
+def judge_accuracy(hypotheses: DataFrame, labels: DataFrame) -> DataFrame:
+    """By question type and over all (a null type), the share of answers that a judge called correct.
+
+    ``hypotheses`` has question_id and question_type, each question once;
+    ``labels`` question_id and the judge's word, yes or no with at most one end
+    mark.  Any other word is refused, not counted.
+    """
+    word = F.lower(X.strip(F.col("label")))
+    said = labels.select("question_id", F.when(word.rlike(r"^yes[.!。]?\z"), 1).when(word.rlike(r"^no[.!。]?\z"), 0).alias("correct"))
+    rows = hypotheses.join(said, "question_id")
+    return rows.rollup("question_type").agg(F.count("correct").alias("n"), F.coalesce(F.sum("correct"), F.lit(0)).alias("correct"), F.round(F.avg("correct"), 4).alias("accuracy"), F.count_if(F.col("correct").isNull()).alias("refused"))
+
+
+def case_subset(cases: DataFrame, ids: list | None = None, skip: int = 0, limit: int | None = None, key: str = "case_id") -> DataFrame:
+    """cases of a set of ids, then a slice of them in the order of the id."""
+    rows = (cases if not ids else cases.filter(F.col(key).isin(ids))).orderBy(key)
+    rows = rows.offset(skip) if skip else rows
+    return rows if limit is None else rows.limit(limit)
+
+
+def evidence_evaluation(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per case whether the intent agrees and an expected chunk is first, among three, or anywhere; and a picture.
+
+    ``cases`` has query_id, intent, said_intent and the arrays expected and
+    expected_pics; ``hits`` query_id, chunk_id, rank, role and the array
+    pic_ids.  Support hits count for anywhere only.  No expected picture is a
+    hit, no expected chunk none.
+    """
+    none = F.expr("cast(array() AS array<string>)")
+    primary = F.col("role") == "primary"
+    ids = lambda k: F.collect_set(F.when(primary & (F.col("rank") <= k), F.col("chunk_id")))
+    shown = hits.groupBy("query_id").agg(ids(1).alias("one"), ids(3).alias("three"), F.collect_set("chunk_id").alias("every"), F.flatten(F.collect_set(F.coalesce("pic_ids", none))).alias("pics"))
+    rows = cases.join(shown, "query_id", "left")
+    meets = lambda a, b: F.coalesce(F.arrays_overlap(F.coalesce(F.col(a), none), F.coalesce(F.col(b), none)), F.lit(False))
+    asked = F.coalesce("expected_pics", none)
+    return rows.select(
+        "query_id", F.coalesce(F.col("intent") == F.col("said_intent"), F.lit(False)).alias("intent_match"), meets("expected", "one").alias("hit_at_1"), meets("expected", "three").alias("hit_at_3"),
+        meets("expected", "every").alias("hit_anywhere"), ((F.size(asked) == 0) | meets("expected_pics", "pics")).alias("pic_hit"),
+    )
 
 
 def shared_term_scores(queries: DataFrame, profiles: DataFrame, first: int = 32) -> DataFrame:

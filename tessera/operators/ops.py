@@ -66,6 +66,32 @@ def fuzzy_lookup(catalog: DataFrame, wanted: DataFrame, name: str, ask: str) ->
     return wanted.join(bounded_broadcast(catalog), (a != "") & (a.contains(b) | b.contains(a)))
 
 
+# Regions of the log service and their codes.
+REGIONS = {"北京": "ap-beijing", "上海": "ap-shanghai", "广州": "ap-guangzhou", "中国香港": "ap-hongkong"}
+# Tools whose results are replayed, and the most characters of a replayed result.
+REPLAY_TOOLS = ("GetAlerts", "GetClusterConfiguration", "GetResources", "DescribeResource", "CheckNodeServiceStatus", "GetErrorLogs", "GetServiceDependencies", "CheckServiceConnectivity", "GetAppYAML", "ListCodeFiles")
+
+
+def region_lookup(names: DataFrame, column: str = "region_name") -> DataFrame:
+    """Each name with its region code and whether there is one; the table is four rows of constants."""
+    codes = F.create_map(*(F.lit(v) for pair in REGIONS.items() for v in pair))
+    code = F.try_element_at(codes, F.col(column))
+    return names.withColumn("region_code", code).withColumn("available", F.col("region_code").isNotNull())
+
+
+def replayed(calls: DataFrame, cached: DataFrame, most: int = 20_000) -> DataFrame:
+    """Each call of a known tool with the best cached result (J16), cut at ``most`` characters, or a note that there is none.
+
+    ``calls`` has call_id, tool and args, ``cached`` key, tool, args and output.
+    """
+    asked = calls.filter(F.col("tool").isin(*REPLAY_TOOLS))
+    best = best_arguments(asked, cached).join(cached.select("key", "output"), "key")
+    rows = asked.join(best.select("call_id", "key", "output"), "call_id", "left")
+    cut = F.when(F.length("output") > most, F.concat(F.substring("output", 1, most), F.lit("\n[output truncated]"))).otherwise(F.col("output"))
+    missing = F.concat(F.lit("No cached result for "), "tool", F.lit(" with arguments "), F.to_json("args"))
+    return rows.select("call_id", "tool", F.col("key").alias("matched_key"), F.coalesce(cut, missing).alias("result"))
+
+
 def above_thresholds(samples: DataFrame) -> DataFrame:
     """Values rounded to one place that are strictly above their bound."""
     value = F.round("value", 1)
@@ -73,20 +99,34 @@ def above_thresholds(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"value": value, "alert": F.coalesce(value > bound, F.lit(False))})
 
 
+def _pairs(args: Column) -> Column:
+    """Arguments that ask something, as ``name=value``; a resource type counts without case and plural s."""
+    kept = F.map_filter(args, lambda k, v: v.isNotNull() & ~F.lower(v).isin("", "0", "false", "none"))
+    plain = lambda k, v: F.when(k == "resource_type", F.regexp_replace(F.lower(v), "s+$", "")).otherwise(v)
+    return F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), plain(e["key"], e["value"]))))
+
+
 def best_arguments(calls: DataFrame, cached: DataFrame) -> DataFrame:
     """For each call the cached call of the same tool whose arguments hold all asked ones.
 
     ``calls`` has (call_id, tool, args), ``cached`` (key, tool, args), args being
     maps of strings; empty values ask nothing.  The fewest extra arguments win,
-    then the key.
+    then the key.  A call meets the cached calls that hold its rarest argument,
+    so a tool with many cached calls is no hot key; one that asks nothing takes
+    the best of its tool.
     """
-    asked = F.map_filter(F.col("a.args"), lambda k, v: v.isNotNull() & ~F.lower(v).isin("", "0", "false", "none"))
-    have = F.map_filter(F.col("c.args"), lambda k, v: v.isNotNull() & ~F.lower(v).isin("", "0", "false", "none"))
-    plain = lambda k, v: F.when(k == "resource_type", F.regexp_replace(F.lower(v), "s$", "")).otherwise(v)
-    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), plain(e["key"], e["value"])))
-    joined = calls.alias("a").join(cached.alias("c"), F.col("a.tool") == F.col("c.tool")).select("a.call_id", "c.key", pairs(asked).alias("want"), pairs(have).alias("has"))
-    fits = joined.filter(F.size(F.array_except("want", "has")) == 0).withColumn("extra", F.size("has") - F.size("want"))
-    return fits.groupBy("call_id").agg(F.min(F.struct("extra", "key")).alias("best")).select("call_id", "best.key", "best.extra")
+    have = cached.select("tool", "key", _pairs(F.col("args")).alias("has"))
+    listed = have.select("tool", "key", "has", F.explode("has").alias("pair"))
+    counts = listed.groupBy("tool", "pair").agg(F.count("*").alias("n"))
+    asked = calls.select("call_id", "tool", _pairs(F.col("args")).alias("want"))
+    rarest = asked.select("call_id", "tool", "want", F.explode("want").alias("pair")).join(counts, ["tool", "pair"], "left")
+    rarest = rarest.groupBy("call_id", "tool", "want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair")).alias("least")).filter("least.n > 0")
+    met = rarest.select("call_id", "tool", "want", F.col("least.pair").alias("pair")).join(listed, ["tool", "pair"])
+    fits = met.filter(F.size(F.array_except("want", "has")) == 0).select("call_id", (F.size("has") - F.size("want")).alias("extra"), "key")
+    best = fits.groupBy("call_id").agg(F.min(F.struct("extra", "key")).alias("best"))
+    first = have.groupBy("tool").agg(F.min(F.struct(F.size("has").alias("extra"), "key")).alias("best"))
+    free = asked.filter("size(want) = 0").join(first, "tool").select("call_id", "best")
+    return best.unionAll(free).select("call_id", "best.key", "best.extra")
 
 
 def observations(cached: DataFrame, parts: list[str], limit: int = MAX_OBSERVATIONS) -> DataFrame:

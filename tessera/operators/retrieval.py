@@ -99,6 +99,24 @@ def bm25_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, q
     return ranked(scored.filter("score > 0"), [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 
+#: Questions of one block, and the bytes of their rows as Arrow that close a block sooner.
+BLOCK_ROWS, BLOCK_BYTES = 2_000, 16_000_000
+
+
+def in_blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """A stated query set as DataFrames of bounded size, each of which may go to every task."""
+    rest = queries.toLocalIterator()
+    block, size, empty = [], 0, True
+    for row in rest:
+        block.append(row)
+        size += sum(len(v) * (8 if isinstance(v, list) else 4) if hasattr(v, "__len__") else 8 for v in row)
+        if len(block) >= BLOCK_ROWS or size >= BLOCK_BYTES:
+            yield queries.sparkSession.createDataFrame(block, queries.schema)
+            block, size, empty = [], 0, False
+    if block or empty:
+        yield queries.sparkSession.createDataFrame(block, queries.schema)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -107,12 +125,14 @@ def cosine_hits(queries: DataFrame, corpus: DataFrame, k: int = 5, metadata: Col
     """Exact cosine search; ``metadata`` filters before the search.
 
     ``queries`` has query_id and qv, ``corpus`` chunk_id and v.  Queries are a
-    stated set: they are sent to every partition of the corpus.
+    stated set: they go to every partition of the corpus in blocks of bounded
+    size, and each partition hands on its best k of each question.
     """
     chosen = corpus if metadata is None else corpus.filter(metadata)
     left = queries.select("query_id", "qv", F.sqrt(dot(F.col("qv"), F.col("qv"))).alias("qn")).filter("qn > 0")
     right = chosen.select("chunk_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("n")).filter("n > 0")
-    hits = right.crossJoin(bounded_broadcast(left)).select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), 6).alias("score"))
+    score = F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), 6).alias("score")
+    hits = reduce(DataFrame.unionAll, (right.crossJoin(F.broadcast(block)).select("query_id", "chunk_id", score) for block in in_blocks(left)))
     return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 
@@ -195,10 +215,13 @@ def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return ranked(kept, order, key, "first_").filter("first_ = 1").drop("first_")
 
 
-def simple_lexical(terms: Column, haystack: Column, score: Column, cap: int = 20) -> Column:
-    """1 / (1 + score), and between 4 and ``cap`` points for each term contained."""
+def simple_lexical(terms: Column, haystack: Column, score: Column, cap: int = 20, base: float = 1.0) -> Column:
+    """``base`` / (1 + score), and between 4 and ``cap`` points for each term contained.
+
+    The scan channel has a base of 1 and a cap of 20, the reranker 10 and 24.
+    """
     points = F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.when(haystack.contains(t), F.greatest(F.lit(4), F.least(F.length(t), F.lit(cap))).cast("double")).otherwise(0.0))
-    return F.lit(1.0) / (1 + F.greatest(score, F.lit(0.0))) + points
+    return F.lit(base) / (1 + F.greatest(score, F.lit(0.0))) + points
 
 
 #: Questions of one pass of the scan over the documents, documents scored at once, words whose terms
@@ -301,10 +324,21 @@ def token_scan_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text:
     return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 
-def scan_needed(best: Column, merged: Column, n_terms: Column, intent: Column, n_hits: Column) -> Column:
-    """Whether a weak result asks for the scan channel. Fixed thresholds."""
+def scan_needed(lexical: Column, merged: Column, n_terms: Column, intent: Column, n_hits: Column, critical: Column | None = None, enabled: bool = True) -> Column:
+    """Whether a weak result asks for the scan channel. Fixed thresholds.
+
+    ``lexical`` is the X17 score of the best candidate, ``merged`` its fused
+    one, ``critical`` whether the question has critical groups.
+    """
     least = F.when(intent.isin("safety", "troubleshooting", "general"), 24).otherwise(20)
-    return F.when(n_hits == 0, True).when(intent.isin("image_trace", "ocr_audit"), True).when(n_terms == 0, merged < 0.18).otherwise(best < least)
+    must = F.lit(False) if critical is None else F.coalesce(critical, F.lit(False))
+    weak = F.when(n_terms == 0, merged < 0.18).otherwise(lexical < least)
+    return F.lit(enabled) & F.when(n_hits == 0, True).when(intent.isin("image_trace", "ocr_audit"), True).when(must, True).otherwise(F.coalesce(weak, F.lit(True)))
+
+
+def fetch_limit(top_k: int = 3, reranker_n: int = 32) -> int:
+    """How many candidates a channel fetches."""
+    return max(reranker_n, 4 * top_k, 8)
 
 
 def route_order_cut(hits: DataFrame, limit: int) -> DataFrame:
@@ -317,3 +351,15 @@ def split_budget(hits: DataFrame, limit: int, routes: int) -> DataFrame:
     """A limit dealt to the routes in equal parts; the last one gets the remainder."""
     quota = F.when(F.col("route") == routes - 1, limit - (limit // routes) * (routes - 1)).otherwise(limit // routes)
     return hits.filter(F.col("rank") <= quota)
+
+
+def filtered_rank(hits: DataFrame, chunks: DataFrame, wanted: DataFrame, metadata: Column) -> DataFrame:
+    """F16: for each wanted (query_id, chunk_id) its score, whether it passes the filters, and its rank among the hits that do.
+
+    A chunk without a positive score has neither score nor rank.
+    """
+    flags = chunks.select("chunk_id", F.coalesce(metadata, F.lit(False)).alias("passes"))
+    scored = hits.filter("score > 0").join(flags, "chunk_id")
+    places = ranked(scored.filter("passes"), [F.desc("score"), F.asc("chunk_id")], name="place").select("query_id", "chunk_id", "place")
+    rows = wanted.select("query_id", "chunk_id").join(flags, "chunk_id", "left").join(scored.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")
+    return rows.join(places, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "score", F.coalesce("passes", F.lit(False)).alias("passes"), "place")

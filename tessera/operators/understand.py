@@ -1,7 +1,9 @@
-"""Query understanding and lexical reranking: intents, families, routes, scores."""
+"""Query understanding and lexical reranking: intents, families, routes, scores."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +28,94 @@ ROUTES = {
     "component": (["primary"], ["component"]), "procedure": (["primary"], ["procedure"]), "legal": (["primary"], ["legal"]), "safety": (["primary"], ["safety"]), "troubleshooting": (["primary"], ["troubleshooting"]),
     "image_trace": (["auxiliary"], ["auxiliary"]), "ocr_audit": (["auxiliary"], ["auxiliary"]), "overview": (["primary", "support"], ["overview"]), "general": (["primary"], []),
 }
-#: Our own English markers of intents, in the order in which they are asked.
+# Markers of intents in the order in which they are asked, over text without white space.
 INTENT_WORDS = {
-    "image_trace": ["picture", "image", "figure", "photo"],
-    "ocr_audit": ["ocr", "misread", "scan error"],
-    "safety": ["danger", "warning", "caution", "hazard", "safety"],
-    "troubleshooting": ["error", "fault", "fail", "not working", "problem", "troubleshoot"],
-    "legal": ["warranty", "liability", "license", "copyright", "legal"],
-    "procedure": ["how to", "install", "replace", "clean", "assemble", "step"],
-    "overview": ["overview", "introduction", "what is", "feature"],
-    "component": ["part", "component", "button", "panel", "specification"],
+    "image_trace": ["pic", "image", "figure", "diagram", "图片", "图示"],
+    "ocr_audit": ["ocr", "source", "rawtext", "原文", "识别"],
+    "safety": ["safety", "warning", "caution", "安全", "警告"],
+    "troubleshooting": ["fault", "error", "broken", "repair", "故障", "排查"],
+    "legal": ["warranty", "policy", "legal", "保修", "声明"],
+    "procedure": ["howto", "how", "install", "replace", "setup", "如何", "步骤"],
+    "overview": ["overview", "toc", "chapter", "目录", "概览"],
+    "component": ["where", "button", "indicator", "port", "part", "按钮", "部件"],
+}
+# The markers of the older cascade, of safety, trouble, law, action, parts and scan errors.
+SAFETY_WORDS = ["安全", "警告", "警示", "注意", "小心", "危险", "禁止", "防护", "防护装备", "个人防护装备", "佩戴", "宽松衣物", "围巾", "项链", "标识", "标签", "电源", "触电", "雷雨"]
+TROUBLE_WORDS = ["故障", "异常", "原因", "排查", "解决", "维修", "损坏", "破损", "磨损", "不制冷", "不工作", "报警", "失灵"]
+LEGAL_WORDS = ["保修", "法规", "声明", "责任", "政策", "支持与服务", "网站", "网址", "附录", "废弃", "回收", "报废", "环保"]
+ACTION_WORDS = ["安装", "设置", "使用", "步骤", "切换", "更换", "拆卸", "调节", "启动", "停机", "操作", "加油", "加注", "混合", "清洁", "维护", "保养", "检查", "范围", "问题"]
+PART_WORDS = ["部件", "接口", "位置", "按键", "按钮", "指示灯", "追踪灯", "配件", "滤清器", "吹风管", "喷口"]
+OCR_WORDS = ["ocr", "识别", "截断", "缺失", "原文", "源数据", "英国用户"]
+OCR_FLAGS = ["ocr_corruption", "possible_missing_content", "truncated_list", "header_missing", "ambiguous_image_binding"]
+OLDER_WORDS = {
+    "image_trace": ["图片", "图示", "配图", "对应图", "pic"],
+    "ocr_audit": ["ocr", "原文", "源数据", "识别错误", "乱码", "截断", "缺失"],
+    "safety": SAFETY_WORDS,
+    "troubleshooting": TROUBLE_WORDS,
+    "legal": ["保修", "法规", "声明", "责任", "政策", "支持与服务", "网站", "网址", "废弃", "回收", "报废", "环保"],
+    "procedure": ["怎么", "如何", "步骤", "安装", "设置", "更换", "切换", "使用", "拆卸", "开启", "关闭", "调节"],
+    "overview": ["目录", "概览", "章节", "哪些内容", "有哪些", "整章", "附录"],
+    "component": ["是什么", "在哪", "位置", "接口", "按键", "按钮", "指示灯", "部件"],
 }
+LIGHT_STATES, LIGHTS = ["状态", "红色", "白色", "蓝色", "灯灭"], ["指示灯", "追踪灯", "状态指示灯", "后侧灯光", "内部灯"]
+# Parts of chunk type names and the family that each stands for.
+TYPE_MARKERS = {
+    "auxiliary": ["metadata", "navigation", "image_path", "aux"],
+    "overview": ["overview", "summary", "group"],
+    "safety": ["safety", "warning", "caution", "ppe", "protection"],
+    "legal": ["legal", "warranty", "regulation", "emissions"],
+    "troubleshooting": ["troubleshooting", "fault", "problem", "prevention"],
+    "procedure": ["step", "task", "install", "installation", "startup", "start", "stop", "fueling", "mix", "mixing", "operation", "adjustment", "cleaning", "maintenance", "service", "prevention", "requirement"],
+    "component": ["component", "item", "device", "accessory", "part", "port", "button", "indicator", "label", "tube", "nozzle", "filter", "carburetor", "muffler", "needle"],
+}
+# Fixed values of the router: manuals named, customer service, its context, and words of a question to a manual.
+MANUAL_NAMED = ["根据手册", "按照手册", "手册中", "说明书中", "根据说明书", "原文", "章节", "图示", "ocr", "according to the manual", "in the manual", "manual program"]
+SERVICE_WORDS = [
+    "商品", "订单", "下单", "付款", "支付", "退款", "退货", "换货", "退换货", "售后", "客服", "物流", "快递", "运费", "配送", "发票", "优惠券", "投诉", "赔偿", "补发", "补寄", "少发", "漏发", "包装破损", "质量问题", "详情页",
+    "上门安装服务", "试用装", "七天无理由", "7天无理由", "customer service", "order", "shipping", "delivery", "invoice", "refund", "return", "coupon",
+]
+SERVICE_CONTEXT = ["我购买", "我收到", "你们家", "你们的商品", "申请售后", "联系售后", "联系平台", "上门人员", "安装人员", "检修人员", "维修人员", "额外收取", "收取费用", "承诺的", "该怎么处理"]
+MANUAL_WORDS = [
+    "如何", "怎么", "怎样", "是什么", "有哪些", "指什么", "作用", "功能", "步骤", "安装", "装入", "设置", "连接", "配对", "操作", "使用", "启动", "关闭", "调节", "拆卸", "更换", "清洁", "组装", "校准", "复位", "重置", "指示灯", "按钮",
+    "按键", "接口", "部件", "参数", "规格", "故障", "排查", "安全", "警告", "how to", "how the", "how do", "how can", "how should", "what is", "what are", "what do", "what can", "what should", "what kinds", "what information",
+    "please introduce", "if i need to", "when encountering", "difficult to", "first use", "install", "setup", "connect", "pair", "operate", "replace", "clean", "assemble", "button", "indicator", "component", "specification",
+    "troubleshoot", "safety",
+]
+# What else a term may be called.
+SYNONYMS = {
+    "吹管": ["吹风管", "喷口"], "吹风管": ["吹管", "喷口"], "防护装备": ["个人防护装备", "听力防护", "眼部防护", "面罩", "工作靴"], "个人防护装备": ["防护装备", "听力防护", "眼部防护", "面罩", "工作靴"],
+    "宽松衣物": ["衣物", "宽松", "围巾", "项链", "长发"], "警示标识": ["警示标签", "警告标识", "破损", "磨损"], "警示标签": ["警示标识", "警告标识", "破损", "磨损"], "加油": ["加注", "油箱", "加油操作"],
+    "燃油混合": ["混合方法", "汽油", "机油", "1:50"], "混合": ["燃油混合", "混合方法"], "冷机启动": ["冷机", "启动"], "热机启动": ["热机", "启动"], "维护": ["清洁", "保养", "检查"], "空气滤清器": ["滤清器", "清洁", "维护"],
+}
+# Fixed values of query variants: words that are dropped, endings that are cut, and what an intent adds.
+FILLERS, ENDINGS = ["怎么", "如何", "请问", "想问", "帮我", "一下", "这个", "这个是", "请问一下"], ["是什么", "在哪", "怎么用", "怎么看", "怎么办", "是什么图", "对应什么"]
+VARIANT_WORDS = {"procedure": "步骤 安装 设置 使用", "component": "部件 位置 说明", "legal": "条款 保修 声明", "safety": "安全 注意 警告 电源", "troubleshooting": "故障 原因 排查 解决", "ocr_audit": "OCR 原文 识别错误 缺失"}
+# Chunk types by earlier types and markers, in the order in which they are asked, for English and Chinese manuals.
+AUX_TYPES = ["metadata_image_path", "aux_navigation"]
+TYPES_EN = [
+    ("legal_statement", ["legal_clause"], ["warranty", "copyright", "fcc", "compliance", "liability", "trademark"]),
+    ("safety_warning", [], ["warning", "caution", "danger", "safety", "electric shock", "injury", "fire hazard"]),
+    ("troubleshooting_qa", [], ["troubleshooting", "problem", "cause", "solution", "error code", "cannot", "does not work"]),
+    ("parts_list", [], ["package contents", "parts list", "supplied accessories", "included", "contents of package"]),
+    ("specification_table", ["table"], ["specification", "specifications", "rating", "dimension", "voltage", "model", "capacity"]),
+    ("assembly_steps", [], ["install", "installation", "assemble", "assembly", "mount", "connect", "insert", "remove", "attach", "replace"]),
+    ("maintenance_guide", [], ["clean", "cleaning", "maintenance", "store", "storage", "inspect", "lubricat", "filter", "service"]),
+    ("operation_guide", ["procedure_step"], ["press", "select", "set", "start", "stop", "use ", "operate", "adjust", "configure"]),
+    ("component_description", ["text_image_atomic", "feature_group"], ["location", "overview", "component", "button", "connector", "control", "feature"]),
+    ("product_overview", ["section_summary"], ["introduction", "about this", "description", "general information"]),
+]
+TYPES_ZH = [
+    ("safety_warning", ["safety_clause", "caution_clause"], ["安全", "警告", "危险", "禁止", "防护", "伤害", "佩戴"]),
+    ("legal_statement", ["legal_clause"], ["保修", "法律", "声明", "版权", "fcc", "合规", "责任限制", "回收", "废弃"]),
+    ("troubleshooting_qa", ["troubleshooting_case", "troubleshooting_condition", "troubleshooting_cause", "troubleshooting_problem", "troubleshooting_answer"], ["故障", "故障排除", "问题", "原因", "解决", "无法", "不能启动", "不工作"]),
+    ("parts_list", [], ["零件清单", "部件清单", "配件清单", "装箱清单", "清单表格", "parts list"]),
+    ("specification_table", ["table"], ["技术参数", "规格", "参数", "额定", "尺寸", "重量", "载重", "电池", "电压", "保险丝", "型号", "适用年龄"]),
+    ("assembly_steps", [], ["组装", "安装", "装配", "固定", "插入", "连接", "拆卸", "接线", "充电步骤"]),
+    ("maintenance_guide", [], ["维护", "保养", "清洁", "更换", "检查", "滤清器", "滤网", "火花塞", "润滑", "存放", "维修"]),
+    ("operation_guide", ["procedure_step", "procedure_overview"], ["操作", "使用", "启动", "停止", "设置", "模式", "按键", "控制", "配对", "拍摄", "播放", "开关", "充电"]),
+    ("product_overview", [], ["产品介绍", "概述", "简介", "目录", "适用范围", "说明书"]),
+    ("component_description", ["text_image_atomic", "feature_group"], ["产品描述", "部件", "组件", "结构", "功能", "按钮", "接口", "外观", "图解", "位置", "标注"]),
+]
 #: Critical groups: words that a question has all of, one of, and none of, and the group's terms.
 CRITICAL = (
     (["冷机"], [], [], ["冷机"]),
@@ -52,21 +131,29 @@ CRITICAL = (
     ([], ["ocr", "缺失", "识别"], [], ["ocr", "缺失", "识别", "源数据"]),
 )
 SUMMARY_TYPES = ["procedure_overview", "product_overview", "section_summary"]
-#: Words of a question that asks for safety.
-SAFETY_WORDS = ["安全", "警告", "警示", "注意", "小心", "危险", "禁止", "防护", "防护装备", "个人防护装备", "佩戴", "宽松衣物", "围巾", "项链", "标识", "标签", "电源", "触电", "雷雨"]
 
 
 def _any(text: Column, words: list[str]) -> Column:
     return F.exists(X.strings(words), lambda w: text.contains(w))
 
 
+def _first(cases: list[tuple[Column, str]], otherwise: str) -> Column:
+    (test, name), *rest = cases
+    return reduce(lambda acc, c: acc.when(*c), rest, F.when(test, name)).otherwise(otherwise)
+
+
 def intent(text: Column) -> Column:
-    """The first intent with a marker in the query, else general."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = None
-    for name, words in INTENT_WORDS.items():
-        out = F.when(_any(low, words), name) if out is None else out.when(_any(low, words), name)
-    return out.otherwise("general")
+    """The first intent with a marker in the text without white space, else general."""
+    low = X.normalize_text(F.coalesce(text, F.lit("")))
+    return _first([(_any(low, words), name) for name, words in INTENT_WORDS.items()], "general")
+
+
+def older_intent(text: Column) -> Column:
+    """The older cascade: picture ids and Chinese markers; a question about the state of a light asks for a component."""
+    low = X.normalize_text(F.coalesce(text, F.lit("")))
+    cases = [(_any(low, words), name) for name, words in OLDER_WORDS.items()]
+    cases[0] = ((X.picture_id(text) != "") | cases[0][0], "image_trace")
+    return _first([*cases[:2], (_any(low, LIGHT_STATES) & _any(low, LIGHTS), "component"), *cases[2:]], "general")
 
 
 def intent_score(name: Column, with_picture_id: Column) -> Column:
@@ -80,6 +167,89 @@ def family(chunk_type: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(v) for kv in TYPE_FAMILY.items() for v in kv)), chunk_type)
 
 
+def families(kind: Column, title: Column | None = None, section: Column | None = None, text: Column | None = None) -> Column:
+    """The sorted families of a chunk, by its type, parts of its type's name, and markers in title, section and text.
+
+    A chunk with a type but without any family is a subsection.
+    """
+    kind = X.strip(F.coalesce(kind, F.lit("")))
+    name = F.lower(kind)
+    hay = X.normalize_text(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (title, section, text) if c is not None), F.lit("")))
+    words = {"safety": SAFETY_WORDS, "troubleshooting": TROUBLE_WORDS, "legal": LEGAL_WORDS, "procedure": ACTION_WORDS, "component": PART_WORDS, "overview": ["目录", "概览", "附录"]}
+    found = [F.when(_any(name, marks), F.lit(f)) for f, marks in TYPE_MARKERS.items()] + [F.when(_any(hay, marks), F.lit(f)) for f, marks in words.items()]
+    held = F.array_sort(F.array_distinct(F.array_compact(F.array(family(kind), *found))))
+    return F.when((F.size(held) == 0) & (kind != ""), F.array(F.lit("subsection"))).otherwise(held)
+
+
+def classified_type(text: Column, earlier: Column | None = None, chinese: bool = False) -> Column:
+    """The type of a chunk by its earlier types and the markers in its text, English and Chinese in their own orders.
+
+    One auxiliary type alone stays as it is.
+    """
+    none = F.expr("cast(array() AS array<string>)")
+    had = F.filter(F.coalesce(earlier, none), lambda t: t != "") if earlier is not None else none
+    low = F.lower(F.coalesce(text, F.lit("")))
+    cases = [(_any(low, words) | (F.arrays_overlap(had, X.strings(types)) if types else F.lit(False)), name) for name, types, words in (TYPES_ZH if chinese else TYPES_EN)]
+    kept = (F.size(F.array_distinct(had)) == 1) & F.get(had, F.lit(0)).isin(AUX_TYPES)
+    return F.when(kept, F.get(had, F.lit(0))).otherwise(_first(cases, "general_info"))
+
+
+def synonyms(terms: Column) -> Column:
+    """X11: each term, then what it may also be called; a term is known by containing a key or, from three letters on, being part of one."""
+    norm = X.normalize_text
+
+    def more(term: Column) -> Column:
+        own = norm(term)
+        found = [F.when(own.contains(norm(F.lit(key))) | ((F.length(own) >= 3) & norm(F.lit(key)).contains(own)), X.strings(names)).otherwise(F.expr("cast(array() AS array<string>)")) for key, names in SYNONYMS.items()]
+        return F.concat(F.array(term), *found)
+
+    every = F.flatten(F.transform(F.filter(terms, lambda t: norm(t) != ""), more))
+    seen = F.transform(every, norm)
+    return F.filter(every, lambda t, i: F.array_position(seen, norm(t)) == i + 1)
+
+
+def variants(text: Column, name: Column, terms: Column) -> Column:
+    """The question, without its fillers, its terms, and its terms with what the intent adds; each once.
+
+    An English question has itself and its terms.
+    """
+    question, joined = X.strip(F.coalesce(text, F.lit(""))), F.array_join(F.array_distinct(terms), " ")
+    compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
+    bare = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), FILLERS, compact)
+    bare = reduce(lambda c, w: F.when(c.endswith(w), F.left(c, F.length(c) - len(w))).otherwise(c), ENDINGS, bare)
+    spaced, some = F.array_join(terms, " "), F.size(terms) > 0
+    pic = X.picture_id(text)
+    more = [F.when((name == n) & some, F.concat(spaced, F.lit(" " + words))) for n, words in VARIANT_WORDS.items()]
+    trace = name == "image_trace"
+    more += [F.when(trace & (pic != ""), pic), F.when(trace & (pic != ""), F.concat(pic, F.lit(" 图片 对应"))), F.when(trace & (pic == "") & some, F.concat(spaced, F.lit(" 图片 配图")))]
+    more.append(F.when((name == "general") & some, F.array_join(F.array_distinct(F.filter(terms, lambda t: F.length(X.normalize_text(t)) >= 2)), " ")))
+    chinese = F.array(question, F.when(bare != compact, bare), F.when(some, joined), *more)
+    made = F.when(X.detect_language(text) == "en", F.array(question, F.when(some, joined))).otherwise(chinese)
+    return F.array_distinct(F.filter(F.transform(F.array_compact(made), X.strip), lambda v: v != ""))
+
+
+def ocr_candidate(terms: Column, title: Column, section: Column, index_text: Column, note: Column, flags: Column, tier: Column) -> Column:
+    """whether a chunk stays for a question about scan errors: flagged, marked, or holding a term."""
+    none, blank = F.expr("cast(array() AS array<string>)"), F.lit("")
+    hay = X.normalize_text(F.concat_ws(" ", *(F.coalesce(c, blank) for c in (title, section, index_text, note))))
+    held = F.arrays_overlap(F.coalesce(flags, none), X.strings(OCR_FLAGS)) | _any(hay, OCR_WORDS) | F.exists(F.transform(terms, X.normalize_text), lambda t: (t != "") & hay.contains(t))
+    return ~F.coalesce(tier.isin("auxiliary", "support"), F.lit(False)) & held
+
+
+def legal_candidate(terms: Column, title: Column, section: Column, kind: Column, tier: Column) -> Column:
+    """whether a chunk stays for a legal question: a clause, a legal heading, or a heading with a legal term of the question."""
+    blank = F.lit("")
+    hay = X.normalize_text(F.concat_ws(" ", F.coalesce(title, blank), F.coalesce(section, blank)))
+    asked = F.filter(F.transform(terms, X.normalize_text), lambda t: _any(t, LEGAL_WORDS))
+    held = F.coalesce(kind == "legal_clause", F.lit(False)) | _any(hay, LEGAL_WORDS) | F.exists(asked, lambda t: (t != "") & hay.contains(t))
+    return ~F.coalesce(tier == "auxiliary", F.lit(False)) & held
+
+
+def trim_limit(name: Column) -> Column:
+    """How many results an intent keeps; null for all."""
+    return F.when(name == "ocr_audit", 1).when(name.isin("legal", "safety", "troubleshooting"), 3)
+
+
 def chunk_types(families: Column) -> Column:
     """The chunk types of families, in order and each once; no family allows all."""
     types = F.create_map(*(v for k, t in FAMILY_TYPES.items() for v in (F.lit(k), X.strings(t))))
@@ -123,18 +293,18 @@ def critical_groups(query: Column) -> Column:
 
 def relevance(
     row_terms: Column, title: Column, section: Column, index_text: Column, text: Column, score: Column, name: Column, kind: Column, tier: Column, prefer_support: Column,
-    query: Column | None = None, pic_ids: Column | None = None, flags: Column | None = None, note: Column | None = None, families: Column | None = None,
+    query: Column | None = None, pic_ids: Column | None = None, flags: Column | None = None, note: Column | None = None, known: Column | None = None,
 ) -> Column:
     """The lexical relevance of a chunk: base, picture id, term and group points by field, intent and tier adjustments.
 
-    ``pic_ids``, ``flags`` and ``families`` are arrays; a chunk without given
-    families has that of its type.
+    ``pic_ids``, ``flags`` and ``known``, families found before, are arrays; a
+    chunk without known families has those that X15 infers.
     """
     none = F.expr("cast(array() AS array<string>)")
     array = lambda c: none if c is None else F.coalesce(c, none)
     norm = lambda c: X.normalize_text(F.coalesce(F.lit("") if c is None else c, F.lit("")))
-    own = F.when(family(kind).isNull(), none).otherwise(F.array(family(kind)))
-    of, kind, tier, row_terms = F.coalesce(own if families is None else families, own), F.coalesce(kind, F.lit("")), F.coalesce(tier, F.lit("")), F.coalesce(row_terms, none)
+    inferred = families(kind, title, section, text)
+    of, kind, tier, row_terms = inferred if known is None else F.coalesce(known, inferred), F.coalesce(kind, F.lit("")), F.coalesce(tier, F.lit("")), F.coalesce(row_terms, none)
     asked = norm(query)
     h_title, h_section, h_index, h_text, h_pics, h_note = norm(title), norm(section), norm(index_text), norm(text), norm(F.array_join(array(pic_ids), " ")), norm(note)
     fields = [(h_title, 28.0), (h_section, 24.0), (h_index, 14.0), (h_text, 8.0), (h_pics, 14.0), (h_note, 8.0)]
@@ -174,16 +344,24 @@ def relevance(
     return F.round(legacy_base(score) + by_pic + unmet + by_term + by_group + target + special + by_tier, 6)
 
 
-def routed(text: Column) -> Column:
-    """whether a question goes to the manuals: image and model rules, generic terms, intent markers."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when((X.picture_id(text) != "") | _any(low, INTENT_WORDS["image_trace"]), True)
-        .when(low.rlike(r"\b[a-z]{2,}[0-9]{2,}\b"), True)
-        .when(low.contains("manual"), True)
-        .when(low.rlike(r"^\s*(hi|hello|thanks|thank you|bye)\b"), False)
-        .otherwise(intent(text) != "general")
-    )
+def routed(text: Column, has_images: Column | None = None, products: list[str] | None = None) -> Column:
+    """whether a question may search the manuals.
+
+    In order: nothing asked, no; an image or picture id, a product's name or a
+    model's, or a manual named, yes; customer service words or context, no; else
+    whether it has a word of a question to a manual.  A product name of Latin
+    letters counts as a whole word.
+    """
+    low = F.lower(X.strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
+    named = F.lit(False)
+    for p in products or []:
+        p = " ".join(p.lower().split())
+        named = named | (low.rlike(rf"(?<![a-z0-9])\Q{p}\E(?![a-z0-9])") if p.isascii() else low.contains(p))
+    picture = low.rlike(r"(?U)\bmanual\d+_[a-z0-9_]+\b")
+    model = low.rlike(r"(?U)\b(?=[a-z0-9-]*[a-z])(?=[a-z0-9-]*\d)[a-z][a-z0-9-]{3,}\b")
+    shown = F.lit(False) if has_images is None else F.coalesce(has_images, F.lit(False))
+    yes = shown | picture | named | model | _any(low, MANUAL_NAMED)
+    return F.when(low == "", False).when(yes, True).when(_any(low, SERVICE_WORDS + SERVICE_CONTEXT), False).otherwise(_any(low, MANUAL_WORDS))
 
 
 def active_documents(hits: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Extension points: tokenizers, embedders, rerankers, analyzers.
+"""Extension points: tokenizers, embedders, rerankers, analyzers.
 
 Models are never imitated: without a hook the operator that would call one says
 so, or takes its documented fallback.
@@ -38,6 +38,8 @@ class Registry:
 
 
 rerankers, tokenizers, embedders, analyzers = Registry("reranker"), Registry("tokenizer"), Registry("embedder"), Registry("analyzer")
+#: Recall channels by name: (chunks, queries, fetch) to (query_id, chunk_id, score, rank).
+providers = Registry("recall provider")
 
 
 def tokenized(docs: DataFrame, hook: Callable[[str], list[str]]) -> DataFrame:
@@ -75,4 +77,4 @@ def embedded(docs: DataFrame, hook: Callable[[list[str]], list[list[float]]], ba
     return docs.select("id", "text").mapInPandas(run, "id string, vector array<double>, error string")
 
 
-__all__ = ["Registry", "analyzers", "embedded", "embedders", "rerankers", "tokenized", "tokenizers"]
+__all__ = ["Registry", "analyzers", "embedded", "embedders", "providers", "rerankers", "tokenized", "tokenizers"]

@@ -16,12 +16,13 @@ from tessera.functions import text as X
 from tessera.operators import chunking as C
 from tessera.operators import evaluate as E
 from tessera.operators import hierarchy as H
+from tessera.operators import ingest as I
 from tessera.operators import memory as M
 from tessera.operators import ops as O
 from tessera.operators import retrieval as R
 from tessera.operators import understand as U
-from tessera.plans.retrieve import retrieve
-from tessera.sources.files import quarantine_split
+from tessera.plans import retrieve as P
+from tessera.sources.files import changed_states, quarantine_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -64,7 +65,7 @@ def x04_tokens(spark, sf):
 @query
 def x05_index_tokens(spark, sf):
     t = X.index_tokens(F.col("text"))
-    return _t(spark, sf, "benchmark").select("item_id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens"))
+    return _t(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 
 @query
@@ -91,7 +92,7 @@ def x24_sentences(spark, sf):
 
 @query
 def x26_alnum(spark, sf):
-    return _t(spark, sf, "benchmark").select("item_id", X.alnum(F.col("text")).alias("plain"))
+    return _t(spark, sf, "documents").select("doc_id", F.md5(X.alnum(F.coalesce("text", F.lit(""))).cast("binary")).alias("digest"))
 
 
 @query
@@ -185,12 +186,156 @@ def j12_completed(spark, sf):
     return R.completed(_scan(spark, sf, 3), _bm25(spark, sf))
 
 
+def _doc_chunks(spark, sf):
+    """Documents as primary chunks, titled by their source."""
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("primary").alias("tier"), "text", F.col("source").alias("title"))
+
+
+def _questions(spark, sf):
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 @query
 def r05_scan_needed(spark, sf):
-    queries = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.size(X.query_terms(F.col("text"))).alias("n_terms"))
-    best = _bm25(spark, sf).groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("n_hits"))
-    rows = queries.join(best, "query_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
-    return rows.select("query_id", "n_hits", R.scan_needed(F.col("best"), F.col("best"), F.col("n_terms"), F.lit("general"), F.col("n_hits")).alias("scan"))
+    return P.weak_queries(_bm25(spark, sf).withColumn("channel", F.lit("bm25")), _doc_chunks(spark, sf), P.analyzed(_questions(spark, sf)))
+
+
+@query
+def t03_lexical_order(spark, sf):
+    asked = P.analyzed(_questions(spark, sf)).withColumn("intent", U.older_intent(F.col("text")))
+    return P.lexical_order(_bm25(spark, sf), _doc_chunks(spark, sf), asked)
+
+
+@query
+def f16_filtered_rank(spark, sf):
+    hits = _bm25(spark, sf)
+    return R.filtered_rank(hits, _t(spark, sf, "documents").withColumnRenamed("doc_id", "chunk_id"), hits, R.metadata_filter({"lang": ["en", "es"]}))
+
+
+@query
+def t06_fetch_limits(spark, sf):
+    limit = F.greatest(F.lit(32), 4 * F.col("item_id"), F.lit(8))
+    return _t(spark, sf, "benchmark").select("item_id", limit.cast("long").alias("fetch"))
+
+
+def _evidence(spark, sf):
+    ranking = _bm25(spark, sf, 3).withColumn("role", F.lit("primary"))
+    pics = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.array(F.concat(F.lit("p"), "doc_id")))
+    return I.evidence_hits(ranking, _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text", pics.alias("pic_ids")))
+
+
+@query
+def p08_evidence(spark, sf):
+    return _evidence(spark, sf).select("query_id", "rank", "role", "chunk_id", "doc_id", "score", "text")
+
+
+@query
+def p09_hit_summaries(spark, sf):
+    return I.hit_summaries(_evidence(spark, sf)).select("query_id", F.array_join(F.transform("hits", lambda h: h["chunk_id"].cast("string")), ",").alias("chunks"), "with_images")
+
+
+@query
+def a11_evidence(spark, sf):
+    pics = F.array(F.concat(F.lit("p"), F.pmod("chunk_id", F.lit(10))))
+    hits = _bm25(spark, sf).withColumn("role", F.lit("primary")).withColumn("pic_ids", pics)
+    wanted = F.when(F.pmod("query_id", F.lit(2)) == 1, F.array(F.concat(F.lit("p"), F.pmod("query_id", F.lit(10)))))
+    cases = _questions(spark, sf).select("query_id", U.intent(F.col("text")).alias("intent"), U.older_intent(F.col("text")).alias("said_intent"), F.array(7 * F.col("query_id")).alias("expected"), wanted.alias("expected_pics"))
+    return E.evidence_evaluation(cases, hits)
+
+
+@query
+def j15_summary_scores(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("source").alias("name"), F.col("lang").alias("kind"), "text")
+    return E.summary_scores(_questions(spark, sf), E.profile_summaries(E.document_profiles(docs))).withColumn("matched", F.array_join("matched", " "))
+
+
+@query
+def s14_collection_scan(spark, sf):
+    return I.collection_scan(_t(spark, sf, "documents"), {"lang": ["en", "fr"]}).select(F.col("doc_id").alias("chunk_id"), "lang", "score")
+
+
+@query
+def s15_bounded_scan(spark, sf):
+    return I.bounded_scan(_t(spark, sf, "documents"), {"lang": ["de"]}, 100, "doc_id").select(F.col("doc_id").alias("chunk_id"), "lang", "score")
+
+
+@query
+def p04_doc_names(spark, sf):
+    n = lambda m: F.pmod("page_id", F.lit(m))
+    named, known = F.when(n(5) == 0, " named "), F.when(n(3) == 0, F.concat(F.lit("id"), "page_id"))
+    folder = F.when(n(2) == 0, F.concat(F.lit("m01__suffix"), n(7))).otherwise("m01")
+    path = F.concat(F.lit("data/"), folder, F.lit("/"), F.regexp_extract("url", "([^/]*)/?$", 1))
+    return _t(spark, sf, "pages").select("page_id", I.doc_name(named, known, path).alias("name"))
+
+
+@query
+def p05_paths(spark, sf):
+    page, n = F.col("page_id").cast("string"), F.pmod("page_id", F.lit(3))
+    raw = F.when(n == 0, F.concat(F.lit(" C:\\x\\data\\\\"), page, F.lit("//a.md "))).when(n == 1, F.concat(F.lit("/srv//docs/x"), page)).otherwise(F.concat(F.lit("//plain/"), page))
+    return _t(spark, sf, "pages").select("page_id", I.portable_path(raw).alias("path"))
+
+
+@query
+def p06_budgeted(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("index_text"), "text", F.split("text", " ").alias("words"))
+    cut = I.budgeted(rows, ["lang", "index_text", "text", "words"], 6_000, 500)
+    return cut.select("doc_id", F.octet_length("index_text").cast("long").alias("index_bytes"), F.octet_length("text").cast("long").alias("text_bytes"))
+
+
+@query
+def p11_rerank_text(spark, sf):
+    n = F.pmod("doc_id", F.lit(3))
+    index, content = F.when(n == 0, F.concat(F.lit(" "), "lang")).when(n == 1, F.lit("  ")), F.when(n == 1, F.col("source"))
+    return _t(spark, sf, "documents").select("doc_id", I.rerank_text(index, content, F.concat_ws("-", "lang", "source")).alias("said"))
+
+
+@query
+def p12_index_text(spark, sf):
+    one = lambda c: F.array(F.col(c))
+    text = I.index_text([one("text"), one("text"), one("lang"), F.array("source", "lang"), F.array(F.lit(None).cast("string"), F.concat(F.lit("k"), "doc_id"))])
+    return _t(spark, sf, "documents").select("doc_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+@query
+def s19_regions(spark, sf):
+    name = F.when(F.col("r_regionkey") == 0, "北京").when(F.col("r_regionkey") == 1, "中国香港").otherwise(F.col("r_name"))
+    return O.region_lookup(_t(spark, sf, "region").select("r_regionkey", name.alias("region_name"))).select("r_regionkey", "region_code", "available")
+
+
+@query
+def a13_judge(spark, sf):
+    rows = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id")
+    asked = rows.select(F.col("doc_id").alias("question_id"), F.col("lang").alias("question_type"))
+    said = F.when(F.col("quality") != 1, "maybe").when(F.col("toxic") == 1, " Yes.").when(F.col("toxic") == 0, "no")
+    return E.judge_accuracy(asked, rows.select(F.col("doc_id").alias("question_id"), said.alias("label")))
+
+
+@query
+def f15_cases(spark, sf):
+    even = _t(spark, sf, "benchmark").filter("item_id % 2 = 0")
+    return E.case_subset(even, None, 3, 10, "item_id").select("item_id")
+
+
+@query
+def e07_replay(spark, sf):
+    part = _t(spark, sf, "part")
+    tool, args = F.when(F.col("p_size") % 2 == 0, "GetAlerts").otherwise("GetResources"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.lit(""))
+    cached = part.select(F.format_string("%08d", "p_partkey").alias("key"), tool.alias("tool"), args.alias("args"), F.col("p_name").alias("output"))
+    return O.replayed(part.select(F.col("p_partkey").alias("call_id"), tool.alias("tool"), args.alias("args")), cached).select("call_id", "tool", "matched_key")
+
+
+@query
+def k13_states(spark, sf):
+    events = _t(spark, sf, "events")
+    first = events.groupBy(F.col("user_id").alias("session_id")).agg(F.min("event_type").alias("goal"), F.count("*").alias("n"))
+    new = first.select("session_id", F.when(F.col("n") > 1, "busy").otherwise(F.col("goal")).alias("goal"), F.lit(2).cast("long").alias("updated_at"))
+    return changed_states(first.select("session_id", "goal", F.lit(1).cast("long").alias("updated_at")), new)
+
+
+@query
+def r12_staged(spark, sf):
+    chunks = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.pmod("doc_id", F.lit(4)) == 0, "support").otherwise("primary").alias("tier"), "text", F.col("source").alias("title"), U.classified_type(F.col("text")).alias("kind"))
+    return P.staged(_bm25(spark, sf), chunks, _questions(spark, sf))
 
 
 @query
@@ -239,7 +384,49 @@ def j14_whole_profile_scores(spark, sf):
 @query
 def x13_intents(spark, sf):
     docs = _t(spark, sf, "documents")
-    return docs.groupBy(U.intent(F.col("text")).alias("intent"), U.routed(F.col("text")).alias("routed")).agg(F.count("*").alias("n"))
+    return docs.groupBy(U.intent(F.col("text")).alias("intent"), U.older_intent(F.col("text")).alias("older")).agg(F.count("*").alias("n"))
+
+
+@query
+def f12_routed(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", U.routed(F.col("text")).alias("routed"))
+
+
+@query
+def x10_variants(spark, sf):
+    terms = X.query_terms(F.col("text"))
+    return _t(spark, sf, "benchmark").select("item_id", F.array_join(U.variants(F.col("text"), U.older_intent(F.col("text")), terms), "|").alias("variants"))
+
+
+@query
+def x25_types(spark, sf):
+    return _t(spark, sf, "documents").groupBy("lang", U.classified_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def x15_families(spark, sf):
+    kinds = _t(spark, sf, "documents").select("text", U.classified_type(F.col("text")).alias("kind"))
+    return kinds.groupBy(F.array_join(U.families(F.col("kind"), text=F.col("text")), ",").alias("families")).agg(F.count("*").alias("n"))
+
+
+@query
+def x21_answer_text(spark, sf):
+    plain = X.markdown_to_answer(F.col("text"))
+    return _t(spark, sf, "documents").select("doc_id", F.length(plain).cast("long").alias("n"), F.md5(plain.cast("binary")).alias("digest"))
+
+
+@query
+def x31_settings(spark, sf):
+    kind, n = F.col("event_type"), F.pmod("event_id", F.lit(2))
+    flag = F.when(kind == "click", " Yes ").when(kind == "view", "off").otherwise(F.when(n == 0, "1").otherwise("0"))
+    amount = F.when(F.pmod("event_id", F.lit(3)) == 0, "none").otherwise(F.col("value").cast("string"))
+    return _t(spark, sf, "events").select("event_id", X.to_bool(flag, True).alias("flag"), X.to_int(F.get_json_object("props", "$.k"), -1).alias("number"), X.to_float(amount, 0.5).alias("amount"))
+
+
+@query
+def x32_index_text(spark, sf):
+    made = X.placed_index_text(F.array("source", "lang"), F.col("source"), F.col("text"))
+    return _t(spark, sf, "documents").select("doc_id", F.md5(made.cast("binary")).alias("digest"))
 
 
 @query
@@ -248,7 +435,7 @@ def r14_retrieve(spark, sf):
     docs = _t(spark, sf, "documents")
     chunks = docs.select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.concat(F.lit("s-"), "source").alias("parent_id"), F.lit("primary").alias("tier"), "text")
     heads = docs.groupBy("source").agg(F.count("*").alias("n")).select(F.concat(F.lit("s-"), "source").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("support").alias("tier"), F.concat(F.lit("documents of "), "source").alias("text"))
-    return retrieve(chunks.unionByName(heads), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return P.retrieve(chunks.unionByName(heads), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 # --- chunking ---------------------------------------------------------------
@@ -522,7 +709,8 @@ def a10_hit_rates(spark, sf):
 
 @query
 def a15_length_stats(spark, sf):
-    return E.length_statistics(_t(spark, sf, "documents"), F.length("text").cast("long"), ["lang"])
+    """A document with an @ stands for a chunk with pictures."""
+    return E.length_statistics(_t(spark, sf, "documents"), F.length("text").cast("long"), ["lang"], F.col("text").contains("@"))
 
 
 @query

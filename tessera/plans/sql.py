@@ -1,9 +1,36 @@
-"""DuckDB SQL for the registered queries, written apart from the Spark plans."""
+"""DuckDB SQL for the registered queries, written apart from the Spark plans: nothing of the engine is imported."""
 
 from __future__ import annotations
 
-from tessera.functions.text import IRREGULAR, PROTECTED, STOPWORDS
-from tessera.operators.understand import INTENT_WORDS
+# Fixed values, stated here once more.
+STOPWORDS = (
+    "a an and are at be been but by can could did do does for from how i if in is it its may me might my of on or our "
+    "shall should so that the then these this those to was we were what when where which who why will with would you your"
+).split()
+PROTECTED = "change check close no not open run set start stop turn use".split()
+IRREGULAR = {"children": "child", "feet": "foot", "men": "man", "teeth": "tooth", "women": "woman"}
+INTENTS = [
+    ("image_trace", "pic image figure diagram"), ("ocr_audit", "ocr source rawtext"), ("safety", "safety warning caution"), ("troubleshooting", "fault error broken repair"),
+    ("legal", "warranty policy legal"), ("procedure", "howto how install replace setup"), ("overview", "overview toc chapter"), ("component", "where button indicator port part"),
+]
+MANUAL = "according to the manual|in the manual|manual program|ocr"
+SERVICE = "customer service|order|shipping|delivery|invoice|refund|return|coupon"
+ASKED = (
+    "how to|how the|how do|how can|how should|what is|what are|what do|what can|what should|what kinds|what information|please introduce|if i need to|when encountering|difficult to|first use|install|setup|connect|pair|operate|"
+    "replace|clean|assemble|button|indicator|component|specification|troubleshoot|safety"
+)
+TYPES = [
+    ("legal_statement", "warranty|copyright|fcc|compliance|liability|trademark"), ("safety_warning", "warning|caution|danger|safety|electric shock|injury|fire hazard"),
+    ("troubleshooting_qa", "troubleshooting|problem|cause|solution|error code|cannot|does not work"), ("parts_list", "package contents|parts list|supplied accessories|included|contents of package"),
+    ("specification_table", "specification|rating|dimension|voltage|model|capacity"), ("assembly_steps", "install|assemble|assembly|mount|connect|insert|remove|attach|replace"),
+    ("maintenance_guide", "clean|maintenance|store|storage|inspect|lubricat|filter|service"), ("operation_guide", "press|select|set|start|stop|use |operate|adjust|configure"),
+    ("component_description", "location|overview|component|button|connector|control|feature"), ("product_overview", "introduction|about this|description|general information"),
+]
+FAMILIES = {
+    "product_overview": "overview", "component_description": "component", "assembly_steps": "procedure", "operation_guide": "procedure", "maintenance_guide": "procedure", "troubleshooting_qa": "troubleshooting",
+    "safety_warning": "safety", "legal_statement": "legal", "parts_list": "component", "specification_table": "component", "general_info": "general",
+}
+NEWLINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def _list(words) -> str:
@@ -110,26 +137,85 @@ SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(
 FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.{where})) WHERE rank <= {k}"""
 
 
-_BUCKETS = "CASE WHEN length(text) < 100 THEN '0-99' WHEN length(text) < 300 THEN '100-299' WHEN length(text) < 500 THEN '300-499' WHEN length(text) < 800 THEN '500-799' WHEN length(text) < 1500 THEN '800-1499' ELSE '1500+' END"
-_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> '')"
-_SENTENCES = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '')"
-_PLAIN = "coalesce(text, '')"
-for _pattern, _to in (
-    ("(?i)<pic:[^>]*>", " "), ("(?s)```.*?```", " "), (r"!\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), ("`([^`]*)`", r"\1"), (r"(?m)^[ \t]*\|?[ \t:|-]*-{3,}[ \t:|-]*$", " "),
-    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]*", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*[0-9]+[.)][ \t]+", ""), (r"\|", " "), (r"\s+", " "),
-):
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_to}', 'g')"
+_BUCKETS = "CASE WHEN length(text) < 50 THEN '<50' WHEN length(text) < 100 THEN '50-99' WHEN length(text) < 200 THEN '100-199' WHEN length(text) < 500 THEN '200-499' WHEN length(text) < 1000 THEN '500-999' ELSE '1000+' END"
+
+
+def _bare(text: str) -> str:
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+def _squeezed(text: str) -> str:
+    return rf"lower(regexp_replace(coalesce({text}, ''), '\s+', '', 'g'))"
+
+
+def _has(text: str, words: str, mark: str = "|") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words.split(mark)) + ")"
+
+
+def _intent(squeezed: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_has(squeezed, words, ' ')} THEN '{name}'" for name, words in INTENTS) + " ELSE 'general' END"
+
+
+def _older(text: str, squeezed: str) -> str:
+    """What the older cascade gives for text without Chinese."""
+    return f"CASE WHEN regexp_matches({text}, '[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9]') OR contains({squeezed}, 'pic') THEN 'image_trace' WHEN contains({squeezed}, 'ocr') THEN 'ocr_audit' ELSE 'general' END"
+
+
+def _type(low: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_has(low, words)} THEN '{name}'" for name, words in TYPES) + " ELSE 'general_info' END"
+
+
+_DESCRIPTION = r"\{\{(?:此图片描述为|图片描述|image description)[:：]\s*(.*?)\}\}"
+
+
+def _plain(text: str) -> str:
+    out = f"coalesce({text}, '')"
+    for pattern, to in (
+        (rf"(?is)<PIC:[^>]+>(?:\s*{_DESCRIPTION})?", r" \1 "), (rf"(?is){_DESCRIPTION}", r" \1 "), ("(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^)]+\)", " "), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), ("`([^`]*)`", r"\1"),
+        (r"(?m)^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$", " "), (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s*[-*+·]\s*", ""), (r"(?m)^\s*[0-9]+[.)]\s+", ""), (r"\|", " "), (r"[ \t\r\f\v]+", " "), (" *\\n *", "\n"), ("\\n{3,}", "\n\n"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return _bare(out)
+
+
+def _deduped(source: str) -> str:
+    """(id, text) of a relation with id and text: each line once, single blank lines between others."""
+    return rf"""
+dd_l AS (SELECT id, unnest(list_transform(regexp_split_to_array(text, '{NEWLINES}'), lambda x: {_bare('x')})) AS line, unnest(range(len(regexp_split_to_array(text, '{NEWLINES}')))) AS i FROM {source}),
+dd_k AS (SELECT * FROM dd_l QUALIFY line = '' OR row_number() OVER (PARTITION BY id, regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g') ORDER BY i) = 1),
+dd_b AS (SELECT id, i, line, coalesce(lag(line) OVER (PARTITION BY id ORDER BY i), '') AS before FROM dd_k),
+deduped AS (SELECT s.id, regexp_replace(coalesce(t, ''), '\n+$', '') AS text FROM {source} s LEFT JOIN (SELECT id, string_agg(line, chr(10) ORDER BY i) FILTER (line <> '' OR before <> '') AS t FROM dd_b GROUP BY id) USING (id))"""
+
+
+_MARKED = r"regexp_replace(coalesce(text, ''), '([.!?])(\s|$)', '\1' || chr(1) || '\2', 'g')"
+_SENTENCES = rf"list_transform(regexp_extract_all({_MARKED}, '[^.!?\n\x01]+[.!?]\x01'), lambda s: {_bare('s[:-2]')})"
+_FULL_LINES = rf"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{NEWLINES}'), lambda l: {_bare('l')}), lambda l: l <> '')"
+
+
+def _x17(terms: str, query: str, title: str, text: str, score: str, intent: str, tier: str) -> str:
+    """X17 without Chinese text, chunk type, pictures and notes."""
+    h, t = _squeezed(title), _squeezed(text)
+    pic = f"regexp_extract({query}, '[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+')"
+    shown = f"CASE WHEN {pic} <> '' AND (contains({h}, lower({pic})) OR contains({t}, lower({pic}))) THEN 80 ELSE 0 END"
+    found = f"coalesce(list_sum(list_transform({terms}, lambda x: CASE WHEN contains({h}, x) THEN 28 ELSE 0 END + CASE WHEN contains({t}, x) THEN 8 ELSE 0 END)), 0)"
+    unmet = f"CASE WHEN len({terms}) > 0 AND len(list_filter({terms}, lambda x: contains({h} || {t}, x))) = 0 THEN -28 ELSE 0 END"
+    of = f"CASE WHEN {intent} = 'legal' THEN -42 WHEN {intent} IN ('component', 'procedure', 'safety', 'troubleshooting') THEN -12 WHEN {intent} = 'overview' AND {tier} = 'support' THEN 20 WHEN {intent} = 'ocr_audit' AND contains({h}, 'ocr') THEN 36 ELSE 0 END"
+    return f"round(10 / (1 + greatest({score}, 0)) + {shown} + {unmet} + {found} + {of} + CASE WHEN {tier} = 'primary' THEN 4 ELSE 0 END, 6)"
+
+
+#: Documents as chunks, benchmark items as questions.
+_ASKED = f"asked AS (SELECT item_id AS query_id, text AS query, {_terms('text')} AS terms, {_intent(_squeezed('text'))} AS intent, {_older('text', _squeezed('text'))} AS older FROM benchmark)"
+
+
+def _needles() -> str:
+    return "CASE WHEN n = 0 THEN TRUE WHEN intent IN ('image_trace', 'ocr_audit') THEN TRUE WHEN len(terms) = 0 THEN coalesce(merged, 0) < 0.18 ELSE coalesce(lexical, 0) < CASE WHEN intent IN ('safety', 'troubleshooting', 'general') THEN 24 ELSE 20 END END"
+
 
 _SQL = {
     "x01_normalize": r"SELECT doc_id, length(n) AS n, md5(n) AS digest FROM (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS n FROM documents)",
     "x02_language": "SELECT CASE WHEN regexp_matches(coalesce(text, ''), '[一-鿿]') THEN 'zh' ELSE 'en' END AS detected, CASE WHEN lower(trim(lang)) LIKE 'en%' THEN 'en' WHEN lower(trim(lang)) LIKE 'zh%' OR lower(trim(lang)) IN ('cn', 'chinese') THEN 'zh' ELSE 'none' END AS normalized, count(*) AS n FROM documents GROUP BY ALL",
     "x04_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
-    "x05_index_tokens": f"SELECT item_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT item_id, {_index_tokens('text')} AS t FROM benchmark)",
     "x07_query_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM benchmark",
-    "x20_markdown_text": f"SELECT doc_id, length(p) AS n, md5(p) AS digest FROM (SELECT doc_id, trim({_PLAIN}) AS p FROM documents)",
-    "x23_dedupe_lines": f"SELECT doc_id, length(p) AS n, md5(p) AS digest FROM (SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)) AS p FROM (SELECT doc_id, {_LINES} AS l FROM documents))",
-    "x24_sentences": f"SELECT doc_id, len(s) AS n, array_to_string(s[1:2], ' ') AS head, array_to_string(s[greatest(len(s) - 1, 1):], ' ') AS tail FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)",
-    "x26_alnum": r"SELECT item_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS plain FROM benchmark",
     "x28_clip": r"SELECT conv_id, turn, rtrim(trim(regexp_replace(text, '\s+', ' ', 'g'))[1:180]) AS clipped FROM conversations",
     "x30_chunk_keys": "SELECT page_id, CASE WHEN length(k) BETWEEN 1 AND 100 THEN k ELSE 'chunk_' || sha1(k) END AS key, sha256(url) AS user_dir FROM (SELECT page_id, url, trim(url || '#' || repeat('x', (page_id % 120)::INT)) AS k FROM pages)",
     "t01_bm25": f"WITH {_bm25()} SELECT * FROM bm25_10",
@@ -141,7 +227,6 @@ _SQL = {
     "j01_fused": f"{_CHANNELS}, {_FUSED} SELECT query_id, chunk_id, merged_score, channels, rank FROM fused",
     "j11_rank_changes": f"{_CHANNELS}, {_FUSED} SELECT f.query_id, f.chunk_id, f.rank AS rank_after, b.rank AS rank_before, b.rank - f.rank AS delta FROM fused f LEFT JOIN bm25_10 b USING (query_id, chunk_id)",
     "j12_completed": f"WITH {_bm25()}, {_scan(3)} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY part, place, chunk_id) AS rank FROM (SELECT query_id, chunk_id, 0 AS part, rank AS place FROM scan_3 UNION ALL SELECT b.query_id, b.chunk_id, 1, b.rank FROM bm25_10 b ANTI JOIN scan_3 s USING (query_id, chunk_id))",
-    "r05_scan_needed": f"WITH {_bm25()} SELECT q.item_id AS query_id, coalesce(n, 0) AS n_hits, CASE WHEN coalesce(n, 0) = 0 THEN TRUE WHEN t = 0 THEN best < 0.18 ELSE best < 24 END AS scan FROM (SELECT item_id, len({_terms('text')}) AS t FROM benchmark) q LEFT JOIN (SELECT query_id, max(score) AS best, count(*) AS n FROM bm25_10 GROUP BY query_id) b ON b.query_id = q.item_id",
     "r03_route_order": f"WITH {_bm25(5)}, {_scan(5)}, u AS (SELECT query_id, chunk_id, 0 AS route, rank FROM scan_5 UNION ALL SELECT query_id, chunk_id, 1, rank FROM bm25_5), o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY route, rank) = 1) SELECT * FROM (SELECT query_id, chunk_id, route, row_number() OVER (PARTITION BY query_id ORDER BY route, rank, chunk_id) AS place FROM o) WHERE place <= 8",
     "a03_noisy_or": f"{_CHANNELS}, p AS (SELECT query_id, chunk_id AS label, channel, round(norm * 0.9, 4) AS s FROM norm), f AS (SELECT query_id, label, round(1 - product(1 - s), 4) AS score, string_agg(channel, '+' ORDER BY channel) AS sources FROM p GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank, score >= 0.7 AS strong FROM f) WHERE rank <= 8",
     "a04_deduped_terms": r"WITH t AS (SELECT item_id AS query_id, unnest(string_split(text, ' ')) AS term, unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark), k AS (SELECT *, length(term)::DOUBLE AS weight, lower(regexp_replace(term, '\s+', '', 'g')) AS key FROM t), b AS (SELECT query_id, key, arg_max(term, struct_pack(w := weight, p := -pos)) AS term, max(weight) AS weight FROM k WHERE key <> '' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank FROM b) WHERE rank <= 16",
@@ -179,23 +264,58 @@ _SQL = {
     "k14_memory_state": "WITH a AS (SELECT user_id AS memory_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'view' THEN 'deactivate' ELSE 'update' END AS action FROM events), l AS (SELECT *, coalesce(sum((action = 'delete')::INT) OVER (PARTITION BY memory_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM a), g AS (SELECT memory_id, life, arg_max(action, seq) AS last, 'v' || max(seq) FILTER (action IN ('create', 'update')) AS content, min(seq) AS created_at, max(seq) AS updated_at FROM l GROUP BY ALL) SELECT memory_id, CASE last WHEN 'deactivate' THEN 'inactive' ELSE 'active' END AS status, content, created_at, updated_at FROM g WHERE life = (SELECT max(life) FROM g x WHERE x.memory_id = g.memory_id) AND last <> 'delete'",
     "a09_recall": f"WITH {_bm25()}, {_RELEVANT}, h AS (SELECT query_id, bool_or(relevant) AS hit FROM rel WHERE rank <= 5 GROUP BY 1), q AS (SELECT 'g' || (item_id % 4) AS grp, coalesce(hit, FALSE)::INT AS hit FROM benchmark LEFT JOIN h ON query_id = item_id) SELECT coalesce(grp, 'all') AS grp, count(*) AS n, sum(hit)::BIGINT AS hits, round(100 * avg(hit), 1) AS recall FROM q GROUP BY ROLLUP (grp)",
     "a10_hit_rates": f"WITH {_bm25()}, {_RELEVANT} SELECT (SELECT count(*) FROM benchmark) AS n, count(DISTINCT query_id) FILTER (relevant AND rank <= 1) AS at1, count(DISTINCT query_id) FILTER (relevant AND rank <= 3) AS at3, count(DISTINCT query_id) FILTER (relevant) AS anywhere FROM rel",
-    "a15_length_stats": "SELECT lang, count(text) AS n, min(length(text)) AS least, max(length(text)) AS greatest, round(avg(length(text)), 1) AS mean, round(median(length(text)), 1) AS median, round(stddev_samp(length(text)), 1) AS deviation FROM documents GROUP BY lang",
     "a15_length_buckets": f"SELECT {_BUCKETS} AS bucket, count(*) AS n FROM documents GROUP BY 1",
     "k02_quarantine": "SELECT CASE WHEN reason = '' THEN 'valid' ELSE 'quarantined' END AS state, reason, count(*) AS n FROM (SELECT CASE WHEN doc_id IS NULL THEN 'no_id' WHEN trim(coalesce(text, '')) = '' THEN 'no_text' WHEN strlen(text) > 8000 THEN 'too_long' ELSE '' END AS reason FROM documents) GROUP BY ALL",
 }
 
 
-def _marked(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + ")"
-
-
-_INTENT = "CASE " + " ".join(f"WHEN {_marked(words)} THEN '{name}'" for name, words in INTENT_WORDS.items()) + " ELSE 'general' END"
-_SQL["x13_intents"] = rf"""
-WITH t AS (SELECT coalesce(text, '') AS text, {_INTENT} AS intent FROM documents)
-SELECT intent, CASE WHEN regexp_matches(text, '[A-Za-z][A-Za-z0-9]*_[0-9]+_[0-9]+') OR {_marked(INTENT_WORDS["image_trace"])} THEN TRUE
- WHEN regexp_matches(lower(text), '\b[a-z]{{2,}}[0-9]{{2,}}\b') THEN TRUE WHEN contains(lower(text), 'manual') THEN TRUE
- WHEN regexp_matches(lower(text), '^\s*(hi|hello|thanks|thank you|bye)\b') THEN FALSE ELSE intent <> 'general' END AS routed, count(*) AS n FROM t GROUP BY ALL
-"""
+_SQL |= {
+    "x05_index_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_index_tokens('text')} AS t FROM documents)",
+    "x26_alnum": r"SELECT doc_id, md5(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g'))) AS digest FROM documents",
+    "x13_intents": f"SELECT {_intent('s')} AS intent, {_older('text', 's')} AS older, count(*) AS n FROM (SELECT coalesce(text, '') AS text, {_squeezed('text')} AS s FROM documents) GROUP BY ALL",
+    "f12_routed": rf"""WITH t AS (SELECT conv_id, turn, lower({_bare("regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')")}) AS q FROM conversations)
+SELECT conv_id, turn, CASE WHEN q = '' THEN FALSE WHEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])manual[0-9]+_[a-z0-9_]+') OR {_has('q', MANUAL)}
+ OR len(list_filter(regexp_extract_all(q, '[\p{{L}}\p{{N}}_-]+'), lambda x: regexp_matches(x, '(^|-)[a-z][a-z0-9-]*[0-9]') AND regexp_matches(x, '(^|-)[a-z][a-z0-9-]{{2,}}[a-z0-9]($|-)'))) > 0 THEN TRUE
+ WHEN {_has('q', SERVICE)} THEN FALSE ELSE {_has('q', ASKED)} END AS routed FROM t""",
+    "x10_variants": f"SELECT item_id, CASE WHEN len(terms) = 0 OR array_to_string(terms, ' ') = trim(text) THEN trim(text) ELSE trim(text) || '|' || array_to_string(terms, ' ') END AS variants FROM (SELECT item_id, text, {_terms('text')} AS terms FROM benchmark)",
+    "x20_markdown_text": f"SELECT doc_id, length(p) AS n, md5(p) AS digest FROM (SELECT doc_id, {_plain('text')} AS p FROM documents)",
+    "x23_dedupe_lines": f"WITH src AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {_deduped('src')} SELECT id AS doc_id, length(text) AS n, md5(text) AS digest FROM deduped",
+    "x24_sentences": f"SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN array_to_string(s[1:2], ' ') ELSE array_to_string(l[1:2], chr(10)) END AS head, CASE WHEN len(s) > 0 THEN array_to_string(s[greatest(len(s) - 1, 1):], ' ') ELSE array_to_string(l[greatest(len(l) - 1, 1):], chr(10)) END AS tail FROM (SELECT doc_id, {_SENTENCES} AS s, {_FULL_LINES} AS l FROM documents)",
+    "x25_types": f"SELECT lang, {_type('low')} AS kind, count(*) AS n FROM (SELECT lang, lower(coalesce(text, '')) AS low FROM documents) GROUP BY ALL",
+    "x15_families": "SELECT CASE kind " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in FAMILIES.items()) + f" END AS families, count(*) AS n FROM (SELECT {_type("lower(coalesce(text, ''))")} AS kind FROM documents) GROUP BY ALL",
+    "x31_settings": "SELECT event_id, CASE event_type WHEN 'click' THEN TRUE WHEN 'view' THEN FALSE ELSE event_id % 2 = 0 END AS flag, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS number, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE value END AS amount FROM events",
+    "x32_index_text": f"WITH b AS (SELECT doc_id AS id, source, lang, {_plain('text')} AS body FROM documents), src AS (SELECT id, source || ' > ' || lang || CASE WHEN body <> '' AND starts_with(body, source) THEN '' ELSE chr(10) || source END || CASE WHEN body <> '' THEN chr(10) || body ELSE '' END AS text FROM b), {_deduped('src')} SELECT id AS doc_id, md5(text) AS digest FROM deduped",
+    "a15_length_stats": "SELECT lang, count(text) AS n, sum(contains(text, '@')::INT)::BIGINT AS with_pics, min(length(text)) AS least, max(length(text)) AS greatest, round(avg(length(text)), 1) AS mean, round(median(length(text)), 1) AS median, coalesce(round(stddev_samp(length(text)), 1), 0) AS deviation FROM documents GROUP BY lang",
+    "p04_doc_names": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'named' WHEN page_id % 2 = 0 THEN 'suffix' || (page_id % 7) WHEN page_id % 3 = 0 THEN 'id' || page_id ELSE CASE WHEN regexp_matches(f, '.\\.[^.]*$') THEN regexp_replace(f, '\\.[^.]*$', '') ELSE f END END AS name FROM (SELECT page_id, regexp_extract(url, '([^/]*)/?$', 1) AS f FROM pages)".replace("\\\\", "\\"),
+    "p05_paths": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'data/' || page_id || '/a.md' WHEN 1 THEN 'docs/x' || page_id ELSE '/plain/' || page_id END AS path FROM pages",
+    "p11_rerank_text": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source ELSE lang || '-' || source END AS said FROM documents",
+    "p12_index_text": f"SELECT doc_id, md5(array_to_string(list_filter([{_bare("coalesce(text, '')")}, {_bare("coalesce(text, '')")}, lang, source, lang, 'k' || doc_id], lambda x: x <> ''), ' ')) AS digest FROM documents",
+    "s14_collection_scan": "SELECT doc_id AS chunk_id, lang, 0.0::DOUBLE AS score FROM documents WHERE lang IN ('en', 'fr')",
+    "s15_bounded_scan": "SELECT doc_id AS chunk_id, lang, 0.0::DOUBLE AS score FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 100",
+    "s19_regions": "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'ap-beijing' WHEN 1 THEN 'ap-hongkong' END AS region_code, r_regionkey < 2 AS available FROM region",
+    "a13_judge": "SELECT lang AS question_type, count(*) FILTER (toxic IS NOT NULL AND quality = 1) AS n, coalesce(sum(toxic) FILTER (quality = 1), 0)::BIGINT AS correct, round(avg(toxic) FILTER (quality = 1), 4) AS accuracy, count(*) FILTER (quality <> 1) AS refused FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)",
+    "f15_cases": "SELECT item_id FROM benchmark WHERE item_id % 2 = 0 ORDER BY item_id LIMIT 10 OFFSET 3",
+    "e07_replay": "SELECT p_partkey AS call_id, CASE WHEN p_size % 2 = 0 THEN 'GetAlerts' ELSE 'GetResources' END AS tool, (SELECT min(printf('%08d', q.p_partkey)) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size % 2 = p.p_size % 2) AS matched_key FROM part p",
+    "k13_states": "SELECT user_id AS session_id, CASE WHEN count(*) > 1 THEN 'busy' ELSE min(event_type) END AS goal, CASE WHEN count(*) > 1 AND NOT (min(event_type) = 'busy') THEN 2 ELSE 1 END::BIGINT AS updated_at FROM events GROUP BY user_id",
+    "t06_fetch_limits": "SELECT item_id, greatest(32, 4 * item_id, 8)::BIGINT AS fetch FROM benchmark",
+    "f16_filtered_rank": f"WITH {_bm25()}, p AS (SELECT b.*, d.lang IN ('en', 'es') AS passes FROM bm25_10 b JOIN documents d ON d.doc_id = b.chunk_id) SELECT query_id, chunk_id, score, passes, CASE WHEN passes THEN row_number() OVER (PARTITION BY query_id, passes ORDER BY score DESC, chunk_id) END AS place FROM p",
+    "j15_summary_scores": f"""WITH {_PROFILES}, l AS (SELECT doc, list(term ORDER BY rank) AS terms FROM top GROUP BY doc), k AS (SELECT source AS doc, list_sort(list(DISTINCT lang)) AS kinds FROM documents GROUP BY source),
+h AS (SELECT doc, {_squeezed("doc || ' ' || doc || ' ' || array_to_string(list_concat(terms[1:32], kinds), ' ') || ' ' || array_to_string(terms, ' ')")} AS hay FROM k LEFT JOIN l USING (doc)),
+q AS (SELECT item_id AS query_id, {_squeezed('text')} AS whole, {_terms('text')} AS terms FROM benchmark),
+m AS (SELECT query_id, doc, list_filter(terms, lambda x: contains(hay, x)) AS found, contains(hay, whole) AS said FROM q, h),
+r AS (SELECT query_id, doc, round(least(0.92, coalesce(list_sum(list_transform(found, lambda x: CASE WHEN length(x) >= 4 THEN 0.16::DOUBLE ELSE 0.1::DOUBLE END)), 0) + CASE WHEN said THEN 0.4 ELSE 0 END), 4) AS score, array_to_string(found, ' ') AS matched FROM m) SELECT * FROM r WHERE score >= 0.18""",
+    "t03_lexical_order": f"""WITH {_bm25()}, {_ASKED}, s AS (SELECT b.query_id, b.chunk_id, b.rank AS was, {_x17('a.terms', 'a.query', 'd.source', 'd.text', 'b.score', 'a.older', "'primary'")} AS lexical FROM bm25_10 b JOIN asked a USING (query_id) JOIN documents d ON d.doc_id = b.chunk_id)
+SELECT query_id, chunk_id, lexical, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, was, chunk_id) AS rank FROM s""",
+    "r05_scan_needed": f"""WITH {_bm25()}, {_ASKED}, f AS (SELECT query_id, chunk_id, score, round(0.4 * CASE WHEN hi = lo THEN (c - rank + 1) / c ELSE (score - lo) / (hi - lo) END, 6) AS merged FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, count(*) OVER w AS c FROM bm25_10 WINDOW w AS (PARTITION BY query_id))),
+t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY merged DESC, chunk_id DESC) = 1), c AS (SELECT query_id, count(*) AS n FROM bm25_10 GROUP BY 1),
+l AS (SELECT a.query_id, a.terms, a.intent, coalesce(c.n, 0) AS n, t.merged, CASE WHEN d.doc_id IS NOT NULL THEN {_x17('a.terms', 'a.query', 'd.source', 'd.text', 't.score', 'a.intent', "'primary'")} END AS lexical FROM asked a LEFT JOIN t USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN documents d ON d.doc_id = t.chunk_id)
+SELECT query_id, n AS n_hits, lexical, {_needles()} AS scan FROM l""",
+    "p08_evidence": f"WITH {_bm25()} SELECT query_id, b.rank, 'primary' AS role, chunk_id, d.source AS doc_id, d.lang AS language, b.score, d.text FROM bm25_10 b JOIN documents d ON d.doc_id = b.chunk_id WHERE b.rank <= 3".replace(" d.lang AS language,", ""),
+    "p09_hit_summaries": f"WITH {_bm25()} SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS chunks, count(*) FILTER (chunk_id % 2 = 0) AS with_images FROM bm25_10 WHERE rank <= 3 GROUP BY query_id",
+    "a11_evidence": f"""WITH {_bm25()}, {_ASKED}, h AS (SELECT query_id, list(chunk_id) FILTER (rank <= 1) AS one, list(chunk_id) FILTER (rank <= 3) AS three, list(chunk_id) AS every FROM bm25_10 GROUP BY 1)
+SELECT query_id, intent = older AS intent_match, coalesce(list_contains(one, query_id * 7), FALSE) AS hit_at_1, coalesce(list_contains(three, query_id * 7), FALSE) AS hit_at_3, coalesce(list_contains(every, query_id * 7), FALSE) AS hit_anywhere,
+ query_id % 2 = 0 OR coalesce(len(list_filter(every, lambda c: c % 10 = query_id % 10)) > 0, FALSE) AS pic_hit FROM asked LEFT JOIN h USING (query_id)""",
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Readers and writers of JSON lines, JSON, CSV, Markdown and text.
+"""Readers and writers of JSON lines, JSON, CSV, Markdown and text.
 
 Every reader takes an explicit schema where the format has one; nothing is
 inferred from the data, so a scan is one pass.
@@ -89,12 +89,76 @@ def read_tool_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("position", "key", F.substring("key", F.lit(1), split - 1).alias("tool"), F.from_json(F.substring("key", split + 1, F.lit(1 << 20)), "map<string,string>").alias("args"), "output")
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line_no, line) of text files, numbered from 1; a file is one row until it is split."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
+    return whole.select("path", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+
+
 def last_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The last n lines of a file that are not blank, in order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter("trim(line) <> ''")
+    rows = numbered_lines(spark, path).filter("trim(line) <> ''").select("line_no", "line")
     return rows.orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
 
 
+def last_records(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
+    """The last n lines that parse, as records in order; bad lines do not count."""
+    rows = numbered_lines(spark, path).filter("trim(line) <> ''").withColumn("record", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    good = rows.filter("record._bad IS NULL AND ltrim(line) LIKE '{%'").orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
+    return good.select("line_no", "record.*").drop("_bad")
+
+
+def read_jsonl_located(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """JSON lines; the first bad line fails the read as ``path:line: invalid JSON``. Blank lines are skipped."""
+    rows = numbered_lines(spark, path).filter("trim(line) <> ''").withColumn("record", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    at = F.format_string("%s:%d: invalid JSON", "path", "line_no")
+    bad = F.col("record._bad").isNotNull() | ~F.ltrim("line").startswith("{")
+    checked = rows.withColumn("record", F.when(bad, F.raise_error(at).cast(rows.schema["record"].dataType)).otherwise(F.col("record")))
+    return checked.select("path", "line_no", "record.*").drop("_bad")
+
+
+def read_cases(spark: SparkSession, path: str, prefix: str = "case", limit: int | None = None) -> DataFrame:
+    """Cases of a JSON lines file, a JSON file or a text file, as position, case_id and query.
+
+    A JSON file is a list, an object with a list under cases, queries, questions
+    or items, or one case; a case is an object or its bare question.  A text
+    file has a question a line.  Missing ids become the prefix and the position.
+    """
+    suffix = path.rpartition(".")[2].lower()
+    none = F.expr("cast(array() AS array<string>)")
+    if suffix == "json":
+        whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+        lists = [F.from_json(F.get_json_object("value", f"$.{key}"), "array<string>") for key in ("cases", "queries", "questions", "items")]
+        items = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.coalesce(*lists, F.array("value")))
+        rows = whole.select(F.posexplode(F.coalesce(items, none)).alias("i", "item"))
+    else:
+        lines = numbered_lines(spark, path).filter("trim(line) <> ''")
+        rows = lines.select((F.row_number().over(W.partitionBy("path").orderBy("line_no")) - 1).alias("i"), F.trim("line").alias("item"))
+    field = lambda name: F.when(F.col("item").startswith("{"), F.get_json_object("item", f"$.{name}"))
+    bare = F.when(~F.col("item").startswith("{"), F.regexp_replace("item", r'^"|"$', ""))
+    cases = rows.select((F.col("i") + 1).cast("long").alias("position"), F.trim(F.coalesce(field("case_id"), field("id"))).alias("case_id"), F.trim(F.coalesce(field("query"), field("question"), bare)).alias("query"))
+    cases = cases.withColumn("case_id", F.coalesce(F.nullif("case_id", F.lit("")), F.format_string(f"{prefix}_%03d", "position")))
+    return cases if limit is None else cases.filter(F.col("position") <= limit)
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """A summary index (doc, doc_name, title, summary, terms) from a list, an object with ``documents``, or an object by id.
+
+    A plain string under an id is that document's summary.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    inner = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.coalesce(F.get_json_object("value", "$.documents"), F.col("value")))
+    raw = whole.select(inner.alias("value"))
+    listed = raw.filter("value LIKE '[%'").select(F.lit(None).cast("string").alias("key"), F.explode(F.from_json("value", "array<string>")).alias("item"))
+    mapped = raw.filter("value LIKE '{%'").select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "item"))
+    rows = listed.unionByName(mapped)
+    field = lambda name: F.when(F.col("item").startswith("{"), F.get_json_object("item", f"$.{name}"))
+    plain = F.when(~F.col("item").startswith("{"), F.col("item"))
+    terms = F.coalesce(F.from_json(field("terms"), "array<string>"), F.expr("cast(array() AS array<string>)"))
+    made = rows.select(F.trim(F.coalesce(field("doc_id"), F.col("key"))).alias("doc"), field("doc_name").alias("doc_name"), field("title").alias("title"), F.coalesce(field("summary"), plain).alias("summary"), terms.alias("terms"))
+    return made.filter("doc <> ''")
+
+
 def line_slice(text: Column, first: Column, last: Column) -> Column:
     """Lines first to last, from 1 and inclusive, clamped to the text."""
     lines = F.split(text, "\r?\n")
@@ -153,3 +217,29 @@ def numbered_case_ids(rows: DataFrame, order: list[str], prefix: str = "case") -
     """A missing case_id becomes the prefix and the row's number."""
     number = F.row_number().over(W.orderBy(*order))
     return rows.withColumn("case_id", F.coalesce(F.nullif(F.trim("case_id"), F.lit("")), F.format_string(f"{prefix}_%03d", number)))
+
+
+def append_traces(rows: DataFrame, path: str) -> None:
+    """Rows appended as JSON lines, keys in sorted order."""
+    rows.select(*sorted(rows.columns)).write.mode("append").json(path)
+
+
+def changed_states(current: DataFrame, new: DataFrame, key: str = "session_id", at: str = "updated_at") -> DataFrame:
+    """The states after an update: a new state replaces the old one only if anything but its time differs."""
+    fields = [c for c in current.columns if c not in (key, at)]
+    digest = F.xxhash64(*(F.to_json(F.struct(c)) for c in fields))
+    old = current.select(key, F.struct(*current.columns).alias("old"), digest.alias("had"))
+    made = new.select(key, F.struct(*current.columns).alias("new"), digest.alias("has"))
+    both = old.join(made, key, "full")
+    return both.select(F.when(F.col("new").isNotNull() & ~F.col("had").eqNullSafe(F.col("has")), F.col("new")).otherwise(F.coalesce("old", "new")).alias("s")).select("s.*")
+
+
+def split_records(rows: DataFrame, path: str, number: str = "position", width: int = 4) -> None:
+    """A folder a record, named by its zero-padded number, with the record as its one JSON line."""
+    named = rows.withColumn("record", F.lpad(F.col(number).cast("string"), width, "0"))
+    named.repartition("record").write.mode("overwrite").partitionBy("record").json(path)
+
+
+def rebuild_collection(rows: DataFrame, path: str) -> None:
+    """One collection dropped and written anew; others stay. ``rows`` must not be read from ``path``."""
+    rows.write.mode("overwrite").parquet(path)
