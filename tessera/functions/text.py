@@ -7,6 +7,7 @@ patterns is Unicode-aware, as the compared engines' default is.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from itertools import chain
 
@@ -25,6 +26,11 @@ _STOP, _TOKEN = frozenset(STOPWORDS), re.compile("[a-z0-9]+")
 MAX_TERMS = 16
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -275,9 +281,14 @@ def image_placeholders(text: Column, mark: str = "<PIC>") -> Column:
     return F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", mark)
 
 
-def sentences(text: Column, pattern: str = r"[^.!?\n]+[.!?](?=\s|\z)") -> Column:
-    """The sentences of a text; an end mark counts before white space or the end."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), strip)
+def sentences(text: Column) -> Column:
+    """The sentences of a text; an end mark counts before white space or the end.
+
+    What lies between marks and line ends is cut in one pass; pieces without
+    such a mark are no sentences.
+    """
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?\n]++(?:[.!?](?=\s|\z))?+"), F.lit(0))
+    return F.transform(F.filter(pieces, lambda p: F.right(p, F.lit(1)).isin(".", "!", "?")), strip)
 
 
 def lines_of(text: Column) -> Column:
@@ -285,20 +296,20 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip), lambda line: line != "")
 
 
-def head_sentences(text: Column, n: int = 2) -> Column:
-    """The first sentences, or the first lines of a text without one."""
-    s = sentences(text)
-    return F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, n), " ")).otherwise(F.array_join(F.slice(lines_of(text), 1, n), "\n"))
-
-
 def _last(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n)
 
 
+def head_sentences(text: Column, n: int = 2) -> Column:
+    """The first sentences, or the first lines of a text without one."""
+    lines = F.array_join(F.slice(lines_of(text), 1, n), "\n")
+    return let(sentences(text), lambda s: F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, n), " ")).otherwise(lines))
+
+
 def tail_sentences(text: Column, n: int = 2) -> Column:
     """The last sentences, or the last lines of a text without one."""
-    s = sentences(text)
-    return F.when(F.size(s) > 0, F.array_join(_last(s, n), " ")).otherwise(F.array_join(_last(lines_of(text), n), "\n"))
+    lines = let(lines_of(text), lambda x: F.array_join(_last(x, n), "\n"))
+    return let(sentences(text), lambda s: F.when(F.size(s) > 0, F.array_join(_last(s, n), " ")).otherwise(lines))
 
 
 def dedupe_lines(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -134,7 +135,8 @@ SUMMARY_TYPES = ["procedure_overview", "product_overview", "section_summary"]
 
 
 def _any(text: Column, words: list[str]) -> Column:
-    return F.exists(X.strings(words), lambda w: text.contains(w))
+    """Whether a text holds one of the words; the text should be a plain column or bound by ``let``."""
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
 
 
 def _first(cases: list[tuple[Column, str]], otherwise: str) -> Column:
@@ -144,16 +146,19 @@ def _first(cases: list[tuple[Column, str]], otherwise: str) -> Column:
 
 def intent(text: Column) -> Column:
     """The first intent with a marker in the text without white space, else general."""
-    low = X.normalize_text(F.coalesce(text, F.lit("")))
-    return _first([(_any(low, words), name) for name, words in INTENT_WORDS.items()], "general")
+    found = lambda low: _first([(_any(low, words), name) for name, words in INTENT_WORDS.items()], "general")
+    return X.let(X.normalize_text(F.coalesce(text, F.lit(""))), found)
 
 
 def older_intent(text: Column) -> Column:
     """The older cascade: picture ids and Chinese markers; a question about the state of a light asks for a component."""
-    low = X.normalize_text(F.coalesce(text, F.lit("")))
-    cases = [(_any(low, words), name) for name, words in OLDER_WORDS.items()]
-    cases[0] = ((X.picture_id(text) != "") | cases[0][0], "image_trace")
-    return _first([*cases[:2], (_any(low, LIGHT_STATES) & _any(low, LIGHTS), "component"), *cases[2:]], "general")
+
+    def found(low: Column) -> Column:
+        cases = [(_any(low, words), name) for name, words in OLDER_WORDS.items()]
+        cases[0] = ((X.picture_id(text) != "") | cases[0][0], "image_trace")
+        return _first([*cases[:2], (_any(low, LIGHT_STATES) & _any(low, LIGHTS), "component"), *cases[2:]], "general")
+
+    return X.let(X.normalize_text(F.coalesce(text, F.lit(""))), found)
 
 
 def intent_score(name: Column, with_picture_id: Column) -> Column:
@@ -173,12 +178,16 @@ def families(kind: Column, title: Column | None = None, section: Column | None =
     A chunk with a type but without any family is a subsection.
     """
     kind = X.strip(F.coalesce(kind, F.lit("")))
-    name = F.lower(kind)
-    hay = X.normalize_text(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (title, section, text) if c is not None), F.lit("")))
+    said = X.normalize_text(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (title, section, text) if c is not None), F.lit("")))
     words = {"safety": SAFETY_WORDS, "troubleshooting": TROUBLE_WORDS, "legal": LEGAL_WORDS, "procedure": ACTION_WORDS, "component": PART_WORDS, "overview": ["目录", "概览", "附录"]}
-    found = [F.when(_any(name, marks), F.lit(f)) for f, marks in TYPE_MARKERS.items()] + [F.when(_any(hay, marks), F.lit(f)) for f, marks in words.items()]
-    held = F.array_sort(F.array_distinct(F.array_compact(F.array(family(kind), *found))))
-    return F.when((F.size(held) == 0) & (kind != ""), F.array(F.lit("subsection"))).otherwise(held)
+
+    def found(s: Column) -> Column:
+        by_name = [F.when(_any(s["name"], marks), F.lit(f)) for f, marks in TYPE_MARKERS.items()]
+        by_text = [F.when(_any(s["hay"], marks), F.lit(f)) for f, marks in words.items()]
+        return F.array_sort(F.array_distinct(F.array_compact(F.array(family(s["kind"]), *by_name, *by_text))))
+
+    named = lambda s: X.let(found(s), lambda held: F.when((F.size(held) == 0) & (s["kind"] != ""), F.array(F.lit("subsection"))).otherwise(held))
+    return X.let(F.struct(kind.alias("kind"), F.lower(kind).alias("name"), said.alias("hay")), named)
 
 
 def classified_type(text: Column, earlier: Column | None = None, chinese: bool = False) -> Column:
@@ -188,10 +197,10 @@ def classified_type(text: Column, earlier: Column | None = None, chinese: bool =
     """
     none = F.expr("cast(array() AS array<string>)")
     had = F.filter(F.coalesce(earlier, none), lambda t: t != "") if earlier is not None else none
-    low = F.lower(F.coalesce(text, F.lit("")))
-    cases = [(_any(low, words) | (F.arrays_overlap(had, X.strings(types)) if types else F.lit(False)), name) for name, types, words in (TYPES_ZH if chinese else TYPES_EN)]
+    asked = TYPES_ZH if chinese else TYPES_EN
+    found = lambda low: _first([(_any(low, words) | (F.arrays_overlap(had, X.strings(types)) if types else F.lit(False)), name) for name, types, words in asked], "general_info")
     kept = (F.size(F.array_distinct(had)) == 1) & F.get(had, F.lit(0)).isin(AUX_TYPES)
-    return F.when(kept, F.get(had, F.lit(0))).otherwise(_first(cases, "general_info"))
+    return F.when(kept, F.get(had, F.lit(0))).otherwise(X.let(F.lower(F.coalesce(text, F.lit(""))), found))
 
 
 def synonyms(terms: Column) -> Column:
@@ -216,14 +225,19 @@ def variants(text: Column, name: Column, terms: Column) -> Column:
     question, joined = X.strip(F.coalesce(text, F.lit(""))), F.array_join(F.array_distinct(terms), " ")
     compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
     bare = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), FILLERS, compact)
-    bare = reduce(lambda c, w: F.when(c.endswith(w), F.left(c, F.length(c) - len(w))).otherwise(c), ENDINGS, bare)
+
+    def without(ending: str) -> Callable[[Column], Column]:
+        return lambda c: F.when(c.endswith(ending), F.left(c, F.length(c) - len(ending))).otherwise(c)
+
+    for w in ENDINGS:
+        bare = X.let(bare, without(w))
     spaced, some = F.array_join(terms, " "), F.size(terms) > 0
     pic = X.picture_id(text)
     more = [F.when((name == n) & some, F.concat(spaced, F.lit(" " + words))) for n, words in VARIANT_WORDS.items()]
     trace = name == "image_trace"
     more += [F.when(trace & (pic != ""), pic), F.when(trace & (pic != ""), F.concat(pic, F.lit(" 图片 对应"))), F.when(trace & (pic == "") & some, F.concat(spaced, F.lit(" 图片 配图")))]
     more.append(F.when((name == "general") & some, F.array_join(F.array_distinct(F.filter(terms, lambda t: F.length(X.normalize_text(t)) >= 2)), " ")))
-    chinese = F.array(question, F.when(bare != compact, bare), F.when(some, joined), *more)
+    chinese = F.array(question, X.let(bare, lambda b: F.when(b != compact, b)), F.when(some, joined), *more)
     made = F.when(X.detect_language(text) == "en", F.array(question, F.when(some, joined))).otherwise(chinese)
     return F.array_distinct(F.filter(F.transform(F.array_compact(made), X.strip), lambda v: v != ""))
 
@@ -231,18 +245,19 @@ def variants(text: Column, name: Column, terms: Column) -> Column:
 def ocr_candidate(terms: Column, title: Column, section: Column, index_text: Column, note: Column, flags: Column, tier: Column) -> Column:
     """whether a chunk stays for a question about scan errors: flagged, marked, or holding a term."""
     none, blank = F.expr("cast(array() AS array<string>)"), F.lit("")
-    hay = X.normalize_text(F.concat_ws(" ", *(F.coalesce(c, blank) for c in (title, section, index_text, note))))
-    held = F.arrays_overlap(F.coalesce(flags, none), X.strings(OCR_FLAGS)) | _any(hay, OCR_WORDS) | F.exists(F.transform(terms, X.normalize_text), lambda t: (t != "") & hay.contains(t))
-    return ~F.coalesce(tier.isin("auxiliary", "support"), F.lit(False)) & held
+    said = X.normalize_text(F.concat_ws(" ", *(F.coalesce(c, blank) for c in (title, section, index_text, note))))
+    asked = F.transform(terms, X.normalize_text)
+    held = X.let(said, lambda hay: _any(hay, OCR_WORDS) | F.exists(asked, lambda t: (t != "") & hay.contains(t)))
+    return ~F.coalesce(tier.isin("auxiliary", "support"), F.lit(False)) & (F.arrays_overlap(F.coalesce(flags, none), X.strings(OCR_FLAGS)) | held)
 
 
 def legal_candidate(terms: Column, title: Column, section: Column, kind: Column, tier: Column) -> Column:
     """whether a chunk stays for a legal question: a clause, a legal heading, or a heading with a legal term of the question."""
     blank = F.lit("")
-    hay = X.normalize_text(F.concat_ws(" ", F.coalesce(title, blank), F.coalesce(section, blank)))
+    said = X.normalize_text(F.concat_ws(" ", F.coalesce(title, blank), F.coalesce(section, blank)))
     asked = F.filter(F.transform(terms, X.normalize_text), lambda t: _any(t, LEGAL_WORDS))
-    held = F.coalesce(kind == "legal_clause", F.lit(False)) | _any(hay, LEGAL_WORDS) | F.exists(asked, lambda t: (t != "") & hay.contains(t))
-    return ~F.coalesce(tier == "auxiliary", F.lit(False)) & held
+    held = X.let(said, lambda hay: _any(hay, LEGAL_WORDS) | F.exists(asked, lambda t: (t != "") & hay.contains(t)))
+    return ~F.coalesce(tier == "auxiliary", F.lit(False)) & (F.coalesce(kind == "legal_clause", F.lit(False)) | held)
 
 
 def trim_limit(name: Column) -> Column:
@@ -276,19 +291,20 @@ def legacy_base(score: Column) -> Column:
 
 def critical_groups(query: Column) -> Column:
     """The groups of terms of which a fitting chunk has one; Chinese questions only."""
-    low = X.normalize_text(F.coalesce(query, F.lit("")))
     empty = F.expr("cast(array() AS array<array<string>>)")
-    groups = empty
-    for every, some, none, terms in CRITICAL:
-        asked = F.lit(True)
-        for w in every:
-            asked = asked & low.contains(w)
-        for w in none:
-            asked = asked & ~low.contains(w)
-        if some:
-            asked = asked & _any(low, some)
-        groups = F.concat(groups, F.when(asked, F.array(X.strings(terms))).otherwise(empty))
-    return F.when(X.detect_language(low) == "en", empty).otherwise(groups)
+
+    def found(low: Column) -> Column:
+        groups = empty
+        for every, some, none, terms in CRITICAL:
+            asked = _any(low, some) if some else F.lit(True)
+            for w in every:
+                asked = asked & low.contains(w)
+            for w in none:
+                asked = asked & ~low.contains(w)
+            groups = F.concat(groups, F.when(asked, F.array(X.strings(terms))).otherwise(empty))
+        return F.when(X.detect_language(low) == "en", empty).otherwise(groups)
+
+    return X.let(X.normalize_text(F.coalesce(query, F.lit(""))), found)
 
 
 def relevance(
@@ -300,48 +316,52 @@ def relevance(
     ``pic_ids``, ``flags`` and ``known``, families found before, are arrays; a
     chunk without known families has those that X15 infers.
     """
-    none = F.expr("cast(array() AS array<string>)")
+    none, blank = F.expr("cast(array() AS array<string>)"), F.lit("")
     array = lambda c: none if c is None else F.coalesce(c, none)
-    norm = lambda c: X.normalize_text(F.coalesce(F.lit("") if c is None else c, F.lit("")))
+    norm = lambda c: X.normalize_text(F.coalesce(blank if c is None else c, blank))
     inferred = families(kind, title, section, text)
-    of, kind, tier, row_terms = inferred if known is None else F.coalesce(known, inferred), F.coalesce(kind, F.lit("")), F.coalesce(tier, F.lit("")), F.coalesce(row_terms, none)
-    asked = norm(query)
-    h_title, h_section, h_index, h_text, h_pics, h_note = norm(title), norm(section), norm(index_text), norm(text), norm(F.array_join(array(pic_ids), " ")), norm(note)
-    fields = [(h_title, 28.0), (h_section, 24.0), (h_index, 14.0), (h_text, 8.0), (h_pics, 14.0), (h_note, 8.0)]
-    heading = F.concat(h_title, h_section)
-    every = F.concat(heading, h_index, h_text, h_pics, h_note)
-    when = lambda condition, points: F.when(condition, float(points)).otherwise(0.0)
-    has = lambda *names: F.arrays_overlap(of, X.strings(list(names)))
-    marked = lambda words, points: sum((when(h_title.contains(w) | h_index.contains(w), points) for w in words), F.lit(0.0))
-
-    pic = norm(X.picture_id(F.lit("") if query is None else query))
-    by_pic = F.when(pic != "", when(h_pics.contains(pic), 120) + when(h_title.contains(pic) | h_index.contains(pic) | h_text.contains(pic), 80)).otherwise(0.0)
-    term_points = lambda term: sum((when(hay.contains(term), weight) for hay, weight in fields), F.lit(0.0))
-    by_term = F.aggregate(F.filter(F.transform(row_terms, norm), lambda t: t != ""), F.lit(0.0), lambda total, term: total + term_points(term))
-    unmet = when((F.size(row_terms) > 0) & ~F.exists(row_terms, lambda t: every.contains(norm(t))), -28)
-    inside = lambda hay: lambda t: hay.contains(t)
-    group = lambda g: F.when(F.exists(g, inside(heading)), 55.0).when(F.exists(g, inside(h_index)) | F.exists(g, inside(h_text)), 30.0).otherwise(-60.0)
-    by_group = F.lit(0.0) if query is None else F.aggregate(critical_groups(query), F.lit(0.0), lambda total, g: total + group(g))
+    values = {
+        "title": norm(title), "section": norm(section), "index": norm(index_text), "text": norm(text), "pics": norm(F.array_join(array(pic_ids), " ")), "note": norm(note), "asked": norm(query),
+        "pic": norm(X.picture_id(blank if query is None else query)), "of": inferred if known is None else F.coalesce(known, inferred), "terms": F.filter(F.transform(F.coalesce(row_terms, none), norm), lambda t: t != ""),
+        "groups": F.expr("cast(array() AS array<array<string>>)") if query is None else critical_groups(query), "base": legacy_base(score), "intent": F.coalesce(name, blank), "kind": F.coalesce(kind, blank), "low_kind": F.lower(F.coalesce(kind, blank)),
+        "tier": F.coalesce(tier, blank), "support": prefer_support, "n_pics": F.size(array(pic_ids)), "n_flags": F.size(array(flags)), "noted": F.coalesce(blank if note is None else note, blank) != "", "n_terms": F.size(F.coalesce(row_terms, none)),
+    }
+    return X.let(F.struct(*(c.alias(k) for k, c in values.items())), _relevance)
 
+
+def _relevance(v: Column) -> Column:
+    """``relevance`` of a struct of prepared values."""
+    when = lambda condition, points: F.when(condition, float(points)).otherwise(0.0)
+    has = lambda *names: F.arrays_overlap(v["of"], X.strings(list(names)))
+    marked = lambda words, points: sum((when(v["title"].contains(w) | v["index"].contains(w), points) for w in words), F.lit(0.0))
+    fields = [("title", 28.0), ("section", 24.0), ("index", 14.0), ("text", 8.0), ("pics", 14.0), ("note", 8.0)]
+    anywhere = lambda t, names: reduce(lambda a, b: a | b, (v[f].contains(t) for f in names))
+
+    by_pic = F.when(v["pic"] != "", when(v["pics"].contains(v["pic"]), 120) + when(anywhere(v["pic"], ("title", "index", "text")), 80)).otherwise(0.0)
+    by_term = F.aggregate(v["terms"], F.lit(0.0), lambda total, t: total + sum((when(v[f].contains(t), points) for f, points in fields), F.lit(0.0)))
+    unmet = when((v["n_terms"] > 0) & (F.size(v["terms"]) == v["n_terms"]) & ~F.exists(v["terms"], lambda t: anywhere(t, [f for f, _ in fields])), -28)
+    group = lambda g: F.when(F.exists(g, lambda t: anywhere(t, ("title", "section"))), 55.0).when(F.exists(g, lambda t: anywhere(t, ("index", "text"))), 30.0).otherwise(-60.0)
+    by_group = F.aggregate(v["groups"], F.lit(0.0), lambda total, g: total + group(g))
+
+    name = v["intent"]
     family_of = F.when(name == "image_trace", "auxiliary").when(name == "ocr_audit", "ocr").when(name.isin(*(INTENT_SCORES.keys() - {"image_trace", "ocr_audit"})), name)
     plain = name.isin("component", "procedure", "legal", "safety", "troubleshooting")
-    target = F.when(family_of.isNull(), 0.0).when(F.array_contains(of, family_of), 18.0).when(plain, -12.0).otherwise(0.0)
-    low_kind = F.lower(kind)
-    clause = kind == "legal_clause"
+    target = F.when(family_of.isNull(), 0.0).when(F.array_contains(v["of"], family_of), 18.0).when(plain, -12.0).otherwise(0.0)
+    clause = v["kind"] == "legal_clause"
     special = (
-        F.when(name == "procedure", when(_any(low_kind, ["step", "task", "install", "start", "fueling", "mix", "maintenance", "cleaning"]), 16) + marked(["安装", "设置", "使用", "步骤", "切换", "更换", "拆卸", "调节"], 8) + when(has("safety"), -30))
+        F.when(name == "procedure", when(_any(v["low_kind"], ["step", "task", "install", "start", "fueling", "mix", "maintenance", "cleaning"]), 16) + marked(["安装", "设置", "使用", "步骤", "切换", "更换", "拆卸", "调节"], 8) + when(has("safety"), -30))
         .when(name == "component", marked(["部件", "接口", "指示灯", "位置", "按键", "按钮", "追踪灯", "状态", "红色", "白色", "蓝色"], 6) + when(has("safety", "troubleshooting"), -14))
-        .when(name == "legal", when(clause, 35) + marked(["保修", "条款", "声明", "政策", "责任", "法规"], 8) + when(~clause & ~F.concat(heading, h_index, h_text).contains("保修"), -30))
-        .when(name == "safety", when(_any(low_kind, ["safety", "warning", "caution", "ppe", "label"]), 18) + when(has("safety"), 24) + when(has("troubleshooting", "component"), -12))
+        .when(name == "legal", when(clause, 35) + marked(["保修", "条款", "声明", "政策", "责任", "法规"], 8) + when(~clause & ~anywhere("保修", ("title", "section", "index", "text")), -30))
+        .when(name == "safety", when(_any(v["low_kind"], ["safety", "warning", "caution", "ppe", "label"]), 18) + when(has("safety"), 24) + when(has("troubleshooting", "component"), -12))
         .when(name == "troubleshooting", when(has("troubleshooting"), 28) + when(has("safety"), -18))
-        .when(name == "image_trace", when(tier == "auxiliary", 12) + when(kind == "metadata_image_path", 18) + when(F.size(array(pic_ids)) > 0, 8))
-        .when(name == "ocr_audit", when(F.size(array(flags)) > 0, 60) + when(F.coalesce(F.lit("") if note is None else note, F.lit("")) != "", 24) + when(h_title.contains("ocr"), 36))
-        .when(name == "overview", when(kind.isin(*SUMMARY_TYPES) | (tier == "support"), 20))
-        .when(name == "general", when(has("safety") & ~_any(asked, SAFETY_WORDS), -18))
+        .when(name == "image_trace", when(v["tier"] == "auxiliary", 12) + when(v["kind"] == "metadata_image_path", 18) + when(v["n_pics"] > 0, 8))
+        .when(name == "ocr_audit", when(v["n_flags"] > 0, 60) + when(v["noted"], 24) + when(v["title"].contains("ocr"), 36))
+        .when(name == "overview", when(v["kind"].isin(*SUMMARY_TYPES) | (v["tier"] == "support"), 20))
+        .when(name == "general", when(has("safety") & ~_any(v["asked"], SAFETY_WORDS), -18))
         .otherwise(0.0)
     )
-    by_tier = F.when((tier == "support") & prefer_support, 10.0).when((tier == "primary") & ~prefer_support, 4.0).otherwise(0.0)
-    return F.round(legacy_base(score) + by_pic + unmet + by_term + by_group + target + special + by_tier, 6)
+    by_tier = F.when((v["tier"] == "support") & v["support"], 10.0).when((v["tier"] == "primary") & ~v["support"], 4.0).otherwise(0.0)
+    return F.round(v["base"] + by_pic + unmet + by_term + by_group + target + special + by_tier, 6)
 
 
 def routed(text: Column, has_images: Column | None = None, products: list[str] | None = None) -> Column:
@@ -352,16 +372,19 @@ def routed(text: Column, has_images: Column | None = None, products: list[str] |
     whether it has a word of a question to a manual.  A product name of Latin
     letters counts as a whole word.
     """
-    low = F.lower(X.strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
-    named = F.lit(False)
-    for p in products or []:
-        p = " ".join(p.lower().split())
-        named = named | (low.rlike(rf"(?<![a-z0-9])\Q{p}\E(?![a-z0-9])") if p.isascii() else low.contains(p))
-    picture = low.rlike(r"(?U)\bmanual\d+_[a-z0-9_]+\b")
-    model = low.rlike(r"(?U)\b(?=[a-z0-9-]*[a-z])(?=[a-z0-9-]*\d)[a-z][a-z0-9-]{3,}\b")
-    shown = F.lit(False) if has_images is None else F.coalesce(has_images, F.lit(False))
-    yes = shown | picture | named | model | _any(low, MANUAL_NAMED)
-    return F.when(low == "", False).when(yes, True).when(_any(low, SERVICE_WORDS + SERVICE_CONTEXT), False).otherwise(_any(low, MANUAL_WORDS))
+
+    def found(low: Column) -> Column:
+        named = F.lit(False)
+        for p in products or []:
+            p = " ".join(p.lower().split())
+            named = named | (low.rlike(rf"(?<![a-z0-9])\Q{p}\E(?![a-z0-9])") if p.isascii() else low.contains(p))
+        picture = low.rlike(r"(?U)\bmanual\d+_[a-z0-9_]+\b")
+        model = low.rlike(r"(?U)\b(?=[a-z0-9-]*[a-z])(?=[a-z0-9-]*\d)[a-z][a-z0-9-]{3,}\b")
+        shown = F.lit(False) if has_images is None else F.coalesce(has_images, F.lit(False))
+        yes = shown | picture | named | model | _any(low, MANUAL_NAMED)
+        return F.when(low == "", False).when(yes, True).when(_any(low, SERVICE_WORDS + SERVICE_CONTEXT), False).otherwise(_any(low, MANUAL_WORDS))
+
+    return X.let(F.lower(X.strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))), found)
 
 
 def active_documents(hits: DataFrame, known: DataFrame) -> DataFrame:

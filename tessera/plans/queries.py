@@ -431,11 +431,17 @@ def x32_index_text(spark, sf):
 
 @query
 def r14_retrieve(spark, sf):
-    """Chunks are documents under one support chunk a source, questions are benchmark items."""
+    """Chunks are documents under one support chunk a source, questions are benchmark items; a vector's id is that of a document, or of a question.
+
+    Three channels, the lexical order, and the evidence with its support chunks.
+    """
     docs = _t(spark, sf, "documents")
     chunks = docs.select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.concat(F.lit("s-"), "source").alias("parent_id"), F.lit("primary").alias("tier"), "text")
     heads = docs.groupBy("source").agg(F.count("*").alias("n")).select(F.concat(F.lit("s-"), "source").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("support").alias("tier"), F.concat(F.lit("documents of "), "source").alias("text"))
-    return P.retrieve(chunks.unionByName(heads), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    v = _t(spark, sf, "embeddings")
+    asked = v.join(_t(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    vectors = R.cosine_hits(asked, v.select(F.concat(F.lit("d"), "vec_id").alias("chunk_id"), F.col("embedding").alias("v")), R.fetch_limit())
+    return P.retrieve(chunks.unionByName(heads), _questions(spark, sf), vectors, "lexical")
 
 
 # --- chunking ---------------------------------------------------------------

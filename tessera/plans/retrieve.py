@@ -1,7 +1,7 @@
 """The composed retrieval of many questions: understand, recall, fuse, rescan, rerank, expand.
 
-Stages are lazy DataFrames of one plan.  A stage that has a documented fallback
-takes it as data: weak queries get the scan channel by a semi-join, and a
+Stages are DataFrames; what several later stages read is written once to the
+shared folder.  A stage that has a documented fallback takes it as data: weak queries get the scan channel by a semi-join, and a
 reranker that is absent leaves the fused order, or the lexical one if asked.
 """
 
@@ -16,6 +16,7 @@ from tessera.functions import text as X
 from tessera.operators import hierarchy as H
 from tessera.operators import retrieval as R
 from tessera.operators import understand as U
+from tessera.sources.store import stored
 
 #: A reranker: (query_id, chunk_id, query, text, rank) to (query_id, chunk_id, score); null scores go last.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -69,9 +70,9 @@ def recalled(chunks: DataFrame, queries: DataFrame, vector_hits: DataFrame | Non
     """Fused candidates of the BM25 and vector channels; weak queries are scanned too.
 
     ``chunks`` has chunk_id, tier and text; only recallable tiers are searched,
-    while term statistics are those of all chunks that are recallable.  Every
-    question is looked for in the one pass of the scan; the hits of strong ones
-    are left out by the semi-join, so planning runs nothing of the search.
+    while term statistics are those of all chunks that are recallable.  Hits
+    and weak questions, a few rows each, are written between the stages, so the
+    documents are searched once and scanned for weak questions only.
     """
     fetch = fetch or R.fetch_limit()
     open_chunks = chunks.filter(U.recallable(F.col("tier")))
@@ -79,9 +80,11 @@ def recalled(chunks: DataFrame, queries: DataFrame, vector_hits: DataFrame | Non
     if vector_hits is not None:
         known = vector_hits.join(open_chunks.select("chunk_id"), "chunk_id", "left_semi")
         hits = hits.unionByName(known.select("query_id", "chunk_id", "score", "rank", F.lit("vector").alias("channel")))
-    weak = weak_queries(hits, open_chunks, analyzed(queries)).filter("scan").select("query_id")
-    scanned = R.scan_hits(open_chunks, queries, "chunk_id", "text", "query_id", "text", fetch).join(weak, "query_id", "left_semi").withColumn("channel", F.lit("scan"))
-    return R.fused(R.normalized(hits.unionByName(scanned)))
+    hits = stored(hits, "hits")
+    weak = stored(weak_queries(hits, open_chunks, analyzed(queries)).filter("scan").select("query_id"), "weak")
+    asked = queries.join(weak, "query_id", "left_semi")
+    scanned = R.scan_hits(open_chunks, asked, "chunk_id", "text", "query_id", "text", fetch).withColumn("channel", F.lit("scan"))
+    return stored(R.fused(R.normalized(hits.unionByName(scanned))), "candidates")
 
 
 def reranked(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, reranker: Reranker | str | None = None) -> DataFrame:

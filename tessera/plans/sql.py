@@ -70,9 +70,9 @@ def _terms(text: str) -> str:
     return f"list_filter({t}, lambda x, i: list_position({t}, x) = i)[1:16]"
 
 
-def _bm25(k: int = 10) -> str:
+def _bm25(k: int = 10, docs: str = "documents", key: str = "doc_id") -> str:
     return f"""
-bm_tok AS (SELECT doc_id, {_index_tokens("text")} AS tokens FROM documents),
+bm_tok AS (SELECT {key} AS doc_id, {_index_tokens("text")} AS tokens FROM {docs}),
 bm_post AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS term FROM bm_tok) GROUP BY doc_id, term),
 bm_df AS (SELECT term, count(*) AS df FROM bm_post GROUP BY term),
 bm_raw AS (SELECT term, df, ln(((SELECT count(DISTINCT doc_id) FROM bm_post) - df + 0.5) / (df + 0.5)) AS raw FROM bm_df),
@@ -203,6 +203,7 @@ def _x17(terms: str, query: str, title: str, text: str, score: str, intent: str,
     return f"round(10 / (1 + greatest({score}, 0)) + {shown} + {unmet} + {found} + {of} + CASE WHEN {tier} = 'primary' THEN 4 ELSE 0 END, 6)"
 
 
+_FOLDED = r"regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')"
 #: Documents as chunks, benchmark items as questions.
 _ASKED = f"asked AS (SELECT item_id AS query_id, text AS query, {_terms('text')} AS terms, {_intent(_squeezed('text'))} AS intent, {_older('text', _squeezed('text'))} AS older FROM benchmark)"
 
@@ -273,7 +274,7 @@ _SQL |= {
     "x05_index_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_index_tokens('text')} AS t FROM documents)",
     "x26_alnum": r"SELECT doc_id, md5(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g'))) AS digest FROM documents",
     "x13_intents": f"SELECT {_intent('s')} AS intent, {_older('text', 's')} AS older, count(*) AS n FROM (SELECT coalesce(text, '') AS text, {_squeezed('text')} AS s FROM documents) GROUP BY ALL",
-    "f12_routed": rf"""WITH t AS (SELECT conv_id, turn, lower({_bare("regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')")}) AS q FROM conversations)
+    "f12_routed": rf"""WITH t AS (SELECT conv_id, turn, lower({_bare(_FOLDED)}) AS q FROM conversations)
 SELECT conv_id, turn, CASE WHEN q = '' THEN FALSE WHEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])manual[0-9]+_[a-z0-9_]+') OR {_has('q', MANUAL)}
  OR len(list_filter(regexp_extract_all(q, '[\p{{L}}\p{{N}}_-]+'), lambda x: regexp_matches(x, '(^|-)[a-z][a-z0-9-]*[0-9]') AND regexp_matches(x, '(^|-)[a-z][a-z0-9-]{{2,}}[a-z0-9]($|-)'))) > 0 THEN TRUE
  WHEN {_has('q', SERVICE)} THEN FALSE ELSE {_has('q', ASKED)} END AS routed FROM t""",
@@ -318,5 +319,33 @@ SELECT query_id, intent = older AS intent_match, coalesce(list_contains(one, que
 }
 
 
+def _fusion(source: str, out: str) -> str:
+    """Fused rows of a relation with query_id, chunk_id, channel, score and rank."""
+    return f"""
+{out}_n AS (SELECT query_id, chunk_id, channel, CASE WHEN channel = 'scan' OR hi = lo THEN (c - rank + 1) / c ELSE (score - lo) / (hi - lo) END AS norm FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, count(*) OVER w AS c FROM {source} WINDOW w AS (PARTITION BY query_id, channel))),
+{out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY merged DESC, channels DESC, chunk_id DESC) AS rank FROM (
+ SELECT query_id, chunk_id, round(sum(norm * CASE channel WHEN 'vector' THEN 0.6 WHEN 'bm25' THEN 0.4 ELSE 0.2 END), 6) AS merged, string_agg(channel, '+' ORDER BY channel) AS channels FROM {out}_n GROUP BY query_id, chunk_id))"""
+
+
+_CHUNKS = "chunks AS (SELECT 'd' || doc_id AS chunk_id, 's-' || source AS parent_id, 'primary' AS tier, text FROM documents UNION ALL SELECT DISTINCT 's-' || source, NULL, 'support', 'documents of ' || source FROM documents)"
+_SQL["r14_retrieve"] = rf"""
+WITH {_CHUNKS}, {_ASKED}, {_bm25(32, 'chunks', 'chunk_id')},
+vec AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, 'd' || c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 32),
+found AS (SELECT *, 'bm25' AS channel FROM bm25_32 UNION ALL SELECT *, 'vector' FROM vec WHERE chunk_id IN (SELECT chunk_id FROM chunks)),
+{_fusion('found', 'first')},
+best AS (SELECT f.query_id, f.chunk_id, f.merged, arg_max(x.score, (x.channel = 'vector')::INT) AS score FROM first f JOIN found x USING (query_id, chunk_id) WHERE f.rank = 1 GROUP BY ALL),
+state AS (SELECT a.query_id, a.query, a.terms, a.intent, (SELECT count(DISTINCT chunk_id) FROM found x WHERE x.query_id = a.query_id) AS n, b.merged, CASE WHEN c.chunk_id IS NOT NULL THEN {_x17('a.terms', 'a.query', "''", 'c.text', 'b.score', 'a.intent', 'c.tier')} END AS lexical FROM asked a LEFT JOIN best b USING (query_id) LEFT JOIN chunks c USING (chunk_id)),
+weak AS (SELECT query_id, query, terms FROM state WHERE {_needles()}),
+points AS (SELECT query_id, chunk_id, 1.0::DOUBLE + CASE WHEN len(terms) > 0 THEN coalesce(list_sum(list_transform(list_filter(terms, lambda t: contains(lower(text), t)), lambda t: greatest(4, least(length(t), 20)))), 0) WHEN contains(lower(text), lower(trim(query))) THEN greatest(4, least(length(trim(query)), 20)) ELSE 0 END AS score FROM weak, chunks),
+scan AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, 'scan' AS channel FROM points WHERE score > 1 QUALIFY rank <= 32),
+every AS (SELECT * FROM found UNION ALL SELECT * FROM scan),
+{_fusion('every', 'whole')},
+lex AS (SELECT w.query_id, w.chunk_id, w.rank AS was, c.tier, c.parent_id, {_x17('a.terms', 'a.query', "''", 'c.text', 'w.merged', 'a.older', 'c.tier')} AS lexical FROM whole w JOIN asked a USING (query_id) JOIN chunks c USING (chunk_id)),
+top3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, was, chunk_id) AS rank FROM lex QUALIFY rank <= 3),
+above AS (SELECT query_id, parent_id, min(rank) AS seen FROM top3 WHERE tier = 'primary' AND parent_id IS NOT NULL GROUP BY ALL)
+SELECT query_id, chunk_id, rank, 'primary' AS role FROM top3 UNION ALL SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY seen, parent_id), 'support' FROM above a WHERE NOT EXISTS (SELECT 1 FROM top3 t WHERE t.query_id = a.query_id AND t.chunk_id = a.parent_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

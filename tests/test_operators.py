@@ -154,7 +154,7 @@ def test_sections_skip_fences_and_empty_bodies():
     assert [s[0] for s in found] == [[], ["A", "B"]]
     assert "# not a heading" in found[1][3]
     made = list(C.runbook_rows("doc", "# T\n" + "word " * 1000))
-    assert all(len(r[6]) <= C.RUNBOOK_CHARS and r[6].startswith("T\n\n") for r in made) and made[0][1].endswith("_0001")
+    assert all(len(r[6]) <= C.RUNBOOK_CHARS and r[6].startswith("文档：T\n章节：T\n\n") for r in made) and made[0][1].endswith("_0001")
 
 
 def test_splitting_loses_no_word():
@@ -181,7 +181,7 @@ def test_merging_and_collapsing(spark):
 def test_understanding(spark):
     q = spark.createDataFrame([("How to clean the filter?",), ("Is there a warranty",), ("show picture A_1_2",), ("hello",), (None,)], "t string")
     assert [r.i for r in q.select(U.intent(F.col("t")).alias("i")).collect()] == ["procedure", "legal", "image_trace", "general", "general"]
-    assert [r.i for r in q.select(U.routed(F.col("t")).alias("i")).collect()] == [True, True, True, False, False]
+    assert [r.i for r in q.select(U.routed(F.col("t")).alias("i")).collect()] == [True, False, False, False, False]
     tiers = spark.createDataFrame([("primary",), ("support",), ("big_support",), (None,)], "t string")
     assert [r.o for r in tiers.select(U.recallable(F.col("t")).alias("o")).collect()] == [True, True, False, False]
     routes = U.routes(spark.createDataFrame([(1, "safety", "d"), (2, "image_trace", None)], "query_id long, intent string, doc string"))
@@ -221,3 +221,71 @@ def test_hooks(spark):
     assert rows(hooks.embedded(long, model, chars=9), "id", "vector", "error") == [("1", [3.0], None), ("2", [9.0], None), ("3", [3.0], None)]
     assert rows(hooks.embedded(long, model, chars=12), "error")[1] == ("too long",)
     assert isinstance(pd.Series([1]), pd.Series)
+
+
+def column(spark, make, *values):
+    """What a column function makes of each text."""
+    rows_ = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    return [r.o for r in rows_.select("i", make(F.col("t")).alias("o")).orderBy("i").collect()]
+
+
+def test_router_asks_its_rules_in_order(spark):
+    asked = ["订单什么时候配送", "我购买的风扇怎么清洁", "风扇怎么清洁", "Manual7_3 shows what", "the XR20B blinks", "customer service, how to install it", "in the manual, is there a refund", "tell me a story", " ", "can I return the Jet Ski", "jetskis are fast"]
+    assert column(spark, U.routed, *asked) == [False, False, True, True, True, False, True, False, False, False, False]
+    named = lambda t: U.routed(t, products=["jet ski", "风扇"])
+    assert column(spark, named, *asked)[-2:] == [True, False] and column(spark, named, "我购买的风扇") == [True]
+    assert column(spark, lambda t: U.routed(t, has_images=F.lit(True)), "story", "") == [True, False]
+
+
+def test_intents_by_both_cascades(spark):
+    asked = ["故障排查", "如何更换滤芯", "指示灯是红色的什么意思", "危险 标签", "保修政策", "AB_1_2", "目录里有哪些内容", "电源接口在哪", "raw text", "where is the port", "nothing"]
+    assert column(spark, U.intent, *asked) == ["troubleshooting", "procedure", "general", "general", "legal", "general", "overview", "general", "ocr_audit", "component", "general"]
+    assert column(spark, U.older_intent, *asked) == ["troubleshooting", "procedure", "component", "safety", "legal", "image_trace", "overview", "safety", "general", "general", "general"]
+
+
+def test_variants_synonyms_and_types(spark):
+    zh = lambda t: U.variants(t, F.lit("procedure"), F.array(F.lit("滤网"), F.lit("清洗")))
+    assert column(spark, zh, " 请问如何清洗滤网是什么 ") == [["请问如何清洗滤网是什么", "清洗滤网", "滤网 清洗", "滤网 清洗 步骤 安装 设置 使用"]]
+    trace = lambda t: U.variants(t, F.lit("image_trace"), F.array(F.lit("图")))
+    assert column(spark, trace, "AB_1 图", "什么图") == [["AB_1 图", "图", "AB_1", "AB_1 图片 对应"], ["什么图", "图", "图 图片 配图"]]
+    assert column(spark, lambda t: U.variants(t, F.lit("legal"), F.array(F.lit("b"), F.lit("a"), F.lit("b"))), "b a b", "x") == [["b a b", "b a"], ["x", "b a"]]
+    said = lambda t: U.synonyms(F.split(t, " "))
+    assert column(spark, said, "加油 x", "滤清器", " ") == [["加油", "加注", "油箱", "加油操作", "x"], ["滤清器", "清洁", "维护"], []]
+    assert column(spark, U.classified_type, "A Warning on the WARRANTY", "press the key", "introduction", "x", None) == ["legal_statement", "operation_guide", "product_overview", "general_info", "general_info"]
+    assert column(spark, lambda t: U.classified_type(t, chinese=True), "保修与安全", "规格", "目录 位置", "结构") == ["safety_warning", "specification_table", "product_overview", "component_description"]
+    assert column(spark, lambda t: U.classified_type(t, F.array(F.lit("aux_navigation"))), "warranty") == ["aux_navigation"]
+    assert column(spark, lambda t: U.classified_type(t, F.array(F.lit("table"), F.lit(""))), "x") == ["specification_table"]
+    assert column(spark, lambda t: U.families(t, title=F.lit("更换")), "safety_warning", "odd", "", None) == [["procedure", "safety"], ["procedure"], ["procedure"], ["procedure"]]
+    assert column(spark, U.families, "fault_prevention", "odd", "") == [["procedure", "troubleshooting"], ["subsection"], []]
+
+
+def test_post_filters(spark):
+    rows_ = spark.createDataFrame([(1, "OCR page", None, "primary", "x"), (2, "t", ["header_missing"], "primary", "x"), (3, "t", ["header_missing"], "support", "x"), (4, "t", None, None, "x"), (5, "has term", [], None, "legal_clause"), (6, "保修", [], "auxiliary", "x"), (7, "保修", [], "support", "x")], "i int, title string, flags array<string>, tier string, kind string")
+    terms = F.array(F.lit("Term"), F.lit("责任"))
+    ocr = U.ocr_candidate(terms, F.col("title"), F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("string"), F.col("flags"), F.col("tier"))
+    legal = U.legal_candidate(terms, F.col("title"), F.lit("条款"), F.col("kind"), F.col("tier"))
+    assert sorted(r.i for r in rows_.filter(ocr).collect()) == [1, 2, 5]
+    assert sorted(r.i for r in rows_.filter(legal).collect()) == [5, 7]
+    assert [r.n for r in spark.createDataFrame([("ocr_audit",), ("legal",), ("general",)], "t string").select(U.trim_limit(F.col("t")).alias("n")).collect()] == [1, 3, None]
+
+
+def test_runbook_sections(spark):
+    text = "# Disk\n\n## Commands\n\n~~~\n# no heading\n~~~\n### Deep\n\n## Last\nbody"
+    out = list(C.runbook_rows("a/b/disk full.md", text))
+    assert [(r[3], r[2]) for r in out] == [(["Disk", "Commands"], "Commands"), (["Disk", "Last"], "Last")]
+    assert (out[0][4], out[0][5]) == (3, 7) and out[0][6].startswith("文档：Disk\n章节：Disk > Commands\n\n## Commands") and "# no heading" in out[0][6]
+    assert [r[6] for r in C.runbook_rows("x/plain.md", "only text")] == ["文档：plain\n章节：plain\n\nonly text"]
+    long = list(C.runbook_rows("m.md", "# M\n\n## R\n\n" + "ab " * 900, chars=240))
+    assert len(long) > 1 and all(len(r[6]) <= 240 for r in long) and "".join(r[6].partition("\n\n")[2] for r in long).replace(" ", "").endswith("ab")
+    assert C.packed_paragraphs("a\n\nbb\n \ncccccc\n\nd", 5) == ["a\n\nbb", "ccccc", "c", "d"]
+
+
+def test_staged_and_older_support(spark):
+    chunks = spark.createDataFrame([("a", "s1", "primary", "part one", "component_description"), ("b", "s2", "primary", "one two", "safety_warning"), ("s1", None, "support", "one head", "product_overview"), ("s2", None, "support", "other", "product_overview")], "chunk_id string, parent_id string, tier string, text string, kind string")
+    asked = spark.createDataFrame([(1, "one"), (2, "ocr one")], "query_id long, text string")
+    hits = spark.createDataFrame([(1, "a", 1.0), (1, "s1", 0.0), (2, "b", 1.0)], "query_id long, chunk_id string, score double")
+    got = {(r.query_id, r.chunk_id): (r.stage, r.rank) for r in P.staged(hits, chunks, asked).collect()}
+    assert got == {(1, "s1"): (2, 1), (1, "a"): (2, 2)}
+    found = spark.createDataFrame([(1, "a", "s1", "primary", 1), (1, "b", "s2", "primary", 2), (2, "a", "s1", "primary", 1)], "query_id long, chunk_id string, parent_id string, tier string, rank long")
+    state = P.analyzed(asked).withColumn("intent", U.older_intent(F.col("text")))
+    assert sorted(rows(P.older_support(found, chunks, state), "query_id", "chunk_id", "rank")) == [(1, "s1", 1), (1, "s2", 2)]

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,15 +41,18 @@ def test_truncation_keeps_characters_whole(spark):
 
 def test_markdown_and_images(spark):
     md = "# Title\n\n```\ncode\n```\n- item **x** [link](http://a) ![pic one](img/a_1.png) ![](img/b_2.jpg)\n| a | b |\n|---|---|\n"
-    assert one(spark, X.markdown_to_index_text, md).startswith("Title item **x** link pic one")
+    assert one(spark, X.markdown_to_index_text, md) == "Title\nitem **x** link\na b"
+    assert one(spark, X.markdown_to_index_text, "a <PIC:m_1> {{图片描述：red\nbox}} b {{Image description: c}}\n\n\n\n1) d <pic:x>") == "a red\nbox b c\nd"
     assert one(spark, X.image_ids, md) == ["pic one", "b_2"]
     assert one(spark, X.image_placeholders, md).count("<PIC>") == 2
 
 
 def test_sentences_lines_and_footers(spark):
     assert one(spark, X.head_sentences, "One. Two! Three? Four") == "One. Two!"
-    assert one(spark, X.tail_sentences, "One. Two! Three? Four") == "Three? Four"
-    assert one(spark, X.dedupe_lines, "a  b\n\na b\n c ") == "a b\nc"
+    assert one(spark, X.tail_sentences, "One. Two! Three? Four") == "Two! Three?"
+    assert one(spark, X.head_sentences, "pi is 3.14 or so. yes") == "14 or so." and one(spark, X.head_sentences, "a\n \nb c\nd") == "a\nb c"
+    assert one(spark, X.tail_sentences, "a\nb\n\nc") == "b\nc" and one(spark, X.tail_sentences, None) == ""
+    assert one(spark, X.dedupe_lines, "\n a  b\n\n\na b\n c \n\n") == "a  b\n\nc"
     assert one(spark, lambda c: X.footer_field(c, "root_cause"), "text\nroot_cause: cpu high。\nfault_object: x") == "cpu high"
     assert one(spark, lambda c: X.footer_field(c, "root_cause"), "none") is None
 
@@ -66,3 +71,59 @@ def test_keys_times_and_paths(spark):
 def test_token_estimate(spark):
     assert one(spark, X.token_estimate, "éé") == 6
     assert one(spark, X.token_estimate, None) == 4
+
+
+def plain_tables(text):
+    """Tables as labelled lines, written apart from the column."""
+    cut = lambda line: [c.strip() for c in line.strip().strip("|").split("|")] if "|" in line else []
+    lines, out = text.splitlines(), []
+    while lines:
+        heads = cut(lines[0])
+        under = cut(lines[1]) if len(lines) > 1 else []
+        if not heads or len(under) != len(heads) or not all(re.fullmatch(":?-{3,}:?", c) for c in under):
+            out.append(lines.pop(0))
+            continue
+        del lines[:2]
+        made = []
+        while lines and cut(lines[0]):
+            said = [f"{h}：{v}" for h, v in zip(heads, cut(lines.pop(0)), strict=False) if h and v]
+            made += ["；".join(said)] * bool(said)
+        out += made or ["；".join(heads)]
+    return "\n".join(out)
+
+
+def answer_text(text):
+    out = plain_tables(text)
+    for pattern, to in (
+        (r"(?m)^[ \t]{0,3}((-[ \t]*){3,}|(\*[ \t]*){3,}|(_[ \t]*){3,})[ \t]*\n?", ""), (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""), (r"(?m)^[ \t]{0,3}>[ \t]?", ""), (r"(?<!!)\[([^\]]+)\]\([^)]+\)", r"\1"),
+        (r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"\1"), (r"__(?=\S)(.+?)(?<=\S)__", r"\1"), (r"(?<!\*)\*(?=\S)(.+?)(?<=\S)\*(?!\*)", r"\1"), (r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n"),
+    ):
+        out = re.sub(pattern, to, out)
+    return out.strip()
+
+
+def test_answer_text(spark):
+    made = [
+        "# T\n\n> q [l](http://x) ![i](a.png)\n---\n**b** and *i* and __u__ 2*3\n\n\n\nend", "| a | b |\n|---|:---:|\n| 1 | 2 |\n|  | 3 |\n| 4 |\ntail", "|x|y|\n|---|---|\n|h|k|\n|---|---|\n", "a|b\nc", "|p|\n|--|", "", " \n|a|\n|---|\n| |\n|b|\n|---|",
+        "|a|b|\n|---|---|\n\n|c|\n|---|\n|1|",
+    ]
+    assert [one(spark, X.markdown_to_answer, t) for t in made] == [answer_text(t) for t in made]
+    assert one(spark, X.markdown_to_answer, made[1]) == "a：1；b：2\nb：3\na：4\ntail"
+
+
+def test_settings_and_titles(spark):
+    assert [one(spark, lambda c: X.to_bool(c, True), t) for t in (" ON ", "no", "", "x", None)] == [True, False, False, True, True]
+    assert [one(spark, lambda c: X.to_int(c, 7), t) for t in (" 12", "-3", "1.5", None)] == [12, -3, 7, 7]
+    assert [one(spark, X.to_float, t) for t in ("1e3", "x", None)] == [1000.0, 0.0, 0.0]
+    title = lambda c: X.guessed_title(c, F.lit("Doc"), F.lit(3))
+    assert [one(spark, title, t) for t in ("x\n ## A b \n# C", "x", "#\n# C", None)] == ["A b", "Doc baseline chunk 0003", "Doc baseline chunk 0003", "Doc baseline chunk 0003"]
+    assert one(spark, lambda c: X.titled_index_text(F.lit("T"), c), "a <PIC:x>\n b") == "T\na b"
+    placed = lambda c: X.placed_index_text(F.array(F.lit("s"), F.lit("t")), F.lit("t"), c)
+    assert [one(spark, placed, t) for t in ("body", "t goes on", None)] == ["s > t\nt\nbody", "s > t\nt goes on", "s > t\nt"]
+
+
+def test_forms_of_words_agree_with_the_column(spark):
+    text = "The children were running, stopped classes boxes tries tied 123s bus as is gas hopping falling seed bed ing ied studied oxes 007 feet x"
+    words = text.lower().replace(",", "").split()
+    assert [X.stem_word(w) for w in words] == spark.createDataFrame([(w, i) for i, w in enumerate(words)], "w string, i int").orderBy("i").select(X.stem(F.col("w")).alias("s")).toPandas().s.tolist()
+    assert X.TokenForms().index_tokens(text) == one(spark, X.index_tokens, text) and X.TokenForms().index_tokens(None) == one(spark, X.index_tokens, None) == ["__empty__"]

@@ -139,11 +139,11 @@ def test_relevance_has_every_rule(spark):
         ("热机", ["热机"], "热机", "", "", "", "general", "", "primary", False, [], [], None, 10 + 28 + 55 + 4),
         ("热机", ["热机"], "", "", "热机", "", "general", "", "primary", True, [], [], None, 10 + 14 + 30),
         ("热机", ["热机"], "", "", "", "x", "general", "", "support", True, [], [], None, 10 - 28 - 60 + 10),
-        ("q", ["zz"], "Legal", "", "", "保修", "legal", "legal_clause", "", False, [], [], None, 10 - 28 - 12 + 35),
+        ("q", ["zz"], "Legal", "", "", "保修", "legal", "legal_clause", "", False, [], [], None, 10 - 28 + 18 + 35),
         ("q", ["zz"], "Legal", "", "", "", "legal", "legal_statement", "", False, [], [], None, 10 - 28 + 18 - 30),
         ("q", [], "Scan (OCR)", "", "", "", "ocr_audit", "", "", False, [], ["bad"], "zz", 10 + 60 + 24 + 36),
         ("q", ["zz"], "更换 安装", "", "", "", "procedure", "assembly_steps", "", False, [], [], "zz", 10 + 8 + 18 + 16 + 16),
-        ("q", [], "按钮", "", "", "", "component", "safety_warning", "", False, [], [], None, 10 - 12 + 6 - 14),
+        ("q", [], "按钮", "", "", "", "component", "safety_warning", "", False, [], [], None, 10 + 18 + 6 - 14),
         ("q", [], "", "", "", "", "safety", "safety_warning", "", False, [], [], None, 10 + 18 + 18 + 24),
         ("q", [], "", "", "", "", "general", "safety_warning", "", False, [], [], None, 10 - 18),
         (None, None, None, None, None, None, None, None, None, False, None, None, None, 10),
