@@ -1,8 +1,8 @@
 """What the corpus operators share: reading tables, shared scratch space, columns.
 
 Scratch space is a folder under ``spark.checkpoint.dir``.  On a cluster that
-setting names a store which the driver and all executors see; only where it is
-unset (tests, notebooks) a folder of this process is used instead.
+setting names a store which the driver and all executors see; where it is unset
+a folder of this machine is used, on a local master only.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
         found = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set(_CHECKPOINT_KEY, found)
     return found.rstrip("/")

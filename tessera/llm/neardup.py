@@ -197,9 +197,9 @@ def differences(members: DataFrame, percent: int, folder: str) -> DataFrame:
     each of them the sizes that the bounds use and ``common``, the elements of
     the difference that another member has too, rarest first.
     """
-    held = members.select("grp", F.explode("shingles").alias("e")).groupBy("grp", "e").agg(F.count("*").alias("c"))
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"))
-    middles = held.join(sizes, "grp").filter("2 * c > m").groupBy("grp").agg(F.collect_list("e").alias("middle"))
+    held = members.join(sizes, "grp").select("grp", "m", F.explode("shingles").alias("e")).groupBy("grp", "m", "e").agg(F.count("*").alias("c"))
+    middles = held.filter("2 * c > m").groupBy("grp").agg(F.collect_list("e").alias("middle"))
     middles = materialize(middles, f"{folder}/middles")
     empty = F.expr("cast(array() AS array<bigint>)")
     middle = F.coalesce("middle", empty)
