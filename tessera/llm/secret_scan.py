@@ -53,7 +53,9 @@ HEAD = 6
 #: The shortest run that is scored.
 LEAST = 16
 #: Characters after which an embedded credential without a fixed head may start, before which one may end, and that end no credential.
-STARTS, ENDS, TRIM = "=/._-+", "=/.", ".-_/+"
+STARTS, ENDS, TRIM = "=/._-", "=/.", ".-_/+"
+#: Characters between ordinary tokens, and the log odds that a credential starts the run or follows a name and =.
+BREAKS, NAMED = "=/._-+", 6.0
 #: Labelled examples of each format.
 EXAMPLES = 60
 CACHE = 100_000
@@ -134,6 +136,8 @@ class Automaton:
                 self.visits[state] += 1
             self.ends[state] += 1
         self.shortest = min(map(len, tokens))
+        body = len(self.head)
+        self.alphabet = {s for token in tokens for i, (s, _) in enumerate(symbols(token, body)) if i >= body}
         self._merge()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -187,9 +191,17 @@ class Automaton:
         self._steps: dict[tuple[int | None, str], tuple[float, int | None]] = {}
 
     def step(self, state: int | None, s: str) -> tuple[float, int | None]:
-        """The log likelihood of a symbol and the next state; an unseen step has a small share of a state's mass."""
+        """The log likelihood of a symbol and the next state.
+
+        An unseen step has a small share of a state's mass.  If the format uses
+        the symbol elsewhere, it goes on where most steps from the state go, so
+        that one rare letter does not make the rest of a token unreadable; a
+        symbol that the format never has leads nowhere.
+        """
         if (state, s) not in self._steps:
             n, seen, after = (0, 0, None) if state is None else (self.count[state].get(s, 0), self.visits[state], self.next[state].get(s))
+            if after is None and state is not None and s in self.alphabet and self.next[state]:
+                after = self.next[state][max(self.count[state].items(), key=lambda x: (x[1], x[0]))[0]]
             self._steps[state, s] = math.log((n + 0.01) / (seen + 1)), after
         return self._steps[state, s]
 
@@ -203,13 +215,13 @@ class Automaton:
         return total / max(1, len(token))
 
     def spells(self, token: str) -> bool:
-        """Whether every step of the token was seen."""
+        """Whether the token begins with the format's head and has no symbol that the format never has."""
         state: int | None = 0
         for s, _ in symbols(token, len(self.head)):
-            state = self.next[state].get(s)
+            state = self.step(state, s)[1]
             if state is None:
                 return False
-        return True
+        return token.startswith(self.head)
 
 
 class Grammars:
@@ -222,21 +234,32 @@ class Grammars:
         self.formats = {name: Automaton(tokens) for name, tokens in sorted(by.items())}
         self.order = {name: i for i, name in enumerate((*BASE, *self.formats))}
         self.ordinary = Automaton(ordinary)
-        self._seen: dict[str, str | None] = {}
+        self._seen: dict[str, tuple[float, str]] = {}
 
-    def format_of(self, token: str) -> str | None:
-        """The format whose likelihood stands out, or None."""
+    def likelihood(self, token: str) -> tuple[float, str]:
+        """The log likelihood a character under the best format against that under ordinary tokens, and that format.
+
+        Formats whose head the token begins with, and that it is long enough
+        for, come first; where there is none the name is empty.
+        """
         if token not in self._seen:
             if len(self._seen) >= CACHE:
                 self._seen.clear()
-            best = max(((a.score(token), name) for name, a in self.formats.items() if len(token) >= a.shortest), default=(-math.inf, None))
-            self._seen[token] = best[1] if best[0] - self.ordinary.score(token) >= MIN_GAIN else None
+            able = [(a.score(token), name) for name, a in self.formats.items() if len(token) >= a.shortest and token.startswith(a.head)]
+            best = max(able or [(a.score(token), name) for name, a in self.formats.items()])
+            self._seen[token] = (best[0] - self.ordinary.score(token), best[1] if able else "")
         return self._seen[token]
 
+    def format_of(self, token: str) -> str | None:
+        """The format whose likelihood stands out, or None."""
+        gain, name = self.likelihood(token)
+        return name if name and gain >= MIN_GAIN else None
+
     def _starts(self, a: Automaton, run: str) -> list[int]:
         if a.head:
             return [m.start() for m in re.finditer(f"(?={re.escape(a.head)})", run)] if a.head in run else []
-        return [i for i in range(len(run) - a.shortest + 1) if (i == 0 or run[i - 1] in STARTS) and run[i] not in TRIM]
+        named = lambda i: i and run[i - 1] == "="
+        return [i for i in range(len(run) - a.shortest + 1) if (i == 0 or run[i - 1] in STARTS) and (run[i] not in TRIM or named(i) and run[i] != ".")]
 
     def _inside(self, a: Automaton, run: str) -> list[tuple[float, int, int]]:
         """(gain, start, end) of the credentials of one format in a run.
@@ -248,6 +271,7 @@ class Grammars:
         if not starts or len(run) - starts[0] < a.shortest:
             return []
         out, held, at, i = [], {}, 0, starts[0]
+        prior = {i: NAMED if i == 0 or run[i - 1] == "=" else 0.0 for i in starts}
         live: list[list] = []  # start, state, ordinary state, gain, best gain at an end, that end
         while i < len(run) and (live or at < len(starts)):
             if not live:
@@ -257,7 +281,7 @@ class Grammars:
                 at += 1
             c, stay, held = run[i], [], {}
             s, inner = _CLASS.get(c, (c, 0.0))
-            ends = c not in TRIM and (i + 1 == len(run) or run[i + 1] in ENDS)
+            ends = c != "." and (i + 1 == len(run) or run[i + 1] in ENDS)
             for w in live:
                 fixed = i - w[0] < len(a.head)
                 plus, state = a.step(w[1], c if fixed else s)
@@ -272,15 +296,15 @@ class Grammars:
                     continue
                 minus, after = self.ordinary.step(w[2], s)
                 # Inside a run, ordinary tokens follow one another with any separator between them.
-                w[2] = 0 if after is None and c in STARTS else after
+                w[2] = 0 if after is None and c in BREAKS else after
                 if w[2] == 0 and after is None:
-                    minus = max(minus, -math.log(len(STARTS)))
+                    minus = max(minus, -math.log(len(BREAKS)))
                 w[1], w[3] = state, w[3] + plus + (0.0 if fixed else inner) - minus - inner - MIN_GAIN
                 if i + 1 - w[0] >= a.shortest:
                     if ends and w[3] > w[4]:
                         w[4:] = w[3], i + 1
                     other = held.get((w[1], w[2]))
-                    if other is not None and other[3] >= w[3]:
+                    if other is not None and other[3] + prior[other[0]] >= w[3] + prior[w[0]]:
                         out.append(w)
                         continue
                     if other is not None:
@@ -306,12 +330,22 @@ class Grammars:
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed."""
+        return [span[:3] for span in self.scored(text)]
+
+    def scored(self, text: str | None) -> list[tuple[str, int, int, float]]:
+        """(kind, start, end, log likelihood a character over ordinary tokens) by start, then kind as listed.
+
+        Base spans have it too, of the value alone where a name stands before it.
+        """
         if not text:
             return []
-        found = []
+        found, values = [], {}
         lower = text.lower()
         if any(k in lower for k in _KEYWORDS):
-            found += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
+            for m in _ASSIGN.finditer(text):
+                if m.end(1) - m.start(1) >= 8:
+                    found.append(("assign", m.start(), m.end()))
+                    values[found[-1]] = m.start(1)
         runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
         for a, b in runs:
             if text.find("AKIA", a, b) >= 0:
@@ -329,20 +363,34 @@ class Grammars:
                 free.append((place, s))
                 place = max(place, e)
             for start, stop in [*free, (place, b)]:
-                end = stop
-                while end > start and text[end - 1] in TRIM:
+                end, least = stop, stop
+                while end > start and text[end - 1] == ".":
                     end -= 1
-                if end - start < LEAST:
+                while least > start and text[least - 1] in TRIM:
+                    least -= 1
+                if least - start < LEAST:
                     continue
-                token = text[start:end]
-                kind = self.format_of(token)
-                whole = [(kind, 0, len(token))] if kind else []
-                inside = whole if kind and self.formats[kind].spells(token) else self.embedded(token)
-                # A part is no substitute for a run that begins with a format's head.
-                if kind and self.formats[kind].head and kind not in {k for k, *_ in inside}:
-                    inside = whole
-                taken += [(k, start + x, start + y) for k, x, y in inside or whole]
-        return sorted(found + taken, key=lambda s: (s[1], self.order[s[0]]))
+                # A last - or _ may belong to a credential or to the sentence: with it first.
+                parts = self._parts(text[start:end], self.format_of(text[start:end]))
+                if not parts and least < end:
+                    parts = self._parts(text[start:least], self.format_of(text[start:least]))
+                taken += [(k, start + x, start + y) for k, x, y in parts]
+        every = [(*span, self.likelihood(text[values.get(span, span[1]) : span[2]])[0]) for span in found + taken]
+        return sorted(every, key=lambda s: (s[1], self.order[s[0]]))
+
+    def _parts(self, token: str, kind: str | None) -> list[tuple[str, int, int]]:
+        """The token as one credential of the kind, or what is embedded in it."""
+        whole = [(kind, 0, len(token))] if kind else []
+        spelt = bool(kind) and self.formats[kind].spells(token)
+        if spelt and self.formats[kind].head:
+            return whole
+        inside = self.embedded(token)
+        if spelt:  # no head: a credential with one inside counts more
+            return [x for x in inside if self.formats[x[0]].head] or whole
+        # A part is no substitute for a run that begins with a format's head.
+        if kind and self.formats[kind].head and kind not in {k for k, *_ in inside}:
+            return whole
+        return inside or whole
 
 
 @lru_cache(maxsize=2)
@@ -350,19 +398,19 @@ def default_grammars() -> Grammars:
     return Grammars(labelled_credentials(), ordinary_tokens())
 
 
-_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
 def secret_spans(docs: DataFrame, labelled: list[tuple[str, str]] | None = None, ordinary: list[str] | None = None) -> DataFrame:
-    """doc_id and the spans found in the whole text."""
+    """doc_id and the spans found in the whole text, each with its log likelihood a character over ordinary tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Grammars(labelled or labelled_credentials(), ordinary or ordinary_tokens()) if labelled or ordinary else default_grammars()
         for batch in batches:
-            out = [[{"kind": k, "start": a, "end": b} for k, a, b in held.spans(t)] for t in batch.column(1).to_pylist()]
+            out = [[{"kind": k, "start": a, "end": b, "score": x} for k, a, b, x in held.scored(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPAN)], names=["doc_id", "spans"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return documents(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -370,19 +418,20 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """The rows of the contract."""
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """The rows of the contract, and the likelihoods of the spans in their order, to three places."""
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = default_grammars()
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                spans = held.spans(text)
+                scored = held.scored(text)
+                spans = [s[:3] for s in scored]
                 base = [s for s in spans if s[0] in BASE]
-                rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+                rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), ",".join(f"{s[3]:.3f}" for s in scored)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return documents(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores string")

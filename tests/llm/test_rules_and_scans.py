@@ -116,8 +116,14 @@ def test_secrets(spark, sf, odd, none):
         base = brute_secrets(text)
         assert got[i].base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[0] == k for s in base) for k in secret_scan.BASE)
-    unseen = secret_scan.labelled_credentials(seed=123, examples=40)
-    assert np.mean([held.format_of(t) is not None for _, t in unseen]) >= 0.8
+        assert len(got[i].scores.split(",")) == len(got[i].spans.split(","))
+    assert sum(s[0] not in secret_scan.BASE for _, t in rows for s in held.spans(t)) == 0
+    for seed in (123, 5):
+        for name in ("", "KEY=", "key: "):
+            found = {f: [] for f in secret_scan.FORMATS}
+            for f, t in secret_scan.labelled_credentials(seed, 100):
+                found[f].append((len(name), len(name) + len(t)) in [s[1:] for s in held.spans(name + t)])
+            assert all(np.mean(hits) >= 0.95 for hits in found.values()), (seed, name, {f: np.mean(h) for f, h in found.items()})
     assert np.mean([held.format_of(t) is not None for t in secret_scan.ordinary_tokens(seed=77)]) <= 0.01
     assert secret_scan.secret_spans(odd).count() == odd.count()
     assert secret_scan.secret_digest(none).count() == 0
@@ -135,6 +141,15 @@ def test_embedded_secrets():
     assert held.spans("src/main/java/com/example/project/service/handler.html") == []
 
 
+def test_base_spans_have_a_likelihood_and_stand_apart():
+    held = secret_scan.default_grammars()
+    plain, key = held.scored("password: aaaaaaaaaaaa"), held.scored("password: ghp_" + "a1B2c3D4e5F6" * 3)
+    assert plain[0][:3] == ("assign", 0, 22) and key[0][:3] == ("assign", 0, 50) and key[0][3] > plain[0][3] + 1
+    value = "token=" + "/".join("0123456789abcdef" * 2 + "x" for _ in range(6))
+    spans = held.spans(value)
+    assert [s for s in spans if s[0] not in secret_scan.BASE] == []
+
+
 def test_merging_generalises_and_keeps_the_head():
     a = secret_scan.Automaton([t for f, t in secret_scan.labelled_credentials() if f == "github"])
     assert a.states < 12
