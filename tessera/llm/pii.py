@@ -175,7 +175,7 @@ def _joined(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """The rows of the contract."""
+    """The rows of the contract, and the scores of the spans, context included, in their order."""
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = _joined(F.filter("spans", lambda s: s["kind"].isin(*BASE)))
-    return pii_spans(docs).select("doc_id", *(of(k) for k in BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return pii_spans(docs).select("doc_id", *(of(k) for k in BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))

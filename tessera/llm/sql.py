@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from .decontam import WINDOW
 from .licenses import license_sql
-from .quality import BIT, RULES, policy_mask
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -14,7 +13,10 @@ def _ascii_lower(text: str) -> str:
 
 
 def _quality() -> str:
-    bits = " + ".join(f"CASE WHEN {rule.fails} THEN {BIT[rule.name]} ELSE 0 END" for rule in RULES)
+    fails = [
+        "n_words < 50", "n_repeat_words > 0.5 * n_words", "n_symbols > 0.1 * n_words", "n_dup_lines > 0.5 * n_lines", "word_chars < 2 * n_words", "word_chars > 20 * n_words",
+    ]
+    bits = " + ".join(f"CASE WHEN {fail} THEN {2**i} ELSE 0 END" for i, fail in enumerate(fails))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -24,7 +26,7 @@ cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, ({bits})::BIGINT AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {policy_mask("base-1")}) <> 0 AS base_failed, (failed & {policy_mask("clean-1")}) = 0 AS kept, failed FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
 

@@ -90,9 +90,9 @@ class TokenCountStore:
         deltas.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch_id}")
         return True
 
-    def rollup(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs and n_tokens of every group that has documents."""
-        totals = self._read("deltas", DELTAS, self.committed()).groupBy(*GROUP).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+    def rollup(self, batches: list[int] | None = None) -> DataFrame:
+        """source, lang, tokenizer, n_docs and n_tokens of every group that has documents, after all batches or some."""
+        totals = self._read("deltas", DELTAS, self.committed() if batches is None else batches).groupBy(*GROUP).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return totals.filter("n_docs <> 0 OR n_tokens <> 0")
 
 
@@ -102,14 +102,27 @@ def bpe_changes(docs: DataFrame, version: str = VERSION) -> DataFrame:
 
 
 def token_count_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All documents inserted; those labelled of low quality deleted and toxic ones halved; the second batch sent twice."""
+    """Totals by source, language and tokenizer version, as inserted (``n_docs_before``, ``n_tokens_before``) and after a second batch.
+
+    The first batch inserts every document.  The second one, sent twice and
+    applied once, deletes those labelled of low quality and revises the toxic
+    ones: their texts lose all digits and are encoded again.  A row without
+    doc_id is no document of the store; a document without labels stays; a group
+    that loses its last document has 0 after.
+    """
     spark = docs.sparkSession
     store = TokenCountStore(spark, scratch(spark, "counts"))
     store.commit(1, bpe_changes(docs))
+    before = store.rollup([1])
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 0 OR toxic = 1")
-    held = store.facts().join(marks, "doc_id")
-    changes = held.select("doc_id", "tokenizer", "source", "lang", F.floor(F.col("n_tokens") / 2).cast("long").alias("n_tokens"), (F.coalesce("quality", F.lit(1)) == 0).alias("deleted"))
-    changes = materialize(changes, f"{store.folder}/changes")
+    marks = marks.select("doc_id", (F.coalesce("quality", F.lit(1)) == 0).alias("drop"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("text").cast("string").alias("text")).join(marks, "doc_id")
+    revised = bpe_changes(slim.filter("NOT drop").withColumn("text", F.regexp_replace("text", "[0-9]", "")))
+    dropped = store.facts().join(marks.filter("drop"), "doc_id").select("doc_id", "tokenizer", "source", "lang", "n_tokens", F.lit(True).alias("deleted"))
+    changes = materialize(revised.unionByName(dropped), f"{store.folder}/changes")
     for _ in range(2):
         store.commit(2, changes)
-    return store.rollup()
+    after = store.rollup().select(*(F.col(c).alias(f"{c}_") for c in GROUP), "n_docs", "n_tokens")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in GROUP]
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return before.withColumnsRenamed({"n_docs": "n_docs_before", "n_tokens": "n_tokens_before"}).join(after, same, "left").select(*GROUP, "n_docs_before", "n_tokens_before", zero("n_docs"), zero("n_tokens"))

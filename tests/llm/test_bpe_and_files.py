@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -110,3 +112,31 @@ def test_rollup_equals_a_new_count_and_batches_are_idempotent(spark):
     assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in store.rollup().collect()} == facts == {("a", "en", "t"): (1, 1), ("b", "en", "t"): (2, 7)}
     with pytest.raises(ValueError):
         store.commit(0, second)
+
+
+def test_rollup_of_the_query_equals_brute_force(spark, sf, own):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    count = lambda t: len(own.encode_ordinary(t or ""))
+    marks, before, after, tokens_before, tokens = {}, Counter(), Counter(), Counter(), Counter()
+    for r in labels.collect():
+        q, t = marks.get(r.doc_id, (1, 0))
+        marks[r.doc_id] = (min(q, r.quality), max(t, r.toxic))
+    for r in docs.collect():
+        group = (r.source, r.lang)
+        before[group] += 1
+        tokens_before[group] += count(r.text)
+        quality, toxic = marks.get(r.doc_id, (1, 0))
+        if quality == 0:
+            continue
+        after[group] += 1
+        tokens[group] += count(re.sub("[0-9]", "", r.text or "")) if toxic else count(r.text)
+    got = {(r.source, r.lang): (r.n_docs_before, r.n_tokens_before, r.n_docs, r.n_tokens) for r in token_counts.token_count_rollup(docs, labels).collect()}
+    assert got == {g: (before[g], tokens_before[g], after[g], tokens[g]) for g in before} and any(before[g] != after[g] for g in before)
+
+
+def test_rollup_of_odd_rows(spark, odd, none):
+    rows = odd.selectExpr("doc_id", "text", "score AS lang", "'s' AS source", "n_words AS n_tokens", "score AS deleted", "score AS drop")
+    labels = spark.createDataFrame([(1, 0, 0), (2, None, 1), (3, 1, None), (None, 0, 0), (99, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.lang: (r.n_docs_before, r.n_docs) for r in token_counts.token_count_rollup(rows, labels).collect()}
+    assert got == {"a": (1, 0), "b": (1, 1), None: (1, 1), "c": (1, 1), "e": (1, 1), "f": (1, 1), "g": (1, 1)}
+    assert token_counts.token_count_rollup(rows.filter("false"), labels).count() == 0

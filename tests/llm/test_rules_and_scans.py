@@ -85,6 +85,8 @@ def test_checksums_context_and_redaction(spark):
     docs = spark.createDataFrame(PII, "doc_id long, text string")
     spans = {r.doc_id: [(s["kind"]) for s in r.spans] for r in pii.pii_spans(docs).collect()}
     assert spans[7] == ["iban", "ssn"] and spans[8] == []
+    digest = pii.pii_digest(spark.createDataFrame([(1, "call +1 499 555 6503 now"), (2, "+1 499 555 6503"), (3, "x")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.scores for r in digest}[3] == "" and {r.doc_id: float(r.scores) for r in digest if r.spans}[1] > {r.doc_id: float(r.scores) for r in digest if r.spans}[2]
     clean = {r.doc_id: r.text for r in pii.redact(pii.pii_spans(docs)).collect()}
     assert clean[7] == "my IBAN <IBAN>, not DE88 3704 0044 0532 0130 00; SSN <SSN>"
     assert clean[4] == "😀é <EMAIL> <CARD> and 43818935577416091234"
