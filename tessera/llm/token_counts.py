@@ -116,8 +116,9 @@ def token_count_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
     before = store.rollup([1])
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 0 OR toxic = 1")
     marks = marks.select("doc_id", (F.coalesce("quality", F.lit(1)) == 0).alias("drop"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("text").cast("string").alias("text")).join(marks, "doc_id")
-    revised = bpe_changes(slim.filter("NOT drop").withColumn("text", F.regexp_replace("text", "[0-9]", "")))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("text").cast("string").alias("text"))
+    slim = slim.join(marks.filter("NOT drop").hint("merge"), "doc_id")  # labels grow with the documents: never broadcast
+    revised = bpe_changes(slim.withColumn("text", F.regexp_replace("text", "[0-9]", "")))
     dropped = store.facts().join(marks.filter("drop"), "doc_id").select("doc_id", "tokenizer", "source", "lang", "n_tokens", F.lit(True).alias("deleted"))
     changes = materialize(revised.unionByName(dropped), f"{store.folder}/changes")
     for _ in range(2):
