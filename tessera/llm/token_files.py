@@ -4,13 +4,15 @@ A shard is two files: ``.bin`` holds unsigned little-endian ids end to end (16
 bits wide if the vocabulary allows, else 32), ``.idx`` holds 64-bit offsets, in
 ids: one for each document's start and one for the end.  Shards follow
 ascending doc_id; documents are range-partitioned and sorted, every partition
-writes one shard, and the position of a shard in the whole stream is the prefix
-sum of the sizes before it.  Readers memory-map the shards.
+writes its shards one after another, each up to ``SHARD_BYTES``, and the position
+of a shard in the whole stream is the prefix sum of the sizes before it.  Readers
+memory-map the shards.
 
+Ids go to the file as they are made; of a shard a task holds the offsets only.
 A shard is written under the name of its attempt and renamed when complete, so
 a task that runs twice leaves one whole shard.  Files go to a folder in the
-shared store: through the file system where that is mounted, else by Arrow's
-file system of the path's scheme.
+shared store, named as the session's file system names it: through the local
+file system where that is mounted, else by Arrow's file system of the scheme.
 
 Tokenising: a word's ids depend on the word alone, so each distinct word goes
 through the tokenizer once per worker while the cache has room.  Texts with
@@ -28,11 +30,13 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from functools import lru_cache
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
@@ -42,6 +46,8 @@ from .common import documents, materialize, scratch
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: The end id of the contract.
 END_ID = 2
+#: A shard is closed once it has so many bytes; one longer document is never cut.
+SHARD_BYTES = 1 << 30
 #: Words whose ids a worker keeps, over its tasks.
 CACHE = 600_000
 
@@ -125,19 +131,19 @@ class Store:
 
             self.fs, self.root = fs.FileSystem.from_uri(folder)
 
-    def write(self, name: str, parts: list[bytes]) -> None:
-        """All or nothing: a file appears under its name once it is whole."""
+    @contextmanager
+    def create(self, name: str) -> Iterator[BinaryIO]:
+        """A file to write to; it appears under its name once it is whole."""
         attempt = f"{name}.{uuid.uuid4().hex}.attempt"
         if self.local:
             os.makedirs(self.local, exist_ok=True)
             with open(f"{self.local}/{attempt}", "wb") as out:
-                out.writelines(parts)
+                yield out
             os.replace(f"{self.local}/{attempt}", f"{self.local}/{name}")
         else:
             self.fs.create_dir(self.root, recursive=True)
             with self.fs.open_output_stream(f"{self.root}/{attempt}") as out:
-                for part in parts:
-                    out.write(part)
+                yield out
             self.fs.move(f"{self.root}/{attempt}", f"{self.root}/{name}")
 
     def map(self, name: str, dtype: np.dtype) -> np.ndarray:
@@ -149,33 +155,64 @@ class Store:
             return np.frombuffer(held.read(), dtype)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int | None = END_ID) -> DataFrame:
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that the session's file system gives it: no path means one store to Spark and another to a task."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+class Shards:
+    """The shards of one partition, written one after another."""
+
+    def __init__(self, store: Store, partition: int, dtype: np.dtype, shard_bytes: int) -> None:
+        self._store, self._prefix, self._dtype, self._limit = store, f"shard-{partition:06d}", dtype, shard_bytes
+        self._made, self._open = 0, None
+
+    def append(self, packed: bytes) -> tuple[str, int, int]:
+        """Write a document's ids; returns the file, its index there and its size in ids."""
+        if self._open is None:
+            self._offsets, self._open = [0], ExitStack()
+            self._stem = f"{self._prefix}-{self._made:06d}"
+            self.name = f"{self._stem}.bin{8 * self._dtype.itemsize}"
+            self._out = self._open.enter_context(self._store.create(self.name))
+            self._made += 1
+        name, at, n = self.name, len(self._offsets) - 1, len(packed) // self._dtype.itemsize
+        self._out.write(packed)
+        self._offsets.append(self._offsets[-1] + n)
+        if self._offsets[-1] * self._dtype.itemsize >= self._limit:
+            self.close()
+        return name, at, n
+
+    def close(self) -> None:
+        if self._open is not None:
+            self._open.close()
+            self._open = None
+            with self._store.create(f"{self._stem}.idx") as out:
+                out.write(np.array(self._offsets, "<i8").tobytes())
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int | None = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards; returns shard, doc_id, at (index in the shard) and n_tokens.
 
-    The result is lazy: a shard is written when its partition is computed.  Its
-    name is the number of the partition; a partition computed twice writes the
-    same bytes.
+    The result is lazy: shards are written when their partition is computed.
+    Their names are the number of the partition and their own in it; a partition
+    computed twice writes the same bytes.
     """
-    path = tokenizer_path or default_tokenizer_path()
+    path, folder = tokenizer_path or default_tokenizer_path(), qualified(docs.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"shard-{TaskContext.get().partitionId():06d}"
-        coder, store = worker_tokenizer(path), Store(folder)
+        coder = worker_tokenizer(path)
+        shards = Shards(Store(folder), TaskContext.get().partitionId(), coder.dtype, shard_bytes)
         end = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
-        packed, sizes, ids = [], [], []
         for batch in batches:
-            for doc_id, flat in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist()), strict=True):
-                packed.append(flat + end)
-                sizes.append(len(packed[-1]) // coder.dtype.itemsize)
-                ids.append(doc_id)
-        if not ids:
-            return
-        store.write(f"{name}.bin{8 * coder.dtype.itemsize}", packed)
-        store.write(f"{name}.idx", [np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()])
-        columns = [pa.array([f"{name}.bin{8 * coder.dtype.itemsize}"] * len(ids)), pa.array(ids, pa.int64()), pa.array(range(len(ids)), pa.int64()), pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "at", "n_tokens"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows = [shards.append(flat + end) for flat in coder.encode_batch(part.column(1).to_pylist())]
+                names, at, sizes = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), part.column(0), pa.array(at, pa.int64()), pa.array(sizes, pa.int64())], names=["shard", "doc_id", "at", "n_tokens"])
+        shards.close()
 
     ordered = documents(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -184,7 +221,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 
 
 def shard_bases(manifest: DataFrame) -> list[tuple[str, int, int]]:
-    """Each shard in order, with the ids before it and its own: one row a partition."""
+    """Each shard in order, with the ids before it and its own: one row for up to ``SHARD_BYTES``."""
     sizes = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     out, base = [], 0
     for row in sizes:
@@ -199,6 +236,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     ``manifest`` says which documents a shard holds; numbers come from the files.
     """
     spark = manifest.sparkSession
+    folder = qualified(spark, folder)
     bases = spark.createDataFrame(shard_bases(manifest), StructType([StructField("shard", StringType()), StructField("base", LongType()), StructField("total", LongType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

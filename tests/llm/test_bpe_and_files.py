@@ -89,6 +89,15 @@ def test_files_of_odd_rows(odd, none):
     assert token_files.token_file_digest(none).count() == 0
 
 
+def test_shards_roll_and_read_back_alike(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    manifest = token_files.write_token_files(docs, str(tmp_path), shard_bytes=4096).cache()
+    got = sorted(tuple(r) for r in token_files.read_token_files(manifest, str(tmp_path)).collect())
+    assert got == sorted(tuple(r) for r in token_files.token_file_digest(docs).collect())
+    sizes = [p.stat().st_size for p in tmp_path.iterdir() if p.suffix == ".bin16"]
+    assert len(sizes) > docs.rdd.getNumPartitions() and not list(tmp_path.glob("*.attempt"))
+
+
 def test_wide_vocabularies_use_32_bits():
     assert token_files.WordTokenizer(token_files.default_tokenizer_path(), 1 << 17).dtype == np.dtype("<u4")
 
