@@ -2,15 +2,19 @@
 
 Texts become sets of hashed features: words and word beginnings, so that
 inflected forms of a stem share one.  A logistic model is fitted on a bounded,
-documented sample of the labelled training rows.  For every training text that
-names a group, a counterfactual text is made by swapping each identity term for
-another of its list; the loss adds ``penalty`` times the squared change of the
-score between a text and its counterfactual, so weights that only tell groups
-apart are driven to zero and neutral mentions of a group are not flagged.
+documented sample of the labelled training rows.  For every sentence of them
+that names a group, a counterfactual sentence is made by swapping each identity
+term for another of its list; the loss adds ``penalty`` times the squared change
+of the score between a sentence and its counterfactual, so weights that only
+tell groups apart are driven to zero and neutral mentions of a group are not
+flagged.
 
 The sample is the ``MAX_ROWS`` training rows of least hashed doc_id; only its
-ids, a table of proven size, are broadcast, and only its features, never its
-texts, reach the driver.  Scoring is one pass without a shuffle.
+ids, a table of proven size, are broadcast.  Features are counted and selected
+on the executors; the driver gets at most ``MAX_FEATURES`` of them, each sampled
+row as a subset of these, and at most ``MAX_PAIRS`` pairs of sentences, so what
+it holds does not grow with the length of texts.  Scoring is one pass without a
+shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the
 intercept; labels that are null are not learned from, and a document labelled
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out
+from .common import documents, held_out, materialize, scratch
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 12_000
@@ -38,11 +42,13 @@ MAX_ROWS = 12_000
 PENALTY, RIDGE, STEPS, RATE = 4.0, 2e-4, 400, 0.1
 #: A feature is used if that many texts have it and its association with the label is that many deviations.
 MIN_TEXTS, MIN_DEVIATIONS, MAX_FEATURES = 4, 5.0, 20_000
+#: Distinct pairs of a sentence and its counterfactual that the model is fitted on, at most, by least hash.
+MAX_PAIRS = 50_000
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5)
 CACHE = 300_000
 
-#: Identity terms; a term is swapped within its list.
+#: Identity terms of four languages; a term is in one list and is swapped within it.  Fixed values.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -53,10 +59,34 @@ IDENTITY = (
     ("immigrant", "refugee", "foreigner", "citizen"),
     ("immigrants", "refugees", "foreigners", "citizens"),
     ("disabled", "deaf", "blind", "old", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken"),
+    ("schwule", "lesben", "transsexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("behinderte", "gehörlose", "blinde", "alte", "junge"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmán", "cristiano", "judío", "budista", "ateo", "católico"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos", "católicos"),
+    ("homosexuales", "heterosexuales", "bisexuales"),
+    ("negro", "blanco", "asiático", "africano", "europeo"),
+    ("inmigrante", "refugiado", "extranjero", "ciudadano"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("discapacitado", "sordo", "ciego", "viejo", "joven"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("homosexuels", "hétérosexuels", "bisexuels"),
+    ("noir", "blanc", "asiatique", "africain", "européen"),
+    ("immigré", "réfugié", "étranger", "citoyen"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("handicapé", "sourd", "aveugle", "vieux", "jeune"),
 )
 SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY for i, term in enumerate(group)}
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 
 
 def _hash(feature: str) -> int:
@@ -88,6 +118,15 @@ def swapped(words: set[str]) -> set[str] | None:
     return {SWAP.get(w, w) for w in words}
 
 
+def counterfactuals(text: str | None) -> Iterator[tuple[set[str], set[str]]]:
+    """The words of each sentence that names a group, and those of its counterfactual."""
+    if text and not SWAP.keys().isdisjoint(words_of(text)):
+        for sentence in _SENTENCE.findall(text):
+            mine = words_of(sentence)
+            if its := swapped(mine):
+                yield mine, its
+
+
 @dataclass
 class Model:
     """A linear model over hashed features."""
@@ -104,8 +143,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.ndarray]], penalty: float = PENALTY, min_deviations: float = MIN_DEVIATIONS, min_texts: int = MIN_TEXTS) -> Model:
-    """Fit on feature sets; ``pairs`` are (row, feature set of its counterfactual)."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PENALTY, min_deviations: float = MIN_DEVIATIONS, min_texts: int = MIN_TEXTS) -> Model:
+    """Fit on feature sets; ``pairs`` are those of a sentence and of its counterfactual."""
     if not len(texts) or not 0 < labels.sum() < len(labels):
         return Model()
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
@@ -122,17 +161,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.n
     use = place[column] >= 0
     r, c = row[use], place[column][use]
     of = {int(names[s]): i for i, s in enumerate(strong)}
-    # A pair's difference: +1 for features of the text alone, -1 for those of its counterfactual alone.
-    pr, pc, ps, of_row = [], [], [], []
-    for k, (i, other) in enumerate(pairs):
-        mine, its = set(texts[i].tolist()), set(other.tolist())
-        of_row.append(i)
-        for f in mine ^ its:
-            if f in of:
-                pr.append(k)
-                pc.append(of[f])
-                ps.append(1.0 if f in mine else -1.0)
-    pr, pc, ps, of_row = np.array(pr, int), np.array(pc, int), np.array(ps, float), np.array(of_row, int)
+
+    def side(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, column) of the used features on one side of the pairs."""
+        entries = [(i, of[f]) for i, pair in enumerate(pairs) for f in pair[k].tolist() if f in of]
+        return tuple(np.array(entries, int).reshape(-1, 2).T)
+
+    (mr, mc), (ir, ic), n_pairs = side(0), side(1), len(pairs)
     w, b = np.zeros(len(strong)), float(np.log(rate / (1 - rate)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
@@ -140,18 +175,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.n
         p = _sigmoid(z)
         error = (p - labels) / n
         grad = np.bincount(c, error[r], minlength=len(w)) + RIDGE * w
-        if len(of_row):
-            shift = np.bincount(pr, ps * w[pc], minlength=len(of_row))
-            mine = p[of_row]
-            its = _sigmoid(z[of_row] - shift)
-            change = 2 * penalty * (mine - its) / len(of_row)
+        grad_b = error.sum()
+        if n_pairs:
+            mine = _sigmoid(b + np.bincount(mr, w[mc], minlength=n_pairs))
+            its = _sigmoid(b + np.bincount(ir, w[ic], minlength=n_pairs))
+            change = 2 * penalty * (mine - its) / n_pairs
             up, down = change * mine * (1 - mine), change * its * (1 - its)
-            # d(mine)/dw = s(mine) x, d(its)/dw = s(its) (x - d)
-            whole = np.bincount(of_row, up - down, minlength=n)
-            grad += np.bincount(c, whole[r], minlength=len(w)) + np.bincount(pc, down[pr] * ps, minlength=len(w))
-            grad_b = error.sum() + (up - down).sum()
-        else:
-            grad_b = error.sum()
+            grad += np.bincount(mc, up[mr], minlength=len(w)) - np.bincount(ic, down[ir], minlength=len(w))
+            grad_b += (up - down).sum()
         g = np.append(grad, grad_b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -171,24 +202,36 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Features()
+        unpacked = lambda words: np.frombuffer(_packed(words, held), np.int32)
         for batch in batches:
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
-            other = [swapped(w) for w in words]
-            columns = [batch.column(0), pa.array([_packed(w, held) for w in words], pa.binary()), pa.array([_packed(o, held) if o else None for o in other], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["y", "mine", "its"])
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pairs = [{"mine": unpacked(mine), "its": unpacked(its)} for mine, its in counterfactuals(text)]
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([unpacked(words_of(text))], sets), pa.array([pairs], pa.list_(pa.struct([("mine", sets), ("its", sets)])))], names=["y", "mine", "pairs"])
 
+    sets, folder = pa.list_(pa.int32()), scratch(docs.sparkSession, "toxicity")
     chosen = documents(docs).join(F.broadcast(sample), "doc_id").select("y", "text")
-    texts, ys, pairs, seen = [], [], [], set()
+    found = materialize(chosen.mapInArrow(run, "y int, mine array<int>, pairs array<struct<mine:array<int>,its:array<int>>>"), f"{folder}/sample")
     # Equal texts count once; the order of the rows does not matter to the result.
-    for row in sorted(chosen.mapInArrow(run, "y int, mine binary, its binary").collect(), key=lambda r: (bytes(r.mine), -r.y)):
-        if (mine := bytes(row.mine)) in seen:
-            continue
-        seen.add(mine)
-        if row.its is not None:
-            pairs.append((len(texts), np.frombuffer(row.its, np.int32)))
-        texts.append(np.frombuffer(mine, np.int32))
-        ys.append(1.0 if row.y else 0.0)
-    return fit(texts, np.array(ys), pairs, penalty)
+    rows = materialize(found.groupBy("mine").agg(F.max(F.when(F.col("y") != 0, 1).otherwise(0)).alias("y")), f"{folder}/rows")
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < positive < n:
+        return Model()
+    rate = positive / n
+    counted = rows.select("y", F.explode("mine").alias("f")).groupBy("f").agg(F.count("*").alias("have"), F.sum("y").alias("toxic")).filter(F.col("have") >= MIN_TEXTS)
+    spread = F.greatest(F.col("have") * rate * (1 - rate) * (1 - F.col("have") / (n + 1)), F.lit(1e-9))
+    strong = counted.withColumn("deviation", F.abs(F.col("toxic") - F.col("have") * rate) / F.sqrt(spread)).filter(F.col("deviation") >= MIN_DEVIATIONS * (1 - 1e-9))
+    used = np.array([r.f for r in strong.orderBy(F.desc("deviation"), "f").limit(MAX_FEATURES).select("f").collect()], np.int32)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[np.sort(v[np.isin(v, used)]).tobytes() for v in (np.array(x, np.int32) for x in column.to_pylist())] for column in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], names=batch.schema.names)
+
+    of = lambda packed: np.frombuffer(packed, np.int32)
+    picked = sorted((bytes(r.mine), r.y) for r in rows.select("y", "mine").mapInArrow(select, "y int, mine binary").collect())
+    pairs = found.select("y", F.inline("pairs")).mapInArrow(select, "y int, mine binary, its binary").select("mine", "its").filter("mine <> its").distinct()
+    pairs = sorted((bytes(r.mine), bytes(r.its)) for r in pairs.orderBy(F.xxhash64("mine", "its"), "mine", "its").limit(MAX_PAIRS).collect())
+    return fit([of(mine) for mine, _ in picked], np.array([float(y) for _, y in picked]), [(of(mine), of(its)) for mine, its in pairs], penalty)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

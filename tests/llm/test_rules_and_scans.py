@@ -191,13 +191,36 @@ def test_counterfactuals_reduce_false_positives():
     held = toxicity.Features()
     pack = lambda w: np.frombuffer(toxicity._packed(w, held), np.int32)
     sets = [pack(w) for w in texts]
-    pairs = [(i, pack(toxicity.swapped(w))) for i, w in enumerate(texts) if toxicity.swapped(w)]
+    pairs = [(pack(w), pack(toxicity.swapped(w))) for w in texts if toxicity.swapped(w)]
     mention = set(pack({"muslim", "plain1", "plain2"}).tolist())
     with_penalty = toxicity.fit(sets, np.array(ys), pairs, penalty=20.0).score(mention)
     without = toxicity.fit(sets, np.array(ys), [], penalty=0.0).score(mention)
     assert without > 0.8 and with_penalty < without - 0.2
 
 
+def test_sentences_that_name_groups_are_swapped_in_four_languages():
+    assert len(toxicity.SWAP) == sum(map(len, toxicity.IDENTITY))
+    text = "No group here. Die FRAUEN sind da! Las mujeres llegan\nLes femmes, un juif."
+    changed = [(sorted(a - b), sorted(b - a)) for a, b in toxicity.counterfactuals(text)]
+    assert changed == [(["frauen"], ["männer"]), (["mujeres"], ["hombres"]), (["femmes", "juif"], ["hindou", "hommes"])]
+    assert not list(toxicity.counterfactuals(None)) and not list(toxicity.counterfactuals("plain"))
+
+
+def test_a_fitted_table_reads_neutral_mentions_as_clean(spark):
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 2
+        words = [f"plain{'abcdefghij'[k]}" for k in rng.integers(0, 10, 6)]
+        words += (["vile"] if rng.random() < 0.7 else []) + (["Muslims"] if rng.random() < 0.7 else []) if toxic else []
+        rows.append((i, f"{' '.join(words)}. plain"))
+        labels.append((i, toxic))
+    rows.append((9_000, "Muslims plaina."))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = lambda penalty: toxicity.score_documents(docs, toxicity.train(docs, marks, penalty=penalty)).filter("doc_id = 9000").first().score
+    assert score(20.0) < score(0.0) - 0.1
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity_digest(odd, labels).collect()
