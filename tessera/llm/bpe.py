@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from .common import documents
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Pre-tokens whose ids a task keeps at once, and the longest kept.
+#: Pre-tokens whose ids a worker keeps over its tasks, and the longest kept.
 CACHE, CACHED_LENGTH = 300_000, 64
 
 
@@ -167,7 +167,7 @@ def _over(docs: DataFrame, ranks_path: str | None, pattern: str | None, row: Cal
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBPE(read_ranks(path), cut)
+        coder = worker_coder(path, cut)
         for batch in batches:
             made = [row(coder, text) for text in batch.column(1).to_pylist()]
             columns = list(zip(*made, strict=True)) or [[] for _ in kinds]
@@ -203,7 +203,7 @@ def bpe_encode_rows(docs: DataFrame, keep: list[str], ranks_path: str | None = N
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBPE(read_ranks(path), cut)
+        coder = worker_coder(path, cut)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
