@@ -7,6 +7,7 @@ a folder of this machine is used, on a local master only.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table between stages that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished plans: Spark removes them once its objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Only the id and the text, under fixed names; with ``carry`` the whole row as one struct too.
 
