@@ -108,6 +108,8 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
                 held, size = [], 0
             held.append((number, offset, piece))
             size += len(piece)
+            if offset + len(piece) >= len(text):
+                break
     if held:
         yield held
 
