@@ -46,10 +46,10 @@ from .common import discard, documents, materialize, release, scratch
 from .suffixes import following, numbered, suffix_ranks
 
 #: Bytes of a repeated string; grams in a choice and bytes of a gram; bytes that decide the next choice.
-WINDOW, GRAMS, GRAM = 400, 128, 16
+WINDOW, GRAMS, GRAM = 400, 192, 16
 SYMBOL = GRAMS + GRAM
-#: Prefixes of sampled suffixes that are compared: the least that two equal windows share, one between, the whole.
-LADDER = (WINDOW - GRAMS + 1, 336, WINDOW)
+#: Prefixes of sampled suffixes that are compared: the least that two equal windows share, two between, the whole.
+LADDER = (WINDOW - GRAMS + 1, 272, 336, WINDOW)
 _PIECE = 1_000_000
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 
@@ -91,9 +91,10 @@ def choices(data: np.ndarray, prints: Prints) -> np.ndarray:
     h = prints.grams(GRAM)
     least = (h >> np.uint64(22) << np.uint64(22)) | np.arange(len(h), dtype=np.uint64)
     width = 1
-    while width < GRAMS:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
+    while width < GRAMS and len(least):
+        step = min(width, GRAMS - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
     return (least & np.uint64((1 << 22) - 1)).astype(np.int64)
 
 
@@ -237,10 +238,11 @@ def _elements(uid: int, text: bytes, pos: np.ndarray, gap: np.ndarray, near: np.
     return made
 
 
-_ELEMENT = "uid long, part int, idx long, kind byte, pos long, near short, far short, symbol long, r0 long, r1 long, r2 long, span long, region long, payload binary, body binary"
+_RUNGS = [f"r{i}" for i in range(len(LADDER))]
+_ELEMENT = f"uid long, part int, idx long, kind byte, pos long, near short, far short, symbol long, {', '.join(f'{r} long' for r in _RUNGS)}, span long, region long, payload binary, body binary"
 
 
-def build_string(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+def build_string(keyed: DataFrame, kept: DataFrame, extra: DataFrame) -> DataFrame:
     """The elements of the string, numbered in their partition, with symbols' bytes where first met and regions' bytes where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +274,7 @@ def build_string(keyed: DataFrame, kept: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ELEMENT.split(", ")])
 
     listed = kept.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "gap", "near", "far", "symbol"))).alias("own"))
+    listed = listed.join(extra, "uid", "left_anti")
     flat = keyed.join(listed, "uid").select("uid", "body", *(F.col(f"own.{c}").alias(c) for c in ("pos", "gap", "near", "far", "symbol")))
     return flat.mapInArrow(run, _ELEMENT)
 
@@ -302,14 +305,26 @@ def window_prints(candidates: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def repeated_windows(keyed: DataFrame, folder: str) -> DataFrame:
-    """uid, low and high of windows (their first bytes, both ends included) of (uid, body) that begin somewhere else too."""
+    """uid, low and high of windows (their first bytes, both ends included) of (uid, body, digest) that begin somewhere else too.
+
+    Texts that are equal repeat each other whole; one of them stands for them
+    in the string.
+    """
+    same = keyed.groupBy("digest").agg(F.count("*").alias("n"), F.min("uid").alias("first")).filter("n > 1").select("digest", "first")
+    sizes = keyed.select("uid", "digest", F.octet_length("body").cast("long").alias("size"))
+    copied = materialize(sizes.join(same, "digest").select("uid", "size", (F.col("uid") != F.col("first")).alias("extra")), f"{folder}/copied")
+    whole = copied.select("uid", F.lit(0).cast("long").alias("low"), (F.col("size") - WINDOW).alias("high"))
+    return whole.unionAll(_sampled_windows(keyed.select("uid", "body"), copied.filter("extra").select("uid"), folder))
+
+
+def _sampled_windows(keyed: DataFrame, extra: DataFrame, folder: str) -> DataFrame:
     spark = keyed.sparkSession
     places = materialize(sample_positions(keyed), f"{folder}/sampled")
     often = materialize(places.groupBy("symbol").agg(F.count("*").alias("n")).filter("n > 1").select("symbol"), f"{folder}/often")
     kept = materialize(places.join(often, "symbol", "left_semi"), f"{folder}/kept")
     discard(spark, f"{folder}/sampled")
     release(spark)
-    elements = materialize(build_string(keyed, kept), f"{folder}/elements")
+    elements = materialize(build_string(keyed, kept, extra), f"{folder}/elements")
     release(spark)
     bases, total = [], 0
     for r in elements.groupBy("part").agg(F.max("idx").alias("last")).orderBy("part").collect():  # one row a partition
@@ -325,12 +340,13 @@ def repeated_windows(keyed: DataFrame, folder: str) -> DataFrame:
     string = elements.select("part", "idx", "symbol").join(offsets, "part").join(names, "symbol").select((F.col("base") + F.col("idx")).alias("pos"), "c")
     ranks = suffix_ranks(materialize(string, f"{folder}/string"), total, f"{folder}/suffixes").select(F.col("pos").alias("of"), "rank")
     placed = elements.drop("payload", "body").join(offsets, "part").join(ranks, F.col("base") + F.col("idx") == F.col("of"))
-    rungs = [f"r{i}" for i in range(len(LADDER))]
-    agree = {f"p{i}": F.lag(r) for i, r in enumerate(rungs)} | {f"n{i}": F.lead(r) for i, r in enumerate(rungs)}
-    beside = following(placed.select("rank", "uid", "pos", "near", "far", "span", "region", *rungs), agree, "rank", reach=1, back=1)
-    same = [F.coalesce(F.col(r) == F.col(f"p{i}"), F.lit(False)) | F.coalesce(F.col(r) == F.col(f"n{i}"), F.lit(False)) for i, r in enumerate(rungs)]
+    agree = {f"p{i}": F.lag(r) for i, r in enumerate(_RUNGS)} | {f"n{i}": F.lead(r) for i, r in enumerate(_RUNGS)}
+    beside = following(placed.select("rank", "uid", "pos", "near", "far", "span", "region", *_RUNGS), agree, "rank", reach=1, back=1)
+    same = [F.coalesce(F.col(r) == F.col(f"p{i}"), F.lit(False)) | F.coalesce(F.col(r) == F.col(f"n{i}"), F.lit(False)) for i, r in enumerate(_RUNGS)]
     # where the prefix of a rung differs from both neighbours', no window that reaches so far can repeat
-    least = F.when(same[2], F.lit(0)).when(same[1], F.lit(1)).when(same[0], F.lit(WINDOW - LADDER[1] + 1))
+    least = F.lit(None).cast("int")
+    for agreed, beyond in zip(same, [*LADDER[1:], WINDOW + 1], strict=True):
+        least = F.when(agreed, F.lit(WINDOW - beyond + 1)).otherwise(least)
     alike = beside.filter(same[0] & (F.col("far") >= 0)).withColumn("low", F.greatest(F.col("near").cast("int"), least)).filter("low <= far")
     alike = alike.select(F.col("r0").alias("group"), "span", "uid", "pos", "region", "low", F.col("near").cast("int").alias("near"), F.col("far").cast("int").alias("high"))
     alike = materialize(alike, f"{folder}/alike")
@@ -363,8 +379,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "repeats")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = materialize(documents(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", body.alias("body")), f"{folder}/keyed")
-    found = repeated_windows(keyed.filter(F.octet_length("body") >= WINDOW).select("uid", "body"), folder)
+    keyed = materialize(documents(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", body.alias("body"), F.unhex(F.md5(body)).alias("digest")), f"{folder}/keyed")
+    found = repeated_windows(keyed.filter(F.octet_length("body") >= WINDOW).select("uid", "body", "digest"), folder)
+    discard(spark, f"{folder}/kept")
     marks = materialize(found.groupBy("uid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")), f"{folder}/marks")
     release(spark)
     return keyed.join(marks, "uid", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import materialize
+from .common import discard, materialize, release
 
 #: Positions of a block in which neighbours are looked up, and rows of a sorted partition.
 BLOCK, PART_ROWS = 16_384, 150_000
@@ -126,11 +126,18 @@ def suffix_ranks(string: DataFrame, n: int, folder: str) -> DataFrame:
             break
         short = F.when(F.col("pos") % 3 == 1, F.expr("pos div 3")).otherwise(F.expr(f"{n0} + pos div 3"))
         current, size = materialize(named.select(short.alias("pos"), (F.col("head") + 1).alias("c")), f"{at}/names"), m
+        discard(string.sparkSession, f"{at}/triples")
+        release(string.sparkSession)
+    below = None
     for current, size, dummy, at, *solved in reversed(levels):
         if not solved:
             n0 = (size + 2) // 3
             ranks = ranks.select(F.when(F.col("pos") < n0, 3 * F.col("pos") + 1).otherwise(3 * (F.col("pos") - n0) + 2).alias("pos"), "rank")
         ranks = _merged(current, ranks, size, dummy, at)
+        if below:  # what it held has been read
+            discard(string.sparkSession, below)
+        release(string.sparkSession)
+        below = at
     return ranks
 
 
