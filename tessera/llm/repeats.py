@@ -14,7 +14,9 @@ to each other in it are compared by fingerprints of ``LADDER`` prefixes; that
 gives how far each one agrees with any other, hence which of its windows can
 repeat.  Positions whose windows all agree with another's are settled by one
 fingerprint over their whole span; of the rest, and of one position of each
-settled kind beside them, every window's fingerprint is compared in its group.
+settled kind beside them, windows are compared by fingerprints in their group:
+first what ``CORE`` neighbouring windows have in common, then, where that
+repeats, each window.
 
 Fingerprints are of 64 bits (polynomials over mixed bytes); a false window needs
 an equal prefix fingerprint of 273 bytes and an equal one of its 400 bytes.
@@ -50,6 +52,8 @@ WINDOW, GRAMS, GRAM = 400, 192, 16
 SYMBOL = GRAMS + GRAM
 #: Prefixes of sampled suffixes that are compared: the least that two equal windows share, two between, the whole.
 LADDER = (WINDOW - GRAMS + 1, 272, 336, WINDOW)
+#: Distances of windows that are first compared by what they have in common.
+CORE = 16
 _PIECE = 1_000_000
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 
@@ -279,29 +283,46 @@ def build_string(keyed: DataFrame, kept: DataFrame, extra: DataFrame) -> DataFra
     return flat.mapInArrow(run, _ELEMENT)
 
 
-def window_prints(candidates: DataFrame, bodies: DataFrame) -> DataFrame:
-    """group, print, need, uid and at of every window in the ranges of ``candidates`` (uid, region, group, pos, low, high, need)."""
-    listed = candidates.groupBy("uid", "region").agg(F.collect_list(F.struct("group", "pos", "low", "high", "need")).alias("own"))
+def window_prints(candidates: DataFrame, bodies: DataFrame, step: int = 1) -> DataFrame:
+    """Fingerprints of the windows in the ranges of ``candidates`` (uid, region, group, pos, low, high, need).
+
+    Rows are group, print, need, uid, region, pos, low and high.  With a
+    ``step`` above 1 the distances low to high are dealt into blocks of so many,
+    and the print is that of the bytes which all windows of a block have in
+    common: where it occurs once, none of them repeats.
+    """
     fields = ("group", "pos", "low", "high", "need")
+    listed = candidates.groupBy("uid", "region").agg(F.collect_list(F.struct(*fields)).alias("own"))
     flat = bodies.join(listed, ["uid", "region"]).select("uid", "region", "body", *(F.col(f"own.{c}").alias(c) for c in fields))
+    names = ["group", "print", "need", "uid", "region", "pos", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (uid, region, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("uid", "region", "body")), strict=True)):
                 group, pos, low, high, need = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in fields)
-                start, sizes = pos - high, (high - low + 1).astype(np.int64)
+                low, high = low.astype(np.int64), high.astype(np.int64)
+                first, sizes = low // step, high // step - low // step + 1
                 which = np.repeat(np.arange(len(pos)), sizes)
-                at = np.repeat(start - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(len(which))
-                data, prints = np.frombuffer(text, np.uint8), np.zeros(len(at), np.int64)
+                block = np.repeat(first - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(len(which))
+                begin, length = pos[which] - block * step, WINDOW - step + 1
+                data, prints = np.frombuffer(text, np.uint8), np.zeros(len(which), np.int64)
                 for base in range(0, len(data), _PIECE // 2):
-                    inside = (at - region >= base) & (at - region < base + _PIECE // 2)
+                    inside = (begin - region >= base) & (begin - region < base + _PIECE // 2)
                     if inside.any():
-                        p = at[inside] - region - base
-                        prints[inside] = Prints(data[base : base + _PIECE // 2 + WINDOW])(p, p + WINDOW)
-                columns = [pa.array(group[which]), pa.array(prints), pa.array(need[which].astype(bool)), pa.array(np.full(len(at), uid)), pa.array(at)]
-                yield pa.RecordBatch.from_arrays(columns, names=["group", "print", "need", "uid", "at"])
+                        p = begin[inside] - region - base
+                        prints[inside] = Prints(data[base : base + _PIECE // 2 + WINDOW])(p, p + length)
+                ranges = np.maximum(low[which], block * step), np.minimum(high[which], block * step + step - 1)
+                n = len(which)
+                columns = [group[which], prints, need[which].astype(bool), np.full(n, uid), np.full(n, region), pos[which], *(r.astype(np.int32) for r in ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return flat.mapInArrow(run, "group long, print long, need boolean, uid long, at long")
+    return flat.mapInArrow(run, "group long, print long, need boolean, uid long, region long, pos long, low int, high int")
+
+
+def _repeating(prints: DataFrame) -> DataFrame:
+    """The rows whose print occurs more than once in their group."""
+    twice = prints.groupBy("group", "print").agg(F.count("*").alias("n")).filter("n > 1").select("group", "print")
+    return prints.join(twice, ["group", "print"], "left_semi")
 
 
 def repeated_windows(keyed: DataFrame, folder: str) -> DataFrame:
@@ -350,7 +371,8 @@ def _sampled_windows(keyed: DataFrame, extra: DataFrame, folder: str) -> DataFra
     alike = beside.filter(same[0] & (F.col("far") >= 0)).withColumn("low", F.greatest(F.col("near").cast("int"), least)).filter("low <= far")
     alike = alike.select(F.col("r0").alias("group"), "span", "uid", "pos", "region", "low", F.col("near").cast("int").alias("near"), F.col("far").cast("int").alias("high"))
     alike = materialize(alike, f"{folder}/alike")
-    discard(spark, f"{folder}/suffixes")
+    for spent in ("suffixes", "string", "names", "symbols", "often", "kept"):
+        discard(spark, f"{folder}/{spent}")
     release(spark)
     one = F.min(F.struct("uid", "pos", "region", "low", "near", "high")).alias("one")
     kinds = materialize(alike.groupBy("group", "span").agg(F.count("*").alias("n"), one), f"{folder}/kinds")
@@ -358,9 +380,11 @@ def _sampled_windows(keyed: DataFrame, extra: DataFrame, folder: str) -> DataFra
     open_groups = kinds.groupBy("group").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("group")
     candidates = kinds.join(open_groups, "group", "left_semi").select("group", "one.*", (F.col("n") == 1).alias("need"))
     bodies = elements.filter("body IS NOT NULL").select("uid", "region", "body")
-    prints = materialize(window_prints(candidates, bodies), f"{folder}/prints")
-    twice = prints.groupBy("group", "print").agg(F.count("*").alias("n")).filter("n > 1").select("group", "print")
-    single = prints.filter("need").join(twice, ["group", "print"], "left_semi").select("uid", F.col("at").alias("low"), F.col("at").alias("high"))
+    cores = _repeating(materialize(window_prints(candidates, bodies, CORE), f"{folder}/cores"))
+    cores = materialize(cores.drop("print"), f"{folder}/repeating")
+    release(spark)
+    prints = materialize(window_prints(cores, bodies).select("group", "print", "need", "uid", (F.col("pos") - F.col("low")).alias("low")), f"{folder}/prints")
+    single = _repeating(prints).filter("need").select("uid", "low", F.col("low").alias("high"))
     return settled.unionAll(single)
 
 
@@ -381,8 +405,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = materialize(documents(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", body.alias("body"), F.unhex(F.md5(body)).alias("digest")), f"{folder}/keyed")
     found = repeated_windows(keyed.filter(F.octet_length("body") >= WINDOW).select("uid", "body", "digest"), folder)
-    discard(spark, f"{folder}/kept")
     marks = materialize(found.groupBy("uid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")), f"{folder}/marks")
+    for spent in ("elements", "copied", "alike", "kinds", "cores", "repeating", "prints"):
+        discard(spark, f"{folder}/{spent}")
     release(spark)
     return keyed.join(marks, "uid", "left")
 
