@@ -20,7 +20,9 @@ from tessera.operators import ingest as I
 from tessera.operators import memory as M
 from tessera.operators import ops as O
 from tessera.operators import retrieval as R
+from tessera.operators import trees as T
 from tessera.operators import understand as U
+from tessera.operators import vectors as V
 from tessera.plans import retrieve as P
 from tessera.sources.files import changed_states, quarantine_split
 
@@ -151,6 +153,24 @@ def f01_filtered_cosine(spark, sf):
     return R.cosine_hits(asked, corpus, 3, R.metadata_filter({"label": [0, 1, 2]}))
 
 
+def _indexed(spark, sf, k, metadata=None):
+    v = _t(spark, sf, "embeddings")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return V.search(V.build_index(v, "vec_id", "embedding", ["label"]), asked, k, metadata)
+
+
+@query
+def r01_indexed_cosine(spark, sf):
+    """The questions and rows of r01_cosine by cells; a few in a hundred of its rows may be missed."""
+    return _indexed(spark, sf, 5)
+
+
+@query
+def f01_indexed_cosine(spark, sf):
+    """The filter is applied inside the search: every question gets three rows if there are three."""
+    return _indexed(spark, sf, 3, R.metadata_filter({"label": [0, 1, 2]}))
+
+
 @query
 def r04_scan(spark, sf):
     return _scan(spark, sf)
@@ -473,6 +493,12 @@ def h07_integrated(spark, sf):
     return C.integrated(rows)
 
 
+@query
+def h08_merged_tree(spark, sf):
+    """Documents over windows of lines over smaller windows."""
+    return T.merged_tree(T.window_forest(_text_rows(spark, sf)))
+
+
 # --- hierarchy: region, nation, customer and supplier as a forest -----------
 
 
