@@ -192,6 +192,7 @@ def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
 
 def markdown_to_index_text(text: Column) -> Column:
     """Markdown as plain words for an index; lines stay, images go, descriptions of pictures stay."""
+    # The patterns, in their order.
     steps = [
         (rf"(?is)<PIC:[^>]+>(?:\s*{DESCRIPTION})?", " $1 "),
         (rf"(?is){DESCRIPTION}", " $1 "),
@@ -217,6 +218,7 @@ def markdown_to_answer(text: Column) -> Column:
     Dividers, headings, quotes, links, bold and italic lose their marks; images
     and ordinary punctuation stay.
     """
+    # The patterns, in their order.
     steps = [
         (r"(?md)^[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})[ \t]*\n?", ""),
         (r"(?md)^[ \t]{0,3}#{1,6}[ \t]+", ""),

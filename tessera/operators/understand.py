@@ -117,7 +117,7 @@ TYPES_ZH = [
     ("product_overview", [], ["产品介绍", "概述", "简介", "目录", "适用范围", "说明书"]),
     ("component_description", ["text_image_atomic", "feature_group"], ["产品描述", "部件", "组件", "结构", "功能", "按钮", "接口", "外观", "图解", "位置", "标注"]),
 ]
-#: Critical groups: words that a question has all of, one of, and none of, and the group's terms.
+# Critical groups: words that a question has all of, one of, and none of, and the group's terms.
 CRITICAL = (
     (["冷机"], [], [], ["冷机"]),
     (["热机"], [], [], ["热机"]),

@@ -20,6 +20,7 @@ from tessera.operators import ingest as I
 from tessera.operators import memory as M
 from tessera.operators import ops as O
 from tessera.operators import retrieval as R
+from tessera.operators import support as S
 from tessera.operators import trees as T
 from tessera.operators import understand as U
 from tessera.operators import vectors as V
@@ -499,6 +500,18 @@ def h08_merged_tree(spark, sf):
     return T.merged_tree(T.window_forest(_text_rows(spark, sf)))
 
 
+@query
+def h09_completed_sections(spark, sf):
+    """Two lines of a document are a piece, three pieces a part that no chunk stands for."""
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text", F.split(F.coalesce("text", F.lit("")), "\r\n|\n|\r").alias("lines"))
+    pieces = docs.select("doc", "lines", F.explode(F.sequence(F.lit(0), F.expr("cast((size(lines) - 1) div 2 AS int)"))).alias("i"))
+    first, last = 2 * F.col("i") + 1, F.least(2 * F.col("i") + 2, F.size("lines"))
+    path = F.array(F.format_string("part %d", F.expr("i div 3")), F.format_string("piece %d", "i"))
+    chunks = pieces.select("doc", F.col("i").alias("pos"), F.format_string("%s:%d", "doc", "i").alias("chunk_id"), F.lit("primary").alias("tier"), path.alias("path"), first.alias("first_line"), last.alias("last_line"), S.line_slice(F.col("lines"), first, last).alias("text"), F.array().cast("array<string>").alias("pic_ids"))
+    out = S.completed_sections(chunks, docs.select("doc", "text"))
+    return out.select("doc", "chunk_id", "parent_id", "tier", "first_line", "last_line", "synthetic", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # --- hierarchy: region, nation, customer and supplier as a forest -----------
 
 

@@ -233,6 +233,16 @@ _SQL = {
     "a04_deduped_terms": r"WITH t AS (SELECT item_id AS query_id, unnest(string_split(text, ' ')) AS term, unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark), k AS (SELECT *, length(term)::DOUBLE AS weight, lower(regexp_replace(term, '\s+', '', 'g')) AS key FROM t), b AS (SELECT query_id, key, arg_max(term, struct_pack(w := weight, p := -pos)) AS term, max(weight) AS weight FROM k WHERE key <> '' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank FROM b) WHERE rank <= 16",
     "a05_profiles": f"WITH {_PROFILES}, l AS (SELECT doc, string_agg(term, ' ' ORDER BY rank) AS terms FROM top GROUP BY doc) SELECT source AS doc, min(source) AS name, count(*) AS chunks, string_agg(DISTINCT lang, ',' ORDER BY lang) AS kinds, any_value(terms) AS terms FROM documents LEFT JOIN l ON l.doc = source GROUP BY source",
     "j14_profile_scores": f"WITH {_PROFILES}, q AS (SELECT item_id AS query_id, unnest({_terms('text')}) AS term FROM benchmark), s AS (SELECT query_id, doc, least(1.0, round(least(0.3, sum(0.1::DOUBLE)) + least(0.45, sum(CASE WHEN length(term) >= 4 THEN 0.12::DOUBLE ELSE 0.08::DOUBLE END)), 4)) AS score FROM q JOIN top USING (term) WHERE rank <= 32 GROUP BY ALL) SELECT query_id, doc, score FROM s WHERE score >= 0.18",
+    "h09_completed_sections": r"""
+WITH d AS (SELECT doc_id::VARCHAR AS doc, string_split(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g'), chr(10)) AS lines FROM documents),
+c AS (SELECT doc, lines, unnest(range(0, (len(lines) - 1) // 2 + 1)) AS i FROM d),
+n AS (SELECT doc, lines, i AS pos, false AS synthetic, 2 * i + 1 AS f, least(2 * i + 2, len(lines)) AS l, i // 3 AS part FROM c
+ UNION ALL SELECT doc, lines, min(i), true, min(2 * i + 1), max(least(2 * i + 2, len(lines))), i // 3 FROM c GROUP BY doc, lines, i // 3),
+o AS (SELECT *, format('{}_{:04d}', doc, row_number() OVER (PARTITION BY doc ORDER BY pos, synthetic DESC)) AS chunk_id FROM n)
+SELECT o.doc, o.chunk_id, p.chunk_id AS parent_id, CASE WHEN o.synthetic THEN 'support' ELSE 'primary' END AS tier, o.f::INT AS first_line, o.l::INT AS last_line, o.synthetic,
+ md5(regexp_replace(array_to_string(o.lines[o.f:o.l], chr(10)), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '')) AS digest
+FROM o LEFT JOIN o p ON NOT o.synthetic AND p.synthetic AND p.doc = o.doc AND p.part = o.part
+""",
     "j02_parents": f"WITH {_TREE}, {_HITS} SELECT * FROM parents",
     "j03_support_context": f"WITH {_TREE}, {_HITS} SELECT query_id, parent_id, rank FROM parents p WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = p.query_id AND h.chunk_id = p.parent_id)",
     "j04_children": f"WITH {_TREE} SELECT parent_id, chunk_id, tier FROM tree WHERE parent_id IN (SELECT chunk_id FROM tree WHERE tier = 'big_support')",
