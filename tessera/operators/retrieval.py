@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain, islice
 
@@ -83,20 +83,22 @@ def term_statistics(posted: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
-def bm25_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int = 10) -> DataFrame:
+def bm25_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int = 10, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank of the best documents, positive scores only.
 
     A query token counts as often as the query has it.  Statistics are those of
     the whole collection.  Two passes read the documents: one sums up terms
     before anything is shuffled, one scores the postings of terms that some
     query asks for; these weights are broadcast if Spark finds them small.
+    ``keep`` filters pairs (query_id, chunk_id, score) before the best are taken.
     """
     posted = postings(docs, doc_id, doc_text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.index_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weights = asked.join(term_statistics(posted), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     scored = posted.join(weights, "term").groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored.filter("score > 0"), [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
+    scored = scored.filter("score > 0")
+    return ranked(scored if keep is None else keep(scored), [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 
 #: Questions of one block, and the bytes of their rows as Arrow that close a block sooner.

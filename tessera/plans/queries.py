@@ -25,6 +25,7 @@ from tessera.operators import trees as T
 from tessera.operators import understand as U
 from tessera.operators import vectors as V
 from tessera.plans import retrieve as P
+from tessera.plans.staged import staged_search
 from tessera.sources.files import changed_states, quarantine_split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,7 +357,7 @@ def k13_states(spark, sf):
 @query
 def r12_staged(spark, sf):
     chunks = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.pmod("doc_id", F.lit(4)) == 0, "support").otherwise("primary").alias("tier"), "text", F.col("source").alias("title"), U.classified_type(F.col("text")).alias("kind"))
-    return P.staged(_bm25(spark, sf), chunks, _questions(spark, sf))
+    return staged_search(chunks, _questions(spark, sf))
 
 
 @query

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -32,7 +32,7 @@ def analyzed(queries: DataFrame) -> DataFrame:
 CHUNK_FIELDS = {"title": "string", "section": "string", "index_text": "string", "kind": "string", "pic_ids": "array<string>", "flags": "array<string>", "note": "string"}
 
 
-def lexical_scores(candidates: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+def lexical_scores(candidates: DataFrame, chunks: DataFrame, asked: DataFrame, prefer_support: Column | None = None) -> DataFrame:
     """X17 for (query_id, chunk_id, score) rows: the same with ``lexical``.
 
     ``chunks`` has chunk_id, tier, text and any of CHUNK_FIELDS; ``asked`` has
@@ -43,7 +43,7 @@ def lexical_scores(candidates: DataFrame, chunks: DataFrame, asked: DataFrame) -
     rows = candidates.join(chunks.select("chunk_id", "tier", F.col("text").alias("body"), *fields), "chunk_id")
     rows = rows.join(asked.select("query_id", F.col("text").alias("query"), "terms", "intent"), "query_id")
     points = U.relevance(
-        F.col("terms"), F.col("title"), F.col("section"), F.col("index_text"), F.col("body"), F.col("score"), F.col("intent"), F.col("kind"), F.col("tier"), F.lit(False),
+        F.col("terms"), F.col("title"), F.col("section"), F.col("index_text"), F.col("body"), F.col("score"), F.col("intent"), F.col("kind"), F.col("tier"), F.lit(False) if prefer_support is None else prefer_support,
         query=F.col("query"), pic_ids=F.col("pic_ids"), flags=F.col("flags"), note=F.col("note"),
     )
     return rows.select(*candidates.columns, points.alias("lexical"))
