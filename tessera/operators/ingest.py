@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tessera.functions import text as X
 from tessera.operators.retrieval import metadata_filter
@@ -12,6 +16,7 @@ from tessera.operators.retrieval import metadata_filter
 METADATA_BYTES, SHORT_BYTES, MARKERS, SCAN_LIMIT = 60_000, 2_000, ("data/", "docs/", "uploads/"), 256
 # The metadata of an answer that may leave the service, and keys that are for traces.
 API_KEYS = ("intent", "doc_id", "retrieval_stage", "intent_strategy", "recall_channels", "reranker_provider", "reranker_fallback", "timeout", "degraded", "top_hits", "warnings")
+TRACE_KEYS = ("diagnostics", "evidence", "query", "query_understanding", "raw_candidates", "raw_query", "recall", "recall_candidates", "request_id", "reranker", "session_id", "trace")
 
 
 def filled(*values: Column) -> Column:
@@ -101,9 +106,50 @@ def hit_summaries(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("hits"), F.count_if((F.size("pic_ids") > 0) | (F.size("image_paths") > 0)).alias("with_images"))
 
 
+def without_traces(value: Column, kind: DataType) -> Column | None:
+    """P10: a value of this type without the fields and map keys that are for traces, at any depth; null where nothing is left.
+
+    The walk is over the type, so the rows meet one native expression.
+    """
+    if isinstance(kind, StructType):
+        parts = [(f.name, without_traces(value[f.name], f.dataType)) for f in kind.fields if f.name not in TRACE_KEYS]
+        kept = [c.alias(name) for name, c in parts if c is not None]
+        return F.when(value.isNotNull(), F.struct(*kept)) if kept else None
+    if isinstance(kind, ArrayType):
+        return None if without_traces(value, kind.elementType) is None else F.transform(value, lambda x: without_traces(x, kind.elementType))
+    if isinstance(kind, MapType):
+        named = F.map_filter(value, lambda k, _: ~k.cast("string").isin(*TRACE_KEYS))
+        return None if without_traces(value, kind.valueType) is None else F.transform_values(named, lambda _, v: without_traces(v, kind.valueType))
+    return value
+
+
 def api_metadata(rows: DataFrame) -> DataFrame:
-    """P10: only columns that may leave the service."""
-    return rows.select(*(c for c in ("query_id", *API_KEYS) if c in rows.columns))
+    """P10: only columns that may leave the service, without trace fields inside them."""
+    kept = [(c, without_traces(F.col(c), rows.schema[c].dataType)) for c in API_KEYS if c in rows.columns]
+    return rows.select(*(["query_id"] if "query_id" in rows.columns else []), *(value.alias(c) for c, value in kept if value is not None))
+
+
+def api_metadata_json(text: Column) -> Column:
+    """P10 for metadata held as JSON text: the keys that may leave, without trace keys at any depth; null for what is no object or has none of them."""
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: clean(v) for k, v in value.items() if k not in TRACE_KEYS}
+        return [clean(v) for v in value] if isinstance(value, list) else value
+
+    def one(raw):
+        try:
+            found = json.loads(raw) if raw else None
+        except ValueError:
+            return None
+        kept = {k: clean(found[k]) for k in API_KEYS if k in found} if isinstance(found, dict) else {}
+        return json.dumps(kept, ensure_ascii=False, separators=(",", ":")) if kept else None
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return cleaned(text)
 
 
 def collection_scan(chunks: DataFrame, allowed: dict[str, list]) -> DataFrame:

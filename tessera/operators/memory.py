@@ -24,6 +24,11 @@ def dialogue(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("role").isin("user", "assistant")).withColumn("ordinal", F.row_number().over(each))
 
 
+def sequenced(messages: DataFrame) -> DataFrame:
+    """message_seq, gap-free from 1 in each session by ``seq``."""
+    return messages.withColumn("message_seq", F.row_number().over(W.partitionBy("session").orderBy("seq")).cast("long"))
+
+
 def gap_free(messages: DataFrame, first: int = 1) -> DataFrame:
     """The rows of sessions whose sequence has no gap; any gap drops the session."""
     each = W.partitionBy("session")

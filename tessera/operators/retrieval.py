@@ -338,8 +338,10 @@ def scan_needed(lexical: Column, merged: Column, n_terms: Column, intent: Column
     return F.lit(enabled) & F.when(n_hits == 0, True).when(intent.isin("image_trace", "ocr_audit"), True).when(must, True).otherwise(F.coalesce(weak, F.lit(True)))
 
 
-def fetch_limit(top_k: int = 3, reranker_n: int = 32) -> int:
-    """How many candidates a channel fetches."""
+def fetch_limit(top_k: int | Column = 3, reranker_n: int = 32) -> int | Column:
+    """How many candidates a channel fetches; of a column, for each row."""
+    if isinstance(top_k, Column):
+        return F.greatest(F.lit(reranker_n), 4 * top_k, F.lit(8))
     return max(reranker_n, 4 * top_k, 8)
 
 

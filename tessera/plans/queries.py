@@ -236,8 +236,19 @@ def f16_filtered_rank(spark, sf):
 
 @query
 def t06_fetch_limits(spark, sf):
-    limit = F.greatest(F.lit(32), 4 * F.col("item_id"), F.lit(8))
-    return _t(spark, sf, "benchmark").select("item_id", limit.cast("long").alias("fetch"))
+    return _t(spark, sf, "benchmark").select("item_id", R.fetch_limit(F.col("item_id")).cast("long").alias("fetch"))
+
+
+@query
+def p10_api_metadata(spark, sf):
+    """Metadata of documents with trace keys at three depths, as columns and as JSON text."""
+    deep = F.struct(F.lit("s").alias("session_id"), F.coalesce("n_chars", F.lit(0)).alias("score"))
+    hit = F.struct(F.col("doc_id").alias("chunk_id"), F.lit("t").alias("trace"), deep.alias("deep"))
+    fields = [F.coalesce("lang", F.lit("none")).alias("intent"), F.array(hit).alias("top_hits"), F.array(F.lit("w")).alias("warnings"), F.lit("gone").alias("evidence")]
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), *fields)
+    typed = I.api_metadata(rows)
+    as_json = rows.select(F.col("query_id").alias("doc_id"), I.api_metadata_json(F.to_json(F.struct(*rows.columns))).alias("untyped"))
+    return as_json.join(typed.select(F.col("query_id").alias("doc_id"), F.to_json(F.struct(*typed.columns[1:])).alias("typed")), "doc_id")
 
 
 def _evidence(spark, sf):
@@ -714,8 +725,7 @@ def f11_latest(spark, sf):
 
 @query
 def k11_sequence(spark, sf):
-    each = W.partitionBy("session").orderBy("seq")
-    return _messages(spark, sf).select("session", "seq", F.row_number().over(each).cast("long").alias("message_seq"))
+    return M.sequenced(_messages(spark, sf)).select("session", "seq", "message_seq")
 
 
 @query
