@@ -6,6 +6,8 @@ whose length is bounded by its conversation, never by the data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ RECENT_ROUNDS, SUMMARY_TOKENS = 3, 2048
 MIN_CONFIDENCE, MIN_RELEVANCE, CONTENT_CHARS, EVIDENCE_CHARS = 0.7, 0.2, 2000, 400
 
 
+# Words that a memory must not hold.
+SENSITIVE = ("身份证", "手机号", "手机号码", "住址", "家庭住址", "银行卡", "密码", "密钥", "api key", "apikey", "token", "病历", "诊断")
+
+
 def dialogue(messages: DataFrame) -> DataFrame:
     """User and assistant rows with their ordinal."""
     each = W.partitionBy("session").orderBy("seq")
@@ -96,7 +102,7 @@ def expired(expires_at: Column, now: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(expires_at) <= now, F.lit(False))
 
 
-def admissible(items: DataFrame, sensitive: list[str]) -> DataFrame:
+def admissible(items: DataFrame, sensitive: Sequence[str] = SENSITIVE) -> DataFrame:
     """active items with content and evidence, confident enough, without sensitive words."""
     text = F.lower(F.concat_ws(" ", "content", "evidence"))
     clean = F.lit(True)

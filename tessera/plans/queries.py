@@ -728,6 +728,14 @@ def k11_sequence(spark, sf):
     return M.sequenced(_messages(spark, sf)).select("session", "seq", "message_seq")
 
 
+@query
+def f10_admitted(spark, sf):
+    """Turns as memories, their role as evidence; a third is not sure enough, a fifth no longer active."""
+    status = F.when(F.pmod("turn", F.lit(5)) == 4, "inactive").otherwise("active")
+    items = _t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("content"), F.col("role").alias("evidence"), status.alias("status"), (F.lit(0.5) + F.pmod("conv_id", F.lit(3)) * 0.25).alias("confidence"))
+    return M.admissible(items).select("conv_id", "turn")
+
+
 @query
 def t09_memories(spark, sf):
     items = _t(spark, sf, "events").select(F.col("event_id").alias("memory_id"), "user_id", F.col("event_type").alias("content"), F.when(F.col("event_type") == "error", "inactive").otherwise("active").alias("status"), (F.pmod("event_id", F.lit(10)) / 10).alias("confidence"), (F.pmod("event_id", F.lit(7)) / 7).alias("score"))

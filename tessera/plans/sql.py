@@ -308,6 +308,7 @@ SELECT conv_id, turn, CASE WHEN q = '' THEN FALSE WHEN regexp_matches(q, '(^|[^\
     "f15_cases": "SELECT item_id FROM benchmark WHERE item_id % 2 = 0 ORDER BY item_id LIMIT 10 OFFSET 3",
     "e07_replay": "SELECT p_partkey AS call_id, CASE WHEN p_size % 2 = 0 THEN 'GetAlerts' ELSE 'GetResources' END AS tool, (SELECT min(printf('%08d', q.p_partkey)) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size % 2 = p.p_size % 2) AS matched_key FROM part p",
     "k13_states": "SELECT user_id AS session_id, CASE WHEN count(*) > 1 THEN 'busy' ELSE min(event_type) END AS goal, CASE WHEN count(*) > 1 AND NOT (min(event_type) = 'busy') THEN 2 ELSE 1 END::BIGINT AS updated_at FROM events GROUP BY user_id",
+    "f10_admitted": "SELECT conv_id, turn FROM conversations WHERE trim(coalesce(text, '')) <> '' AND trim(coalesce(role, '')) <> '' AND turn % 5 <> 4 AND conv_id % 3 <> 0 AND NOT list_has_any(list_transform(['身份证', '手机号', '手机号码', '住址', '家庭住址', '银行卡', '密码', '密钥', 'api key', 'apikey', 'token', '病历', '诊断'], lambda w: contains(lower(text || ' ' || role), w)), [true])",
     "p10_api_metadata": """SELECT doc_id, m AS typed, m AS untyped FROM (SELECT doc_id, '{"intent":"' || coalesce(lang, 'none') || '","top_hits":[{"chunk_id":' || doc_id || ',"deep":{"score":' || coalesce(n_chars, 0) || '}}],"warnings":["w"]}' AS m FROM documents)""",
     "t06_fetch_limits": "SELECT item_id, greatest(32, 4 * item_id, 8)::BIGINT AS fetch FROM benchmark",
     "f16_filtered_rank": f"WITH {_bm25()}, p AS (SELECT b.*, d.lang IN ('en', 'es') AS passes FROM bm25_10 b JOIN documents d ON d.doc_id = b.chunk_id) SELECT query_id, chunk_id, score, passes, CASE WHEN passes THEN row_number() OVER (PARTITION BY query_id, passes ORDER BY score DESC, chunk_id) END AS place FROM p",
