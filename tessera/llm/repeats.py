@@ -4,7 +4,7 @@ Every window of ``WINDOW`` bytes owns one sampled position: the place of the
 least hash among its first ``GRAMS`` byte grams.  Equal windows own the same
 place at the same distance, so nothing is lost by looking at sampled positions
 only.  The ``SYMBOL`` bytes from a sampled position decide where the next one
-is; as symbols they make a string some sixty times shorter than the text, and,
+is; as symbols they make a string some hundred times shorter than the text, and,
 named in byte order, its suffix array is the order of the text's suffixes at
 sampled positions.  A symbol that occurs once in all texts cannot lie inside a
 repeated window: it ends its run, and runs of one are left out.
@@ -19,11 +19,11 @@ first what ``CORE`` neighbouring windows have in common, then, where that
 repeats, each window.
 
 Fingerprints are of 64 bits (polynomials over mixed bytes); a false window needs
-an equal prefix fingerprint of 273 bytes and an equal one of its 400 bytes.
+an equal prefix fingerprint of 209 bytes and an equal one of its 400 bytes.
 
 Scale: texts are read twice and shuffled twice (once with the sampled positions
 that may repeat, once with the findings).  Sampled positions are one row in some
-sixty bytes, rows after the sieve a few in a thousand bytes; a copied passage
+hundred bytes, rows after the sieve a few in a thousand bytes; a copied passage
 combines in the task (one count a fingerprint), and joins on fingerprints are
 left to Spark to split.  No step holds more than one document and a piece of a
 million bytes; tables between stages lie in the shared folder.
