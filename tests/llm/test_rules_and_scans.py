@@ -1,5 +1,12 @@
+import argparse
+import base64
+import glob
 import hashlib
+import os
+import random
 import re
+import time
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -152,6 +159,52 @@ def test_base_spans_have_a_likelihood_and_stand_apart():
     assert [s for s in spans if s[0] not in secret_scan.BASE] == []
 
 
+def foreign_runs(n=100):
+    """Runs that are no secrets, from none of the scan's own generators."""
+    rng, words = random.Random(8), "quick brown people during government Another between company PROGRAM question article review summer kitchen market science".split()
+    some = lambda k: [rng.choice(words) for _ in range(k)]
+    return {
+        "url": [f"https://www.example.com/articles/{rng.randint(2000, 2025)}/05/17/{'-'.join(some(7))}?id={i}" for i in range(n)],
+        "upper sha1": [hashlib.sha1(str(i).encode()).hexdigest().upper() for i in range(n)],
+        "base64 text": [base64.b64encode(" ".join(some(rng.randint(4, 20))).encode()).decode() for _ in range(n)],
+        "base64 blob": [base64.b64encode(rng.randbytes(600)).decode() for _ in range(n // 4)],
+        "mixed path": ["/".join(some(10)) for _ in range(n)],
+        "camel": ["".join(w.capitalize() for w in some(rng.randint(3, 8))) for _ in range(n)],
+        "uuid": [str(uuid.UUID(int=rng.getrandbits(128))).upper() for _ in range(n)],
+        "files": sorted(glob.glob(os.path.dirname(os.__file__) + "/**/*.py", recursive=True))[: 10 * n],
+        "identifiers": sorted(set(re.findall(r"[A-Za-z0-9+/_.=-]{16,}", open(argparse.__file__).read() + open(secret_scan.re.__file__).read()))),
+    }
+
+
+def test_ordinary_runs_are_no_secrets():
+    held = secret_scan.default_grammars()
+    for name, runs in foreign_runs().items():
+        assert np.mean([any(s[0] not in secret_scan.BASE for s in held.spans(x)) for x in runs]) <= 0.01, name
+    assert secret_scan.readable(base64.b64encode("grüße aus dem garten".encode()).decode()) and not secret_scan.readable("A" * 7 + "/" * 33)
+
+
+def test_added_spans_are_spelled_by_their_format():
+    held = secret_scan.default_grammars()
+    for seed in (999, 4242):
+        tokens = [t for _, t in secret_scan.labelled_credentials(seed, 60)]
+        for before, after in (("", ""), ("x/y-z.", "/tail.html"), ("KEY=", "==")):
+            for text in (before + t + after for t in tokens):
+                for kind, a, b in held.spans(text):
+                    assert kind in secret_scan.BASE or held.formats[kind].spells(text[a:b]) and b - a >= held.formats[kind].shortest
+
+
+def test_time_of_many_base_spans_grows_with_their_number():
+    held = secret_scan.default_grammars()
+    took = []
+    for n in (1_000, 8_000):
+        text = " ".join(f"password=abcdefgh{i % 500}" for i in range(n))
+        held.scored(text)
+        start = time.perf_counter()
+        assert len(held.scored(text)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * took[0]
+
+
 def test_merging_generalises_and_keeps_the_head():
     a = secret_scan.Automaton([t for f, t in secret_scan.labelled_credentials() if f == "github"])
     assert a.states < 12
