@@ -20,15 +20,19 @@ Plan
    more than half of the texts around one component hold.  For differences P
    and Q of sets A and B the symmetric difference of A and B has
    |P| + |Q| - 2 |P and Q| elements, so a link asks for so many common elements
-   of P and Q that, where any are needed, both must have one among the first of
-   their elements, rarest first (prefix filter).  Elements that one difference
+   of P and Q that, where any are needed, both must have m of them among the first
+   of their elements, rarest first (prefix filter).  Keys are combinations of m
+   elements: m grows with the number needed while a member's combinations stay
+   few, so members of a template that share a few of its common values form no
+   pair; m is what costs a member least in combinations and expected pairs.  Elements that the same
+   members have count as one of their joint weight.  Elements that one difference
    alone has are in no intersection and stand in no list; pairs whose sizes
    exclude the overlap they need are not formed; the others are confirmed on
    full sets.  Where no common element is needed, the member nearest to the
    middle is linked with all such members, and one more star finds them.  So
    every link among documents that share a bucket is found, or implied, and
-   the pairs formed follow the lists of rare differences, not the square of a
-   bucket.
+   the pairs formed follow the lists of rare differences and of combinations, not
+   the square of a bucket.
 
 With ``rows`` = 6 and ``bands`` = 50, two documents of similarity 0.8 share no
 bucket with probability (1 - 0.8**6)**50 = 2.6e-7.
@@ -44,11 +48,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, scratch
@@ -60,6 +66,8 @@ SHINGLE, THRESHOLD_PERCENT = 2, 80
 ROWS, BANDS = 6, 50
 #: Members of one list of a difference element that a key of the join holds; longer lists are dealt to more keys.
 LIST_PART = 4_000
+#: Combinations that a member of a group stands under at most where it could stand under single elements, their greatest length, and what a pair costs in combinations.
+COMBINATIONS, LONGEST, PAIR = 128, 8, 4
 #: Words whose hashes a task keeps at once.
 WORD_CACHE = 400_000
 
@@ -195,7 +203,8 @@ def differences(members: DataFrame, percent: int, folder: str) -> DataFrame:
 
     ``members`` has grp, node, fp, component and shingles.  The result has for
     each of them the sizes that the bounds use and ``common``, the elements of
-    the difference that another member has too, rarest first.
+    the difference that another member has too, rarest first; of elements that
+    the same members have, the least stands for all with their number.
     """
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"))
     held = members.join(sizes, "grp").select("grp", "m", F.explode("shingles").alias("e")).groupBy("grp", "m", "e").agg(F.count("*").alias("c"))
@@ -208,11 +217,81 @@ def differences(members: DataFrame, percent: int, folder: str) -> DataFrame:
     )
     apart = materialize(apart, f"{folder}/apart")
     entries = apart.select("grp", "node", "fp", F.explode("diff").alias("e"))
-    shared = entries.groupBy("grp", "e").agg(F.count("*").alias("c")).filter("c > 1")
-    common = entries.join(shared, ["grp", "e"]).groupBy("grp", "node", "fp").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("common"))
+    shared = entries.groupBy("grp", "e").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "fp")).alias("who")).filter("c > 1")
+    stand = shared.groupBy("grp", "c", "who").agg(F.min("e").alias("e"), F.count("*").alias("w")).select("grp", "e", "c", "w")
+    common = entries.join(stand, ["grp", "e"]).groupBy("grp", "node", "fp").agg(F.array_sort(F.collect_list(F.struct("c", "e", "w"))).alias("common"))
     # A link of x and y asks for bound_x + bound_y <= 2 * (100 + percent) * (common elements of their differences).
-    out = apart.join(common, ["grp", "node", "fp"], "left").withColumn("common", F.coalesce("common", F.expr("cast(array() AS array<struct<c:bigint,e:bigint>>)")))
-    return out.select("grp", "node", "component", "n", F.size("common").alias("size"), ((100 + percent) * F.size("diff") - (100 - percent) * F.col("n")).alias("bound"), "common")
+    out = apart.join(common, ["grp", "node", "fp"], "left").withColumn("common", F.coalesce("common", F.expr("cast(array() AS array<struct<c:bigint,e:bigint,w:bigint>>)")))
+    weight = F.aggregate("common", F.lit(0).cast("long"), lambda x, y: x + y["w"])
+    return out.select("grp", "node", "component", "n", weight.alias("size"), ((100 + percent) * F.size("diff") - (100 - percent) * F.col("n")).alias("bound"), "common")
+
+
+def prefixes(common: list[dict], needed: int, members: int) -> list[int]:
+    """How many of the first elements must hold m elements in common with a partner, for m = 1, 2, ...
+
+    A partner has elements of the weight ``needed``.  The m-th of the common ones
+    has all but the first m - 1 at or behind it, so what the list weighs from
+    there on is at least ``needed`` less the m - 1 heaviest.  The list ends at the
+    m that costs least, in combinations and in the partners that they would
+    find in a group of so many members if its elements were independent.
+    """
+    behind = np.cumsum([x["w"] for x in reversed(common)])[::-1]
+    heaviest = sorted((x["w"] for x in common), reverse=True)
+    out: list[int] = []
+    best, costs = 1, np.inf
+    for m in range(1, LONGEST + 1):
+        least = needed - sum(heaviest[: m - 1])
+        first = int((behind >= least).sum())
+        if m > 1 and (least <= 0 or comb(first, m) > COMBINATIONS):
+            break
+        out.append(first)
+        chances = np.zeros(m + 1)  # sums of products of 0, 1, ... m shares
+        chances[0] = 1
+        for x in common[:first]:
+            chances[1:] += chances[:-1] * min(1.0, x["c"] / members)
+        cost = comb(first, m) + PAIR * members * chances[m]
+        if cost < costs:
+            best, costs = m, cost
+    return out[:best]
+
+
+_TIERED = "grp long, node long, component long, n int, bound int, reach long, common array<struct<c:bigint,e:bigint,w:bigint>>, firsts array<int>"
+_KEYED = "grp long, node long, component long, n int, bound int, reach long, tier int, m int, e long, c long"
+
+
+def tiered(rows: DataFrame) -> DataFrame:
+    """The members with ``firsts``, the lengths of their prefixes; ``needed`` is the least weight in common with a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = [prefixes(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("common", "needed", "members")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(firsts, pa.list_(pa.int32()))], names=[*batch.schema.names[:-2], "firsts"])
+
+    return rows.select("grp", "node", "component", F.col("n").cast("int"), F.col("bound").cast("int"), F.col("reach").cast("long"), "common", F.col("needed").cast("long"), "members").mapInArrow(run, _TIERED)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """A row for each combination of m first elements of a member, for its own m (its tier) and for lesser ones that partners have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["grp", "node", "component", "n", "bound", "reach"]
+        for batch in batches:
+            at, tiers, ms, keys, counts = [], [], [], [], []
+            for i, (common, firsts, others) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("common", "firsts", "others")), strict=True)):
+                for m, first in enumerate(firsts, 1):
+                    if m != len(firsts) and m not in others:
+                        continue
+                    for some in combinations(common[:first], m):
+                        at.append(i)
+                        tiers.append(len(firsts))
+                        ms.append(m)
+                        keys.append(xxhash.xxh3_64_intdigest(np.array([x["e"] for x in some], np.int64).tobytes()))
+                        counts.append(min(x["c"] for x in some))
+            kept = batch.select(names).take(pa.array(at, pa.int64()))
+            more = [pa.array(tiers, pa.int32()), pa.array(ms, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*names, "tier", "m", "e", "c"])
+
+    return rows.mapInArrow(run, _KEYED)
 
 
 def open_pairs(members: DataFrame, percent: int, folder: str) -> DataFrame:
@@ -223,26 +302,27 @@ def open_pairs(members: DataFrame, percent: int, folder: str) -> DataFrame:
     twice, outside = 2 * (100 + percent), F.col("component") != F.col("grp")
     apart = materialize(differences(members, percent, folder), f"{folder}/differences")
     reach = (F.lit(twice) * F.col("size") - F.col("bound")).alias("reach")  # the largest bound a partner may have
-    edges = apart.groupBy("grp").agg(F.min(F.when(outside, F.col("bound"))).alias("least_out"), F.min("bound").alias("least"), F.max(reach).alias("most"), F.min(F.struct("bound", "node", "component")).alias("near"))
+    edges = apart.groupBy("grp").agg(F.min(F.when(outside, F.col("bound"))).alias("least_out"), F.count("*").alias("members"), F.min("bound").alias("least"), F.max(reach).alias("most"), F.min(F.struct("bound", "node", "component")).alias("near"))
     known = apart.join(edges, "grp").withColumn("reach", reach)
     # Links that need no common element: with the member nearest to the middle.
     near = known.filter((F.col("near.bound") + F.col("bound") <= 0) & (F.col("near.component") != F.col("component"))).select(F.col("near.node").alias("x"), F.col("node").alias("y"))
 
-    def prefix(least: Column) -> Column:
-        """Elements of which a partner has one if it has all that the least bound asks for."""
-        needed = F.greatest(F.lit(1), F.ceil((F.col("bound") + least) / twice))
-        return F.slice("common", 1, F.greatest(F.lit(0), F.col("size") - needed + 1).cast("int"))
+    def side(rows: DataFrame, least: str) -> DataFrame:
+        """Members with the weight that the least bound of a partner asks for."""
+        return tiered(rows.withColumn("needed", F.greatest(F.lit(1), F.ceil((F.col("bound") + F.col(least)) / twice))).filter("size >= needed"))
 
-    def side(rows: DataFrame, least: str, x: str) -> DataFrame:
-        listed = rows.select("grp", "node", "component", "n", "bound", "reach", F.explode(prefix(F.col(least))).alias("p"))
-        return listed.select("grp", F.col("p.e").alias("e"), F.col("p.c").alias("c"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "bound", "reach")))
+    def listed(rows: DataFrame, partners: DataFrame, x: str) -> DataFrame:
+        others = partners.groupBy("grp").agg(F.collect_set(F.size("firsts")).alias("others"))
+        return keyed(rows.join(others, "grp")).select("grp", "m", "e", "c", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "bound", "reach", "tier")))
 
     viable = known.filter(F.col("reach") >= F.col("least"))
+    ours = materialize(side(viable.filter(outside & (F.col("bound") <= F.col("most"))), "least"), f"{folder}/left")
+    theirs = materialize(side(viable.filter(F.col("reach") >= F.col("least_out")), "least_out"), f"{folder}/right")
     parts = F.ceil(F.col("c") / LIST_PART).cast("int")
-    left = side(viable.filter(outside & (F.col("bound") <= F.col("most"))), "least", "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("c")
-    right = side(viable.filter(F.col("reach") >= F.col("least_out")), "least_out", "b").withColumn("part", F.pmod(F.hash("node_b"), parts)).drop("c")
+    left = listed(ours, theirs, "a").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("c")
+    right = listed(theirs, ours, "b").withColumn("part", F.pmod(F.hash("node_b"), parts)).drop("c")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = left.join(right, ["grp", "e", "part"]).filter((F.col("component_a") != F.col("component_b")) & fits & (F.col("bound_a") <= F.col("reach_b")) & (F.col("bound_b") <= F.col("reach_a")))
+    pairs = left.join(right, ["grp", "m", "e", "part"]).filter((F.col("m") == F.least("tier_a", "tier_b")) & (F.col("component_a") != F.col("component_b")) & fits & (F.col("bound_a") <= F.col("reach_b")) & (F.col("bound_b") <= F.col("reach_a")))
     both = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")).unionAll(near)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 

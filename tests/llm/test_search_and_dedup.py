@@ -135,6 +135,46 @@ def test_a_large_family_forms_few_pairs(spark, monkeypatch):
     assert 0 < counts["rest"] <= counts["buckets"] and counts["stars"] <= counts["buckets"]
 
 
+def template(members=400, slots=12, values=4, length=60, seed=9):
+    """Texts of one template that differ in a few slots of few values each."""
+    rng = np.random.default_rng(seed)
+    for i in range(members):
+        words = [f"w{j}" for j in range(length)]
+        for s, v in enumerate(rng.integers(0, values, slots)):
+            words[s * (length // slots) + 2] = f"s{s}v{v}"
+        yield i, " ".join(words)
+
+
+def test_a_template_of_few_values_forms_few_pairs(spark, monkeypatch):
+    rows, counts, write = list(template()), {}, neardup.materialize
+
+    def counted(df, path):
+        out = write(df, path)
+        counts[path.rpartition("/")[2]] = out.count() if path.endswith(("rest", "buckets")) else 0
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
+    assert 0 < counts["rest"] <= counts["buckets"] / 2 and counts["rest"] < 0.08 * len(rows) ** 2 / 2
+
+
+def test_prefixes_hold_the_common_elements_of_every_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        weights, holders = rng.integers(1, 4, 30), rng.integers(2, 90, 30)
+        order = sorted(range(30), key=lambda e: (holders[e], e))
+        x, y = (set(rng.choice(30, rng.integers(4, 16), replace=False).tolist()) for _ in range(2))
+        needed = int(sum(weights[e] for e in x & y))
+        if not needed:
+            continue
+        lists = [[{"c": int(holders[e]), "e": e, "w": int(weights[e])} for e in order if e in s] for s in (x, y)]
+        firsts = [neardup.prefixes(part, needed, 100) for part in lists]
+        m = min(map(len, firsts))
+        first = [{v["e"] for v in part[: f[m - 1]]} for part, f in zip(lists, firsts, strict=True)]
+        assert m >= 1 and len(first[0] & first[1]) >= m
+
+
 def test_texts_of_one_document_count_together(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, a), (2, a), (2, b), (3, b), (4, a + " x"), (5, "other words here")]
