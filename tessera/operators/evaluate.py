@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tessera.functions import text as X
-from tessera.operators.retrieval import in_blocks, ranked
+from tessera.functions.patterns import Patterns
+from tessera.operators.retrieval import arrow_rows, blockwise, ranked
 
 # Upper bounds of the length buckets.
 BUCKETS = (50, 100, 200, 500, 1000)
@@ -81,6 +81,64 @@ def document_profiles(chunks: DataFrame, terms: int = 256) -> DataFrame:
     return out.join(prefixes, "doc", "left")
 
 
+#: Profiles that a task compares with a block of questions at once.
+PROFILE_ROWS = 200
+
+
+class Profiles:
+    """A few profiles, found by what a question contains (J14); points are hundredths."""
+
+    def __init__(self, rows: list[tuple], terms: int, first: int, asked: Patterns) -> None:
+        self.inside: dict[str, list[int]] = defaultdict(list)
+        self.named: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.whole: dict[str, set[int]] = defaultdict(set)
+        self.early: dict[str, set[int]] = defaultdict(set)
+        self.pictured: dict[str, set[int]] = defaultdict(set)
+        for i, (_, name, key, held, prefixes) in enumerate(rows):
+            self.named[name].append((i, 85))
+            self.named[key].append((i, 75))
+            for n, t in enumerate(held):
+                self.whole[t].add(i)
+                if n < terms:
+                    self.inside[t].append(i)
+                if n < first and len(t) >= 2:
+                    self.early[t].add(i)
+            for p in prefixes:
+                if p is not None:
+                    self.pictured[p].add(i)
+        self._patterns, self._early = Patterns({*self.inside, *self.named}), Patterns(self.early)
+        self._longer: dict[str, list[str]] = defaultdict(list)  # a question's term: profile terms that contain it
+        for t in self.early:
+            for a in asked.within(t):
+                self._longer[a].append(t)
+        self._near: dict[str, set[int]] = {}
+
+    def near(self, term: str) -> set[int]:
+        """Profiles with an early term that contains the question's or lies in it."""
+        if term not in self._near:
+            found = {*self._early.within(term), *self._longer.get(term, ())} if len(term) >= 2 else ()
+            self._near[term] = set().union(*(self.early[t] for t in found))
+        return self._near[term]
+
+    def scores(self, query: str, asked: list[str], pic: str) -> dict[int, int]:
+        fixed, inside, shared = Counter(), Counter(), Counter()
+        for found in self._patterns.within(query):
+            for i in self.inside.get(found, ()):
+                inside[i] += 12 if len(found) >= 4 else 8
+            for i, points in self.named.get(found, ()):
+                fixed[i] += points
+        if pic:
+            for i in set().union(*(self.pictured.get(pic[:n], ()) for n in range(len(pic) + 1))):
+                fixed[i] += 100
+        for a in asked:
+            equal = self.whole.get(a, set())
+            for i in equal:
+                shared[i] += 10
+            for i in self.near(a) - equal:
+                shared[i] += 6
+        return {i: min(100, fixed[i] + min(45, inside[i]) + min(30, shared[i])) for i in {*fixed, *inside, *shared}}
+
+
 def profile_scores(queries: DataFrame, profiles: DataFrame, terms: int = 256, first: int = 32) -> DataFrame:
     """Queries scored against document profiles by picture prefix, name, id and terms; 0.18 or more.
 
@@ -90,9 +148,11 @@ def profile_scores(queries: DataFrame, profiles: DataFrame, terms: int = 256, fi
     terms give 0.1 where equal to a profile term and else 0.06 where one of the
     first 32 contains them or is contained, 0.3 at most.
 
-    Containment has no key, so each query meets each profile, one row a
-    document of up to 256 terms; queries, a stated set, go to the profiles in
-    blocks of bounded size.  Only pairs that reach the least score go on.
+    Containment has no key: a task builds automata of the strings of a few
+    profiles and of a block's query terms, and only pairs that share something
+    are scored.  Queries are a stated set and go in blocks; profiles stay where
+    they are.  Null names, ids and texts are empty and match nothing; rows that
+    share an id count each.
     """
     norm = lambda c: X.normalize_text(F.coalesce(c.cast("string"), F.lit("")))
     asked = queries.select("query_id", norm(F.col("text")).alias("query"), F.transform(X.query_terms(F.col("text")), norm).alias("asked"), norm(X.picture_id(F.col("text"))).alias("pic"))
@@ -100,15 +160,22 @@ def profile_scores(queries: DataFrame, profiles: DataFrame, terms: int = 256, fi
     listed = F.filter(F.transform(F.coalesce("terms", none), norm), lambda t: t != "")
     prefixes = F.coalesce("pic_prefixes", none) if "pic_prefixes" in profiles.columns else none
     held = profiles.select("doc", norm(F.col("name")).alias("name"), norm(F.col("doc")).alias("key"), listed.alias("terms"), prefixes.alias("prefixes"))
-    query = F.col("query")
-    inside = F.aggregate(F.slice("terms", 1, terms), F.lit(0.0), lambda a, t: a + F.when(query.contains(t), F.when(F.length(t) >= 4, 0.12).otherwise(0.08)).otherwise(0.0))
-    partial = lambda q: F.exists(F.slice("terms", 1, first), lambda t: (F.length(q) >= 2) & (F.length(t) >= 2) & (t.contains(q) | q.contains(t)))
-    shared = F.aggregate("asked", F.lit(0.0), lambda a, q: a + F.when(F.array_contains("terms", q), 0.1).when(partial(q), 0.06).otherwise(0.0))
-    score = F.when((F.col("pic") != "") & F.exists("prefixes", lambda p: F.col("pic").startswith(p)), 1.0).otherwise(0.0)
-    for field, points in (("name", 0.85), ("key", 0.75)):
-        score = score + F.when((F.col(field) != "") & query.contains(F.col(field)), points).otherwise(0.0)
-    score = F.round(F.least(F.lit(1.0), score + F.least(F.lit(0.45), inside) + F.least(F.lit(0.3), shared)), 4)
-    return reduce(DataFrame.unionAll, (held.crossJoin(F.broadcast(block)).select("query_id", "doc", score.alias("score")).filter("score >= 0.18") for block in in_blocks(asked)))
+    types = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("doc", held.schema["doc"].dataType), StructField("score", DoubleType())])
+
+    def block_scores(block: list) -> DataFrame:
+        questions = [tuple(r) for r in block]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Patterns({a for _, _, asked, _ in questions for a in asked or ()})
+            for batch in (b.slice(i, PROFILE_ROWS) for b in batches for i in range(0, b.num_rows, PROFILE_ROWS)):
+                rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                some = Profiles(rows, terms, first, words)
+                for i, query, asked, pic in questions:
+                    yield from arrow_rows([(i, rows[p][0], s / 100) for p, s in some.scores(query, asked or [], pic).items() if s >= 18], types)
+
+        return held.mapInArrow(run, types)
+
+    return blockwise(asked, block_scores)
 
 
 def summary_scores(queries: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -117,18 +184,40 @@ def summary_scores(queries: DataFrame, summaries: DataFrame) -> DataFrame:
     A query term contained in name, title, summary and terms together, without
     white space, gives 0.16 (four characters or more) or 0.1, the whole query
     0.4.  ``summaries`` has doc, doc_name, title, summary and the array terms;
-    ``matched`` holds the terms found.  Queries go to the summaries in blocks.
+    ``matched`` holds the terms found, in the order of the query.  Terms and
+    texts of a block of queries form one automaton, and a summary is read once
+    for each block.  Null and empty queries match nothing, nor do summaries
+    without an id or a text.
     """
     blank, none = F.lit(""), F.expr("cast(array() AS array<string>)")
     said = F.concat_ws(" ", *(F.coalesce(F.col(c), blank) for c in ("doc_name", "title", "summary")), F.array_join(F.coalesce("terms", none), " "))
     held = summaries.select("doc", X.normalize_text(said).alias("hay")).filter("trim(doc) <> '' AND hay <> ''")
     asked = queries.select("query_id", X.normalize_text(F.coalesce("text", blank)).alias("query"), F.filter(F.transform(X.query_terms(F.col("text")), X.normalize_text), lambda t: t != "").alias("asked"))
-    matched = F.filter("asked", lambda t: F.col("hay").contains(t))
-    points = F.aggregate("matched", F.lit(0.0), lambda a, t: a + F.when(F.length(t) >= 4, 0.16).otherwise(0.1))
-    whole = F.when((F.col("query") != "") & F.col("hay").contains(F.col("query")), 0.4).otherwise(0.0)
-    score = F.round(F.least(F.lit(0.92), points + whole), 4)
-    parts = (held.crossJoin(F.broadcast(block)).withColumn("matched", matched).select("query_id", "doc", score.alias("score"), "matched") for block in in_blocks(asked))
-    return reduce(DataFrame.unionAll, (p.filter("score >= 0.18") for p in parts))
+    types = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("doc", held.schema["doc"].dataType), StructField("score", DoubleType()), StructField("matched", ArrayType(StringType()))])
+
+    def block_scores(block: list) -> DataFrame:
+        questions = [(i, query, asked or []) for i, query, asked in block]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            holders: dict[str, list[int]] = defaultdict(list)
+            for q, (_, query, terms) in enumerate(questions):
+                for t in {query, *terms}:
+                    holders[t].append(q)
+            patterns = Patterns(holders)
+            for batch in batches:
+                for doc, hay in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found, rows = patterns.within(hay), []
+                    for q in set().union(*(holders[t] for t in found)):
+                        i, query, terms = questions[q]
+                        matched = [t for t in terms if t in found]
+                        score = min(92, sum(16 if len(t) >= 4 else 10 for t in matched) + (40 if query in found else 0))
+                        if score >= 18:
+                            rows.append((i, doc, score / 100, matched))
+                    yield from arrow_rows(rows, types)
+
+        return held.mapInArrow(run, types)
+
+    return blockwise(asked, block_scores)
 
 
 def profile_summaries(profiles: DataFrame, first: int = 32) -> DataFrame:
@@ -299,16 +388,10 @@ def tfidf_hits(docs: DataFrame, queries: DataFrame, k: int = 5, low: int = 2, hi
                         if len(mine) > 4 * k:
                             best[q] = mine = dict(sorted(mine.items(), key=lambda m: (-m[1], m[0] is not None, m[0]))[:k])
                             floor[q] = min(mine.values())
-            rows = [(ids[q], c, v) for q, mine in enumerate(best) for c, v in mine.items()]
-            if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, types.fields, strict=True)], names=types.names)
+            yield from arrow_rows([(ids[q], c, v) for q, mine in enumerate(best) for c, v in mine.items()], types)
 
         return texts.mapInArrow(run, types)
 
-    rest, parts = asked.toLocalIterator(), []
-    while block := list(islice(rest, TFIDF_BLOCK)):
-        parts.append(block_hits(block))
-    found = reduce(DataFrame.unionAll, parts) if parts else block_hits([])
+    found = blockwise(asked, block_hits, TFIDF_BLOCK)
     hits = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)

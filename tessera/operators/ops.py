@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import text as X
+from tessera.functions.patterns import Patterns
+from tessera.operators.retrieval import arrow_rows, blockwise
 
 # Alert bounds, name parts of the series that explain a root cause.
 CPU_PERCENT, MEMORY_PERCENT, MAX_SERIES, CLIP, MAX_OBSERVATIONS = 80, 70, 12, 2500, 6
@@ -57,13 +63,32 @@ def log_search(logs: DataFrame, start: Column, end: Column, phrase: str = "*", l
 def fuzzy_lookup(catalog: DataFrame, wanted: DataFrame, name: str, ask: str) -> DataFrame:
     """Catalog rows whose name holds the asked text or lies in it, without regard to case.
 
-    Both sides are dimension tables; the catalog is sent to every partition of
-    the questions after its size has been checked.
+    Asked texts are a stated set and go in blocks; a task looks for them in its
+    catalog names, and for the names in them, by automata.  The pairs of
+    strings then meet the rows of both sides by equality.  A null or empty
+    asked text finds nothing, an empty name is found by every other one.
     """
-    from tessera.operators.retrieval import bounded_broadcast
-
-    a, b = F.lower(F.trim(F.col(ask))), F.lower(F.trim(F.col(name)))
-    return wanted.join(bounded_broadcast(catalog), (a != "") & (a.contains(b) | b.contains(a)))
+    low = lambda c: F.lower(F.trim(F.col(c)))
+    texts, names = wanted.select(low(ask).alias("a")).filter("a <> ''").distinct(), catalog.select(low(name).alias("b")).filter("b IS NOT NULL").distinct()
+    types = StructType([StructField("_asked", StringType()), StructField("_name", StringType())])
+
+    def pairs(block: list) -> DataFrame:
+        asked = [r[0] for r in block]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            inside = Patterns(asked)
+            for batch in batches:
+                held = set(batch.column(0).to_pylist())
+                found = {(a, b) for b in held for a in inside.within(b)}
+                around = Patterns(held)
+                found |= {(a, b) for a in asked for b in around.within(a) | ({""} & held)}
+                yield from arrow_rows(sorted(found), types)
+
+        return names.mapInArrow(run, types)
+
+    found = blockwise(texts, pairs)
+    out = wanted.withColumn("_asked", low(ask)).join(found, "_asked").join(catalog.withColumn("_name", low(name)), "_name")
+    return out.drop("_asked", "_name")
 
 
 # Regions of the log service and their codes.

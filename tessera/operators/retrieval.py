@@ -6,11 +6,10 @@ an explicit last key, so ranks do not depend on how Spark dealt rows out.
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions import text as X
+from tessera.functions.patterns import Patterns
+from tessera.sources.store import shared_folder
 
 #: BM25 parameters, and the share of the mean idf that replaces a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -101,22 +102,48 @@ def bm25_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, q
     return ranked(scored if keep is None else keep(scored), [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 
-#: Questions of one block, and the bytes of their rows as Arrow that close a block sooner.
+#: Questions of one block, the bytes of their rows as Arrow that close a block sooner, and vectors compared at once.
 BLOCK_ROWS, BLOCK_BYTES = 2_000, 16_000_000
+COSINE_ROWS = 500
 
 
-def in_blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    """A stated query set as DataFrames of bounded size, each of which may go to every task."""
-    rest = queries.toLocalIterator()
+def row_blocks(queries: DataFrame, rows: int = BLOCK_ROWS) -> Iterator[list]:
+    """A stated query set as lists of rows of bounded size, one at a time; at least one, which may be empty."""
     block, size, empty = [], 0, True
-    for row in rest:
+    for row in queries.toLocalIterator():
         block.append(row)
         size += sum(len(v) * (8 if isinstance(v, list) else 4) if hasattr(v, "__len__") else 8 for v in row)
-        if len(block) >= BLOCK_ROWS or size >= BLOCK_BYTES:
-            yield queries.sparkSession.createDataFrame(block, queries.schema)
+        if len(block) >= rows or size >= BLOCK_BYTES:
+            yield block
             block, size, empty = [], 0, False
     if block or empty:
-        yield queries.sparkSession.createDataFrame(block, queries.schema)
+        yield block
+
+
+def blockwise(queries: DataFrame, work: Callable[[list], DataFrame], rows: int = BLOCK_ROWS) -> DataFrame:
+    """What ``work`` makes of a stated query set, one block of rows after another.
+
+    A single block stays a plan.  Of more than one, each block's rows are
+    written to the shared folder before the next but one is fetched, so neither
+    the driver nor a plan holds the whole set.
+    """
+    blocks = row_blocks(queries, rows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return work(first)
+    path, schema = f"{shared_folder(queries.sparkSession)}/tessera-blocks-{uuid.uuid4().hex}", None
+    for n, block in enumerate(chain((first, second), blocks)):
+        made = work(block)
+        made.write.parquet(f"{path}/block={n}")
+        schema = schema or made.schema
+    return queries.sparkSession.read.schema(schema).parquet(f"{path}/block=*")
+
+
+def arrow_rows(rows: list[tuple], types: StructType) -> Iterator[pa.RecordBatch]:
+    """Rows as a batch of the types; nothing for no rows."""
+    if rows:
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, types.fields, strict=True)], names=types.names)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -127,15 +154,42 @@ def cosine_hits(queries: DataFrame, corpus: DataFrame, k: int = 5, metadata: Col
     """Exact cosine search; ``metadata`` filters before the search.
 
     ``queries`` has query_id and qv, ``corpus`` chunk_id and v.  Queries are a
-    stated set: they go to every partition of the corpus in blocks of bounded
-    size, and each partition hands on its best k of each question.
+    stated set: a block of them meets a few hundred vectors at a time as one
+    product of matrices, and a task hands on its best k of each question, so
+    no row stands for a pair.  Null, empty, zero and
+    infinite vectors find nothing and are not found; rows that share an id count each.  All vectors have one length.
     """
     chosen = corpus if metadata is None else corpus.filter(metadata)
-    left = queries.select("query_id", "qv", F.sqrt(dot(F.col("qv"), F.col("qv"))).alias("qn")).filter("qn > 0")
-    right = chosen.select("chunk_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("n")).filter("n > 0")
-    score = F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), 6).alias("score")
-    hits = reduce(DataFrame.unionAll, (right.crossJoin(F.broadcast(block)).select("query_id", "chunk_id", score) for block in in_blocks(left)))
-    return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
+    long = lambda v: (dot(F.col(v), F.col(v)) > 0) & (dot(F.col(v), F.col(v)) < float("inf"))
+    left = queries.select("query_id", "qv").filter(long("qv"))
+    right = chosen.select("chunk_id", "v").filter(long("v"))
+    types = StructType([StructField("query_id", left.schema["query_id"].dataType), StructField("chunk_id", right.schema["chunk_id"].dataType), StructField("score", DoubleType())])
+
+    def block_hits(block: list) -> DataFrame:
+        ids, vectors = [r[0] for r in block], np.array([r[1] for r in block], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) if ids else vectors
+            best: list[list] = [[] for _ in ids]
+            floor = np.full(len(ids), -np.inf)
+            for batch in (b.slice(i, COSINE_ROWS) for b in batches for i in range(0, b.num_rows, COSINE_ROWS) if ids):
+                chunks = batch.column(0).to_pylist()
+                order = sorted(range(len(chunks)), key=lambda i: (chunks[i] is not None, chunks[i]))
+                held = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunks), -1)[order]
+                scores = np.round(asked @ (held / np.linalg.norm(held, axis=1, keepdims=True)).T, 6)
+                for q in np.flatnonzero(scores.max(axis=1) >= floor):
+                    mine = scores[q]
+                    near = np.flatnonzero(mine >= floor[q])
+                    near = near[np.argsort(-mine[near], kind="stable")[:k]]
+                    some = best[q] + [(float(mine[i]), chunks[order[i]]) for i in near]
+                    best[q] = sorted(some, key=lambda m: (-m[0], m[1] is not None, m[1]))[:k]
+                    if len(best[q]) == k:
+                        floor[q] = best[q][-1][0]
+            yield from arrow_rows([(ids[q], c, v) for q, mine in enumerate(best) for v, c in mine], types)
+
+        return right.mapInArrow(run, types)
+
+    return ranked(blockwise(left, block_hits), [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 
 
 def metadata_filter(allowed: dict[str, list]) -> Column:
@@ -226,61 +280,42 @@ def simple_lexical(terms: Column, haystack: Column, score: Column, cap: int = 20
     return F.lit(base) / (1 + F.greatest(score, F.lit(0.0))) + points
 
 
-#: Questions of one pass of the scan over the documents, documents scored at once, words whose terms
-#: a task remembers, and the length beyond which a word is searched for each term instead of by its parts.
-SCAN_BLOCK, SCAN_ROWS, SCAN_WORDS, LONG_WORD = 2_000, 500, 200_000, 64
+#: Documents that the scan scores at once.
+SCAN_ROWS = 500
 
 
 class ContainedTerms:
-    """The points of questions whose terms a text contains."""
+    """The points of questions whose terms a text contains (X18); the terms may be in any script."""
 
     def __init__(self, asked: list[tuple[list[str], str]]) -> None:
         self.n = len(asked)
         self.terms: dict[str, list[int]] = {}
-        self.plain: dict[str, list[int]] = {}
         for i, (terms, text) in enumerate(asked):
-            for t in terms:
+            for t in terms or [text]:
                 self.terms.setdefault(t, []).append(i)
-            if not terms and text:
-                self.plain.setdefault(text, []).append(i)
-        self.sizes = sorted({len(t) for t in self.terms})
-        self._seen: dict[str, tuple[str, ...]] = {}
-
-    def within(self, word: str) -> tuple[str, ...]:
-        """The terms that a run of letters and digits contains."""
-        if (found := self._seen.get(word)) is None:
-            if len(self._seen) >= SCAN_WORDS:
-                self._seen.clear()
-            if len(word) > LONG_WORD:
-                found = tuple(t for t in self.terms if t in word)
-            else:
-                found = tuple({word[i : i + n] for n in self.sizes for i in range(len(word) - n + 1)} & self.terms.keys())
-            self._seen[word] = found
-        return found
+        self._patterns = Patterns(self.terms)
 
     def scores(self, low: str | None) -> np.ndarray:
         """The points of each question for a lower-cased text; 0 where it contains no term."""
-        out = np.zeros(self.n)
-        if not low:
-            return out
-        held = set().union(*map(self.within, set(re.findall("[a-z0-9]+", low))))
-        for where, found in ((self.terms, held), (self.plain, [t for t in self.plain if t in low])):
-            if found:
-                at = [where[t] for t in found]
-                out += np.bincount(list(chain.from_iterable(at)), np.repeat([max(4.0, min(len(t), 20.0)) for t in found], list(map(len, at))), self.n)
-        return out
+        found = list(self._patterns.within(low))
+        if not found:
+            return np.zeros(self.n)
+        at = [self.terms[t] for t in found]
+        return np.bincount(list(chain.from_iterable(at)), np.repeat([max(4.0, min(len(t), 20.0)) for t in found], list(map(len, at))), self.n)
 
 
 def scan_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int = 10) -> DataFrame:
     """R4 with X18: documents whose lower-cased text contains a query term, by the points of their terms.
 
-    A term is a run of letters and digits, so a text contains it where one of
-    the text's words does.  A question without terms is searched for as it
-    stands.  A scanned row has no score of its own, so 1 / (1 + score) is 1.
-    Each document is read once for each block of questions, and a task hands on
-    its best k of each question.  Rows that share an id count by the best.
+    The terms of a block of questions form one automaton, so a text is read
+    once for each block.  Terms are those of X7, or the array column ``terms``
+    of the questions if they have one (X6, X8: a segmenter's); a question
+    without terms is searched for as it stands.  A scanned row has no score of
+    its own, so 1 / (1 + score) is 1.  A task hands on its best k of each
+    question.  Rows that share an id count by the best.
     """
-    terms = X.query_terms(F.col(query_text))
+    terms = F.transform(F.array_compact(F.array_distinct("terms")), F.lower) if "terms" in queries.columns else X.query_terms(F.col(query_text))
+    terms = F.filter(F.array_distinct(F.coalesce(terms, F.expr("cast(array() AS array<string>)"))), lambda t: t != "")
     whole = F.lower(F.regexp_replace(F.coalesce(F.col(query_text), F.lit("")), r"(?U)^\s+|\s+$", ""))
     asked = queries.select(F.col(query_id).alias("query_id"), terms.alias("terms"), whole.alias("whole")).distinct()
     texts = docs.select(F.col(doc_id).alias("chunk_id"), F.lower(F.col(doc_text)).alias("low"))
@@ -302,17 +337,11 @@ def scan_hits(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, q
                         mine[chunks[row]] = max(mine.get(chunks[row], 0.0), float(column[row]))
                     if len(mine) > k:
                         best[q] = dict(sorted(mine.items(), key=lambda m: (-m[1], m[0] is not None, m[0]))[:k])
-            rows = [(ids[q], c, v + 1.0) for q, mine in enumerate(best) for c, v in mine.items()]
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, types.fields, strict=True)], names=types.names)
+            yield from arrow_rows([(ids[q], c, v + 1.0) for q, mine in enumerate(best) for c, v in mine.items()], types)
 
         return texts.mapInArrow(run, types)
 
-    rest, parts = asked.toLocalIterator(), []
-    while block := list(islice(rest, SCAN_BLOCK)):
-        parts.append(block_hits(block))
-    found = reduce(DataFrame.unionAll, parts) if parts else block_hits([])
+    found = blockwise(asked, block_hits)
     hits = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return ranked(hits, [F.desc("score"), F.asc("chunk_id")]).filter(F.col("rank") <= k)
 

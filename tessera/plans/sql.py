@@ -317,6 +317,19 @@ h AS (SELECT doc, {_squeezed("doc || ' ' || doc || ' ' || array_to_string(list_c
 q AS (SELECT item_id AS query_id, {_squeezed('text')} AS whole, {_terms('text')} AS terms FROM benchmark),
 m AS (SELECT query_id, doc, list_filter(terms, lambda x: contains(hay, x)) AS found, contains(hay, whole) AS said FROM q, h),
 r AS (SELECT query_id, doc, round(least(0.92, coalesce(list_sum(list_transform(found, lambda x: CASE WHEN length(x) >= 4 THEN 0.16::DOUBLE ELSE 0.1::DOUBLE END)), 0) + CASE WHEN said THEN 0.4 ELSE 0 END), 4) AS score, array_to_string(found, ' ') AS matched FROM m) SELECT * FROM r WHERE score >= 0.18""",
+    "j14_whole_profile_scores": f"""WITH {_PROFILES}, l AS (SELECT doc, list(term ORDER BY rank) AS terms FROM top GROUP BY doc),
+p AS (SELECT doc, {_squeezed('doc')} AS key, coalesce(terms, []) AS terms FROM (SELECT DISTINCT source AS doc FROM documents) LEFT JOIN l USING (doc)),
+q AS (SELECT item_id AS query_id, {_squeezed('text')} AS query, {_terms('text')} AS asked FROM benchmark),
+s AS (SELECT query_id, doc, least(100, CASE WHEN key <> '' AND contains(query, key) THEN 85 + 75 ELSE 0 END
+ + least(45, coalesce(list_sum(list_transform(list_filter(terms, lambda t: contains(query, t)), lambda t: CASE WHEN length(t) >= 4 THEN 12 ELSE 8 END)), 0))
+ + least(30, coalesce(list_sum(list_transform(asked, lambda a: CASE WHEN list_contains(terms, a) THEN 10
+   WHEN length(a) >= 2 AND len(list_filter(terms[1:32], lambda t: length(t) >= 2 AND (contains(a, t) OR contains(t, a)))) > 0 THEN 6 ELSE 0 END)), 0))) AS points FROM p, q)
+SELECT query_id, doc, points / 100 AS score FROM s WHERE points >= 18""",
+    "r04_whole_scan": f"""WITH q AS (SELECT item_id AS query_id, {_terms('text')} AS terms, lower(trim(coalesce(text, ''))) AS said FROM benchmark),
+a AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(terms) > 0 THEN terms WHEN said <> '' THEN [said] ELSE [] END) AS term FROM q), t AS (SELECT DISTINCT term FROM a),
+h AS (SELECT doc_id AS chunk_id, term FROM documents, t WHERE contains(lower(text), term)),
+s AS (SELECT query_id, chunk_id, 1 + sum(greatest(4, least(length(term), 20)))::DOUBLE AS score FROM h JOIN a USING (term) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
     "t03_lexical_order": f"""WITH {_bm25()}, {_ASKED}, s AS (SELECT b.query_id, b.chunk_id, b.rank AS was, {_x17('a.terms', 'a.query', 'd.source', 'd.text', 'b.score', 'a.older', "'primary'")} AS lexical FROM bm25_10 b JOIN asked a USING (query_id) JOIN documents d ON d.doc_id = b.chunk_id)
 SELECT query_id, chunk_id, lexical, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, was, chunk_id) AS rank FROM s""",
     "r05_scan_needed": f"""WITH {_bm25()}, {_ASKED}, f AS (SELECT query_id, chunk_id, score, round(0.4 * CASE WHEN hi = lo THEN (c - rank + 1) / c ELSE (score - lo) / (hi - lo) END, 6) AS merged FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, count(*) OVER w AS c FROM bm25_10 WINDOW w AS (PARTITION BY query_id))),

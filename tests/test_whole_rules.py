@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import evaluate as E
+from tessera.operators import ops as O
 from tessera.operators import retrieval as R
 from tessera.operators import understand as U
 from tessera.plans.queries import queries
@@ -80,6 +81,57 @@ def test_scan_contains(spark, sf):
         assert {(r.query_id, r.chunk_id, r.score, r.rank) for r in R.token_scan_hits(d, q, "doc_id", "text", "item_id", "text", k).collect()} != want
 
 
+def test_terms_of_a_segmenter_are_scanned_for(spark):
+    docs = spark.createDataFrame([(1, "更换电锯链条 now"), (2, "链条"), (3, "电锯 Chain"), (4, "油")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "怎么更换链条", ["更换", "链条", None, ""]), (2, "CHAIN?", ["Chain", "锯"]), (3, "油", []), (4, "油", None), (5, "", [])], "item_id long, text string, terms array<string>")
+    got = {(r.query_id, r.chunk_id, r.score) for r in R.scan_hits(docs, asked, "doc_id", "text", "item_id", "text").collect()}
+    assert got == {(1, 1, 9.0), (1, 2, 5.0), (2, 3, 10.0), (2, 1, 5.0), (3, 4, 5.0), (4, 4, 5.0)}
+
+
+def test_profiles_and_summaries_in_any_script(spark):
+    none = "cast(array() AS array<string>)"
+    profiles = spark.createDataFrame([("d1", "电锯", ["链条", "ab", "链条"]), ("d2", "Saw", ["blade", "x"]), ("d2", "Saw", ["blade"]), ("d3", None, None)], "doc string, name string, terms array<string>").withColumn("pic_prefixes", F.expr(none))
+    asked = spark.createDataFrame([(1, "电锯的链条"), (2, "bladed x d2"), (3, ""), (4, None), (1, "电锯的链条")], "query_id long, text string")
+    got = sorted((r.query_id, r.doc, r.score) for r in E.profile_scores(asked, profiles).collect())
+    rows = asked.select("query_id", "text", X.query_terms(F.col("text")).alias("asked"), X.picture_id(F.col("text")).alias("pic")).collect()
+    want = [(q.query_id, p.doc, brute_profile(q.text, q.asked, q.pic, p.doc, p.name, p.terms or [], [])) for q in rows for p in profiles.collect()]
+    assert got == sorted(w for w in want if w[2] >= 0.18)
+    assert (1, "d1", 1.0) in got and [g[:2] for g in got].count((2, "d2")) == 2
+    summaries = spark.createDataFrame([("d1", "电 锯", None, "链条 guide", ["blade"]), ("", "blade guide", "", "", []), ("d2", None, None, None, None)], "doc string, doc_name string, title string, summary string, terms array<string>")
+    ask = spark.createDataFrame([(1, "锯链条"), (2, "Guide blades blade"), (3, "xy"), (4, None)], "query_id long, text string")
+    assert sorted((r.query_id, r.doc, r.score, r.matched) for r in E.summary_scores(ask, summaries).collect()) == [(1, "d1", 0.4, []), (2, "d1", 0.32, ["guide", "blade"])]
+
+
+def test_blocks_of_questions_are_taken_one_after_another(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    ask = lambda: sorted(map(tuple, R.scan_hits(docs, items, "doc_id", "text", "item_id", "text").collect()))
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    near = lambda: sorted(map(tuple, R.cosine_hits(v.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS qv"), v.selectExpr("vec_id AS chunk_id", "embedding AS v")).collect()))
+    whole, every = ask(), near()
+    monkeypatch.setattr(R, "BLOCK_BYTES", 600)
+    sizes = [len(b) for b in R.row_blocks(items.select("item_id", "text"))]
+    assert len(sizes) > 2 and sum(sizes) == items.count()
+    assert ask() == whole and near() == every
+
+
+def test_cosine_of_ties_and_odd_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40, 0, -1)] + [(41, None), (42, []), (43, [0.0, 0.0]), (44, [inf, 1.0]), (45, [nan, 1.0]), (None, [1.0, 1.0])], "chunk_id long, v array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 0.0])], "query_id long, qv array<double>")
+    got = sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in R.cosine_hits(asked, corpus, 3).collect())
+    assert got == [(1, 1, 1, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 1.0), (2, 1, None, 1.0), (2, 2, 1, 0.707107), (2, 3, 2, 0.707107)]
+    plan = R.cosine_hits(asked, corpus, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_lookup_of_names_both_ways(spark):
+    catalog = spark.createDataFrame([(1, "Error Logs"), (2, "日志"), (3, None), (4, ""), (1, "Error Logs")], "id long, topic string")
+    wanted = spark.createDataFrame([("a", "logs"), ("b", "查日志 now"), ("c", " "), ("d", None), ("a", "logs")], "who string, asked string")
+    out = O.fuzzy_lookup(catalog, wanted, "topic", "asked")
+    assert out.columns == ["who", "asked", "id", "topic"]
+    assert sorted((r.who, r.id) for r in out.collect()) == [("a", 1)] * 4 + [("a", 4)] * 2 + [("b", 2), ("b", 4)]
+
+
 def brute_tfidf(docs, asked, k, features):
     """TF-IDF over every document: (query, document) to score, the best k."""
 
