@@ -6,12 +6,17 @@ inferred from the data, so a scan is one pass.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.text import chunk_key
+from tessera.operators.retrieval import bounded_broadcast
+from tessera.sources.store import stored
 
 CONTENT_BYTES, METADATA_BYTES, EMBED_CHARS = 8000, 60000, 8192
 
@@ -90,9 +95,34 @@ def read_tool_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line_no, line) of text files, numbered from 1; a file is one row until it is split."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    return whole.select("path", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+    """(path, line_no, line) of text files, numbered from 1; a file of any length is read by many tasks.
+
+    A task numbers the lines of each split that it reads; a table of one row a
+    split, written first, says how many lines lie before it.  So the files are
+    read twice and no line is shuffled while that table has at most
+    BROADCAST_ROWS rows.  Splits that are dealt otherwise in the second read
+    raise an error.  A line ends with LF or CR LF; after the last one there is
+    no further line, and an empty file has none.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    parts = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    counts = parts.groupBy("path", "start").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("path").orderBy("start")) - F.col("n")
+    offsets = stored(counts.select("path", "start", before.alias("before")), "splits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            places = []
+            for split in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = n + 1 if split == last else 1
+                last = split
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["path", "start", "line", "place"])
+
+    placed = parts.mapInArrow(run, "path string, start long, line string, place long").join(bounded_broadcast(offsets), ["path", "start"], "left")
+    line_no = F.when(F.col("before").isNull(), F.raise_error(F.concat(F.lit("the splits of a file have changed: "), "path")).cast("long")).otherwise(F.col("before") + F.col("place"))
+    return placed.select("path", line_no.alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
 
 
 def last_lines(spark: SparkSession, path: str, n: int) -> DataFrame:

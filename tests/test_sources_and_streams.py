@@ -19,6 +19,30 @@ def test_json_lines_modes(spark, tmp_path):
     assert [r.line for r in S.last_lines(spark, str(path), 1).collect()] == ['{"chunk_id": "2", "text": "y"}']
 
 
+def test_a_file_of_many_splits_is_numbered_whole(spark, tmp_path):
+    texts = {"a.txt": "".join(f"line {i}{' é' * (i % 7)}" + ("\r\n" if i % 3 else "\n") for i in range(3000)) + "end", "b.txt": "\n\nx\n", "c.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        rows = S.numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5
+        got = sorted((r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in rows.collect())
+        lines = {n: [x.removesuffix("\r") for x in t.removesuffix("\n").split("\n")] if t else [] for n, t in texts.items()}
+        assert got == [(n, i, x) for n, held in lines.items() for i, x in enumerate(held, 1)]
+        assert [(r.line_no, r.line) for r in S.last_lines(spark, str(tmp_path / "a.txt"), 2).collect()] == [(3000, lines["a.txt"][2999]), (3001, "end")]
+        bad = tmp_path / "bad.jsonl"
+        bad.write_text("".join('{"k": 1}\n' for _ in range(2000)) + "{broken\n")
+        with pytest.raises(Exception, match="bad.jsonl:2001: invalid JSON"):
+            S.read_jsonl_located(spark, str(bad), "k int").collect()
+        assert [r.line_no for r in S.last_records(spark, str(bad), "k int", 2).collect()] == [1999, 2000]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_questions(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_bytes("﻿id,question,images\n3,c,\nx,bad,\n1,a,\n2, ,\n4,d,\n".encode())
