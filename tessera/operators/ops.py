@@ -136,22 +136,32 @@ def best_arguments(calls: DataFrame, cached: DataFrame) -> DataFrame:
 
     ``calls`` has (call_id, tool, args), ``cached`` (key, tool, args), args being
     maps of strings; empty values ask nothing.  The fewest extra arguments win,
-    then the key.  A call meets the cached calls that hold its rarest argument,
-    so a tool with many cached calls is no hot key; one that asks nothing takes
-    the best of its tool.
+    then the key.  Calls that ask the same are answered once.
     """
-    have = cached.select("tool", "key", _pairs(F.col("args")).alias("has"))
+    asked = calls.select("call_id", "tool", _pairs(F.col("args")).alias("want"))
+    best = best_of_wants(asked.select("tool", "want").distinct(), cached)
+    return asked.join(best, ["tool", "want"]).select("call_id", "key", "extra")
+
+
+def best_of_wants(wants: DataFrame, cached: DataFrame) -> DataFrame:
+    """J16 for distinct (tool, want): the same with the key of the best cached call and its number of extra arguments.
+
+    Of cached calls with the same arguments only the one of least key can win,
+    so rows are argument sets, however many calls have one.  A want meets the
+    sets that hold its rarest argument; one that asks nothing takes the best
+    of its tool.
+    """
+    have = cached.select("tool", "key", _pairs(F.col("args")).alias("has")).groupBy("tool", "has").agg(F.min("key").alias("key"))
     listed = have.select("tool", "key", "has", F.explode("has").alias("pair"))
     counts = listed.groupBy("tool", "pair").agg(F.count("*").alias("n"))
-    asked = calls.select("call_id", "tool", _pairs(F.col("args")).alias("want"))
-    rarest = asked.select("call_id", "tool", "want", F.explode("want").alias("pair")).join(counts, ["tool", "pair"], "left")
-    rarest = rarest.groupBy("call_id", "tool", "want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair")).alias("least")).filter("least.n > 0")
-    met = rarest.select("call_id", "tool", "want", F.col("least.pair").alias("pair")).join(listed, ["tool", "pair"])
-    fits = met.filter(F.size(F.array_except("want", "has")) == 0).select("call_id", (F.size("has") - F.size("want")).alias("extra"), "key")
-    best = fits.groupBy("call_id").agg(F.min(F.struct("extra", "key")).alias("best"))
+    rarest = wants.select("tool", "want", F.explode("want").alias("pair")).join(counts, ["tool", "pair"], "left")
+    rarest = rarest.groupBy("tool", "want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair")).alias("least")).filter("least.n > 0")
+    met = rarest.select("tool", "want", F.col("least.pair").alias("pair")).join(listed, ["tool", "pair"])
+    fits = met.filter(F.size(F.array_except("want", "has")) == 0).select("tool", "want", (F.size("has") - F.size("want")).alias("extra"), "key")
+    best = fits.groupBy("tool", "want").agg(F.min(F.struct("extra", "key")).alias("best"))
     first = have.groupBy("tool").agg(F.min(F.struct(F.size("has").alias("extra"), "key")).alias("best"))
-    free = asked.filter("size(want) = 0").join(first, "tool").select("call_id", "best")
-    return best.unionAll(free).select("call_id", "best.key", "best.extra")
+    free = wants.filter("size(want) = 0").join(first, "tool").select("tool", "want", "best")
+    return best.unionAll(free).select("tool", "want", "best.key", "best.extra")
 
 
 def observations(cached: DataFrame, parts: list[str], limit: int = MAX_OBSERVATIONS) -> DataFrame:
