@@ -109,9 +109,10 @@ def replayed(calls: DataFrame, cached: DataFrame, most: int = 20_000) -> DataFra
 
     ``calls`` has call_id, tool and args, ``cached`` key, tool, args and output.
     """
-    asked = calls.filter(F.col("tool").isin(*REPLAY_TOOLS))
-    best = best_arguments(asked, cached).join(cached.select("key", "output"), "key")
-    rows = asked.join(best.select("call_id", "key", "output"), "call_id", "left")
+    asked = calls.filter(F.col("tool").isin(*REPLAY_TOOLS)).withColumn("want", _pairs(F.col("args")))
+    best = best_of_wants(asked.select("tool", "want").distinct(), cached)
+    outputs = cached.join(best.select("key").distinct(), "key", "left_semi").select("key", "output")
+    rows = asked.join(best.join(outputs, "key").select("tool", "want", "key", "output"), ["tool", "want"], "left")
     cut = F.when(F.length("output") > most, F.concat(F.substring("output", 1, most), F.lit("\n[output truncated]"))).otherwise(F.col("output"))
     missing = F.concat(F.lit("No cached result for "), "tool", F.lit(" with arguments "), F.to_json("args"))
     return rows.select("call_id", "tool", F.col("key").alias("matched_key"), F.coalesce(cut, missing).alias("result"))

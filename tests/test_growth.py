@@ -20,3 +20,11 @@ def test_equal_arguments_are_answered_once(spark):
     got = O.best_arguments(calls, cached.select("key", "tool", "args")).groupBy("key", "extra").count().collect()
     assert [tuple(r) for r in got] == [("00000000", 0, 40_000)]
     assert time.perf_counter() - start < 60  # 1.6 billion pairs otherwise
+
+
+def test_equal_calls_are_replayed_once(spark):
+    calls, cached = equal_calls(spark, 40_000)
+    start = time.perf_counter()
+    got = O.replayed(calls, cached).groupBy("matched_key", "result").count().collect()
+    assert [tuple(r) for r in got] == [("00000000", "out0", 40_000)]
+    assert time.perf_counter() - start < 60
