@@ -103,11 +103,14 @@ def renumbered(chunks: DataFrame, form: str = "%s_%04d") -> DataFrame:
 
 
 def sibling_context(chunks: DataFrame) -> DataFrame:
-    """The previous and next primary of each chunk under the same parent."""
-    each = W.partitionBy("parent_id").orderBy("pos", "chunk_id")
+    """The previous and next primary of each chunk under the same parent; ids are unique under a parent.
+
+    The next one is the last before it in the opposite order: a frame that ends
+    at the last row would be read anew for each row.
+    """
     primary = F.when(F.col("tier") == "primary", F.col("chunk_id"))
-    before = F.last(primary, True).over(each.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(primary, True).over(each.rowsBetween(1, W.unboundedFollowing))
+    last = lambda *order: F.last(primary, True).over(W.partitionBy("parent_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    before, after = last(F.asc("pos"), F.asc("chunk_id")), last(F.desc("pos"), F.desc("chunk_id"))
     return chunks.select("chunk_id", "parent_id", before.alias("prev_primary"), after.alias("next_primary"))
 
 

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tessera.operators import hierarchy as H
 from tessera.operators import ops as O
 
 
@@ -28,3 +29,15 @@ def test_equal_calls_are_replayed_once(spark):
     got = O.replayed(calls, cached).groupBy("matched_key", "result").count().collect()
     assert [tuple(r) for r in got] == [("00000000", "out0", 40_000)]
     assert time.perf_counter() - start < 60
+
+
+def test_siblings_are_read_once(spark):
+    rows = [(f"c{i}", "p", "primary" if i % 3 else "support", i // 2) for i in range(9)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, parent_id string, tier string, pos long")
+    out = H.sibling_context(chunks)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.chunk_id: (r.prev_primary, r.next_primary) for r in out.collect()}
+    ids = [r[0] for r in rows]
+    first = [i for i, r in enumerate(rows) if r[2] == "primary"]
+    want = {c: (next((ids[j] for j in reversed(first) if j < i), None), next((ids[j] for j in first if j > i), None)) for i, c in enumerate(ids)}
+    assert got == want
