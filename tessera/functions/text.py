@@ -7,6 +7,7 @@ patterns is Unicode-aware, as the compared engines' default is.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 from itertools import chain
@@ -113,6 +114,19 @@ class TokenForms:
         out = list(chain.from_iterable(map(self.forms, _TOKEN.findall((text or "").lower()))))
         return out or [EMPTY_TOKEN]
 
+    def index_counts(self, text: str | None) -> dict[str, int]:
+        """How often a text has each of its index tokens; a word's forms are looked up once a text."""
+        out: dict[str, int] = {}
+        for word, n in Counter(_TOKEN.findall((text or "").lower())).items():
+            for form in self.forms(word):
+                out[form] = out.get(form, 0) + n
+        return out or {EMPTY_TOKEN: 1}
+
+
+def token_set(text: str | None) -> set[str]:
+    """The distinct alphanumeric runs of a text at hand, stop words included."""
+    return set(_TOKEN.findall((text or "").lower()))
+
 
 def stem_word(word: str) -> str:
     """``stem`` of a word that is no column."""

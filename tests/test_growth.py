@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy as H
 from tessera.operators import ops as O
+from tessera.operators import retrieval as R
 
 
 def equal_calls(spark, n):
@@ -41,3 +42,44 @@ def test_siblings_are_read_once(spark):
     first = [i for i, r in enumerate(rows) if r[2] == "primary"]
     want = {c: (next((ids[j] for j in reversed(first) if j < i), None), next((ids[j] for j in first if j > i), None)) for i, c in enumerate(ids)}
     assert got == want
+
+
+def shared_words(spark, n):
+    docs = spark.range(n).select("id", F.lit("pump valve filter").alias("text"))
+    return docs, spark.createDataFrame([(i, "pump valve") for i in range(100)], "query_id long, text string")
+
+
+def widest_shuffle(df):
+    """The most rows that an exchange of a finished plan has written."""
+    df.collect()
+    seen, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "ResultQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+            todo.append(node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan())
+            continue
+        if node.nodeName() == "Exchange":
+            seen.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return max(seen)
+
+
+def test_bm25_makes_no_row_for_a_pair(spark):
+    docs, asked = shared_words(spark, 3_000)
+    hits = R.bm25_hits(docs.filter("id >= 0"), asked, "id", "text", "query_id", "text", 2, statistics=spark.createDataFrame([("pump", 9, 1.0, 3.0), ("valve", 9, 1.0, 3.0)], "term string, df long, idf double, avgdl double"))
+    assert widest_shuffle(hits) <= 100 * 2 * 4
+    assert {(r.chunk_id, r["rank"], r.score) for r in hits.collect()} == {(0, 1, 2.0), (1, 2, 2.0)}
+
+
+def test_a_scan_of_tokens_makes_no_row_for_a_pair(spark):
+    docs, asked = shared_words(spark, 3_000)
+    hits = R.token_scan_hits(docs, asked, "id", "text", "query_id", "text", 2)
+    assert widest_shuffle(hits) <= 100 * 2 * 4
+    assert {(r.chunk_id, r["rank"], r.score) for r in hits.collect()} == {(0, 1, 9.0), (1, 2, 9.0)}
+
+
+def test_statistics_of_one_pass_are_those_of_postings(spark):
+    docs = spark.createDataFrame([(1, "Pumps pump the, valve valves"), (2, None), (3, "pump"), (4, "the of")], "id long, text string")
+    rows = lambda df: sorted((r.term, r.df, round(r.idf, 9), round(r.avgdl, 9)) for r in df.collect())
+    assert rows(R.collection_statistics(docs, "text")) == rows(R.term_statistics(R.postings(docs, "id", "text")))
+    assert R.collection_statistics(docs.filter("false"), "text").count() == 0
