@@ -32,8 +32,23 @@ VARIANTS, LAST_ROWS = 3, 6
 ALL_TIERS = ["primary", "support", "auxiliary"]
 
 
+class Kept:
+    """A filter of pairs by their chunks: those of a stage; ``statistics`` gives those of all chunks, counted once."""
+
+    def __init__(self, own: DataFrame, statistics: Callable[[], DataFrame]) -> None:
+        self.own, self.statistics = own, statistics
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.own.select("chunk_id"), "chunk_id", "left_semi")
+
+
 def bm25_search(chunks: DataFrame, questions: DataFrame, keep: Callable[[DataFrame], DataFrame], fetch: int) -> DataFrame:
-    """A lexical search with the statistics of all chunks; vectors come in by another function of this form."""
+    """A lexical search with the statistics of all chunks; vectors come in by another function of this form.
+
+    The chunks of a stage are the only ones that are scored, so no pair is made to be filtered out.
+    """
+    if isinstance(keep, Kept):
+        return R.bm25_hits(chunks, questions, "chunk_id", "text", "query_id", "text", fetch, among=keep.own, statistics=keep.statistics()).select("query_id", "chunk_id", "score")
     return R.bm25_hits(chunks, questions, "chunk_id", "text", "query_id", "text", fetch, keep=keep).select("query_id", "chunk_id", "score")
 
 
@@ -71,15 +86,13 @@ def _needs_scan(intent: Column, plain: Column, critical: Column) -> Column:
     return plain.isNull() | intent.isin("image_trace", "ocr_audit") | critical | (plain < least)
 
 
-def _stage(chunks: DataFrame, asked: DataFrame, search: Search, tiers: list[str], families: list[str] | None, top_k: int) -> DataFrame:
+def _stage(chunks: DataFrame, asked: DataFrame, search: Search, tiers: list[str], families: list[str] | None, top_k: int, statistics: Callable[[], DataFrame]) -> DataFrame:
     """One stage of one intent: query_id, chunk_id, score, lexical, plain and rank of at most ``top_k`` rows a question."""
     fetch, own = max(3 * top_k, 8), _allowed(chunks, tiers, families)
-    ids = own.select("chunk_id")
-    keep = lambda pairs: pairs.join(ids, "chunk_id", "left_semi")
     texts = asked.select("query_id", F.posexplode(F.slice("variants", 1, VARIANTS)).alias("variant", "text"))
     key = F.to_json(F.struct("query_id", "variant"))
     keyed = stored(texts.withColumn("key", key), "variants")
-    found = search(chunks, keyed.select(F.col("key").alias("query_id"), "text"), keep, fetch).withColumnRenamed("query_id", "key").join(keyed.select("key", "query_id", "variant"), "key")
+    found = search(chunks, keyed.select(F.col("key").alias("query_id"), "text"), Kept(own, statistics), fetch).withColumnRenamed("query_id", "key").join(keyed.select("key", "query_id", "variant"), "key")
     once = found.groupBy("query_id", "chunk_id").agg(F.min_by("score", "variant").alias("score"))
     prefer = "support" in tiers
     first = stored(_placed(once, own, asked, prefer, fetch), "stage")
@@ -101,6 +114,13 @@ def staged_search(chunks: DataFrame, queries: DataFrame, search: Search = bm25_s
     asked = P.analyzed(queries).withColumn("intent", U.older_intent(F.col("text")))
     asked = asked.withColumns({"variants": U.variants(F.col("text"), F.col("intent"), F.col("terms")), "critical": F.size(U.critical_groups(F.col("text"))) > 0})
     asked = stored(asked, "asked")
+    counted: list[DataFrame] = []
+
+    def statistics() -> DataFrame:
+        if not counted:
+            counted.append(R.collection_statistics(chunks, "text"))
+        return counted[0]
+
     open_, answers = asked, []
     for n in range(3):
         made: list[DataFrame] = []
@@ -108,7 +128,7 @@ def staged_search(chunks: DataFrame, queries: DataFrame, search: Search = bm25_s
             steps = P.STAGES.get(row["intent"], P.STAGES["general"])
             if n < len(steps):
                 own = open_.filter(F.col("intent") == row["intent"])
-                made.append(_stage(chunks, own, search, *steps[n], top_k).withColumn("intent", F.lit(row["intent"])))
+                made.append(_stage(chunks, own, search, *steps[n], top_k, statistics).withColumn("intent", F.lit(row["intent"])))
         if not made:
             break
         rows = made[0]
