@@ -1,12 +1,17 @@
 """Steps whose work has to grow with their rows, on one large group each."""
 
+import os
+import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.operators import chunking as C
 from tessera.operators import hierarchy as H
 from tessera.operators import ops as O
 from tessera.operators import retrieval as R
+from tessera.operators import trees as T
 
 
 def equal_calls(spark, n):
@@ -83,3 +88,21 @@ def test_statistics_of_one_pass_are_those_of_postings(spark):
     rows = lambda df: sorted((r.term, r.df, round(r.idf, 9), round(r.avgdl, 9)) for r in df.collect())
     assert rows(R.collection_statistics(docs, "text")) == rows(R.term_statistics(R.postings(docs, "id", "text")))
     assert R.collection_statistics(docs.filter("false"), "text").count() == 0
+
+
+def test_chunkers_take_few_documents_at_a_time():
+    texts = pa.array(["x" * 400_000] * 5 + [None, ""] * 200, pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), texts], names=["doc_id", "text"])
+    got = list(C.slices([batch, batch.slice(0, 0)]))
+    assert [i for ids, _ in got for i in ids] == batch.column(0).to_pylist() and [t for _, ts in got for t in ts] == texts.to_pylist()
+    assert max(len(ids) for ids, _ in got) <= C.SLICE_ROWS and max(sum(len(t or "") for t in ts) for _, ts in got) <= C.SLICE_BYTES
+
+
+def test_a_merged_tree_leaves_one_copy_of_its_texts(spark):
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(d, "\n".join("%032x" % rng.getrandbits(128) for _ in range(400))) for d in range(40)], "doc_id long, text string")
+    before = size()
+    assert T.merged_tree(T.window_forest(docs)).count() > 0
+    assert size() - before < 5 * 40 * 400 * 33  # three levels of texts, once, with what the rounds write of ids
