@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -285,12 +286,20 @@ def shared_term_scores(queries: DataFrame, profiles: DataFrame, first: int = 32)
 TFIDF_BLOCK, TFIDF_HELD = 256, 400_000
 
 
+class _Numbers(dict):
+    """Strings numbered in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Grams:
     """Character n-grams of the words of lower-cased texts, as numbers in an index."""
 
     def __init__(self, low: int, high: int, index: dict[str, int] | None = None) -> None:
         self.low, self.high, self.fixed = low, high, index is not None
-        self.index: dict[str, int] = index if index is not None else {}
+        self.index: dict[str, int] = index if index is not None else _Numbers()
         self._words: dict[str, np.ndarray] = {}
 
     def _of(self, word: str) -> np.ndarray:
@@ -299,22 +308,20 @@ class Grams:
                 self._words.clear()
             w = f" {word} "
             grams = [w[i : i + n] for n in range(self.low, self.high + 1) for i in range(len(w) - n + 1)]
-            found = (self.index.get(g, -1) for g in grams) if self.fixed else (self.index.setdefault(g, len(self.index)) for g in grams)
-            ids = np.fromiter(found, np.int64, len(grams))
+            found = map(self.index.get, grams, repeat(-1)) if self.fixed else map(self.index.__getitem__, grams)
+            ids = np.array(list(found), np.int64)
             self._words[word] = ids = ids[ids >= 0]
         return ids
 
     def forget(self) -> None:
-        self.index, self._words = {}, {}
+        self.index, self._words = _Numbers(), {}
 
     def counts(self, low: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of a text and how often each occurs."""
         parts = [self._of(w) for w in re.findall(r"\S+", low or "", re.ASCII)]
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        every = np.bincount(np.concatenate(parts))
-        held = np.flatnonzero(every)
-        return held, every[held]
+        return np.unique(np.concatenate(parts), return_counts=True)
 
     def vector(self, low: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of a text and their weights, of length one."""
