@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import spelling, suffixes
 from tessera.llm.compaction import FirstFit, compacted_clicks
@@ -203,6 +204,35 @@ def test_suffix_ranks(spark, tmp_path, monkeypatch, n, letters):
     assert order == sorted(range(n), key=lambda i: text[i:]) and sorted(r["rank"] for r in got) == list(range(1, n + 1))
 
 
+@pytest.mark.parametrize("levels", [1, 2, 9])
+def test_ranks_of_texts(spark, tmp_path, monkeypatch, levels):
+    monkeypatch.setattr(suffixes, "BLOCK", 8)
+    monkeypatch.setattr(suffixes, "PART_ROWS", 20)
+    monkeypatch.setattr(suffixes, "TUPLE", 2)
+    monkeypatch.setattr(suffixes, "LEVELS", levels)
+    rng = random.Random(levels)
+    base, own, rows = [rng.randint(10, 12) for _ in range(40)], iter(rng.sample(range(1, 10), 9)), []
+    for uid, text in enumerate([base, base[5:], [11] * 30, base[:20], [], base[3:20] + base[:9]]):
+        pos, stops = rng.sample(range(100), len(text) + 2), {len(text) // 3, len(text) + 1} if uid % 2 else {len(text) + 1}
+        text = [next(own) if i in stops else c for i, c in enumerate([*text, 10, 10])]
+        rows += [(uid, at, c, i in stops) for i, (at, c) in enumerate(zip(sorted(pos), text, strict=True))]
+    df = spark.createDataFrame(rows, "uid long, pos long, c long, stop boolean").orderBy(F.rand(1))
+    got = suffixes.text_ranks(df, len(rows), 12, str(tmp_path / "sa")).collect()
+    order = [(r["uid"], r["pos"]) for r in sorted(got, key=lambda r: r["rank"])]
+    key = {(u, p): [c for v, q, c, _ in rows if v == u and q >= p] for u, p, _, _ in rows}
+    assert order == sorted(key, key=key.get) and sorted(r["rank"] for r in got) == list(range(1, len(rows) + 1))
+
+
+def test_suffixes_of_texts_are_sorted_few_times(spark, monkeypatch):
+    rng, sizes, real = random.Random(8), [], suffixes.numbered
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(8)]
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(500)) + base[i % 8][rng.randint(0, 300) :]) for i in range(40)]
+    monkeypatch.setattr(suffixes, "numbered", lambda df, order, path, n, *a, **b: sizes.append(n) or real(df, order, path, n, *a, **b))
+    got = passage_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_passages(rows)
+    assert sum(sizes) < 3 * max(sizes)
+
+
 def brute_passages(rows):
     texts, starts = [(d, (t or "").encode()) for d, t in rows], Counter()
     for _, b in texts:
